@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
@@ -53,17 +51,12 @@ def bm25(documents: DataFrame, terms: list[str], k1: float = K1, b: float = B) -
 
 def matched(documents: DataFrame, terms: list[str]) -> DataFrame:
     """(doc_id, exact, prefix): how many terms occur as words and as beginnings of words."""
-    words = documents.select("doc_id", F.array_distinct(T.tokens(F.col("text"))).alias("w"))
-
-    def has(test, term):
-        return F.exists("w", lambda w: test(term, w)).cast("int")
-
-    def count(test):
-        held = [has(test, t) for t in terms]
-        return reduce(lambda a, x: a + x, held, F.lit(0))
-
-    whole, begins = lambda t, w: w == t, lambda t, w: w.startswith(t)
-    return words.select("doc_id", count(whole).alias("exact"), count(begins).alias("prefix"))
+    wanted = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
+    # one row per word first: a lambda over an inlined token array would cut the text anew for every term
+    words = documents.select("doc_id", F.explode(T.tokens(F.col("text"))).alias("w"))
+    begun = words.select("doc_id", "w", F.explode(F.filter(wanted, lambda t: F.col("w").startswith(t))).alias("t"))
+    once = begun.groupBy("doc_id", "t").agg(F.max(F.col("w") == F.col("t")).alias("whole"))
+    return once.groupBy("doc_id").agg(F.count_if("whole").alias("exact"), F.count("*").alias("prefix"))
 
 
 def cascade(documents: DataFrame, terms: list[str], limit: int) -> DataFrame:

@@ -20,12 +20,12 @@ def _ordered(key: str, order: list[str], columns: list[str]):
     return F.array_sort(F.collect_list(F.struct(*order, *[c for c in columns if c not in order])))
 
 
-def per_group_cap(ranked: DataFrame, key: str, group: str, item: str, limit: int) -> DataFrame:
+def per_group_cap(ranked: DataFrame, key: str, group: str, item: str, limit: int, *carry: str) -> DataFrame:
     """Greedy choice in rank order: one per group among the first five chosen, two until ten, then three.
 
     Skipped rows take no place. ``ranked`` holds a bounded number of rows per key.
     """
-    lists = ranked.groupBy(key).agg(_ordered(key, ["rank", item], [group]).alias("_all"))
+    lists = ranked.groupBy(key).agg(_ordered(key, ["rank", item], [group, *carry]).alias("_all"))
     none = F.filter("_all", lambda x: F.lit(False))
 
     def step(acc, x):
@@ -34,12 +34,12 @@ def per_group_cap(ranked: DataFrame, key: str, group: str, item: str, limit: int
         return F.when(full, acc).otherwise(F.concat(acc, F.array(x)))
 
     chosen = lists.select(key, F.posexplode(F.aggregate("_all", none, step)).alias("p", "x"))
-    return chosen.select(key, F.col(f"x.{item}").alias(item), F.col(f"x.{group}").alias(group), (F.col("p") + 1).cast("long").alias("place"))
+    return chosen.select(key, F.col(f"x.{item}").alias(item), F.col(f"x.{group}").alias(group), *[F.col(f"x.{c}").alias(c) for c in carry], (F.col("p") + 1).cast("long").alias("place"))
 
 
-def pack_budget(ranked: DataFrame, key: str, item: str, cost: str, budget: int) -> DataFrame:
+def pack_budget(ranked: DataFrame, key: str, item: str, cost: str, budget: int, *carry: str) -> DataFrame:
     """Greedy packing in rank order; what doesn't fit is passed over and spends nothing."""
-    lists = ranked.groupBy(key).agg(_ordered(key, ["rank", item], [cost]).alias("_all"))
+    lists = ranked.groupBy(key).agg(_ordered(key, ["rank", item], [cost, *carry]).alias("_all"))
     zero = F.struct(F.lit(0).cast("long").alias("used"), F.filter("_all", lambda x: F.lit(False)).alias("out"))
 
     def step(acc, x):
@@ -47,7 +47,7 @@ def pack_budget(ranked: DataFrame, key: str, item: str, cost: str, budget: int)
         return F.when(fits, F.struct((acc["used"] + x[cost]).cast("long").alias("used"), F.concat(acc["out"], F.array(x)).alias("out"))).otherwise(acc)
 
     packed = lists.select(key, F.aggregate("_all", zero, step).alias("r"))
-    return packed.select(key, F.explode("r.out").alias("x"), F.col("r.used").alias("used")).select(key, F.col(f"x.{item}").alias(item), F.col(f"x.{cost}").alias(cost), "used")
+    return packed.select(key, F.explode("r.out").alias("x"), F.col("r.used").alias("used")).select(key, F.col(f"x.{item}").alias(item), F.col(f"x.{cost}").alias(cost), *[F.col(f"x.{c}").alias(c) for c in carry], "used")
 
 
 def top_per_key(rows: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:

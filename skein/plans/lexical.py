@@ -76,9 +76,9 @@ def term_intersection(spark, sf):
     return hits.groupBy("doc_id").agg(F.count("*").alias("n")).where("n = 3").select("doc_id")
 
 
-@query("""SELECT p_partkey, p_name FROM part WHERE contains(lower(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g')), 'part1')""")
+@query("""SELECT p_partkey, p_name FROM part WHERE contains(lower(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g')), 'steel')""")
 def trigram_candidates(spark, sf):
-    return lexical.trigram_search(load(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey", "p_name", "Part-1")
+    return lexical.trigram_search(load(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey", "p_name", "Steel")
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
@@ -183,9 +183,9 @@ def search(spark, sf):
     passage = load(spark, sf, "benchmark").orderBy("item_id").first()["text"]
     hits = lexical.cascade(d, lexical.query_terms(passage), 60)
     ranked = hits.join(d.select("doc_id", "source", T.estimated_tokens(F.col("text")).cast("long").alias("cost")), "doc_id").withColumn("query_id", F.lit(0))
-    capped = ranking.per_group_cap(ranked, "query_id", "source", "doc_id", 20).join(ranked.select("doc_id", "cost", "score"), "doc_id")
-    packed = ranking.pack_budget(capped.withColumnRenamed("place", "rank"), "query_id", "doc_id", "cost", 8000)
-    return packed.join(capped.select("doc_id", "source", "place", "score"), "doc_id").orderBy("place")
+    capped = ranking.per_group_cap(ranked, "query_id", "source", "doc_id", 20, "cost", "score").withColumnRenamed("place", "rank")
+    packed = ranking.pack_budget(capped, "query_id", "doc_id", "cost", 8000, "source", "rank", "score")
+    return packed.orderBy("rank")
 
 
 QUERIES["search"] = search
