@@ -19,7 +19,10 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scan_repository(spark: SparkSession, root: str) -> DataFrame:
-    """Files under a folder as (path, content, byte_count, mtime, language, skip_reason, content_hash, line_count)."""
+    """Files under a folder as (path, content, byte_count, mtime, language, skip_reason, content_hash, line_count).
+
+    Spark's file sources pass over names that begin with a dot or an underscore.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = F.regexp_replace(F.lit(root.rstrip("/") + "/"), r"^[a-z]+:/+", "/")
     path = F.replace(F.regexp_replace("path", r"^[a-z]+:/+", "/"), base, F.lit(""))
