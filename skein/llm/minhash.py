@@ -7,8 +7,8 @@
 3. Buckets (band, minima) of two or more classes give candidate pairs. Pairs are
    never enumerated within a bucket: each member meets the bucket's hub. Round after
    round, with other hubs, only members of components other than the hub's meet it.
-   Buckets that still hold several components are compared exactly, block by block
-   of bounded size, and across components only.
+   Buckets that still hold several components are compared block by block of bounded
+   size, across components only; each two blocks give one link for each two components.
 4. Candidates whose minima agree too seldom (five standard deviations below the
    threshold) go. The rest is confirmed on full sets: 100 * both >= percent * either.
 5. Components come from alternating large-star and small-star.
@@ -92,12 +92,14 @@ def _signed(gram: int, bands: int, rows: int):
     return run
 
 
-def _sets(gram: int):
+def _sets(gram: int, packed: bool = False):
     def run(batches):
         for batch in batches:
             for row, n, data, bounds in text_buffers(batch.column("text")):
                 grams, at = shingle_sets(data, bounds, gram)
                 sets = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(grams.view(np.int64)))
+                if packed:
+                    sets = pa.array([grams[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("node").slice(row, n), sets], ["node", "shingles"])
 
     return run
@@ -155,21 +157,59 @@ def _agree(pairs, hashes: int, least: float):
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _across(hashes: int, least: float):
-    """Pairs of different components in one pair of blocks whose minima agree often enough."""
-    import pandas as pd
+def _sides(frame):
+    left, right = frame[frame.side == 0], frame[frame.side == 1]
+    return (left, left) if frame.low.iloc[0] == frame.high.iloc[0] else (left, right)
+
+
+def _hopeful(hashes: int, least: float):
+    """Rows of one pair of blocks whose minima agree often enough with those of a row of another component."""
 
     def run(frame):
-        left, right = frame[frame.side == 0], frame[frame.side == 1]
-        if frame.low.iloc[0] == frame.high.iloc[0]:
-            right = left
+        left, right = _sides(frame)
         x, y = (np.frombuffer(b"".join(f.minima), "<u2").reshape(-1, hashes) for f in (left, right))
-        found = []
-        for i, (node, label) in enumerate(zip(left.node, left.label)):
-            near = (x[i] == y).mean(1) >= least
-            near &= right.label.to_numpy() != label
-            found += [(min(node, o), max(node, o)) for o in right.node.to_numpy()[near]]
-        return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
+        ours, theirs = left.label.to_numpy(), right.label.to_numpy()
+        good = np.zeros(len(left), bool)
+        other = np.zeros(len(right), bool)
+        for i in range(len(left)):
+            near = ((x[i] == y).mean(1) >= least) & (theirs != ours[i])
+            good[i] = near.any()
+            other |= near
+        kept = set(left.node[good]) | set(right.node[other])
+        return frame[frame.node.isin(kept)].drop(columns="minima")
+
+    return run
+
+
+def _linking(percent: int):
+    """Similar pairs across components in one pair of blocks, by full sets: one link for each two components."""
+    import pandas as pd
+
+    def run(frame):
+        left, right = _sides(frame)
+        sets = [np.frombuffer(x, np.int64) for f in (left, right) for x in f.shingles]
+        of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        values, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = count > 1
+        at = np.cumsum(shared) - 1
+        keep = shared[code]
+        code, of = at[code[keep]], of[keep]
+        both = np.zeros((len(left), len(right)), np.float32)
+        order = np.argsort(code, kind="stable")
+        code, of = code[order], of[order]
+        for low in range(0, int(shared.sum()), 8192):
+            i, j = np.searchsorted(code, (low, low + 8192))
+            dense = np.zeros((len(sets), 8192), np.float32)
+            dense[of[i:j], code[i:j] - low] = 1
+            both += dense[: len(left)] @ dense[len(left) :].T
+        size = np.array([len(x) for x in sets])
+        either = size[: len(left), None] + size[None, len(left) :] - both
+        a, b = left.label.to_numpy(), right.label.to_numpy()
+        found = np.argwhere((100 * both >= percent * either) & (a[:, None] != b[None, :]))
+        links = {}
+        for i, j in found:
+            links.setdefault((min(a[i], b[j]), max(a[i], b[j])), (left.node.iloc[i], right.node.iloc[j]))
+        return pd.DataFrame(list(links.values()), columns=["a", "b"], dtype="int64")
 
     return run
 
@@ -242,14 +282,21 @@ def near_duplicates(
                 own = rest.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
                 own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
                 own = own.select("key", "node", "label", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-                pairs = own.join(minima, "node").groupBy("key", "low", "high").applyInPandas(_across(hashes, least), "a long, b long").distinct()
-        pairs = space.table(pairs, f"pairs-{i}")
-        if pairs.isEmpty():
-            if i == 0:
-                break
-            continue
-        linked = confirm(pairs, i)
+                kept = "key long, node long, label long, low int, high int, side int"
+                own = own.join(minima, "node").groupBy("key", "low", "high").applyInPandas(_hopeful(hashes, least), kept)
+                own = space.table(own, "hopeful")
+                if own.isEmpty():
+                    continue
+                sets = texts.withColumnRenamed("doc_id", "node").join(own.select("node").distinct(), "node")
+                sets = space.table(sets.mapInArrow(_sets(gram, True), "node long, shingles binary").dropDuplicates(["node"]), "hopeful-sets")
+                linked = own.join(sets, "node").groupBy("key", "low", "high").applyInPandas(_linking(percent), "a long, b long").distinct()
+                linked = space.table(linked, "linked-last")
+        if i < rounds:
+            pairs = space.table(pairs, f"pairs-{i}")
+            linked = None if pairs.isEmpty() else confirm(pairs, i)
         space.release()
+        if linked is None:
+            continue
         if linked.isEmpty():
             continue
         labels = components(space, linked if labels is None else labels.unionByName(linked), f"round-{i}")
