@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, Workspace, gram_hashes, mix, span_hashes, text_buffers, word_hashes
 
-GRAM, PERCENT, BANDS, ROWS, BLOCK, ROUNDS = 4, 80, 32, 5, 256, 2
+GRAM, PERCENT, BANDS, ROWS, BLOCK, ROUNDS = 4, 80, 32, 5, 1024, 2
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
