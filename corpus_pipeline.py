@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import decontamination, minhash, packing, quality, secrets
-from skein.llm.common import Workspace, load
+from skein.llm.common import Workspace, load, ship
 from skein.llm.queries import vocabulary
 
 _spaces: list[Workspace] = []
@@ -19,6 +19,7 @@ _spaces: list[Workspace] = []
 
 def _space(spark: SparkSession, label: str) -> Workspace:
     """A stage's workspace; that of the stage before, whose rows are written by now, is deleted."""
+    ship(spark)
     while _spaces:
         old = _spaces.pop()
         if old.spark is spark:

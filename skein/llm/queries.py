@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, chat_format, decontamination, language_id, minhash, packing, quality, secrets, substring_dedup, token_counts
-from .common import load
+from .common import load, ship
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -71,8 +73,17 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_chat_formatting, op4_quality, op5_packing, op6_nearest, op7_secrets, op8_minhash, op9_token_counts, op10_language_id, pipeline)}
 
 
+def _sent(query):
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict:
-    return dict(QUERIES)
+    return {name: _sent(query) for name, query in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
