@@ -157,59 +157,125 @@ def _agree(pairs, hashes: int, least: float):
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _sides(frame):
-    left, right = frame[frame.side == 0], frame[frame.side == 1]
-    return (left, left) if frame.low.iloc[0] == frame.high.iloc[0] else (left, right)
+def _array(column) -> np.ndarray:
+    """A column as an array: lists of one length as rows, binary values as objects."""
+    if pa.types.is_list(column.type):
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    if pa.types.is_binary(column.type):
+        out = np.empty(len(column), object)
+        out[:] = column.to_pylist()
+        return out
+    return column.to_numpy(zero_copy_only=False)
+
+
+def _groups(batches):
+    """The groups (key, low, high) of sorted rows, as arrays by column; at most one batch and one group are held."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = {c: _array(batch.column(c)) for c in batch.schema.names}
+        if held is not None:
+            rows = {c: np.concatenate([held[c], v]) for c, v in rows.items()}
+        new = np.zeros(len(rows["key"]) - 1, bool)
+        for c in ("key", "low", "high"):
+            new |= rows[c][1:] != rows[c][:-1]
+        at = [0, *(np.flatnonzero(new) + 1)]
+        for i, j in zip(at, at[1:]):
+            yield {c: v[i:j] for c, v in rows.items()}
+        held = {c: v[at[-1] :].copy() for c, v in rows.items()}
+    if held is not None:
+        yield held
+
+
+def _in_groups(rows: DataFrame, run, schema: str) -> DataFrame:
+    """Applies ``run`` to the groups (key, low, high); it gives a tuple of columns, or None."""
+    kinds = {"long": pa.int64(), "int": pa.int32()}
+    fields = [x.split() for x in schema.split(", ")]
+
+    def send(held):
+        columns = [np.concatenate(x) for x in zip(*held)]
+        return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], [name for name, _ in fields])
+
+    def body(batches):
+        held, size = [], 0
+        for group in _groups(batches):
+            if len(group["key"]) > 1 and (out := run(group)) is not None:
+                held.append(out)
+                size += len(out[0])
+                if size >= 4096:
+                    yield send(held)
+                    held, size = [], 0
+        if held:
+            yield send(held)
+
+    return rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(body, schema)
+
+
+def _sides(group) -> tuple[np.ndarray, np.ndarray]:
+    left, right = (np.flatnonzero(group["side"] == side) for side in (0, 1))
+    return (left, left) if group["low"][0] == group["high"][0] else (left, right)
 
 
 def _hopeful(hashes: int, least: float):
-    """Rows of one pair of blocks whose minima agree often enough with those of a row of another component."""
-
-    def run(frame):
-        left, right = _sides(frame)
-        x, y = (np.frombuffer(b"".join(f.minima), "<u2").reshape(-1, hashes) for f in (left, right))
-        ours, theirs = left.label.to_numpy(), right.label.to_numpy()
-        good = np.zeros(len(left), bool)
-        other = np.zeros(len(right), bool)
-        for i in range(len(left)):
-            near = ((x[i] == y).mean(1) >= least) & (theirs != ours[i])
-            good[i] = near.any()
-            other |= near
-        kept = set(left.node[good]) | set(right.node[other])
-        return frame[frame.node.isin(kept)].drop(columns="minima")
+    """Rows of one pair of blocks that may be similar to a row of another component, by their minima.
+
+    Two rows meet in many buckets; only the first band they share counts.
+    """
+
+    def run(group):
+        left, right = _sides(group)
+        if not len(left) or not len(right):
+            return None
+        minima = np.frombuffer(b"".join(group["minima"]), "<u2").reshape(-1, hashes)
+        y, theirs, keys, key = minima[right], group["label"][right], group["keys"][right], group["key"][0]
+        good = np.zeros(len(minima), bool)
+        for i in left:
+            shared = group["keys"][i] == keys
+            near = (theirs != group["label"][i]) & (group["keys"][i][shared.argmax(1)] == key)
+            near[near] = (minima[i] == y[near]).mean(1) >= least
+            good[i] |= near.any()
+            good[right[near]] = True
+        return tuple(group[c][good] for c in ("key", "node", "label", "low", "high", "side")) if good.any() else None
 
     return run
 
 
-def _linking(percent: int):
-    """Similar pairs across components in one pair of blocks, by full sets: one link for each two components."""
-    import pandas as pd
+def _linking(percent: int, most: int = 1 << 21):
+    """Similar pairs across components in one pair of blocks, by full sets: one link for each two components.
+
+    Shingles are compared in parts of about ``most`` values.
+    """
 
-    def run(frame):
-        left, right = _sides(frame)
-        sets = [np.frombuffer(x, np.int64) for f in (left, right) for x in f.shingles]
+    def shared(sets, n, both):
         of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-        values, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        shared = count > 1
-        at = np.cumsum(shared) - 1
-        keep = shared[code]
+        _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        at, keep = np.cumsum(count > 1) - 1, count[code] > 1
         code, of = at[code[keep]], of[keep]
-        both = np.zeros((len(left), len(right)), np.float32)
         order = np.argsort(code, kind="stable")
         code, of = code[order], of[order]
-        for low in range(0, int(shared.sum()), 8192):
-            i, j = np.searchsorted(code, (low, low + 8192))
-            dense = np.zeros((len(sets), 8192), np.float32)
+        for low in range(0, int((count > 1).sum()), 2048):
+            i, j = np.searchsorted(code, (low, low + 2048))
+            dense = np.zeros((len(sets), 2048), np.float32)
             dense[of[i:j], code[i:j] - low] = 1
-            both += dense[: len(left)] @ dense[len(left) :].T
+            both += dense[:n] @ dense[n:].T
+
+    def run(group):
+        left, right = _sides(group)
+        if not len(left) or not len(right):
+            return None
+        sets = [np.frombuffer(group["shingles"][i], np.uint64) for i in (*left, *right)]
         size = np.array([len(x) for x in sets])
+        both = np.zeros((len(left), len(right)), np.float32)
+        parts = int(size.sum()) // most + 1
+        for part in range(parts):
+            shared(sets if parts == 1 else [x[x % U64(parts) == U64(part)] for x in sets], len(left), both)
         either = size[: len(left), None] + size[None, len(left) :] - both
-        a, b = left.label.to_numpy(), right.label.to_numpy()
-        found = np.argwhere((100 * both >= percent * either) & (a[:, None] != b[None, :]))
+        a, b = group["label"][left], group["label"][right]
         links = {}
-        for i, j in found:
-            links.setdefault((min(a[i], b[j]), max(a[i], b[j])), (left.node.iloc[i], right.node.iloc[j]))
-        return pd.DataFrame(list(links.values()), columns=["a", "b"], dtype="int64")
+        for i, j in np.argwhere((100 * both >= percent * either) & (a[:, None] != b[None, :])):
+            links.setdefault((min(a[i], b[j]), max(a[i], b[j])), (group["node"][left[i]], group["node"][right[j]]))
+        return tuple(np.array(x, np.int64) for x in zip(*links.values())) if links else None
 
     return run
 
@@ -283,13 +349,13 @@ def near_duplicates(
                 own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
                 own = own.select("key", "node", "label", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"))
                 kept = "key long, node long, label long, low int, high int, side int"
-                own = own.join(minima, "node").groupBy("key", "low", "high").applyInPandas(_hopeful(hashes, least), kept)
+                own = _in_groups(own.join(heads, "node"), _hopeful(hashes, least), kept)
                 own = space.table(own, "hopeful")
                 if own.isEmpty():
                     continue
                 sets = texts.withColumnRenamed("doc_id", "node").join(own.select("node").distinct(), "node")
                 sets = space.table(sets.mapInArrow(_sets(gram, True), "node long, shingles binary").dropDuplicates(["node"]), "hopeful-sets")
-                linked = own.join(sets, "node").groupBy("key", "low", "high").applyInPandas(_linking(percent), "a long, b long").distinct()
+                linked = _in_groups(own.join(sets, "node"), _linking(percent), "a long, b long").distinct()
                 linked = space.table(linked, "linked-last")
         if i < rounds:
             pairs = space.table(pairs, f"pairs-{i}")
