@@ -178,7 +178,7 @@ def span_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers:
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))
 
 
-def text_buffers(column, most: int = 4 << 20):
+def text_buffers(column, most: int = 1 << 20):
     """Slices of a string column: (first row, row count, bytes, bounds), about ``most`` bytes each."""
     import pyarrow as pa
 
