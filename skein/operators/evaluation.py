@@ -87,3 +87,27 @@ def adjudication_queue(results: DataFrame, judged: DataFrame, depth: int = 20) -
     """(case_id, item, systems): pooled results that nobody has judged."""
     pool = results.where(F.col("rank") <= depth).groupBy("case_id", "item").agg(F.countDistinct("system").alias("systems"))
     return pool.join(judged.select("case_id", "item"), ["case_id", "item"], "left_anti")
+
+
+def paired_effect(pairs: DataFrame, key: str) -> DataFrame:
+    """(key, n, delta, effect) from (key, base, candidate): mean difference, and that over its deviation.
+
+    Without at least two pairs, or without any deviation, the effect is null.
+    """
+    d = F.col("candidate") - F.col("base")
+    rows = pairs.groupBy(key).agg(F.count(d).alias("n"), F.avg(d).alias("delta"), F.stddev_samp(d).alias("s"))
+    return rows.select(key, "n", F.round("delta", 9).alias("delta"), F.round(F.when(F.col("s") > 1e-12, F.col("delta") / F.col("s")), 9).alias("effect"))
+
+
+def guardrails(base: DataFrame, candidate: DataFrame, lower_is_better: list[str], tolerance: float) -> DataFrame:
+    """(metric, base, candidate, passed): no metric may get worse by more than ``tolerance``; a missing one fails."""
+    both = base.withColumnRenamed("value", "base").join(candidate.withColumnRenamed("value", "candidate"), "metric", "left")
+    loss = F.when(F.col("metric").isin(*lower_is_better), F.col("candidate") - F.col("base")).otherwise(F.col("base") - F.col("candidate"))
+    return both.select("metric", "base", "candidate", F.coalesce(loss <= tolerance, F.lit(False)).alias("passed"))
+
+
+def marginal_utility(results: DataFrame, gold: DataFrame) -> DataFrame:
+    """(route, found, only): gold items a route finds, and those that no other route finds."""
+    hits = results.select("case_id", "item", "route").distinct().join(gold.select("case_id", "item").distinct(), ["case_id", "item"])
+    alone = hits.groupBy("case_id", "item").agg(F.count("*").alias("n"), F.collect_set("route").alias("routes"))
+    return alone.select("n", F.explode("routes").alias("route")).groupBy("route").agg(F.count("*").alias("found"), F.count_if(F.col("n") == 1).alias("only"))

@@ -114,3 +114,36 @@ def adjudication(spark, sf):
     place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
     run = o.select(F.col("o_custkey").alias("case_id"), (F.col("o_orderkey") % 40).alias("item"), F.col("o_orderstatus").alias("system"), place.alias("rank"))
     return E.adjudication_queue(run, run.where("item % 2 = 0"))
+
+
+@query("""WITH p AS (SELECT event_type, user_id, avg(value) FILTER (ts < TIMESTAMP '2024-01-15') AS a, avg(value) FILTER (ts >= TIMESTAMP '2024-01-15') AS b FROM events GROUP BY 1, 2)
+ SELECT event_type, CAST(count(b - a) AS BIGINT) AS n, round(avg(b - a), 9) AS delta, round(avg(b - a) / stddev_samp(b - a), 9) AS effect FROM p GROUP BY event_type""")
+def paired_effect(spark, sf):
+    half = F.col("ts") < F.lit("2024-01-15").cast("timestamp")
+    mean = lambda test: F.avg(F.when(test, F.col("value")))
+    return E.paired_effect(load(spark, sf, "events").groupBy("event_type", "user_id").agg(mean(half).alias("base"), mean(~half).alias("candidate")), "event_type")
+
+
+@query("""WITH v AS (SELECT l_orderkey % 2 = 1 AS late, avg(l_discount) AS discount, avg(l_tax) AS tax, avg(l_quantity) AS quantity FROM lineitem GROUP BY 1),
+ u AS (SELECT late, 'discount' AS metric, discount AS value FROM v UNION ALL SELECT late, 'tax', tax FROM v UNION ALL SELECT late, 'quantity', quantity FROM v)
+ SELECT a.metric, round(a.value, 9) AS base, round(b.value, 9) AS candidate, CASE WHEN a.metric = 'tax' THEN round(b.value, 9) - round(a.value, 9) ELSE round(a.value, 9) - round(b.value, 9) END <= 0.0001 AS passed
+ FROM u a JOIN u b ON a.metric = b.metric AND NOT a.late AND b.late""")
+def guardrails(spark, sf):
+    names = ("discount", "tax", "quantity")
+    rows = load(spark, sf, "lineitem").groupBy((F.col("l_orderkey") % 2 == 1).alias("late")).agg(*[F.round(F.avg(f"l_{n}"), 9).alias(n) for n in names])
+    rows = rows.unpivot(["late"], list(names), "metric", "value")
+    return E.guardrails(rows.where("NOT late").drop("late"), rows.where("late").drop("late"), ["tax"], 0.0001)
+
+
+@query(f"""WITH {_RUN}, r AS (SELECT DISTINCT case_id, item, 'by_price' AS route FROM run WHERE rank <= 5
+ UNION SELECT case_id, item, 'by_date' FROM (SELECT o_custkey AS case_id, o_orderkey % 40 AS item, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 5),
+ h AS (SELECT case_id, item, route, count(*) OVER (PARTITION BY case_id, item) AS n FROM r JOIN gold USING (case_id, item))
+ SELECT route, CAST(count(*) AS BIGINT) AS found, CAST(count(*) FILTER (n = 1) AS BIGINT) AS only FROM h GROUP BY route""")
+def marginal_utility(spark, sf):
+    from pyspark.sql import Window
+
+    run, gold = _run(spark, sf)
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), "o_orderkey"))
+    late = load(spark, sf, "orders").select(F.col("o_custkey").alias("case_id"), (F.col("o_orderkey") % 40).alias("item"), place.alias("rank"))
+    top = lambda rows, route: rows.where("rank <= 5").select("case_id", "item", F.lit(route).alias("route"))
+    return E.marginal_utility(top(run, "by_price").unionByName(top(late, "by_date")), gold)

@@ -54,3 +54,14 @@ def test_rerank_keeps_places(spark):
     rows = spark.createDataFrame([(0, 1, True, 1.0, 1), (0, 2, False, 9.0, 2), (0, 3, True, 5.0, 3), (0, 4, True, 7.0, 4)], "q long, item long, topical boolean, score double, rank long")
     got = {r.rank: r.item for r in history.rerank_in_place(rows, "q", "item", "topical", "score", 2).collect()}
     assert got == {1: 3, 2: 2, 3: 1, 4: 4}
+
+
+def test_paired_effect_and_guardrails(spark):
+    from skein.operators import evaluation
+
+    pairs = spark.createDataFrame([("m", 1.0, 2.0), ("m", 1.0, 4.0), ("one", 1.0, 2.0), ("gap", None, 2.0)], "k string, base double, candidate double")
+    got = {r.k: (r.n, r.delta, r.effect) for r in evaluation.paired_effect(pairs, "k").collect()}
+    assert got == {"m": (2, 2.0, 1.414213562), "one": (1, 1.0, None), "gap": (0, None, None)}
+    base = spark.createDataFrame([("recall", 0.5), ("fpr", 0.1), ("gone", 1.0)], "metric string, value double")
+    new = spark.createDataFrame([("recall", 0.45), ("fpr", 0.2)], "metric string, value double")
+    assert {r.metric: r.passed for r in evaluation.guardrails(base, new, ["fpr"], 0.06).collect()} == {"recall": True, "fpr": False, "gone": False}
