@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, text_buffers
 
-SAMPLE, BINS, TEMPER, LEAN, TOP, FOLDS = 4096, 1 << 14, 0.05, 5.0, 60.0, 5
+SAMPLE, BINS, TEMPER, LEAN, TOP, FOLDS, SALT = 4096, 1 << 14, 0.05, 5.0, 60.0, 5, 16
 _SKIP = re.compile(r"(?is)<(script|style|nav|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<div class=\"ad\">.*?</div>")
 _BODY = re.compile(r"(?is)<(article|main)\b[^>]*>(.*)</\1\s*>")
 _TAG = re.compile(r"(?s)<[^>]*>")
@@ -165,7 +165,10 @@ def identify(spark: SparkSession, evidence: DataFrame, model: TextModel, temper=
         sums = [x or 0.0 for x in (_shares(n.withColumn("soft", F.col("n")), [], languages).first()["n"] or [0.0] * k)]
         return n.select(column, F.array(*[(F.col("n")[i] + 1.0) / (F.lit(sums[i]) + kinds + 1.0) for i in range(k)]).alias(name))
 
-    rows = rows.join(hosts, ["domain", "host"], "left").join(likely("markup", "m"), "markup", "left").join(likely("suffix", "s"), "suffix", "left")
+    # one host may hold a third of all rows: its rows are spread by salt, the small priors repeated
+    hosts = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "doc_id"), F.lit(SALT)).cast("long"))
+    rows = rows.join(hosts, ["domain", "host", "salt"], "left").join(likely("markup", "m"), "markup", "left").join(likely("suffix", "s"), "suffix", "left")
     score = F.zip_with("logs", F.coalesce("prior", prior), lambda a, p: a + F.log(p))
     for name in ("m", "s"):
         score = F.when(F.col(name).isNull(), score).otherwise(F.zip_with(score, F.col(name), lambda a, p: a + F.log(p)))
