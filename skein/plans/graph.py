@@ -19,9 +19,9 @@ _EDGES = """e AS (SELECT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst, 'cal
 def edges(spark, sf):
     """(src, dst, kind, confidence) of a typed graph over the order tables."""
     node = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    l = load(spark, sf, "lineitem").where("l_orderkey < 3000").groupBy("l_orderkey", "l_partkey").agg(F.round(1 - F.max("l_discount") * 5, 6).alias("confidence"))
+    l = load(spark, sf, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.round(1 - F.max("l_discount") * 5, 6).alias("confidence"))
     calls = l.select(node("o", "l_orderkey").alias("src"), node("p", "l_partkey").alias("dst"), F.lit("calls").alias("kind"), "confidence")
-    refs = load(spark, sf, "orders").where("o_orderkey < 3000").select(node("c", "o_custkey").alias("src"), node("o", "o_orderkey").alias("dst"), F.lit("references").alias("kind"), F.lit(0.8).alias("confidence"))
+    refs = load(spark, sf, "orders").select(node("c", "o_custkey").alias("src"), node("o", "o_orderkey").alias("dst"), F.lit("references").alias("kind"), F.lit(0.8).alias("confidence"))
     holds = load(spark, sf, "customer").select(node("n", "c_nationkey").alias("src"), node("c", "c_custkey").alias("dst"), F.lit("contains").alias("kind"), F.lit(1.0).alias("confidence"))
     return calls.unionByName(refs).unionByName(holds)
 
