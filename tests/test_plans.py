@@ -2,7 +2,8 @@ from collections import Counter
 
 import pytest
 
-from skein.plans import graph
+from skein.operators import evaluation as E
+from skein.plans import evaluation, graph
 
 
 @pytest.fixture
@@ -26,3 +27,14 @@ def test_graph_holds_all_orders(spark, tables):
     assert {r.node: r.degree for r in graph.degree(spark, sf).collect()} == Counter(x for e in expected for x in e)
     assert {r.src for r in graph.references(spark, sf).collect()} == {f"o{k}" for k, _ in orders}
     assert {r.node for r in graph.impact(spark, sf).collect()} == {f"o{k}" for k, _ in orders} | {f"c{c}" for _, c in orders}
+
+
+def test_resampling_reads_all_events(spark, tables):
+    events = [(i, "m", 100.0 if i >= 2000 else 20.0) for i in (*range(15), *range(2000, 2015))]
+    sf = tables(events=(events, "event_id long, event_type string, value double"))
+    low, high = evaluation.bootstrap_ci(spark, sf).first()[1:]
+    assert 20 < low < 60 < high < 100
+    row = evaluation.permutation_test(spark, sf).first()
+    assert row.delta == 10 and abs(row.p * 2001 - round(row.p * 2001)) < 1e-9
+    rows = spark.createDataFrame([(i, "m", v) for i, _, v in events], "id long, event_type string, value double")
+    assert [low, high] == list(E.bootstrap(rows, "event_type", "value", 2000).first()[1:])
