@@ -101,15 +101,19 @@ _DOT = "round(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda
 _DENSE = f"SELECT q.vec_id AS query_id, e.vec_id AS vec_id, {_DOT} AS score FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id < 5"
 
 
-def _dense(spark, sf):
-    e = load(spark, sf, "embeddings").select("vec_id", "embedding")
-    q = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))  # five queries
-    return e.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(vectors.dot(F.col("q"), F.col("embedding")), 6).alias("score"))
+#: Fixed value: the vectors whose id it divides are the queries of vector searches.
+EVERY = 50
+
+
+def _dense(spark, sf, k):
+    """(query_id, vec_id, score) with all of the best ``k`` of each query."""
+    found = vectors.best_in_blocks(load(spark, sf, "embeddings"), EVERY, k)
+    return found.withColumn("score", F.round("score", 6))
 
 
 @query(f"SELECT query_id, vec_id, score, CAST(place AS BIGINT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM ({_DENSE})) WHERE place <= 10")
 def dense_topk(spark, sf):
-    return ranking.top_per_key(_dense(spark, sf), "query_id", [F.desc("score"), F.col("vec_id")], 10)
+    return ranking.top_per_key(_dense(spark, sf, 10), "query_id", [F.desc("score"), F.col("vec_id")], 10)
 
 
 @query(f"""WITH a AS (SELECT query_id, vec_id AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM ({_DENSE})),
@@ -118,8 +122,8 @@ def dense_topk(spark, sf):
  f AS (SELECT query_id, doc_id, round(sum(s), 9) AS score FROM u GROUP BY 1, 2)
  SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS BIGINT) AS rank FROM f""")
 def rrf_fusion(spark, sf):
-    dense = _dense(spark, sf)
-    near = dense.withColumn("score", -F.abs(F.col("vec_id") - F.col("query_id")))
+    dense = _dense(spark, sf, 30)
+    near = vectors.best_in_blocks(load(spark, sf, "embeddings"), EVERY, 30, near=True)
     routes = None
     for name, weight, rows in (("dense", 1.0, dense), ("near", 2.0, near)):
         top = ranking.top_per_key(rows, "query_id", [F.desc("score"), F.col("vec_id")], 30)

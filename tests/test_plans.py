@@ -3,7 +3,7 @@ from collections import Counter
 import pytest
 
 from skein.operators import evaluation as E
-from skein.plans import evaluation, graph
+from skein.plans import evaluation, graph, lexical
 
 
 @pytest.fixture
@@ -38,3 +38,19 @@ def test_resampling_reads_all_events(spark, tables):
     assert row.delta == 10 and abs(row.p * 2001 - round(row.p * 2001)) < 1e-9
     rows = spark.createDataFrame([(i, "m", v) for i, _, v in events], "id long, event_type string, value double")
     assert [low, high] == list(E.bootstrap(rows, "event_type", "value", 2000).first()[1:])
+
+
+def test_vector_searches_ask_every_fiftieth(spark, tables):
+    rows = [(i, [float((i * 7) % 11), float((i * 5) % 13) / 8]) for i in range(640)]
+    rows += [(700, None), (701, [None, 1.0]), (702, [1.0])]
+    sf = tables(embeddings=(rows, "vec_id long, embedding array<double>"))
+    asked, whole = [i for i, _ in rows if i % 50 == 0], [(i, v) for i, v in rows if i < 700]
+    dense = {(q, i): round(sum(x * y for x, y in zip(rows[q][1], v)), 6) for q in asked if q < 700 for i, v in whole if i != q}
+    got = {(r.query_id, r.place): (r.vec_id, r.score) for r in lexical.dense_topk(spark, sf).collect()}
+    assert {q for q, _ in got} == set(asked)
+    for q in asked[:-1]:
+        best = sorted((i for a, i in dense if a == q), key=lambda i: (-dense[q, i], i))[:10]
+        assert [got[q, p] for p in range(1, 11)] == [(i, dense[q, i]) for i in best]
+    fused = lexical.rrf_fusion(spark, sf).collect()
+    assert {r.query_id for r in fused} == set(asked)
+    assert {r.doc_id for r in fused if r.query_id == 300} >= {i for i in range(285, 316) if i != 300}
