@@ -48,10 +48,10 @@ def mrr_ndcg(spark, sf):
 def bpref(spark, sf):
     from pyspark.sql import Window
 
-    o = load(spark, sf, "orders").where("o_orderkey % 5 <> 0")
+    o = load(spark, sf, "orders")
     place = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
     run = o.select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("item"), place.alias("rank"))
-    return E.bpref(run, o.select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("item"), (F.col("o_orderkey") % 3 == 0).alias("relevant")))
+    return E.bpref(run, o.where("o_orderkey % 5 <> 0").select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("item"), (F.col("o_orderkey") % 3 == 0).alias("relevant")))
 
 
 @query("""WITH r AS (SELECT o_custkey AS case_id, o_orderpriority AS path, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rank FROM orders),

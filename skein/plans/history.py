@@ -80,7 +80,7 @@ def diff_grep(spark, sf):
 def merged_relations(spark, sf):
     o = load(spark, sf, "orders").withColumn("id", F.col("o_custkey") % 200)
     old = o.where("o_custkey % 3 = 0").select("id", F.array("o_orderpriority").alias("evidence"))
-    new = o.where("o_custkey % 3 = 1").select("id", F.array("o_orderstatus").alias("evidence"))
+    new = o.where("o_custkey % 3 <> 0").select("id", F.array("o_orderstatus").alias("evidence"))
     return history.merge_relations(old, new).select("id", F.array_join("evidence", "|").alias("evidence"))
 
 

@@ -217,5 +217,5 @@ def import_edges(spark, sf):
 @query("""SELECT doc_id, doc_id % 5 = 0 AS reused FROM documents WHERE doc_id % 2 = 0""")
 def vector_reuse(spark, sf):
     d = load(spark, sf, "documents").select("doc_id", F.sha2(F.concat_ws("/", F.col("doc_id").cast("string"), "text"), 256).alias("digest"))
-    hit, rest = snapshots.reuse(d.where("doc_id % 2 = 0"), d.where("doc_id % 5 = 0").select("digest"), ["digest"])
+    hit, rest = snapshots.reuse(d, d.where("doc_id % 5 = 0").select("digest"), ["digest"])
     return hit.select("doc_id", F.lit(True).alias("reused")).unionByName(rest.select("doc_id", F.lit(False).alias("reused")))
