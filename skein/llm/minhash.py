@@ -17,7 +17,9 @@ Results: a text without words has an empty set and is linked with nothing; it is
 its own component. A text with fewer words than a shingle is one shingle. A null
 doc_id is linked with nothing, its component is null and it is not kept. Rows that
 repeat a doc_id with the same text share a component and are all kept if it is the
-smallest. Extra columns are ignored; without rows there are none out.
+smallest. Different texts under one doc_id are linked each by itself; a component is
+named by its least doc_id, so two of them can have the same name. Extra columns are
+ignored; without rows there are none out.
 """
 
 from __future__ import annotations
@@ -80,13 +82,14 @@ def _signed(gram: int, bands: int, rows: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(row, n),
+                        batch.column("text_key").slice(row, n),
                         pa.array(sizes.astype(np.int64)),
                         pa.array(one.view(np.int64)),
                         pa.array(two.view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands, dtype=np.int32)), pa.array(keys.view(np.int64).ravel())),
                         pa.array([x.tobytes() for x in marks], pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "one", "two", "keys", "minima"],
+                    ["doc_id", "text_key", "n_shingles", "one", "two", "keys", "minima"],
                 )
 
     return run
@@ -280,7 +283,7 @@ def _linking(percent: int, most: int = 1 << 21):
     return run
 
 
-def near_duplicates(
+def _near_duplicates(
     spark: SparkSession,
     documents: DataFrame,
     gram: int = GRAM,
@@ -290,16 +293,17 @@ def near_duplicates(
     block: int = BLOCK,
     rounds: int = ROUNDS,
     space: Workspace | None = None,
-) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One row per document: doc_id, text_key, n_shingles, component_id, kept. A class's node is a number of its own."""
     space = space or Workspace(spark, "minhash")
     hashes, least = bands * rows, _close(percent, bands * rows)
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, n_shingles long, one long, two long, keys array<long>, minima binary"
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    schema = "doc_id long, text_key long, n_shingles long, one long, two long, keys array<long>, minima binary"
     signed = space.table(texts.mapInArrow(_signed(gram, bands, rows), schema), "signed")
-    classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("node"))
-    classes = space.table(classes, "classes")
-    heads = signed.join(classes.select("one", "two", "node"), ["one", "two"]).where("doc_id = node")
+    classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("one", "two", "n_shingles").agg(F.min(F.struct("doc_id", "text_key")).alias("h"))
+    classes = classes.select("one", "two", "n_shingles", F.col("h.doc_id").alias("doc_id"), F.col("h.text_key").alias("text_key"))
+    classes = space.table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    heads = signed.join(classes.select("one", "two", "n_shingles", "doc_id", "text_key", "node"), ["one", "two", "n_shingles", "doc_id", "text_key"])
     heads = space.table(heads.select("node", "keys", "minima").dropDuplicates(["node"]), "heads")
     members = heads.select("node", F.explode("keys").alias("key"))
     full = members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1")
@@ -307,6 +311,10 @@ def near_duplicates(
     space.release()
     minima = heads.select("node", "minima")
 
+    def text_of(nodes):
+        """(node, text) of classes; a repeated row gives a text twice."""
+        return texts.join(classes.select("node", "doc_id", "text_key").join(nodes, "node"), ["doc_id", "text_key"]).select("node", "text")
+
     def labelled(labels):
         if labels is None:
             return members.withColumn("label", F.col("node"))
@@ -316,7 +324,7 @@ def near_duplicates(
     def confirm(pairs, step):
         """Keeps the candidate pairs that are similar enough on full sets."""
         used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        sets = texts.withColumnRenamed("doc_id", "node").join(used, "node").mapInArrow(_sets(gram), "node long, shingles array<long>")
+        sets = text_of(used).mapInArrow(_sets(gram), "node long, shingles array<long>")
         sets = space.table(sets.dropDuplicates(["node"]), f"sets-{step}")
         x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
         y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
@@ -353,7 +361,7 @@ def near_duplicates(
                 own = space.table(own, "hopeful")
                 if own.isEmpty():
                     continue
-                sets = texts.withColumnRenamed("doc_id", "node").join(own.select("node").distinct(), "node")
+                sets = text_of(own.select("node").distinct())
                 sets = space.table(sets.mapInArrow(_sets(gram, True), "node long, shingles binary").dropDuplicates(["node"]), "hopeful-sets")
                 linked = _in_groups(own.join(sets, "node"), _linking(percent), "a long, b long").distinct()
                 linked = space.table(linked, "linked-last")
@@ -367,21 +375,43 @@ def near_duplicates(
             continue
         labels = components(space, linked if labels is None else labels.unionByName(linked), f"round-{i}")
         space.release()
-    named = classes
+    named = classes.withColumn("component_id", F.col("doc_id"))
     if labels is not None:
-        found = labels.select(F.col("a").alias("node"), F.col("b").alias("component_id"))
-        named = classes.join(found, "node", "left")
-    else:
-        named = classes.withColumn("component_id", F.lit(None).cast("long"))
-    named = named.select("one", "two", F.coalesce("component_id", "node").alias("component_id"))
-    out = signed.where("n_shingles > 0").select("doc_id", "n_shingles", "one", "two").join(named, ["one", "two"], "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
-    out = out.unionByName(signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+        found = classes.join(labels.select(F.col("a").alias("node"), F.col("b").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        named = found.join(found.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label")
+    named = named.select("one", "two", "n_shingles", "component_id")
+    out = signed.where("n_shingles > 0").select("doc_id", "text_key", "n_shingles", "one", "two").join(named, ["one", "two", "n_shingles"], "left")
+    out = out.select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    out = out.unionByName(signed.where("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id")))
+    out = out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return out, signed, classes
+
+
+def near_duplicates(
+    spark: SparkSession,
+    documents: DataFrame,
+    gram: int = GRAM,
+    percent: int = PERCENT,
+    bands: int = BANDS,
+    rows: int = ROWS,
+    block: int = BLOCK,
+    rounds: int = ROUNDS,
+    space: Workspace | None = None,
+) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept."""
+    return _near_duplicates(spark, documents, gram, percent, bands, rows, block, rounds, space)[0].drop("text_key")
 
 
 def without_near_duplicates(spark: SparkSession, documents: DataFrame, gram: int = 5, space: Workspace | None = None) -> DataFrame:
-    """The rows of ``documents`` that are kept: one doc_id of each component, and rows without an id."""
-    found = near_duplicates(spark, documents, gram=gram, space=space)
-    gone = found.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, documents["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    """The rows of ``documents`` that are kept: one doc_id of each component, and of rows without an id one of each class that no id has.
+
+    Rows without an id and without words are all kept.
+    """
+    found, signed, classes = _near_duplicates(spark, documents, gram=gram, space=space)
+    gone = found.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_key")).distinct()
+    named = documents.where("doc_id IS NOT NULL").join(gone, (documents["doc_id"].cast("long") == F.col("_gone")) & (F.xxhash64(documents["text"]) == F.col("_key")), "left_anti")
+    nameless = signed.where("doc_id IS NULL AND n_shingles > 0").select("one", "two", "n_shingles", F.col("text_key").alias("_key"))
+    new = nameless.join(classes, ["one", "two", "n_shingles"], "left_anti").groupBy("one", "two", "n_shingles").agg(F.min("_key").alias("_key")).select("_key")
+    rest = documents.where("doc_id IS NULL").withColumn("_key", F.xxhash64("text"))
+    blank = rest.join(nameless.select("_key").distinct(), "_key", "left_anti")
+    return named.unionByName(rest.join(new, "_key", "left_semi").dropDuplicates(["_key"]).unionByName(blank).drop("_key"))
