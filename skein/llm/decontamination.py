@@ -20,7 +20,8 @@ the broadcast is bounded however many items there are. Documents are read once p
 part, without a shuffle.
 
 Results: only documents that hold an item. A null or empty text holds none; items
-without words are ignored; items that repeat an id each count. Equal rows are found
+without words are ignored; items that repeat an id each count, and so do items
+without an id, which add a null to the ids. Equal rows are found
 each by itself. Extra columns are ignored.
 """
 
@@ -148,22 +149,21 @@ class Items:
                 there = np.where(inside, words[np.clip(at, 0, len(words) - 1)], U64(0))
                 keys = lsh_keys(there, *self.lsh)
                 close[part] = (keys == np.stack([self.keys[i] for i in item])).any(1)
-        out, done, last = [], set(), None
+        best = {}
         for text, item, start in windows[close]:
             k = allowed(self.sizes[item], self.rate)
-            if (text, item) in done or last == (text, item, start):
+            if (text, item) in best and not best[text, item][0]:
                 continue
             low, high = max(first[text], start - k), min(first[text + 1], start + self.sizes[item] + k)
             distance = edit_distance_within(self.words[item], words[low:high])
-            if distance <= k:
-                done.add((text, item))
-                out.append((int(text), self.ids[item], distance, int(max(0, start - first[text]))))
-        return out
+            if distance <= k and ((text, item) not in best or distance < best[text, item][0]):
+                best[text, item] = distance, int(max(0, start - first[text]))
+        return [(int(text), self.ids[item], distance, word) for (text, item), (distance, word) in best.items()]
 
 
 def parts_of(benchmark: DataFrame, most_bytes: int) -> list[list]:
     """Items in parts of about ``most_bytes`` of text at most, one part on the driver at a time."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     parts = max(1, -(-2 * total // most_bytes))
     for i in range(parts):
