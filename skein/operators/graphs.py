@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.workspace import Workspace
+
 from .ranking import top_per_key
 
 
@@ -106,10 +108,23 @@ def boundary_violations(edges: DataFrame, owned: DataFrame, declared: DataFrame)
     return crossing.groupBy("package", "other").agg(F.count("*").alias("edges")).join(declared, ["package", "other"], "left_anti")
 
 
-def lineage_roots(parents: DataFrame, most: int = 32) -> DataFrame:
-    """(node, root) from (node, parent): follows parents by doubling until nothing moves."""
-    known = parents.select("node", F.coalesce("parent", "node").alias("root"))
-    for _ in range(most.bit_length()):
-        up = known.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        known = known.join(up, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-    return known
+def lineage_roots(parents: DataFrame) -> DataFrame:
+    """(node, root) from (node, parent): follows parents by doubling until nothing moves.
+
+    A parent that is no node is a root itself. Each round is a written table, and only nodes
+    that haven't met their root are joined again. A cycle raises an error.
+    """
+    spark = parents.sparkSession
+    space = Workspace(spark, "lineage")
+    known = parents.select("node", F.coalesce("parent", "node").alias("root"), F.col("parent").isNull().alias("done"))
+    known = space.table(known, "round-0")
+    most = known.count().bit_length() + 1
+    for i in range(1, most + 1):
+        if known.where("NOT done").isEmpty():
+            return known.select("node", "root")
+        up = known.select(F.col("node").alias("root"), F.col("root").alias("next"), F.col("done").alias("last"))
+        moved = known.where("NOT done").join(up, "root", "left")
+        moved = moved.select("node", F.coalesce("next", "root").alias("root"), F.coalesce("last", F.lit(True)).alias("done"))
+        known = space.table(known.where("done").unionByName(moved), f"round-{i}")
+        space.drop(f"round-{i - 1}")
+    raise ValueError("parents form a cycle")

@@ -40,9 +40,10 @@ def mrr_ndcg(spark, sf):
     return E.mrr_ndcg(*_run(spark, sf))
 
 
-@query("""WITH run AS (SELECT o_custkey AS case_id, o_orderkey AS item, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank, o_orderkey % 3 = 0 AS relevant FROM orders WHERE o_orderkey % 5 <> 0),
- s AS (SELECT *, coalesce(sum(CASE WHEN relevant THEN 0 ELSE 1 END) OVER (PARTITION BY case_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bad FROM run WHERE rank <= 20),
- z AS (SELECT case_id, count(*) FILTER (relevant) AS r, count(*) FILTER (NOT relevant) AS n FROM run GROUP BY case_id),
+@query("""WITH run AS (SELECT o_custkey AS case_id, o_orderkey AS item, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders),
+ judged AS (SELECT o_custkey AS case_id, o_orderkey AS item, o_orderkey % 3 = 0 AS relevant FROM orders WHERE o_orderkey % 5 <> 0),
+ s AS (SELECT case_id, rank, relevant, coalesce(sum(CASE WHEN relevant THEN 0 ELSE 1 END) OVER (PARTITION BY case_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bad FROM run JOIN judged USING (case_id, item) WHERE rank <= 20),
+ z AS (SELECT case_id, count(*) FILTER (relevant) AS r, count(*) FILTER (NOT relevant) AS n FROM judged GROUP BY case_id),
  t AS (SELECT s.case_id, sum(greatest(1 - least(bad, r)::DOUBLE / greatest(least(r, n), 1), 0)) AS v FROM s JOIN z ON s.case_id = z.case_id WHERE relevant GROUP BY s.case_id)
  SELECT z.case_id, round(coalesce(v / r, 0), 9) AS bpref FROM z LEFT JOIN t ON z.case_id = t.case_id WHERE r > 0""")
 def bpref(spark, sf):

@@ -11,8 +11,8 @@ from .registry import registry
 
 QUERIES, ORACLES, query = registry()
 
-_EDGES = """e AS (SELECT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst, 'calls' AS kind, round(1 - max(l_discount) * 5, 6) AS confidence FROM lineitem WHERE l_orderkey < 3000 GROUP BY ALL
- UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, 'references', 0.8::DOUBLE FROM orders WHERE o_orderkey < 3000
+_EDGES = """e AS (SELECT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst, 'calls' AS kind, round(1 - max(l_discount) * 5, 6) AS confidence FROM lineitem GROUP BY ALL
+ UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, 'references', 0.8::DOUBLE FROM orders
  UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 'contains', 1.0::DOUBLE FROM customer)"""
 
 
@@ -111,9 +111,9 @@ def cochange(spark, sf):
     return graphs.co_change(l)
 
 
-@query("""WITH RECURSIVE p AS (SELECT c_custkey AS node, CASE WHEN c_custkey % 10 = 0 OR c_custkey < 2 THEN NULL ELSE c_custkey - 1 END AS parent FROM customer),
+@query("""WITH RECURSIVE p AS (SELECT c_custkey AS node, CASE WHEN c_custkey % 1000 = 0 OR c_custkey < 2 THEN NULL ELSE c_custkey - 1 END AS parent FROM customer),
  r AS (SELECT node, node AS root FROM p WHERE parent IS NULL UNION ALL SELECT p.node, r.root FROM p JOIN r ON p.parent = r.node) SELECT node, root FROM r""")
 def lineage_roots(spark, sf):
     c = load(spark, sf, "customer").select(F.col("c_custkey").alias("node"))
-    parent = F.when((F.col("node") % 10 == 0) | (F.col("node") < 2), None).otherwise(F.col("node") - 1)
+    parent = F.when((F.col("node") % 1000 == 0) | (F.col("node") < 2), None).otherwise(F.col("node") - 1)
     return graphs.lineage_roots(c.withColumn("parent", parent))

@@ -75,7 +75,7 @@ def diff_grep(spark, sf):
     return history.diff_grep(d.select((F.col("doc_id") % 7).cast("string").alias("commit"), F.col("doc_id").cast("string").alias("path"), body.alias("patch")), "th[ae]")
 
 
-@query("""WITH o AS (SELECT o_custkey % 200 AS id, o_orderpriority AS e FROM orders WHERE o_custkey % 3 = 0), i AS (SELECT o_custkey % 200 AS id, o_orderstatus AS e FROM orders WHERE o_custkey % 3 = 1)
+@query("""WITH o AS (SELECT o_custkey % 200 AS id, o_orderpriority AS e FROM orders WHERE o_custkey % 3 = 0), i AS (SELECT o_custkey % 200 AS id, o_orderstatus AS e FROM orders WHERE o_custkey % 3 <> 0)
  SELECT id, array_to_string(list_sort(list(DISTINCT e)), '|') AS evidence FROM (SELECT * FROM i UNION ALL SELECT * FROM o WHERE id NOT IN (SELECT id FROM i)) GROUP BY id""")
 def merged_relations(spark, sf):
     o = load(spark, sf, "orders").withColumn("id", F.col("o_custkey") % 200)

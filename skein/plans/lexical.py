@@ -76,9 +76,9 @@ def term_intersection(spark, sf):
     return hits.groupBy("doc_id").agg(F.count("*").alias("n")).where("n = 3").select("doc_id")
 
 
-@query("""SELECT p_partkey, p_name FROM part WHERE contains(lower(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g')), 'steel')""")
+@query("""SELECT p_partkey, p_name FROM part WHERE contains(lower(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g')), 'widget')""")
 def trigram_candidates(spark, sf):
-    return lexical.trigram_search(load(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey", "p_name", "Steel")
+    return lexical.trigram_search(load(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey", "p_name", "Widget")
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
@@ -98,7 +98,7 @@ def feedback_terms(spark, sf):
 
 
 _DOT = "round(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)), 6)"
-_DENSE = f"SELECT q.vec_id AS query_id, e.vec_id AS vec_id, {_DOT} AS score FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id < 5"
+_DENSE = f"SELECT q.vec_id AS query_id, e.vec_id AS vec_id, {_DOT} AS score FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0"
 
 
 #: Fixed value: the vectors whose id it divides are the queries of vector searches.
@@ -117,7 +117,7 @@ def dense_topk(spark, sf):
 
 
 @query(f"""WITH a AS (SELECT query_id, vec_id AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM ({_DENSE})),
- b AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY abs(e.vec_id - q.vec_id), e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id < 5),
+ b AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY abs(e.vec_id - q.vec_id), e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
  u AS (SELECT query_id, doc_id, 1.0::DOUBLE / (60 + rank) AS s FROM a WHERE rank <= 30 UNION ALL SELECT query_id, doc_id, 2.0::DOUBLE / (60 + rank) FROM b WHERE rank <= 30),
  f AS (SELECT query_id, doc_id, round(sum(s), 9) AS score FROM u GROUP BY 1, 2)
  SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS BIGINT) AS rank FROM f""")

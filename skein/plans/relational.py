@@ -175,11 +175,11 @@ def gc_orphans(spark, sf):
     return snapshots.orphans(parts, l.where("l_quantity > 40").select(F.col("l_partkey").alias("digest")), l.select(F.col("l_suppkey").alias("digest")))
 
 
-@query("""SELECT DISTINCT user_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-15' AND (user_id, event_type) NOT IN (SELECT user_id, event_type FROM events WHERE ts < TIMESTAMP '2024-01-15')""")
+@query("""SELECT DISTINCT user_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-04' AND (user_id, event_type) NOT IN (SELECT user_id, event_type FROM events WHERE ts < TIMESTAMP '2024-01-04')""")
 def monitor_new_hits(spark, sf):
     e = load(spark, sf, "events").select("user_id", "event_type", "ts")
-    late = e.where("ts >= timestamp'2024-01-15'").select("user_id", "event_type").distinct()
-    return new_hits(late, e.where("ts < timestamp'2024-01-15'"), ["user_id", "event_type"])
+    late = e.where("ts >= timestamp'2024-01-04'").select("user_id", "event_type").distinct()
+    return new_hits(late, e.where("ts < timestamp'2024-01-04'"), ["user_id", "event_type"])
 
 
 @query("""SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, CAST(count(*) AS BIGINT) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2""")
@@ -214,8 +214,12 @@ def import_edges(spark, sf):
     return p.select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1)))).alias("target"))
 
 
-@query("""SELECT doc_id, doc_id % 5 = 0 AS reused FROM documents WHERE doc_id % 2 = 0""")
+@query("""WITH c AS (SELECT DISTINCT sha256(text) AS digest, CASE lang WHEN 'en' THEN 'small' ELSE 'large' END AS profile FROM documents WHERE source IN ('src0', 'src1', 'src2')),
+ d AS (SELECT doc_id, sha256(text) AS digest, CASE doc_id % 2 WHEN 0 THEN 'small' ELSE 'large' END AS profile FROM documents)
+ SELECT doc_id, c.digest IS NOT NULL AS reused FROM d LEFT JOIN c ON d.digest = c.digest AND d.profile = c.profile""")
 def vector_reuse(spark, sf):
-    d = load(spark, sf, "documents").select("doc_id", F.sha2(F.concat_ws("/", F.col("doc_id").cast("string"), "text"), 256).alias("digest"))
-    hit, rest = snapshots.reuse(d, d.where("doc_id % 5 = 0").select("digest"), ["digest"])
+    d = load(spark, sf, "documents").select("doc_id", "lang", "source", F.sha2("text", 256).alias("digest"))
+    cache = d.where(F.col("source").isin("src0", "src1", "src2")).select("digest", F.when(F.col("lang") == "en", "small").otherwise("large").alias("profile")).distinct()
+    new = d.select("doc_id", "digest", F.when(F.col("doc_id") % 2 == 0, "small").otherwise("large").alias("profile"))
+    hit, rest = snapshots.reuse(new, cache, ["digest", "profile"])
     return hit.select("doc_id", F.lit(True).alias("reused")).unionByName(rest.select("doc_id", F.lit(False).alias("reused")))

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from skein.operators import evaluation, evidence, graphs, joins, lexical, ranking, snapshots
@@ -30,8 +31,10 @@ def test_longest_root_owns(spark):
 
 
 def test_lineage(spark):
-    rows = spark.createDataFrame([(i, i - 1 if i else None) for i in range(20)], "node long, parent long")
-    assert {r.root for r in graphs.lineage_roots(rows).collect()} == {0}
+    rows = spark.createDataFrame([(i, i - 1 if i else None) for i in range(1000)] + [(2000, 3000), (2001, 2000)], "node long, parent long")
+    assert {r.node: r.root for r in graphs.lineage_roots(rows).collect()} == {i: 0 for i in range(1000)} | {2000: 3000, 2001: 3000}
+    with pytest.raises(ValueError, match="cycle"):
+        graphs.lineage_roots(spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "node long, parent long"))
 
 
 def test_cap_skips_without_deferring(spark):

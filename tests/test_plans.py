@@ -62,8 +62,9 @@ def test_modulo_keeps_whole_sides(spark, tables):
     orders += [(k, 2, 1000.0 - k, "P2", "S2") for k in range(1000, 1100, 5)] + [(21, 2, -1000.0, "P2", "S2"), (9, 3, 1.0, "P3", "S3")]
     sf = tables(
         orders=(orders, "o_orderkey long, o_custkey long, o_totalprice double, o_orderpriority string, o_orderstatus string"),
-        documents=([(i, f"text {i}") for i in range(11)], "doc_id long, text string"),
+        documents=([(i, f"text {i}", "en", "src1" if i < 5 else "src9") for i in range(11)], "doc_id long, text string, lang string, source string"),
     )
     assert {r.case_id: r.bpref for r in evaluation.bpref(spark, sf).collect()} == {1: 0.0, 2: 0.0, 3: 1.0}
     assert {r.id: r.evidence for r in history.merged_relations(spark, sf).collect()} == {1: "S", 2: "S2", 3: "P3"}
-    assert {r.doc_id: r.reused for r in relational.vector_reuse(spark, sf).collect()} == {i: i % 5 == 0 for i in range(11)}
+    # documents 0 to 4 are cached under the profile of their language, asked for under that of their id
+    assert {r.doc_id: r.reused for r in relational.vector_reuse(spark, sf).collect()} == {i: i < 5 and i % 2 == 0 for i in range(11)}
