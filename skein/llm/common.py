@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
-import uuid
 import zipfile
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.workspace import Workspace, delete, exists, shared_root, shuffle_partitions
+
+__all__ = ["Workspace", "delete", "exists", "shared_root", "shuffle_partitions"]
+
 SPACES = b" \t\n\x0b\x0c\r"
 U64 = np.uint64
 _MASK = (1 << 64) - 1
@@ -39,53 +41,34 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(spark.sparkContext.applicationId)
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only if the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="skein-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+def fresh(taken, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as no column of ``taken`` has."""
+    used, out = {n.lower() for n in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
-class Workspace:
-    """Written tables that cut lineage and outlive lost executors.
+def join_hot(rows: DataFrame, keys: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """Inner join of ``rows`` with ``keys``, a written table of one row per key, on keys that may be hot.
 
-    ``table`` writes a frame as Parquet in the shared folder and reads it back;
-    ``drop`` deletes one that is no longer read; ``close`` deletes them all.
+    ``weight`` says how many rows a key has. Keys with more than a quarter of an even share of
+    the rows of a partition are at most four per partition, so these are broadcast and
+    their rows stay where they are; the rest is joined by a shuffle.
     """
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.root = f"{shared_root(spark)}/skein-{label}-{uuid.uuid4().hex[:12]}"
-
-    def table(self, frame: DataFrame, name: str, *partition_by: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        schema = frame.schema
-        writer = frame.write.mode("overwrite").option("compression", "zstd")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-        return self.spark.read.schema(schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            self._delete(f"{self.root}/{name}")
-
-    def close(self) -> None:
-        self._delete(self.root)
-
-    def release(self) -> None:
-        """Let Spark's cleaner delete shuffle files of plans nobody holds any more."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
-    def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    most = 4 * shuffle_partitions(rows.sparkSession)
+    total = keys.agg(F.sum(weight)).first()[0] or 0
+    least = max(total // most, 256)
+    hot = keys.where(F.col(weight) > least)
+    if hot.isEmpty():
+        return rows.join(keys.drop(weight), on)
+    names = [c for c in rows.columns if c not in on] + [c for c in keys.columns if c not in on and c != weight]
+    spread = rows.join(F.broadcast(hot.drop(weight)), on)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(keys.where(F.col(weight) <= least).drop(weight), on)
+    return spread.select(*on, *names).unionByName(rest.select(*on, *names))
 
 
 def ascii_lower(column):

@@ -49,17 +49,31 @@ def test_substring_dedup(spark, texts):
     assert sorted(map(str, want)) == sorted(str((r.doc_id, r.n_words, r.n_removed, r.kept_sha256)) for r in got)
 
 
-def test_index_compacts(spark, texts):
+def repeats(rows, width=35):
+    """(doc_id, text, word) of all words under a window that starts twice."""
+    split = [(i, t, (t or "").encode().split()) for i, t in rows]
+    seen = Counter(tuple(w[i : i + width]) for _, _, w in split for i in range(len(w) - width + 1))
+    return {(d, t, k) for d, t, w in split for i in range(len(w) - width + 1) if seen[tuple(w[i : i + width])] > 1 for k in range(i, i + width)}
+
+
+def test_index_appends_batches(spark, texts):
+    """After each batch all marks so far give what one batch of everything before gives; the folder is opened anew each time."""
     from skein.llm.common import Workspace
 
-    index = substring_dedup.FingerprintIndex(Workspace(spark, "test"), fan_in=2)
-    postings = index.postings(documents(spark, texts))
+    rows = [r for r in texts if r[1]] + [(300 + i, texts[i][1]) for i in range(3)] + [(400, " ".join(words(1, 60)))]
+    space, marked, before = Workspace(spark, "test"), set(), []
     for i in range(4):
-        index.ingest(postings.where(f"pmod(doc_id, 4) = {i}"))
-    assert len(index.runs) <= 2
-    index.compact()
-    assert len(index.runs) == 1
-    assert next(iter(index.runs.values())).agg({"n": "sum"}).first()[0] == postings.where("doc_id IS NOT NULL").count()
+        batch = [r for n, r in enumerate(rows) if n % 4 == i]
+        index = substring_dedup.FingerprintIndex(Workspace(spark, "test", space.root), fan_in=2)
+        frame = documents(spark, batch)
+        both = substring_dedup.keyed(documents(spark, before + batch)).withColumnRenamed("text", "t")
+        found = index.append(frame, documents(spark, before) if before else None)
+        assert len(index.runs) == (2 if i == 1 else 1 if i != 3 else 2)
+        before += batch
+        named = found.join(both, [found.doc_id.eqNullSafe(both.doc_id), found.text_key == both.text_key]).select(both.doc_id, "t", "start", "more")
+        marked |= {(r.doc_id, r.t, k) for r in named.collect() for k in range(r.start, r.start + r.more + 35)}
+        assert marked == repeats(before)
+    index.close()
 
 
 def test_near_duplicates(spark, texts):
