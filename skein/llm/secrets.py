@@ -9,7 +9,8 @@ runs. A rule without mandatory trigrams scans every text.
 
 Results: a null text is empty and has no spans. Equal spans of one rule can't
 occur twice; spans of different rules may overlap and all stay. Repeated rows are
-scanned each by itself, and extra columns are ignored.
+scanned each by itself, and extra columns are kept as they are. Work is in proportion to
+a text and its spans, however many it has.
 """
 
 from __future__ import annotations
@@ -161,31 +162,66 @@ def candidates(index: DataFrame, rules) -> DataFrame:
 _SPAN = "struct<start:bigint,rank:int,end:bigint,kind:string>"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, as a variable of a higher-order function."""
+    return F.transform(F.array(value), body)[0]
+
+
+RUN = 256  # values that are appended one by one; longer arrays are put together from such runs
+
+
+def _running(values: Column, zero: Column, step) -> Column:
+    """For each value the fold of those before it and, last, of all, by an associative ``step`` with ``zero``.
+
+    Appending to an array copies it, so runs of ``RUN`` values are folded by themselves and then
+    moved on by the fold of all runs before: an array of n values costs n * RUN + (n / RUN)**2 copies.
+    """
+
+    def fold(items):
+        return F.aggregate(items, F.array(zero), lambda acc, x: F.concat(acc, F.array(step(F.element_at(acc, -1), x))))
+
+    def over(v):
+        starts = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / RUN).cast("int"))
+        part = lambda i: F.transform(F.sequence(i * RUN + 1, F.least(i * RUN + RUN, F.size(v))), lambda j: F.element_at(v, j))
+        inner = F.transform(starts, lambda i: fold(part(i)))
+        return _let(inner, lambda runs: _let(fold(F.transform(runs, lambda r: F.element_at(r, -1))), lambda base: moved(runs, base)))
+
+    def moved(runs, base):
+        heads = F.flatten(F.transform(runs, lambda r, i: F.transform(F.slice(r, F.lit(1), F.size(r) - 1), lambda x: step(F.element_at(base, i + 1), x))))
+        return F.concat(heads, F.array(F.element_at(base, -1)))
+
+    return _let(values, lambda v: F.when(F.size(v) == 0, F.array(zero)).otherwise(over(v)))
+
+
 def spans(text: Column, rule: Rule, rank: int) -> Column:
     """Leftmost non-overlapping matches as (start, rank, end, kind), in code points."""
-    matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    counted = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else matches
-    sizes = F.zip_with(
-        F.zip_with(F.split(text, rule.pattern, -1), matches, lambda gap, m: F.struct(F.length(gap).cast("long").alias("gap"), F.length(m).cast("long").alias("size"))),
-        counted,
-        lambda x, c: F.struct(x["gap"].alias("gap"), x["size"].alias("size"), (F.length(c) >= rule.least).alias("good")),
-    )
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+    size = lambda column: F.transform(column, lambda x: F.length(x).cast("long"))
+    matches = size(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)))
+    counted = size(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))) if rule.group else matches
+    gaps = size(F.split(text, rule.pattern, -1))
+    zero = F.lit(0).cast("long")
+    # what a match moves on by: the gap before it and itself
+    found = F.zip_with(F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("gap"), m.alias("size"))), counted, lambda x, c: F.struct(x["gap"].alias("gap"), x["size"].alias("size"), (c >= rule.least).alias("good")))
+    found = F.filter(found, lambda x: x["size"].isNotNull())
 
-    def step(acc, x):
-        begin = acc["at"] + x["gap"]
-        end = begin + F.coalesce(x["size"], F.lit(0).cast("long"))
-        one = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        out = F.when(F.coalesce(x["good"], F.lit(False)), F.concat(acc["out"], F.array(one))).otherwise(acc["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
+    def placed(items):
+        ends = _running(F.transform(items, lambda x: x["gap"] + x["size"]), zero, lambda a, x: a + x)
+        one = lambda x, end: F.struct((end - x["size"]).alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"), x["good"].alias("good"))
+        rows = _let(ends, lambda e: F.transform(items, lambda x, i: one(x, F.element_at(e, i + 2))))
+        return F.transform(F.filter(rows, lambda x: F.coalesce(x["good"], F.lit(False))), lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind")))
 
-    return F.aggregate(sizes, start, step, lambda acc: acc["out"])
+    return _let(found, placed).cast(f"array<{_SPAN}>")
 
 
-def scan(spark: SparkSession, documents: DataFrame, rules=RULES, space: Workspace | None = None) -> DataFrame:
-    """The rows of ``documents`` with ``spans``: array of (start, rank, end, kind), by start and rule."""
+def scan(spark: SparkSession, documents: DataFrame, rules=RULES, space: Workspace | None = None, name: str = "spans") -> DataFrame:
+    """The rows of ``documents`` with the column ``name``: array of (start, rank, end, kind), by start and rule.
+
+    A column of that name in ``documents`` is an error; name another one then.
+    """
     space = space or Workspace(spark, "secrets")
     names = documents.columns
+    if name.lower() in [n.lower() for n in names]:
+        raise ValueError(f"documents have a column {name}")
     texts = documents.select(
         F.struct(*[F.col(f"`{n}`") for n in names]).alias("_row"),
         F.col("doc_id").cast("long").alias("_id"),
@@ -203,8 +239,8 @@ def scan(spark: SparkSession, documents: DataFrame, rules=RULES, space: Workspac
         if trigram_query(rule.pattern):
             test = F.array_contains(F.coalesce("rules", F.array().cast("array<string>")), rule.kind) & test
         parts.append(F.when(test, spans(F.col("_text"), rule, rank)).otherwise(F.array().cast(f"array<{_SPAN}>")))
-    rows = rows.select("_row", F.array_sort(F.concat(*parts)).alias("spans"))
-    return rows.select(*[F.col(f"_row.`{n}`").alias(n) for n in names], "spans")
+    rows = rows.select("_row", F.array_sort(F.concat(*parts)).alias("_spans"))
+    return rows.select(*[F.col(f"_row.`{n}`").alias(n) for n in names], F.col("_spans").alias(name))
 
 
 def listed(column: Column) -> Column:
@@ -223,18 +259,28 @@ def report(scanned: DataFrame) -> DataFrame:
     )
 
 
-def redact(scanned: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """Replaces the union of all spans in ``text``; ``n_chars`` follows where there is such a column."""
-    text = F.col("text")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+def redact(scanned: DataFrame, mark: str = "[SECRET]", name: str = "spans") -> DataFrame:
+    """Replaces the union of all spans in ``text``; ``n_chars`` follows where there is such a column.
+
+    Characters are four bytes each while pieces are cut, so that a piece costs its own length.
+    """
+    text, zero = F.col("text"), F.lit(0).cast("long")
+
+    def cut(wide, start, end):
+        return F.decode(F.substring(wide, (4 * start + 1).cast("int"), (4 * (end - start)).cast("int")), "UTF-32")
 
-    def step(acc, s):
-        fresh = F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
+    def joined(wide):
+        # ``seen``: how far all spans before one reach
+        seen = _running(F.transform(name, lambda x: x["end"]), zero, lambda a, x: F.greatest(a, x))
+        rows = lambda r: F.transform(name, lambda x, i: F.struct(x["start"].alias("start"), F.element_at(r, i + 1).alias("seen")))
+        fresh = lambda r: F.filter(rows(r), lambda x: x["start"] >= x["seen"])
+        pieces = lambda r: F.transform(fresh(r), lambda x: F.concat(cut(wide, x["seen"], x["start"]), F.lit(mark)))
+        tail = lambda r: cut(wide, F.element_at(r, -1), F.octet_length(wide) / 4)
+        return _let(seen, lambda r: F.concat(F.array_join(pieces(r), ""), tail(r)))
 
-    done = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(1 << 30))))
-    out = scanned.withColumn("text", F.when(F.size("spans") > 0, done).otherwise(text))
+    done = _let(F.encode(text, "UTF-32"), joined)
+    out = scanned.withColumn("text", F.when(F.size(name) > 0, done).otherwise(text))
     if "n_chars" in scanned.columns:
         kind = dict(scanned.dtypes)["n_chars"]
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.drop("spans")
+        out = out.withColumn("n_chars", F.when(F.size(name) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.drop(name)
