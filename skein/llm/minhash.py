@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Workspace, gram_hashes, mix, span_hashes, text_buffers, word_hashes
+from .common import U64, Workspace, fresh, gram_hashes, join_hot, mix, span_hashes, text_buffers, word_hashes
 
 GRAM, PERCENT, BANDS, ROWS, BLOCK, ROUNDS = 4, 80, 32, 5, 1024, 2
 
@@ -307,7 +307,9 @@ def _near_duplicates(
     heads = space.table(heads.select("node", "keys", "minima").dropDuplicates(["node"]), "heads")
     members = heads.select("node", F.explode("keys").alias("key"))
     full = members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1")
-    members = space.table(members.join(full.hint("merge"), "key"), "members")
+    full = space.table(full.withColumn("weight", F.col("n")), "full")
+    members = space.table(join_hot(members, full, ["key"], "weight"), "members")
+    space.drop("full")
     space.release()
     minima = heads.select("node", "minima")
 
@@ -346,13 +348,13 @@ def _near_duplicates(
         if i == 0:
             pairs = similar(seen.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
         else:
-            mixed = seen.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.min(F.struct(F.xxhash64("node", "key", F.lit(i)), "node", "label")).alias("h"))
-            mixed = mixed.where("p <> q")
+            mixed = seen.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.min(F.struct(F.xxhash64("node", "key", F.lit(i)), "node", "label")).alias("h"), F.count("*").alias("weight"))
+            mixed = space.table(mixed.where("p <> q").select("key", F.col("h.node").alias("other"), F.col("h.label").alias("o"), "weight"), f"mixed-{i}")
             if i < rounds:
-                met = seen.join(mixed.select("key", F.col("h.node").alias("other"), F.col("h.label").alias("o")), "key").where("label <> o")
+                met = join_hot(seen, mixed, ["key"], "weight").where("label <> o")
                 pairs = similar(met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
             else:
-                rest = seen.join(mixed.select("key"), "key").select("key", "node", "label", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+                rest = join_hot(seen, mixed.select("key", "weight"), ["key"], "weight").select("key", "node", "label", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
                 own = rest.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
                 own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
                 own = own.select("key", "node", "label", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"))
@@ -405,13 +407,16 @@ def near_duplicates(
 def without_near_duplicates(spark: SparkSession, documents: DataFrame, gram: int = 5, space: Workspace | None = None) -> DataFrame:
     """The rows of ``documents`` that are kept: one doc_id of each component, and of rows without an id one of each class that no id has.
 
-    Rows without an id and without words are all kept.
+    Rows without an id and without words are all kept. Columns may have any names.
     """
     found, signed, classes = _near_duplicates(spark, documents, gram=gram, space=space)
-    gone = found.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_key")).distinct()
-    named = documents.where("doc_id IS NOT NULL").join(gone, (documents["doc_id"].cast("long") == F.col("_gone")) & (F.xxhash64(documents["text"]) == F.col("_key")), "left_anti")
-    nameless = signed.where("doc_id IS NULL AND n_shingles > 0").select("one", "two", "n_shingles", F.col("text_key").alias("_key"))
-    new = nameless.join(classes, ["one", "two", "n_shingles"], "left_anti").groupBy("one", "two", "n_shingles").agg(F.min("_key").alias("_key")).select("_key")
-    rest = documents.where("doc_id IS NULL").withColumn("_key", F.xxhash64("text"))
-    blank = rest.join(nameless.select("_key").distinct(), "_key", "left_anti")
-    return named.unionByName(rest.join(new, "_key", "left_semi").dropDuplicates(["_key"]).unionByName(blank).drop("_key"))
+    gone, key, many = fresh(documents.columns, "gone", "key", "many")
+    rows = documents.withColumn(key, F.xxhash64("text"))
+    lost = found.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(gone), F.col("text_key").alias(many)).distinct()
+    named = rows.where("doc_id IS NOT NULL").join(lost, (rows["doc_id"].cast("long") == F.col(gone)) & (F.col(key) == F.col(many)), "left_anti").drop(key)
+    nameless = signed.where("doc_id IS NULL AND n_shingles > 0").select("one", "two", "n_shingles", F.col("text_key").alias(key))
+    new = nameless.join(classes, ["one", "two", "n_shingles"], "left_anti").groupBy("one", "two", "n_shingles").agg(F.min(key).alias(key)).select(key)
+    rest = rows.where("doc_id IS NULL")
+    blank = rest.join(nameless.select(key).distinct(), key, "left_anti").select(*[f"`{c}`" for c in documents.columns])
+    one = rest.join(new, key, "left_semi").dropDuplicates([key]).select(*[f"`{c}`" for c in documents.columns])
+    return named.unionByName(one).unionByName(blank)
