@@ -1,9 +1,11 @@
 """Quality scores by nearest-neighbour voting among labelled latent-semantic vectors.
 
 Terms are trigrams of character classes (letters by case, digits, blanks, each
-punctuation mark by itself) and words that repeat the one before. A bounded sample
+punctuation mark by itself), words that repeat the one before, and words themselves, in
+lower case and by hash, so that content counts beside form. A bounded sample
 of labelled rows gives the vocabulary, the inverse document frequencies and, by a
-singular value decomposition, the latent space. The sample's vectors are broadcast
+singular value decomposition (a randomised one with a fixed seed), the latent space.
+Words have a vocabulary of at most ``WORDS`` bins, of which those in enough rows count. The sample's vectors are broadcast
 (at most ``sample`` rows of ``dims`` numbers); every document meets all of them in
 blocked products, and its ``neighbours`` nearest vote with their cosine to the power
 ``sharp`` as weight.
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_buffers, word_hashes
+from .common import U64, text_buffers, word_hashes
 
 SAMPLE, DIMS, NEIGHBOURS, SHARP, THRESHOLD, FOLDS = 4096, 32, 25, 8, 0.3, 5
 
@@ -37,6 +39,8 @@ def _classes() -> tuple[np.ndarray, int]:
 
 CLASS, KINDS = _classes()
 REPEAT = KINDS**3  # the code of a repeated word
+WORDS, SHARE, WEIGHT = 1 << 15, 0.01, 0.15  # bins of words, the least share of rows that a counted one is in, and its weight
+CODES = REPEAT + 1 + WORDS
 
 
 def terms(data: np.ndarray, bounds: np.ndarray):
@@ -50,7 +54,10 @@ def terms(data: np.ndarray, bounds: np.ndarray):
     again = np.flatnonzero(words[1:] == words[:-1]) + 1
     of = np.searchsorted(first, again, "right") - 1
     again = of[again > first[of]]
-    return np.concatenate([codes, np.full(len(again), REPEAT, codes.dtype)]), np.concatenate([text, again])
+    lower = words if not len(words) else word_hashes(data, bounds, lower=True)[0]
+    bins = (REPEAT + 1 + (lower >> U64(64 - 15)).astype(np.int64)).astype(codes.dtype)
+    own = np.repeat(np.arange(len(bounds) - 1), np.diff(first))
+    return np.concatenate([codes, np.full(len(again), REPEAT, codes.dtype), bins]), np.concatenate([text, again, own])
 
 
 class Model:
@@ -58,15 +65,25 @@ class Model:
         self.idf, self.space, self.vectors, self.labels = idf, space, vectors, labels
         self.neighbours, self.sharp = min(neighbours, len(labels)), sharp
         self.prior = float(labels.mean()) if len(labels) else 0.5
-        self.at = np.full(REPEAT + 1, -1, np.int32)
+        self.at = np.full(CODES, -1, np.int32)
         self.at[codes] = np.arange(len(codes))
+        self.words = codes > REPEAT
 
-    def embed(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    def embed(self, data: np.ndarray, bounds: np.ndarray, most: int = 1 << 21) -> np.ndarray:
+        """Latent vectors; the dense counts of about ``most`` numbers at once are held."""
         codes, text = terms(data, bounds)
-        at = self.at[codes]
+        at, kept = self.at[codes], self.at[codes] >= 0
         n, width = len(bounds) - 1, len(self.idf)
-        counts = np.bincount(text[at >= 0] * width + at[at >= 0], minlength=n * width).reshape(n, width)
-        return _project(weights(counts, np.bincount(text, minlength=n), self.idf), self.space)
+        total = np.bincount(text, weights=codes <= REPEAT, minlength=n), np.bincount(text, weights=codes > REPEAT, minlength=n)
+        order = np.argsort(text[kept], kind="stable")
+        at, text = at[kept][order], text[kept][order]
+        out, step = np.zeros((n, self.space.shape[1])), max(1, most // max(1, width))
+        for low in range(0, n, step):
+            high = min(n, low + step)
+            i, j = np.searchsorted(text, (low, high))
+            counts = np.bincount((text[i:j] - low) * width + at[i:j], minlength=(high - low) * width).reshape(high - low, width)
+            out[low:high] = _project(weights(counts, total[0][low:high], total[1][low:high], self.words, self.idf), self.space)
+        return out
 
     def scores(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         if not len(self.labels) or not len(self.idf):
@@ -79,8 +96,22 @@ class Model:
         return np.clip(vote / (weight.sum(1) + 1e-3), 0, 1)
 
 
-def weights(counts, totals, idf):
-    return np.sqrt(counts / np.maximum(1, totals)[:, None]) * idf
+def weights(counts, forms, words, is_word, idf):
+    """Square roots of a term's share of its kind (form or word) in each text, times its weight."""
+    total = np.where(is_word[None, :], np.maximum(1, words)[:, None], np.maximum(1, forms)[:, None])
+    return np.sqrt(counts / total) * idf
+
+
+def latent(rows: np.ndarray, dims: int, rounds: int = 6, seed: int = 11) -> np.ndarray:
+    """(term, dims): the leading right singular vectors, by subspace iteration."""
+    width = min(rows.shape[1], min(rows.shape) if rows.size else 0, dims + 16)
+    if not width:
+        return np.zeros((rows.shape[1], 0))
+    basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(rows.shape[1], width)))[0]
+    for _ in range(rounds):
+        basis = np.linalg.qr(rows.T @ (rows @ basis))[0]
+    turn = np.linalg.svd(rows @ basis, full_matrices=False)[2]
+    return basis @ turn[:dims].T
 
 
 def _project(rows: np.ndarray, space: np.ndarray) -> np.ndarray:
@@ -103,9 +134,9 @@ def labelled(documents: DataFrame, labels: DataFrame, sample: int, folds: int):
         for batch in batches:
             for row, n, data, bounds in text_buffers(batch.column("text")):
                 codes, text = terms(data, bounds)
-                both, counts = np.unique(text.astype(np.int64) * (REPEAT + 1) + codes, return_counts=True)
-                at = np.searchsorted(both // (REPEAT + 1), np.arange(n + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x.astype(np.int32))) for x in (both % (REPEAT + 1), counts)]
+                both, counts = np.unique(text.astype(np.int64) * CODES + codes, return_counts=True)
+                at = np.searchsorted(both // CODES, np.arange(n + 1)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x.astype(np.int32))) for x in (both % CODES, counts)]
                 yield pa.RecordBatch.from_arrays([batch.column("_id").slice(row, n), batch.column("_label").slice(row, n), *lists], ["_id", "_label", "codes", "counts"])
 
     found = rows.mapInArrow(run, "_id long, _label double, codes array<int>, counts array<int>")
@@ -118,33 +149,37 @@ def fit(documents: DataFrame, labels: DataFrame, sample=SAMPLE, dims=DIMS, neigh
     lists = [np.array(x, np.int64) for x in table.column("codes").to_pylist()]
     counts = [np.array(x, np.float64) for x in table.column("counts").to_pylist()]
     seen, df = np.unique(np.concatenate([*lists, np.zeros(0, np.int64)]), return_counts=True)
-    codes = seen[df >= max(2, 0.0005 * len(y))]
-    idf = np.log(len(y) / np.maximum(1, df[np.isin(seen, codes)])) + 0.3 if len(y) else np.zeros(0)
+    enough = np.where(seen > REPEAT, np.maximum(2, SHARE * len(y)), np.maximum(2, 0.0005 * len(y)))
+    codes, held = seen[df >= enough], df[df >= enough]
+    idf = (np.log(len(y) / np.maximum(1, held)) + 0.3) * np.where(codes > REPEAT, WEIGHT, 1.0) if len(y) else np.zeros(0)
     dense = np.zeros((len(y), len(codes)))
     for i, (c, n) in enumerate(zip(lists, counts)):
         good = np.isin(c, codes)
         dense[i, np.searchsorted(codes, c[good])] = n[good]
-    rows = weights(dense, np.array([n.sum() for n in counts]), idf) if len(y) else dense
-    space = np.linalg.svd(rows, full_matrices=False)[2][:dims].T if rows.size else np.zeros((len(codes), 0))
+    forms, words = ([n[c <= REPEAT].sum() for c, n in zip(lists, counts)], [n[c > REPEAT].sum() for c, n in zip(lists, counts)])
+    rows = weights(dense, np.array(forms), np.array(words), codes > REPEAT, idf) if len(y) else dense
+    space = latent(rows, dims)
     return Model(codes, idf, space, _project(rows, space), y, neighbours, sharp)
 
 
-def score(spark: SparkSession, documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``documents`` with ``score`` and ``predicted``."""
+def score(spark: SparkSession, documents: DataFrame, model: Model, threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The rows of ``documents`` with their score and prediction, as columns ``names``, which ``documents`` must not have."""
     from pyspark.sql import types as T
 
     shared = spark.sparkContext.broadcast(model)
     columns = documents.columns
-    schema = T.StructType([*documents.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    if {n.lower() for n in names} & {c.lower() for c in columns}:
+        raise ValueError(f"documents have a column {names[0]} or {names[1]}")
+    schema = T.StructType([*documents.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
 
     def run(batches):
         model = shared.value
         for batch in batches:
-            found = [model.scores(data, bounds) for _, _, data, bounds in text_buffers(batch.column("text"), 1 << 20)]
+            found = [model.scores(data, bounds) for _, _, data, bounds in text_buffers(batch.column("text"))]
             found = np.concatenate([*found, np.zeros(0)])
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(len(columns))), pa.array(found), pa.array((found >= threshold).astype(np.int32))],
-                [*columns, "score", "predicted"],
+                [*columns, *names],
             )
 
     return documents.mapInArrow(run, schema)
