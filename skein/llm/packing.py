@@ -51,6 +51,9 @@ class Tokenizer:
         back = {s: b for b, s in byte_symbols().items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", []) if t.get("special")}
         ranks = {bytes(back[c] for c in s): i for s, i in spec["model"]["vocab"].items() if s not in self.special}
+        merged = [spec["model"]["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
+        if merged != sorted(merged) or min(merged, default=len(back)) < len(back):
+            raise ValueError(f"{path}: identifiers don't follow the order of the merges")
         self.codec = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
