@@ -4,7 +4,8 @@ A text is cut into pieces by the vocabulary's pattern. A piece starts as one
 symbol per byte in a doubly linked list; the adjacent pair of lowest rank (the
 leftmost, in a tie) is popped from a heap and merged until no ranked pair is
 left. The piece has as many tokens as it had symbols, less the merges. No
-identifiers are made. Counts of pieces are kept in a bounded table per worker.
+identifiers are made. Counts of pieces of up to ``LONG`` characters are kept in a table of at
+most ``MEMO`` entries per worker, so it is bounded in bytes; longer ones are counted anew.
 
 Special strings inside texts are one token each, as the library does by default.
 A null text is empty: 0 bytes, 0 tokens. Rows are counted one by one, so repeated
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LIMIT = 1024
-MEMO = 1 << 20
+MEMO, LONG = 1 << 20, 32
 #: The public pattern of this byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same pattern for Python's faster engine; they agree on texts that ODD does not match.
@@ -48,6 +49,8 @@ class PieceCounts(dict):
         self.table = [symbols[b] for b in range(256)]
 
     def __missing__(self, piece: str) -> int:
+        if len(piece) > LONG:
+            return self.count(piece.encode())
         if len(self) >= self.memo:
             self.clear()
         n = self[piece] = self.count(piece.encode())
