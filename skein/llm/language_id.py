@@ -25,21 +25,63 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, text_buffers
+from .common import Workspace, join_hot, text_buffers
 
-SAMPLE, BINS, TEMPER, LEAN, TOP, FOLDS, SALT = 4096, 1 << 14, 0.05, 5.0, 60.0, 5, 16
-_SKIP = re.compile(r"(?is)<(script|style|nav|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<div class=\"ad\">.*?</div>")
-_BODY = re.compile(r"(?is)<(article|main)\b[^>]*>(.*)</\1\s*>")
-_TAG = re.compile(r"(?s)<[^>]*>")
+SAMPLE, BINS, TEMPER, LEAN, TOP, FOLDS = 4096, 1 << 14, 0.05, 5.0, 60.0, 5
+_NAME = re.compile(r"<(/?)([a-z]+)", re.I)
+_HIDDEN = ("script", "style", "nav", "noscript", "template")
+_BODIES = ("article", "main")
 #: The pattern of a declared language, as HTML writes it.
 DECLARED = r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})"""
 
 
 def visible(html: str) -> str:
-    html = _SKIP.sub(" ", html)
-    if found := _BODY.search(html):
-        html = found[2]
-    return _TAG.sub(" ", html)
+    """The text outside tags, comments and hidden elements: of the first article or main element, if there is one.
+
+    One pass from left to right. What is never closed is searched for once: an open comment or
+    tag ends the text, the start of a hidden element that is never closed counts as a plain tag.
+    """
+    parts, body, low = [], None, html.lower()
+    at, never, inside = 0, set(), None
+    if len(low) != len(html):  # some letters grow; ends of tags are ASCII
+        low = "".join(c.lower() if c.isascii() else c for c in html)
+
+    def find(text: str, start: int) -> int:
+        if text in never:
+            return -1
+        found = low.find(text, start)
+        if found < 0:
+            never.add(text)
+        return found
+
+    while at < len(html):
+        open_ = find("<", at)
+        if open_ < 0:
+            parts.append(html[at:])
+            break
+        parts.append(html[at:open_])
+        if low.startswith("<!--", open_):
+            end = find("-->", open_ + 4)
+            at = len(html) if end < 0 else end + 3
+            continue
+        end = find(">", open_)
+        if end < 0:
+            break
+        name = _NAME.match(html, open_)
+        kind = name[2].lower() if name else ""
+        at = end + 1
+        if name and not name[1] and kind in _HIDDEN:
+            close = find("</" + kind, at)
+            if close >= 0:
+                close = find(">", close)
+                at = len(html) if close < 0 else close + 1
+        elif name and kind in _BODIES and body is None:
+            if not name[1] and inside is None:
+                inside, parts = kind, []
+            elif name[1] and kind == inside:
+                body = " ".join(parts)
+                break
+    return " ".join(parts) if body is None else body
 
 
 def _codes(data: np.ndarray, bounds: np.ndarray, bins: int):
@@ -119,8 +161,8 @@ def evidence_of_documents(documents: DataFrame) -> DataFrame:
     )
 
 
-def _shares(rows: DataFrame, keys: list[str], languages: list[str]) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.array(*[F.sum(F.col("soft")[i]) for i in range(len(languages))]).alias("n"))
+def _shares(rows: DataFrame, keys: list[str], languages: list[str], *more) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.array(*[F.sum(F.col("soft")[i]) for i in range(len(languages))]).alias("n"), *more)
 
 
 def identify(spark: SparkSession, evidence: DataFrame, model: TextModel, temper=TEMPER, lean=LEAN, top=TOP, space: Workspace | None = None) -> DataFrame:
@@ -156,8 +198,8 @@ def identify(spark: SparkSession, evidence: DataFrame, model: TextModel, temper=
     add = lambda column: F.aggregate(column, F.lit(0.0), lambda a, x: a + x)
     leaning = lambda counts, base: F.zip_with(counts, base, lambda x, p: (x + lean * p) / (add(counts) + lean))
     domains = _shares(rows, ["domain"], languages).select("domain", leaning(F.col("n"), prior).alias("p"))
-    hosts = _shares(rows, ["domain", "host"], languages).join(domains, "domain")
-    hosts = hosts.select("domain", "host", leaning(F.col("n"), F.col("p")).alias("prior"))
+    hosts = _shares(rows, ["domain", "host"], languages, F.count("*").alias("rows")).join(domains, "domain")
+    hosts = hosts.select("domain", "host", leaning(F.col("n"), F.col("p")).alias("prior"), "rows")
     # how likely a declared language or suffix is, given the language
     def likely(column, name):
         n = _shares(rows.where(F.col(column) != ""), [column], languages)
@@ -165,10 +207,10 @@ def identify(spark: SparkSession, evidence: DataFrame, model: TextModel, temper=
         sums = [x or 0.0 for x in (_shares(n.withColumn("soft", F.col("n")), [], languages).first()["n"] or [0.0] * k)]
         return n.select(column, F.array(*[(F.col("n")[i] + 1.0) / (F.lit(sums[i]) + kinds + 1.0) for i in range(k)]).alias(name))
 
-    # one host may hold a third of all rows: its rows are spread by salt, the small priors repeated
-    hosts = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "doc_id"), F.lit(SALT)).cast("long"))
-    rows = rows.join(hosts, ["domain", "host", "salt"], "left").join(likely("markup", "m"), "markup", "left").join(likely("suffix", "s"), "suffix", "left")
+    # one host may hold a third of all rows: those of hot hosts stay where they are, the few priors are broadcast
+    hosts = space.table(hosts, "hosts")
+    rows = join_hot(rows, hosts, ["domain", "host"], "rows")
+    rows = rows.join(likely("markup", "m"), "markup", "left").join(likely("suffix", "s"), "suffix", "left")
     score = F.zip_with("logs", F.coalesce("prior", prior), lambda a, p: a + F.log(p))
     for name in ("m", "s"):
         score = F.when(F.col(name).isNull(), score).otherwise(F.zip_with(score, F.col(name), lambda a, p: a + F.log(p)))
