@@ -3,14 +3,23 @@
 Each of ``tables`` tables hashes a vector to ``floor((A v + b) / width)`` with
 Gaussian ``A``. A query visits its own bucket and those whose perturbation scores,
 the squared distances to the cell walls that it crosses, are least: ``probes``
-buckets in order of estimated success. Buckets are kept as blocks of at most
-``block`` vectors, and the queries that visit a bucket as packs of as many, so that
-one row of the join is a bounded matrix product and hot buckets are dealt over many
-rows. Candidates of all tables are merged and ranked by exact distance.
+buckets in order of estimated success. Candidates of all tables are merged and ranked by
+exact distance.
+
+``tune`` fits tables, hashes, width and probes to the data: of a bounded sample (``SAMPLE``
+vectors, ``ASKED`` of them as queries, whose true neighbours among all vectors are found
+first) it takes the cheapest setting that finds ``TARGET`` of these neighbours. As data grow
+denser, finer buckets win, so a query meets a smaller share of all vectors; where
+neighbours are hardly nearer than the average vector, no hash can tell them apart, and
+the setting ends near a full search. Every vector is indexed.
+
+Buckets are kept as packs of at most ``block`` vectors, and the queries that visit a bucket
+likewise, so that one row of the join is a bounded matrix product. The packs of a hot bucket
+are laid out on a grid of tasks, both sides split.
 
 Equal vectors are indexed once, with their ``k + 1`` smallest ids, which is all that
 ties can ask for; equal queries share one search. Queries for which the buckets hold
-too few candidates are compared with every vector, block by block.
+too few candidates are compared with every vector, by the same grid.
 
 Vectors that are null, zero or hold null or non-finite components, or whose length
 is not the most common one, take no part, as query or candidate. Null ids take no
@@ -21,15 +30,20 @@ is a query. Extra columns are ignored.
 from __future__ import annotations
 
 import itertools
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, shuffle_partitions
+from .common import Workspace, join_hot
 
-TABLES, HASHES, WIDTH, PROBES, BLOCK, K, EVERY = 8, 4, 1.0, 40, 512, 10, 100
+BLOCK, K, EVERY = 512, 10, 100
+SAMPLE, ASKED, TARGET = 4096, 64, 0.95
+SIDE = 8  # packs of either side that one cell of the grid of a bucket holds
+MARGIN = 5  # nodes kept beyond those asked for, as sums of squares may differ in their last digits
+SENT = 64  # what sending a vector to a bucket costs, in distances
 HELD = 1 << 20  # candidates a task holds before it sends them on
 
 
@@ -43,8 +57,8 @@ def usable(table: DataFrame) -> DataFrame:
 
 class Hashes:
     def __init__(self, dims: int, tables: int, hashes: int, width: float, seed: int = 5):
-        rng = np.random.default_rng(seed)
-        self.a, self.b, self.width = rng.normal(size=(tables, dims, hashes)), rng.uniform(0, width, (tables, hashes)), width
+        each = [np.random.default_rng((seed, t)) for t in range(tables)]  # a table is the same however many there are
+        self.a, self.b, self.width = [r.normal(size=(dims, hashes)) for r in each], [r.uniform(0, width, hashes) for r in each], width
         self.moves = np.array(list(itertools.product((-1, 0, 1), repeat=hashes)))
         self.step = np.array([1009**i for i in range(hashes)], np.int64)
 
@@ -54,16 +68,69 @@ class Hashes:
     def keys(self, t: int, vectors: np.ndarray) -> np.ndarray:
         return np.floor(self.cells(t, vectors)).astype(np.int64) @ self.step
 
+    def visited(self, t: int, queries: np.ndarray, near: list[np.ndarray], sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """At which probe each query reaches its neighbours, and at which the sample; never: 3**hashes."""
+        cells = self.cells(t, queries)
+        home = np.floor(cells)
+        order = np.argsort(np.argsort(self._scores(cells - home), axis=1, kind="stable"), axis=1)
+        base = 3 ** np.arange(self.moves.shape[1] - 1, -1, -1)
+
+        def rank(i, vectors):
+            move = np.floor(self.cells(t, vectors)) - home[i]
+            at = ((move + 1).clip(0, 2) @ base).astype(np.int64)
+            return np.where((np.abs(move) <= 1).all(1), order[i][at], len(base) and 3 ** len(base))
+
+        found = [rank(i, n) for i, n in enumerate(near) if len(n)]
+        return np.concatenate([*found, np.zeros(0, np.int64)]), np.concatenate([rank(i, sample) for i in range(len(queries))])
+
+    def _scores(self, inside: np.ndarray) -> np.ndarray:
+        walls = np.stack([inside**2, np.zeros_like(inside), (1 - inside) ** 2], 2)
+        return sum(walls[:, m, self.moves[:, m] + 1] for m in range(inside.shape[1]))
+
     def probes(self, t: int, vectors: np.ndarray, count: int) -> np.ndarray:
         cells = self.cells(t, vectors)
         home = np.floor(cells)
-        inside = cells - home
-        walls = np.stack([inside**2, np.zeros_like(inside), (1 - inside) ** 2], 2)
-        score = sum(walls[:, m, self.moves[:, m] + 1] for m in range(home.shape[1]))
-        order = np.argsort(score, axis=1, kind="stable")[:, :count]
+        order = np.argsort(self._scores(cells - home), axis=1, kind="stable")[:, :count]
         return (home.astype(np.int64)[:, None, :] + self.moves[order]) @ self.step
 
 
+@dataclass(frozen=True)
+class Setting:
+    tables: int
+    hashes: int
+    width: float
+    probes: int
+
+
+def choose(sample: np.ndarray, queries: np.ndarray, near: list[np.ndarray], rows: float, asked: float, target: float = TARGET) -> Setting:
+    """The cheapest setting by which ``queries`` find ``target`` of their neighbours ``near``.
+
+    Costs are estimated numbers of distances and, times ``SENT``, of vectors sent to a bucket.
+    """
+    scale = float(np.median([np.linalg.norm(n - q, axis=1).max() for q, n in zip(queries, near) if len(n)] or [1.0])) or 1.0
+    everything = Setting(1, 1, 1e9 * scale, 1)
+    best, least = everything, asked * rows + SENT * (rows + asked)
+    for hashes in range(2, 7):
+        for width in (0.5 * scale, 0.75 * scale, scale, 1.5 * scale, 2 * scale):
+            ranks, share = [], []
+            for t in range(4):
+                family = Hashes(sample.shape[1], t + 1, hashes, width)
+                found, all_ = family.visited(t, queries, near, sample)
+                ranks.append(found)
+                share.append(all_)
+                first = np.sort(np.min(ranks, axis=0))
+                if len(first) == 0:
+                    continue
+                probes = first[min(len(first) - 1, int(np.ceil(target * len(first))) - 1)]
+                if probes >= 3**hashes:
+                    continue
+                work = sum((s <= probes).mean() for s in share)
+                cost = asked * rows * work + SENT * (t + 1) * (rows + asked * (probes + 1))
+                if cost < least:
+                    best, least = Setting(t + 1, hashes, width, int(probes) + 1), cost
+    return best
+
+
 def _matrix(column) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -107,11 +174,15 @@ def _nearest(k: int):
                 row = {c: batch.column(c)[i].values for c in ("queries", "qv", "nodes", "nv")}
                 queries, nodes = row["queries"].to_numpy(), row["nodes"].to_numpy()
                 x, y = _matrix(row["qv"]), _matrix(row["nv"])
-                d = (x**2).sum(1)[:, None] + (y**2).sum(1) - 2 * x @ y.T
-                take = min(k, len(nodes))
-                near = np.argpartition(d, take - 1, axis=1)[:, :take] if take < len(nodes) else np.tile(np.arange(len(nodes)), (len(queries), 1))
-                held.append((np.repeat(queries, near.shape[1]), nodes[near].ravel(), np.take_along_axis(d, near, 1).ravel()))
-                size += near.size
+                x2, y2 = (x**2).sum(1), (y**2).sum(1)
+                rough = x2[:, None] + y2 - 2 * x @ y.T
+                # all that rounding may put among the first k are then measured by differences
+                take = min(k, len(nodes)) - 1
+                edge = np.partition(rough, take, axis=1)[:, take] + 1e-12 * (x2 + y2.max())
+                i, j = np.nonzero(rough <= edge[:, None])
+                d = np.concatenate([((x[a] - y[b]) ** 2).sum(1) for a, b in zip(np.array_split(i, len(i) // 65536 + 1), np.array_split(j, len(i) // 65536 + 1))])
+                held.append(best([(queries[i], nodes[j], d)]))
+                size += len(held[-1][0])
                 if size > HELD:
                     held = [best(held)]
                     size = len(held[0][0])
@@ -128,26 +199,73 @@ def _pairs(found) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), pa.array(found[2])], ["query", "node", "rough"])
 
 
-def _packed(rows: DataFrame, vectors: DataFrame, block: int, names: tuple[str, str]) -> DataFrame:
-    """Buckets as blocks of at most about ``block`` vectors; blocks are dealt by a hash, so none is collected whole."""
-    sizes = rows.groupBy("table", "bucket").agg(F.ceil(2 * F.count("*") / block).cast("int").alias("blocks"))
-    rows = rows.join(sizes, ["table", "bucket"]).join(vectors, "node")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("node", "table"), F.col("blocks")))
-    packs = rows.groupBy("table", "bucket", "part").agg(F.collect_list(F.struct("node", "v")).alias("_all"))
-    return packs.select("table", "bucket", F.col("_all.node").alias(names[0]), F.col("_all.v").alias(names[1]))
+def _packed(rows: DataFrame, vectors: DataFrame, block: int, space: Workspace, name: str) -> DataFrame:
+    """(table, bucket, part, parts, nodes, vs): buckets as packs of about ``block`` vectors, dealt by a hash, so that none is collected whole."""
+    rows = space.table(rows, f"{name}-rows")
+    sizes = space.table(rows.groupBy("table", "bucket").agg(F.count("*").alias("n"), F.ceil(2 * F.count("*") / block).cast("int").alias("parts")), f"{name}-sizes")
+    rows = join_hot(rows, sizes, ["table", "bucket"], "n").join(vectors, "node")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node", "table"), F.col("parts")).cast("int"))
+    packs = rows.groupBy("table", "bucket", "part").agg(F.first("parts").alias("parts"), F.collect_list(F.struct("node", "v")).alias("_all"))
+    packs = packs.select("table", "bucket", "part", "parts", F.col("_all.node").alias("nodes"), F.col("_all.v").alias("vs"))
+    packs = space.table(packs, name)
+    space.drop(f"{name}-rows", f"{name}-sizes")
+    return packs
+
+
+def _met(visits: DataFrame, stored: DataFrame) -> DataFrame:
+    """Each pack of queries with each pack of vectors of its bucket, on a grid of ``SIDE`` by ``SIDE`` packs a cell."""
+    cells = lambda n: F.ceil(F.col(n) / SIDE).cast("int")
+    # how many cells the other side has, per bucket: one row each
+    rows = visits.groupBy("table", "bucket").agg(F.first("parts").alias("rows"))
+    columns = stored.groupBy("table", "bucket").agg(F.first("parts").alias("columns"))
+    both = rows.join(columns, ["table", "bucket"])
+    across = lambda n: F.explode(F.sequence(F.lit(0), cells(n) - 1))
+    left = visits.join(both.select("table", "bucket", "columns"), ["table", "bucket"])
+    left = left.select("table", "bucket", (F.col("part") % cells("parts")).alias("i"), across("columns").alias("j"), F.col("nodes").alias("queries"), F.col("vs").alias("qv"))
+    right = stored.join(both.select("table", "bucket", "rows"), ["table", "bucket"])
+    right = right.select("table", "bucket", across("rows").alias("i"), (F.col("part") % cells("parts")).alias("j"), "nodes", F.col("vs").alias("nv"))
+    return left.join(right, ["table", "bucket", "i", "j"]).select("queries", "qv", "nodes", "nv")
+
+
+def _best(met: DataFrame, want: int) -> DataFrame:
+    """(query, node): the ``want`` nearest nodes of each query, at most ``MARGIN`` more."""
+    want += MARGIN
+    found = met.mapInArrow(_nearest(want), "query long, node long, rough double").groupBy("query", "node").agg(F.min("rough").alias("rough"))
+    best = Window.partitionBy("query").orderBy("rough", "node")
+    return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= want).select("query", "node")
+
+
+def tune(vectors: DataFrame, dims: int, rows: int, asked: int, k: int, sample: int = SAMPLE, queries: int = ASKED, target: float = TARGET) -> Setting:
+    """Fits a setting on at most ``sample`` vectors, chosen by a hash, and the true neighbours of ``queries`` of them."""
+    few = vectors.orderBy(F.xxhash64("v"), "node").limit(sample).select("node", "v").toArrow()
+    held, nodes = _matrix(few.column("v")), few.column("node").to_numpy()
+    if len(nodes) < 2:
+        return Setting(1, 1, 1e9, 1)
+    ask, own = held[:queries], nodes[:queries]
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            y, ids = _matrix(batch.column("v")), batch.column("node").to_numpy()
+            d = (ask**2).sum(1)[:, None] + (y**2).sum(1) - 2 * ask @ y.T
+            d[own[:, None] == ids] = np.inf
+            take = min(k, len(ids))
+            near = np.argpartition(d, take - 1, axis=1)[:, :take]
+            i = np.repeat(np.arange(len(own)), take)
+            flat = y[near.ravel()]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * dims), pa.array(flat.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(np.take_along_axis(d, near, 1).ravel()), lists], ["i", "d", "v"])
+
+    order = Window.partitionBy("i").orderBy("d")
+    got = vectors.mapInArrow(run, "i long, d double, v array<double>").where("d < double('inf')")
+    got = got.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("i", "v").toArrow()
+    i, v = got.column("i").to_numpy(), _matrix(got.column("v"))
+    return choose(held, ask, [v[i == n] for n in range(len(own))] if len(i) else [np.zeros((0, dims))] * len(own), rows, asked, target)
 
 
 def nearest(
-    spark: SparkSession,
-    embeddings: DataFrame,
-    every: int = EVERY,
-    k: int = K,
-    tables: int = TABLES,
-    hashes: int = HASHES,
-    width: float = WIDTH,
-    probes: int = PROBES,
-    block: int = BLOCK,
-    space: Workspace | None = None,
+    spark: SparkSession, embeddings: DataFrame, every: int = EVERY, k: int = K, setting: Setting | None = None, block: int = BLOCK, space: Workspace | None = None
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each id that ``every`` divides."""
     space = space or Workspace(spark, "ann")
@@ -158,56 +276,36 @@ def nearest(
     rows = rows.where(F.size("v") == common["dims"])
     # one node for all equal vectors; -0.0 and 0.0 are equal
     rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
-    rows = rows.withColumn("node", F.struct(F.xxhash64("v").alias("x"), F.hash("v").alias("y")))
-    order = Window.partitionBy("node").orderBy("vec_id")
+    rows = rows.withColumn("same", F.struct(F.xxhash64("v").alias("x"), F.hash("v").alias("y")))
+    order = Window.partitionBy("same").orderBy("vec_id")
     ids = space.table(rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1), "ids")
-    heads = ids.where("place = 1").select(F.col("vec_id").alias("head"), "node", "v")
-    heads = space.table(heads.select(F.col("head").alias("node"), F.col("node").alias("same"), "v"), "heads")
-    asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("node").alias("same"))
-    asked = space.table(asked.join(heads.select("same", F.col("node").alias("query")), "same").select("query_id", "query"), "asked")
-    queries = heads.join(asked.select(F.col("query").alias("node")).distinct(), "node").select("node", "v")
-    queries = space.table(queries, "queries")
+    heads = space.table(ids.where("place = 1").select(F.col("vec_id").alias("node"), "same", "v"), "heads")
+    # a group of equal vectors has one head and one row here for each of its rows
+    asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "same")
+    counted = space.table(asked.groupBy("same").agg(F.count("*").alias("n")).join(heads.select("same", F.col("node").alias("query")), "same"), "counted")
+    asked = space.table(join_hot(asked, counted, ["same"], "n").select("query_id", "query"), "asked")
     vectors = heads.select("node", "v")
-    family = Hashes(common["dims"], tables, hashes, width)
+    queries = space.table(vectors.join(counted.select(F.col("query").alias("node")), "node", "left_semi"), "queries")
+    sent = queries.count()
+    setting = setting or tune(vectors, common["dims"], vectors.count(), sent, k)
+    family = Hashes(common["dims"], setting.tables, setting.hashes, setting.width)
     schema = "table int, bucket long, node long"
-    visits = space.table(_packed(queries.mapInArrow(_hashed(family, tables, min(probes, 3**hashes)), schema), queries, block, ("queries", "qv")), "visits")
-    stored = space.table(_packed(vectors.mapInArrow(_hashed(family, tables, 0), schema), vectors, block, ("nodes", "nv")), "stored")
+    visits = _packed(queries.mapInArrow(_hashed(family, setting.tables, min(setting.probes, 3**setting.hashes)), schema), queries, block, space, "visits")
+    stored = _packed(vectors.mapInArrow(_hashed(family, setting.tables, 0), schema), vectors, block, space, "stored")
     # a query's own node is among its k + 1 nearest, and equal vectors make one node
     want = k + 1
-    met = visits.join(stored, ["table", "bucket"]).select("queries", "qv", "nodes", "nv")
-    found = met.mapInArrow(_nearest(want), "query long, node long, rough double").groupBy("query", "node").agg(F.min("rough").alias("rough"))
-    best = Window.partitionBy("query").orderBy("rough", "node")
-    found = space.table(found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= want), "found")
+    found = space.table(_best(_met(visits, stored), want), "found")
     few = queries.join(found.groupBy(F.col("query").alias("node")).count().where(F.col("count") >= want).select("node"), "node", "left_anti")
     few = space.table(few, "few")
     if not few.isEmpty():
-        found = space.table(found.select("query", "node").unionByName(_in_full(spark, few, vectors, want, block)).distinct(), "found-2")
-    near = found.select("query", "node").join(ids.select(F.col("node").alias("same"), "vec_id", "v").join(heads.select("same", "node"), "same"), "node")
-    pairs = asked.join(near.select("query", "vec_id", "v"), "query").where("query_id <> vec_id")
+        whole = lambda frame: frame.select(F.lit(0).alias("table"), F.lit(0).cast("long").alias("bucket"), "node")
+        rest = _met(_packed(whole(few), few, block, space, "few-packs"), _packed(whole(vectors), vectors, block, space, "all-packs"))
+        found = space.table(found.unionByName(_best(rest, want)).distinct(), "found-2")
+    near = found.join(heads.select("node", "same"), "node").join(ids.select("same", "vec_id", "v"), "same").select("query", "vec_id", "v")
+    pairs = asked.join(near, "query").where("query_id <> vec_id")
     pairs = pairs.join(queries.select(F.col("node").alias("query"), F.col("v").alias("w")), "query")
     square = F.aggregate(F.zip_with("v", "w", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
     pairs = pairs.select("query_id", "vec_id", F.sqrt(square).alias("score"))
     last = Window.partitionBy("query_id").orderBy("score", "vec_id")
     pairs = pairs.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
     return pairs.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-def _in_full(spark: SparkSession, few: DataFrame, vectors: DataFrame, want: int, block: int) -> DataFrame:
-    """Exact nearest nodes of queries that found too few: packs of queries against every block of vectors."""
-    parts = shuffle_partitions(spark)
-
-    def packed(frame, names):
-        blocks = frame.withColumn("part", F.floor(F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("node"), F.lit(parts)).alias("deal")).orderBy("node")) / block))
-        rows = blocks.withColumn("deal", F.pmod(F.xxhash64("node"), F.lit(parts))).groupBy("deal", "part").agg(F.collect_list(F.struct("node", "v")).alias("_all"))
-        return rows.select(F.col("_all.node").alias(names[0]), F.col("_all.v").alias(names[1]))
-
-    stored = packed(vectors, ("nodes", "nv"))
-    out = None
-    for pack in packed(few, ("queries", "qv")).toLocalIterator():
-        one = spark.createDataFrame([(pack["queries"], pack["qv"])], "queries array<long>, qv array<array<double>>")
-        row = stored.withColumn("_one", F.lit(1)).join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one").select("queries", "qv", "nodes", "nv")
-        got = row.mapInArrow(_nearest(want), "query long, node long, rough double")
-        best = Window.partitionBy("query").orderBy("rough", "node")
-        got = got.withColumn("place", F.row_number().over(best)).where(F.col("place") <= want).select("query", "node")
-        out = got if out is None else out.unionByName(got)
-    return out
