@@ -197,7 +197,7 @@ def test_nearest(spark):
     rows = [(i, (centres[i % 20] + 0.2 * rng.normal(size=16)).astype("f4").tolist()) for i in range(600)]
     rows += [(1000 + i, rows[0][1]) for i in range(30)] + [(2000, None), (2010, [0.0] * 16), (2020, [None] + [1.0] * 15), (2030, [float("inf")] * 16), (2040, [1.0]), (None, rows[1][1])]
     table = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, rank int")
-    got = ann.nearest(spark, table, every=10, width=2.0, probes=40).toPandas()
+    got = ann.nearest(spark, table, every=10).toPandas()
     use = [r for r in rows if r[0] is not None and (r[0] < 2000)]
     ids, x = np.array([r[0] for r in use]), np.array([r[1] for r in use], "f8")
     hit = total = 0
