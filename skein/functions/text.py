@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,12 +14,43 @@ LANGUAGES = {
     "rs": "rust", "py": "python", "ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "javascript",
     "go": "go", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "md": "markdown", "toml": "toml",
 }
-NOT_WORD = "[^a-z0-9_]+"
+NOT_WORD = r"[^\p{L}\p{N}\p{Co}_]+"
+
+_SPLIT = regex.compile(NOT_WORD)
+
+
+def _accents() -> tuple[str, str]:
+    """Lower-case letters that are a base letter with marks, then all marks; and the base letters."""
+    marked, base, marks = [], [], []
+    for code in range(0x80, 0x10000):
+        c = chr(code)
+        parts = unicodedata.normalize("NFD", c)
+        if unicodedata.category(c) == "Mn":
+            marks.append(c)
+        elif c.isalpha() and len(parts) > 1 and all(unicodedata.category(x) == "Mn" for x in parts[1:]) and parts[0] != c:
+            marked.append(c)
+            base.append(parts[0])
+    return "".join(marked + marks), "".join(base)
+
+
+_MARKED, _BASE = _accents()
+
+
+def plain(text: Column) -> Column:
+    """Lower case, without accents; only texts beyond ASCII are walked letter by letter."""
+    low = F.lower(text)
+    return F.when(low.rlike(r"[^\x00-\x7f]"), F.translate(low, _MARKED, _BASE)).otherwise(low)
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case ASCII words, in order."""
-    return F.filter(F.split(F.lower(text), NOT_WORD), lambda t: t != "")
+    """Words in order: runs of letters, digits and underscores, in lower case and without accents."""
+    return F.filter(F.split(plain(text), NOT_WORD), lambda t: t != "")
+
+
+def python_tokens(text: str) -> list[str]:
+    """The same for one text on the driver."""
+    low = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if unicodedata.category(c) != "Mn")
+    return [w for w in _SPLIT.split(unicodedata.normalize("NFC", low)) if w]
 
 
 def identifier_terms(name: Column) -> Column:

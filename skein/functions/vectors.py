@@ -18,20 +18,26 @@ def norm(a: Column) -> Column:
 
 def normalised(a: Column) -> Column:
     """A unit vector; an error for empty, zero or non-finite ones."""
-    bad = (F.size(a) == 0) | F.exists(a, lambda x: x.isNull() | F.isnan(x)) | (norm(a) < 1e-12)
+    bad = (F.size(a) == 0) | F.exists(a, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | (norm(a) < 1e-12)
     unit = F.transform(a, lambda x: x.cast("double") / norm(a))
     return F.when(bad, F.raise_error(F.lit("vector can't be normalised")).cast("array<double>")).otherwise(unit)
 
 
-def hash_embedding(postings: DataFrame, dims: int = 256) -> DataFrame:
-    """(doc_id, vector): each token adds its sign to a slot chosen by its digest; unit length."""
-    digest = F.xxhash64("token")
-    signed = postings.select("doc_id", F.pmod(digest, F.lit(dims)).cast("int").alias("slot"), F.when(F.shiftright(digest, 40).bitwiseAND(1) == 1, -1.0).otherwise(1.0).alias("sign"))
+def hash_embedding(documents: DataFrame, dims: int = 256) -> DataFrame:
+    """(doc_id, vector) from (doc_id, words): each word adds its sign to a slot, both from its digest; unit length.
+
+    A document without words has the zero vector. Slots are summed before the shuffle.
+    """
+    digest = F.md5("token")
+    number = lambda at, size: F.conv(F.substring(digest, at, size), 16, 10).cast("long")
+    words = documents.select("doc_id", F.explode("words").alias("token"))
+    signed = words.select("doc_id", (number(1, 8) % dims).cast("int").alias("slot"), F.when(number(9, 2) % 2 == 1, -1.0).otherwise(1.0).alias("sign"))
     slots = signed.groupBy("doc_id", "slot").agg(F.sum("sign").alias("w"))
     filled = slots.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "w"))).alias("m"))
+    rows = documents.select("doc_id").join(filled, "doc_id", "left")
     raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
     size = norm(F.col("v"))
-    return filled.select("doc_id", raw.alias("v")).select("doc_id", F.when(size > 0, F.transform("v", lambda x: x / size)).otherwise(F.col("v")).alias("vector"))
+    return rows.select("doc_id", raw.alias("v")).select("doc_id", F.when(size > 0, F.transform("v", lambda x: x / size)).otherwise(F.col("v")).alias("vector"))
 
 
 def _best(k: int, near: bool):

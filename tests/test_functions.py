@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
@@ -34,9 +35,12 @@ def test_chunks_cover_the_text(spark):
 
 def test_vectors(spark):
     assert one(spark, vectors.dot(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(4.0)))) == 11.0
-    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "doc_id long, token string")
+    rows = spark.createDataFrame([(1, ["a", "b"]), (2, ["a"]), (3, [])], "doc_id long, words array<string>")
     for r in vectors.hash_embedding(rows, 32).collect():
-        assert abs(sum(x * x for x in r.vector) - 1) < 1e-9 and len(r.vector) == 32
+        assert abs(sum(x * x for x in r.vector) - (r.doc_id < 3)) < 1e-9 and len(r.vector) == 32
+    for bad in ([], [0.0], [float("nan")], [float("inf")], [None]):
+        with pytest.raises(Exception, match="normalised"):
+            spark.createDataFrame([(bad,)], "v array<double>").select(vectors.normalised(F.col("v"))).collect()
 
 
 def test_query_filters():

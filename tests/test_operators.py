@@ -1,7 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from skein.functions import text as T
 from skein.operators import evaluation, evidence, graphs, joins, lexical, ranking, snapshots
+from skein.operators.index import TextIndex
 from skein.sources import tables
 from skein.streaming.monitors import Monitor
 
@@ -91,9 +93,62 @@ def test_bootstrap_brackets_the_mean(spark):
     assert 3.9 < row.low < 4.5 < row.high < 5.1
 
 
-def test_cascade_is_strictest_first(spark):
-    docs = spark.createDataFrame([(1, "alpha beta"), (2, "alphabet beta"), (3, "gamma"), (4, None)], "doc_id long, text string")
-    assert [(r.doc_id, r.stage) for r in lexical.cascade(docs, ["alpha", "beta"], 10).collect()] == [(1, 0), (2, 1)]
+@pytest.fixture
+def indexed(spark, tmp_path):
+    def build(rows):
+        frame = spark.createDataFrame(rows, "doc_id long, path string, name string, terms string, body string")
+        return TextIndex.build(spark, frame, str(tmp_path / "index"))
+
+    return build
+
+
+def body(*texts):
+    return [(i, f"p/{i}", None, None, t) for i, t in enumerate(texts, 1)]
+
+
+def test_tokens_fold_letters_and_accents(spark):
+    text = "\u00c9l\u00e8ve na\u00efve gr\u00f6\u00dfe \u6f22\u5b57 x_1 e\u0301 \u0419"
+    want = ["eleve", "naive", "gro\u00dfe", "\u6f22\u5b57", "x_1", "e", "\u0438"]
+    assert spark.createDataFrame([(text,)], "t string").select(T.tokens(F.col("t"))).first()[0] == want == T.python_tokens(text)
+
+
+def test_cascade_is_strictest_first(indexed):
+    index = indexed(body("alpha beta", "alphabet beta", "gamma", None))
+    assert [(r.doc_id, r.stage) for r in lexical.cascade(index, ["alpha", "beta"], 10).orderBy("rank").collect()] == [(1, 0), (2, 1)]
+    assert lexical.cascade(index, [], 10).count() == 0 and lexical.cascade(index, ["zzz"], 10).count() == 0
+    assert [r.doc_id for r in lexical.cascade(index, ["alpha", "beta"], 1).collect()] == [1]  # no stage begins once there are enough
+
+
+def test_cascade_of_mixed_scripts_and_pairs(indexed):
+    index = indexed(body("alpha beta", "\u6f22\u5b57 alpha", "alphabet", "beta gamma delta", "delta epsilon", "gamma"))
+    got = [(r.doc_id, r.stage) for r in lexical.cascade(index, ["\u6f22\u5b57", "alpha"], 10).orderBy("rank").collect()]
+    assert got[0] == (2, 0) and {(1, 2), (3, 3)} <= set(got)
+    # three terms make three pairs, one of which suffices; two terms have no floor
+    assert {r.doc_id for r in lexical.cascade(index, ["beta", "gamma", "delta"], 10).collect()} == {4}
+    assert {r.doc_id for r in lexical.cascade(index, ["gamma", "delta", "epsilon"], 10).collect()} == {4, 5}
+    assert lexical.cascade(index, ["beta", "epsilon"], 10).count() == 0
+
+
+def test_floor_drops_common_terms():
+    terms = [f"t{i:02}" for i in range(14)]
+    df = {i: 5 + i for i in range(14)} | {3: 4000, 5: 0}
+    pairs = lexical.floor_of(df, terms, 10_000)
+    assert len(pairs) == 66 and pairs[0] == (0, 1) and not {3, 5} & {i for p in pairs for i in p}
+    assert lexical.floor_of({0: 9000, 1: 9000}, terms, 10_000) == [(0, 1)] and lexical.floor_of({}, ["a", "b"], 10) == []
+
+
+def test_index_weighs_fields_and_is_found_again(spark, indexed, tmp_path):
+    index = indexed([(1, "x", "alpha", None, "beta"), (2, "x", None, None, "alpha beta"), (3, "alpha/y", None, "b", "c"), (4, "z", "", "", "d"), (5, "z", "", "", "e"), (6, "z", "", "", "f"), (7, "z", "", "", "g")])
+    assert [r.doc_id for r in lexical.bm25(index, ["alpha"]).orderBy(F.desc("score")).collect()] == [1, 3, 2]
+    assert {r.doc_id for r in lexical.phrase(index, ["alpha", "beta"]).collect()} == {2}
+    assert [r.path for r in lexical.mentions(TextIndex(spark, str(tmp_path / "index")), "alpha::beta").collect()] == ["x"]
+    assert (index.n, {r.token: r.df for r in index.frequencies().collect()}["alpha"]) == (7, 3)
+
+
+def test_snippet_shows_the_best_window(spark):
+    text = "\u00c9t\u00e9 " + "w " * 40 + "alpha b\u00e9ta " + "v " * 40
+    row = spark.createDataFrame([(text,)], "t string").select(lexical.snippet(F.col("t"), ["alpha", "beta"], 6)).first()
+    assert row[0] == "\u2026 w w w w <mark>alpha</mark> <mark>b\u00e9ta</mark> \u2026"
 
 
 def test_repository_scan(spark, tmp_path):
