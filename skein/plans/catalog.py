@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evaluation, graph, history, lexical, relational
+from . import evaluation, graph, history, lexical, metrics, relational
 
-MODULES = (relational, lexical, graph, evaluation, history)
+MODULES = (relational, lexical, graph, evaluation, history, metrics)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
 
