@@ -20,27 +20,61 @@ def top_edges(edges: DataFrame, k: int) -> DataFrame:
     return top_per_key(edges, "src", [F.desc("confidence"), F.col("dst"), F.col("kind")], k)
 
 
-def _both(edges: DataFrame) -> DataFrame:
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "kind", "confidence")
-    return edges.select("src", "dst", "kind", "confidence").unionByName(back)
+#: Which edges a policy follows, and which way.
+POLICIES = {
+    "outgoing": (("calls", "imports", "route_handled_by"), "outgoing"),
+    "incoming": (("calls", "references", "tests", "implements"), "incoming"),
+    "opportunistic": (("calls", "references", "imports", "changed_with"), "both"),
+    "dataflow": (("calls", "references", "imports"), "both"),
+}
+FRONTIER = 64  # nodes that a step of a walk starts from at most, so that they can be broadcast
 
 
-def expand(edges: DataFrame, seeds: DataFrame, kinds: list[str], hops: int = 2, per_seed: int = 24, frontier: int = 4) -> DataFrame:
-    """(node, hop, score): damped expansion from (node, score); kinds are filtered after the cap per node."""
-    degree = degrees(edges)
-    both, front, found = _both(edges), seeds.select("node", "score"), None
+def _leaving(edges: DataFrame, nodes: DataFrame, direction: str) -> DataFrame:
+    """(at, to, kind, confidence, ...) of the edges at a few nodes; the nodes are broadcast and only their edges are sent on."""
+    few = F.broadcast(nodes)
+    parts = []
+    if direction != "incoming":
+        parts.append(edges.withColumnsRenamed({"src": "at", "dst": "to"}).withColumn("forward", F.lit(True)).join(few, "at"))
+    if direction != "outgoing":
+        parts.append(edges.withColumnsRenamed({"src": "to", "dst": "at"}).withColumn("forward", F.lit(False)).join(few, "at"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def neighbours(edges: DataFrame, nodes: DataFrame, direction: str = "both", k: int = 24) -> DataFrame:
+    """The ``k`` strongest edges of each of a few nodes (column ``at``), whichever way they go; equal ones count once.
+
+    At most ``k`` rows a node come out, in one partition, so that what follows needs no shuffle.
+    """
+    rows = _leaving(edges.select("src", "dst", "kind", "confidence"), nodes, direction).drop("forward")
+    rows = rows.distinct() if direction == "both" else rows
+    return top_per_key(rows, "at", [F.desc("confidence"), F.col("to"), F.col("kind")], k).drop("place").coalesce(1)
+
+
+def expand(edges: DataFrame, seeds: DataFrame, kinds: list[str], hops: int = 2, per_seed: int = 24, frontier: int = 4, direction: str = "both") -> DataFrame:
+    """(node, hop, score): damped expansion from (node, score); kinds are filtered after the cap per node.
+
+    A step sends on the edges of its frontier only, at most ``FRONTIER`` nodes, and counts only their degrees.
+    """
+    front, found = seeds.select(F.col("node").alias("at"), "score").orderBy(F.desc("score"), "at").limit(FRONTIER), None
     for hop in range(hops):
-        reached = front.join(both, front.node == both.src)
-        reached = top_per_key(reached, "src", [F.desc("confidence"), F.col("dst"), F.col("kind")], per_seed).where(F.col("kind").isin(*kinds))
-        spread = F.col("score") * F.col("confidence") * 0.5**hop
-        reached = reached.join(degree, reached.src == degree.node, "left").select(F.col("dst").alias("node"), (spread / (1 + F.log(F.greatest("degree", F.lit(1))))).alias("score"))
-        best = reached.groupBy("node").agg(F.round(F.max("score"), 9).alias("score"))
+        ends = _leaving(edges.select("src", "dst"), front.select("at"), "both").where("forward OR at <> to")
+        degree = ends.groupBy("at").agg(F.count("*").alias("degree"))
+        reached = neighbours(edges, front.select("at"), direction, per_seed).where(F.col("kind").isin(*kinds))
+        reached = reached.join(F.broadcast(front), "at").join(F.broadcast(degree), "at")  # one row per frontier node
+        spread = F.col("score") * F.col("confidence") * 0.5**hop / (1 + F.log(F.greatest("degree", F.lit(1))))
+        best = reached.groupBy(F.col("to").alias("node")).agg(F.round(F.max(spread), 9).alias("score"))
         step = best.select("node", F.lit(hop + 1).cast("long").alias("hop"), "score")
         found = step if found is None else found.unionByName(step)
-        front = best.where("score > 0.001").orderBy(F.desc("score"), "node").limit(frontier)
+        front = best.where("score > 0.001").orderBy(F.desc("score"), "node").limit(frontier).select(F.col("node").alias("at"), "score")
     return found
 
 
+def expand_by(policy: str, edges: DataFrame, seeds: DataFrame, **options) -> DataFrame:
+    kinds, direction = POLICIES[policy]
+    return expand(edges, seeds, list(kinds), direction=direction, **options)
+
+
 #: How much mass an edge of a kind carries forwards and backwards.
 CONDUCTANCE = {
     "route_handled_by": (0.9, 0.3), "calls": (0.8, 0.5), "imports": (0.7, 0.35), "tests": (0.6, 0.6),
@@ -48,34 +82,133 @@ CONDUCTANCE = {
 }
 
 
-def mass_flow(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
-    """(node, mass): what seeds (node, mass) deliver in up to two hops, without turning back on an edge."""
+def _universe(edges: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(src, dst, kind, confidence): the ``k`` strongest edges of each node in each direction, each once."""
+    parts = []
+    for direction in ("outgoing", "incoming"):
+        rows = neighbours(edges, nodes, direction, k)
+        at, to = ("src", "dst") if direction == "outgoing" else ("dst", "src")
+        parts.append(rows.select(F.col("at").alias(at), F.col("to").alias(to), "kind", "confidence"))
+    return parts[0].unionByName(parts[1]).groupBy("src", "dst", "kind").agg(F.max("confidence").alias("confidence"))
+
+
+def mass_flow(edges: DataFrame, seeds: DataFrame, per_node: int = 64, receivers: int = 16, most: int = 32) -> DataFrame:
+    """(node, mass, senders): what seeds (node, mass) deliver in two hops, without turning back on an edge.
+
+    The edges are those of at most ``most`` seeds and, for the second hop, of the ``receivers`` that got most
+    in the first; ``per_node`` each way. So few rows flow however large the graph is, and only the search for
+    these edges reads it. ``senders`` counts the seeds a node got mass from.
+    """
     pairs = [(f"{kind}{way}", w) for kind, both in CONDUCTANCE.items() for way, w in zip("><", both)]
     weight = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
-    keyed = edges.withColumn("edge", F.xxhash64("src", "dst", "kind"))
-    ways = keyed.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.concat("kind", F.lit(">")).alias("way"), "confidence", "edge").unionByName(
-        keyed.select(F.col("dst").alias("at"), F.col("src").alias("to"), F.concat("kind", F.lit("<")).alias("way"), "confidence", "edge")
-    )
-    total = F.sum("confidence").over(Window.partitionBy("at", "way"))
-    shares = ways.select("at", "to", "edge", (weight[F.col("way")] * F.col("confidence") / total).alias("share")).where("share > 0")
-    state = seeds.select(F.col("node").alias("at"), F.col("mass"), F.lit(None).cast("long").alias("last"))
-    out = None
-    for hop in range(1, hops + 1):
-        moved = state.join(shares, "at").where(F.col("last").isNull() | (F.col("last") != F.col("edge")))
-        state = moved.groupBy(F.col("to").alias("at"), F.col("edge").alias("last")).agg(F.sum(F.col("mass") * F.col("share")).alias("mass"))
-        got = state.groupBy(F.col("at").alias("node")).agg(F.sum(F.col("mass") * 0.5**hop).alias("mass"))
-        out = got if out is None else out.unionByName(got)
-    return out.groupBy("node").agg(F.round(F.sum("mass"), 9).alias("mass"))
+
+    def shares(universe):
+        keyed = universe.withColumn("edge", F.concat_ws("\x1f", "src", "dst", "kind"))
+        ways = keyed.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.concat("kind", F.lit(">")).alias("way"), "confidence", "edge").unionByName(
+            keyed.select(F.col("dst").alias("at"), F.col("src").alias("to"), F.concat("kind", F.lit("<")).alias("way"), "confidence", "edge")
+        )
+        total = ways.groupBy("at", "way").agg(F.sum("confidence").alias("total"))
+        return ways.join(total, ["at", "way"]).select("at", "to", "edge", (weight[F.col("way")] * F.col("confidence") / F.col("total")).alias("share")).where("share > 0")
+
+    start = seeds.orderBy(F.desc("mass"), "node").limit(most).select(F.col("node").alias("at"), "mass")
+    first = _universe(edges, start.select("at"), per_node)
+    one = start.join(shares(first), "at").select(F.col("at").alias("seed"), F.col("to").alias("at"), "edge", (F.col("mass") * F.col("share")).alias("mass"))
+    got = one.groupBy("at").agg(F.sum("mass").alias("m")).join(start.select("at"), "at", "left_anti")
+    best = got.orderBy(F.desc(F.round("m", 9)), "at").limit(receivers).select("at")
+    both = first.unionByName(_universe(edges, best, per_node)).groupBy("src", "dst", "kind").agg(F.max("confidence").alias("confidence"))
+    two = one.withColumnRenamed("edge", "last").join(shares(both), "at").where("last <> edge").select("seed", F.col("to").alias("at"), (F.col("mass") * F.col("share")).alias("mass"))
+    out = one.select("seed", "at", (F.col("mass") * 0.5).alias("mass")).unionByName(two.withColumn("mass", F.col("mass") * 0.25))
+    return out.groupBy(F.col("at").alias("node")).agg(F.round(F.sum("mass"), 9).alias("mass"), F.countDistinct("seed").alias("senders"))
 
 
-def impact(edges: DataFrame, start: DataFrame, kinds: list[str], hops: int = 2) -> DataFrame:
-    """(node, hops): who depends on the start nodes, by least hops."""
-    incoming = edges.where(F.col("kind").isin(*kinds)).select("src", "dst").distinct()
-    front, found = start.select("node"), start.select("node", F.lit(0).cast("long").alias("hops"))
+def impact(edges: DataFrame, start: DataFrame, kinds: list[str], hops: int = 2, per_node: int = 256) -> DataFrame:
+    """(node, hops, confidence): who depends on the start nodes, by least hops and then by the strongest edge.
+
+    Of each node the ``per_node`` strongest incoming edges count.
+    """
+    incoming = edges.where(F.col("kind").isin(*kinds)).groupBy("src", "dst").agg(F.max("confidence").alias("confidence"))
+    front, found = start.select("node"), start.select("node", F.lit(0).cast("long").alias("hops"), F.lit(1.0).alias("confidence"))
     for hop in range(1, hops + 1):
-        front = front.join(incoming, front.node == incoming.dst).select(F.col("src").alias("node")).distinct()
-        found = found.unionByName(front.withColumn("hops", F.lit(hop).cast("long")))
-    return found.groupBy("node").agg(F.min("hops").alias("hops")).where("hops > 0")
+        reached = front.withColumnRenamed("node", "dst").join(incoming, "dst")
+        reached = top_per_key(reached, "dst", [F.desc("confidence"), F.col("src")], per_node)
+        step = reached.groupBy(F.col("src").alias("node")).agg(F.max("confidence").alias("confidence"))
+        found = found.unionByName(step.select("node", F.lit(hop).cast("long").alias("hops"), "confidence"))
+        front = step.select("node")
+    best = found.groupBy("node").agg(F.min(F.struct("hops", (-F.col("confidence")).alias("c"))).alias("b"))
+    return best.select("node", "b.hops", (-F.col("b.c")).alias("confidence")).where("hops > 0")
+
+
+def references(edges: DataFrame, node: str, kinds: list[str], cap: int = 256) -> DataFrame:
+    """(src, kind, confidence, truncated): what refers to a node, the strongest first; ``truncated`` says that there is more."""
+    rows = edges.where((F.col("dst") == node) & F.col("kind").isin(*kinds))
+    top = rows.orderBy(F.desc("confidence"), "src", "kind").limit(cap + 1)
+    place = F.row_number().over(Window.partitionBy("dst").orderBy(F.desc("confidence"), "src", "kind"))  # at most ``cap`` rows and one
+    placed = top.withColumn("place", place).withColumn("truncated", F.count("*").over(Window.partitionBy("dst")) > cap)
+    return placed.where(F.col("place") <= cap).select("src", "kind", "confidence", "truncated")
+
+
+def components_explained(edges: DataFrame) -> DataFrame:
+    """(component, members, dependencies, dependents, tests), each sorted and distinct, of all that contain something."""
+    out = edges.select(F.col("src").alias("component"), F.col("dst").alias("other"), F.when(F.col("kind") == "contains", "members").when(F.col("kind").isin("build_depends_on", "imports"), "dependencies").alias("role"))
+    back = edges.select(F.col("dst").alias("component"), F.col("src").alias("other"), F.when(F.col("kind").isin("build_depends_on", "imports", "calls"), "dependents").when(F.col("kind") == "tests", "tests").alias("role"))
+    # pairs are made distinct before they are collected
+    rows = out.unionByName(back).where("role IS NOT NULL").distinct()
+    roles = ("members", "dependencies", "dependents", "tests")
+    got = rows.groupBy("component").agg(*[F.array_sort(F.collect_list(F.when(F.col("role") == r, F.col("other")))).alias(r) for r in roles])
+    return got.where(F.size("members") > 0)
+
+
+def package_map(packages: DataFrame, depends: DataFrame, members: DataFrame) -> DataFrame:
+    """(package, dependencies, dependents, member_files) from (package), (package, other) and (package, path)."""
+    names = packages.select("package")
+    known = depends.distinct().join(names, "package", "left_semi").join(names.withColumnRenamed("package", "other"), "other", "left_semi")
+    out = known.groupBy("package").agg(F.array_sort(F.collect_list("other")).alias("dependencies"))
+    back = known.groupBy(F.col("other").alias("package")).agg(F.array_sort(F.collect_list("package")).alias("dependents"))
+    files = members.groupBy("package").agg(F.count("*").alias("member_files"))
+    none = F.array().cast("array<string>")
+    rows = names.join(out, "package", "left").join(back, "package", "left").join(files, "package", "left")
+    return rows.select("package", F.coalesce("dependencies", none).alias("dependencies"), F.coalesce("dependents", none).alias("dependents"), F.coalesce("member_files", F.lit(0)).alias("member_files"))
+
+
+#: Which edge counts as the better pointer at equal confidence.
+POINTERS = {"tests": 2, "calls": 1, "references": 0}
+
+
+def backlinks(hits: DataFrame, entities: DataFrame, edges: DataFrame, sources: int = 8, per_source: int = 16, emit: int = 4) -> DataFrame:
+    """(query_id, source, target, kind, confidence, place): what the first callable hits point at beyond the hits.
+
+    Of each source the ``per_source`` strongest outgoing edges count; the best edge to a target stands for it;
+    a source gives one target, a target goes to its first source, and ``emit`` are given per query.
+    """
+    first = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    top = hits.where("path IS NOT NULL").withColumn("n", first).where(F.col("n") <= sources)
+    top = top.join(entities.where(F.col("kind").isin("function", "method")).select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
+    asked = top.select(F.col("entity_id").alias("src")).distinct()
+    out = top_per_key(edges.join(asked, "src", "left_semi"), "src", [F.desc("confidence"), F.col("id")], per_source)
+    order = F.lit(-1)
+    for kind, rank in POINTERS.items():
+        order = F.when(F.col("kind") == kind, rank).otherwise(order)
+    out = out.withColumn("pointer", order).where("pointer >= 0")
+    best = out.groupBy("src", "dst").agg(F.max(F.struct("confidence", "pointer", "kind")).alias("b"))
+    rows = top.select("query_id", "n", F.col("entity_id").alias("src")).join(best, "src").select("query_id", "n", "src", F.col("dst").alias("entity_id"), "b.*")
+    rows = rows.join(hits.select("query_id", "entity_id"), ["query_id", "entity_id"], "left_anti")
+    rows = top_per_key(rows.withColumn("key", F.concat_ws("/", "query_id", "src")), "key", [F.desc("confidence"), F.desc("pointer"), F.col("entity_id"), F.col("n")], 1).drop("place", "key")
+    once = rows.groupBy("query_id", "entity_id").agg(F.min(F.struct("n", "src", "kind", "confidence")).alias("r")).select("query_id", "entity_id", "r.*")
+    placed = top_per_key(once, "query_id", [F.col("n")], emit)
+    return placed.select("query_id", F.col("src").alias("source"), F.col("entity_id").alias("target"), "kind", "confidence", "place")
+
+
+def evidence_paths(edges: DataFrame, seeds: DataFrame, k: int = 24) -> DataFrame:
+    """(node, path): the strongest way of at most two edges from a seed to each node, as text; ties go by the text."""
+    one = neighbours(edges, seeds.select(F.col("node").alias("at")), "outgoing", k)
+    hop = F.concat(F.col("at"), F.lit(" -"), F.col("kind"), F.lit("-> "), F.col("to"))
+    first = one.select(F.col("to").alias("node"), F.col("confidence").alias("s"), hop.alias("path"))
+    mid = first.groupBy("node").agg(F.min(F.struct((-F.col("s")).alias("s"), "path")).alias("b")).orderBy("b", "node").limit(FRONTIER)
+    mid = mid.select(F.col("node").alias("at"), "b.path", (-F.col("b.s")).alias("s"))
+    two = neighbours(edges, mid.select("at"), "outgoing", k).join(F.broadcast(mid), "at")  # at most FRONTIER rows
+    second = two.select(F.col("to").alias("node"), (F.col("s") * F.col("confidence")).alias("s"), F.concat("path", F.lit(" -"), "kind", F.lit("-> "), "to").alias("path"))
+    rows = first.unionByName(second).join(seeds.select("node"), "node", "left_anti")
+    return rows.groupBy("node").agg(F.min(F.struct((-F.round("s", 9)).alias("s"), "path")).alias("b")).select("node", "b.path", (-F.col("b.s")).alias("strength"))
 
 
 def co_change(changes: DataFrame, partners: int = 8) -> DataFrame:
@@ -100,12 +233,35 @@ def owners(paths: DataFrame, roots: DataFrame) -> DataFrame:
     return above.join(roots, "root").groupBy("path").agg(F.max_by("package", F.length("root")).alias("package"))
 
 
-def boundary_violations(edges: DataFrame, owned: DataFrame, declared: DataFrame) -> DataFrame:
-    """(package, other, edges): edges across packages that no declared dependency covers."""
+def _crossing(edges: DataFrame, owned: DataFrame, declared: DataFrame) -> DataFrame:
     a = owned.select(F.col("path").alias("src"), F.col("package").alias("package"))
     b = owned.select(F.col("path").alias("dst"), F.col("package").alias("other"))
-    crossing = edges.join(a, "src").join(b, "dst").where("package <> other")
-    return crossing.groupBy("package", "other").agg(F.count("*").alias("edges")).join(declared, ["package", "other"], "left_anti")
+    return edges.join(a, "src").join(b, "dst").where("package <> other").join(declared, ["package", "other"], "left_anti")
+
+
+def boundary_violations(edges: DataFrame, owned: DataFrame, declared: DataFrame) -> DataFrame:
+    """(package, other, edges): edges across packages that no declared dependency covers; every edge counts."""
+    return _crossing(edges, owned, declared).groupBy("package", "other").agg(F.count("*").alias("edges"))
+
+
+def violation_list(edges: DataFrame, owned: DataFrame, declared: DataFrame, cap: int = 256) -> DataFrame:
+    """(package, other, src, dst): the violating pairs, each once, the first ``cap`` in order."""
+    rows = _crossing(edges, owned, declared).select("package", "other", "src", "dst").distinct()
+    return rows.orderBy("package", "other", "src", "dst").limit(cap)
+
+
+def containment(files: DataFrame, units: DataFrame) -> DataFrame:
+    """(src, dst): repository to top folder, folder to folder, folder to file, file to unit; each edge once."""
+    parts = F.split("path", "/")
+    places = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")))
+    steps = F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.struct(F.element_at("p", i).alias("src"), F.element_at("p", i + 1).alias("dst")))
+    folders = files.select(places.alias("p")).select(F.explode(steps).alias("e")).select("e.src", "e.dst").distinct()
+    return folders.unionByName(units.select(F.concat(F.lit("/"), "path").alias("src"), F.col("unit").alias("dst")).distinct())
+
+
+def build_edges(packages: DataFrame, needs: DataFrame) -> DataFrame:
+    """(package, other): declared dependencies on packages of the workspace itself, from (package, name)."""
+    return needs.join(packages.select(F.col("package").alias("name")), "name", "left_semi").where("package <> name").select("package", F.col("name").alias("other")).distinct()
 
 
 def lineage_roots(parents: DataFrame) -> DataFrame:

@@ -9,14 +9,13 @@ dealt over ``SPREAD`` files by document.
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
-from skein.workspace import Workspace, exists, shared_root
+from skein.workspace import Workspace, exists, fingerprint, shared_root
 
 VERSION, BUCKETS, SPREAD = 3, 16, 4
 #: The weights of the fields of a document.
@@ -34,18 +33,6 @@ def _bucket(token: Column) -> Column:
     return (F.crc32(F.left(token, F.lit(2)).cast("binary")) % BUCKETS).cast("int")
 
 
-def fingerprint(spark: SparkSession, *paths: str) -> str:
-    """A digest of the names, sizes and times of all files below the paths."""
-    jvm, conf, seen = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
-    for path in paths:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        system = target.getFileSystem(conf)
-        status = system.getFileStatus(target)
-        files = [status] if not status.isDirectory() else list(system.listStatus(target))
-        seen += sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files)
-    return hashlib.sha256(repr((VERSION, seen)).encode()).hexdigest()[:24]
-
-
 class TextIndex:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
@@ -77,7 +64,7 @@ class TextIndex:
     @classmethod
     def of(cls, spark: SparkSession, documents: DataFrame, *paths: str) -> TextIndex:
         """The index of documents read from ``paths``: built once for these very files, then opened."""
-        root = f"{shared_root(spark)}/skein-index-{fingerprint(spark, *paths)}"
+        root = f"{shared_root(spark)}/skein-index-{fingerprint(spark, VERSION, *paths)}"
         return cls(spark, root) if exists(spark, f"{root}/totals/_SUCCESS") else cls.build(spark, documents, root)
 
     def holding(self, terms: list[str], prefix: bool = False) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import hashlib
 import tempfile
 import uuid
 
@@ -30,6 +31,26 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def fingerprint(spark: SparkSession, version: int, *paths: str) -> str:
+    """A digest of a version and of the names, sizes and times of all files in the paths."""
+    jvm, conf, seen = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        system = target.getFileSystem(conf)
+        status = system.getFileStatus(target)
+        files = [status] if not status.isDirectory() else list(system.listStatus(target))
+        seen += sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files)
+    return hashlib.sha256(repr((version, seen)).encode()).hexdigest()[:24]
+
+
+def stored(spark: SparkSession, name: str, version: int, frame: DataFrame, *paths: str) -> DataFrame:
+    """A table derived from the files in ``paths``: written when it is first asked for, read after that."""
+    path = f"{shared_root(spark)}/skein-{name}-{fingerprint(spark, version, *paths)}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        frame.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
 class Workspace:
     """Written tables that cut lineage and outlive lost executors.
 
