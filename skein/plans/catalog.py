@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evaluation, evidence, graph, history, lexical, lookups, metrics, relational
+from . import code, evaluation, evidence, graph, history, lexical, lookups, metrics, relational
 
-MODULES = (relational, lexical, graph, evaluation, history, metrics, lookups, evidence)
+MODULES = (relational, lexical, graph, evaluation, history, metrics, lookups, evidence, code)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
 
