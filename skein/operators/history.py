@@ -1,7 +1,8 @@
-"""Lines of patches, and merging of relations."""
+"""Lines of patches, commits as documents, and merging of relations."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,3 +57,71 @@ def rerank_in_place(ranked: DataFrame, key: str, item: str, topical: str, score:
     places = rows.where("_moves").select(key, F.col("_slot").alias("_slot2"), F.col("rank").alias("_to"))
     moved = moving.join(places, [key, "_slot2"]).select(key, item, F.col("_to").alias("rank"))
     return rows.where("NOT _moves").select(key, item, "rank").unionByName(moved)
+
+
+# --- commits as documents ----------------------------------------------------
+
+#: The bounds of a document about a commit, in characters, lines and files.
+MESSAGE, LINES, PATCH, BODY, FILES = 1024, 32, 8192, 16384, 512
+
+
+def text_diffs(changes: DataFrame, context: int = 3) -> DataFrame:
+    """(commit, path, hunks, added, removed, patch) from (commit, path, before, after): unified hunks by lines.
+
+    A null text is a file that isn't there. Files are compared in Arrow batches, one by one; the
+    functions stand inside, so that workers get them with the task.
+    """
+    schema = "commit string, path string, hunks int, added int, removed int, patch string"
+
+    def run(batches):
+        from difflib import unified_diff
+
+        for batch in batches:
+            out = []
+            for commit, path, before, after in zip(*(batch.column(c).to_pylist() for c in ("commit", "path", "before", "after"))):
+                old, new = ((x or "").split("\n") if x else [] for x in (before, after))
+                lines = list(unified_diff(old, new, lineterm="", n=context))[2:]
+                heads = sum(x.startswith("@@") for x in lines)
+                out.append((commit, path, heads, sum(x[:1] == "+" for x in lines), sum(x[:1] == "-" for x in lines), "\n".join(lines)))
+            columns = list(zip(*out)) if out else [()] * 6
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in schema.split(", ")])
+
+    return changes.select("commit", "path", "before", "after").mapInArrow(run, schema)
+
+
+def commit_documents(commits: DataFrame, diffs: DataFrame) -> DataFrame:
+    """(commit, ts, files, body): message, paths and, per file, the changed lines that name something; each part is bounded.
+
+    ``files`` counts all paths; the body takes the first ``FILES`` of them.
+    """
+    changed = F.filter(F.split("patch", "\n", -1), lambda x: x.rlike(r"^[+-].*[\p{L}_]{3}"))
+    kept = F.array_join(F.transform(F.slice(changed, 1, LINES), lambda x: F.concat(F.left(x, F.lit(1)), F.trim(F.substring(x, 2, PATCH)))), "\n")
+    part = F.concat(F.col("path"), F.lit("\n"), F.left(kept, F.lit(PATCH)))
+    place = F.row_number().over(Window.partitionBy("commit").orderBy("path"))
+    few = diffs.select("commit", "path", part.alias("part")).withColumn("n", place).where(F.col("n") <= FILES)
+    bodies = few.groupBy("commit").agg(F.array_sort(F.collect_list(F.struct("n", "part"))).alias("p"))
+    count = diffs.groupBy("commit").agg(F.count("*").alias("files"))
+    rows = commits.join(count, "commit").join(bodies, "commit")
+    body = F.concat(F.left("message", F.lit(MESSAGE)), F.lit("\n\n"), F.array_join("p.part", "\n\n"))
+    return rows.select("commit", "ts", "files", F.left(body, F.lit(BODY)).alias("body"))
+
+
+def history_summary(commits: DataFrame, most: int) -> DataFrame:
+    """(summary): the newest commits, one line each, as one page."""
+    top = commits.orderBy(F.desc("ts"), "commit").limit(most)
+    line = F.concat(F.left("commit", F.lit(12)), F.lit(" "), F.split("message", "\n", 2)[0])
+    page = F.array_sort(F.collect_list(F.struct((-F.col("ts")).alias("t"), "commit", line.alias("line"))))
+    return top.agg(F.array_join(F.transform(page, lambda x: x["line"]), "\n").alias("summary"))
+
+
+def newest_changes(changes: DataFrame, commits: DataFrame, most: int = 512) -> DataFrame:
+    """(commit, ts, path) of the newest commits with a parent, newest first; (commit, parent, ts) and (commit, path)."""
+    top = commits.orderBy(F.desc("ts"), "commit").limit(most).where("parent IS NOT NULL")
+    return changes.join(F.broadcast(top.select("commit", "ts")), "commit").select("commit", "ts", "path").orderBy(F.desc("ts"), "commit", "path")  # at most ``most`` commits
+
+
+def reused_units(files: DataFrame, parsed: DataFrame, version: str) -> DataFrame:
+    """The files (path, digest, language) with ``reused``: whether the parse of just this text by this version is there."""
+    known = parsed.where(F.col("version") == version).select("path", "digest", "language").distinct().withColumn("reused", F.lit(True))
+    return files.join(known, ["path", "digest", "language"], "left").withColumn("reused", F.coalesce("reused", F.lit(False)))

@@ -16,6 +16,18 @@ def multiset_diff(base: DataFrame, head: DataFrame, keys: list[str], compared: s
     return both.select(*keys, change.alias("change")).where("change IS NOT NULL")
 
 
+def architecture_diff(base: DataFrame, head: DataFrame, keys: list[str], compared: list[str], order: str, cap: int = 500) -> DataFrame:
+    """(keys, change, total, truncated): the first ``cap`` rows of each change, in order of the keys, and how many there are.
+
+    Equal keys are paired in order; a pair is changed if any compared column differs. Counts are taken of all rows.
+    """
+    found = multiset_diff(base.withColumn("_all", F.struct(*compared)), head.withColumn("_all", F.struct(*compared)), keys, "_all", order)
+    total = found.groupBy("change").agg(F.count("*").alias("total"))
+    place = F.row_number().over(Window.partitionBy("change").orderBy(*keys))
+    top = found.withColumn("_n", place).where(F.col("_n") <= cap).drop("_n")
+    return top.join(F.broadcast(total), "change").select(*keys, "change", "total", (F.col("total") > cap).alias("truncated"))  # three rows
+
+
 def tree_diff(base: DataFrame, head: DataFrame) -> DataFrame:
     """(path, change) from two listings of (path, blob)."""
     both = base.select("path", F.col("blob").alias("before")).join(head.select("path", F.col("blob").alias("after")), "path", "full_outer")

@@ -109,3 +109,60 @@ def view_staleness(spark, sf):
     states = F.array(*map(F.lit, ("ready", "partial", "unavailable", "failed")))
     views = load(spark, sf, "customer").select(F.col("c_custkey").alias("view_id"), F.col("c_mktsegment").alias("snapshot_id"), F.get(states, (F.col("c_nationkey") % 4).cast("int")).alias("state"))
     return snapshots.stale_views(views, "BUILDING").select("view_id", "state")
+
+
+_COMMITS = "c AS (SELECT o_orderkey AS k, 'commit' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS commit, o_orderdate AS ts, CASE WHEN o_orderkey % 10 > 0 THEN 1 END AS parent, o_orderpriority || chr(10) || o_orderstatus AS message FROM orders)"
+
+
+def _commits(spark, sf):
+    k = F.col("o_orderkey")
+    name = F.concat(F.lit("commit"), F.lpad(k.cast("string"), 8, "0"))
+    o = load(spark, sf, "orders")
+    return o.select(name.alias("commit"), F.when(k % 10 > 0, 1).alias("parent"), F.unix_timestamp("o_orderdate").alias("ts"), F.concat_ws("\n", "o_orderpriority", "o_orderstatus").alias("message"))
+
+
+@query(f"""WITH {_COMMITS}, t AS (SELECT * FROM c ORDER BY ts DESC, commit LIMIT 512) SELECT DISTINCT commit, CAST(epoch(ts) AS BIGINT) AS ts, 'p' || l_partkey AS path FROM t JOIN lineitem ON l_orderkey = k WHERE parent IS NOT NULL""")
+def newest_changes(spark, sf):
+    name = F.concat(F.lit("commit"), F.lpad(F.col("l_orderkey").cast("string"), 8, "0"))
+    changes = load(spark, sf, "lineitem").select(name.alias("commit"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("path")).distinct()
+    return history.newest_changes(changes, _commits(spark, sf))
+
+
+@query(f"""WITH {_COMMITS} SELECT string_agg(left(commit, 12) || ' ' || split_part(message, chr(10), 1), chr(10) ORDER BY ts DESC, commit) AS summary FROM (SELECT * FROM c ORDER BY ts DESC, commit LIMIT 40)""")
+def history_summary(spark, sf):
+    return history.history_summary(_commits(spark, sf), 40)
+
+
+def _edited(spark, sf):
+    """Texts of four lines, the second of which is another one after the commit."""
+    p, k = load(spark, sf, "part"), F.col("p_partkey").cast("string")
+    lines = lambda mid: F.concat_ws("\n", F.concat(F.lit("head "), k), mid, F.lit("}"), F.concat(F.lit("tail "), k))
+    return p.select(F.concat(F.lit("k"), (F.col("p_partkey") % 9).cast("string")).alias("commit"), F.concat(F.lit("p"), k).alias("path"), lines(F.col("p_name")).alias("before"), lines(F.concat(F.lit("  new "), "p_type")).alias("after"))
+
+
+@query("""SELECT 'k' || p_partkey % 9 AS commit, 'p' || p_partkey AS path, 1::INT AS hunks, 1::INT AS added, 1::INT AS removed, '@@ -1,4 +1,4 @@' || chr(10) || ' head ' || p_partkey || chr(10) || '-' || p_name || chr(10) || '+  new ' || p_type || chr(10) || ' }' || chr(10) || ' tail ' || p_partkey AS patch FROM part""")
+def text_diffs(spark, sf):
+    return history.text_diffs(_edited(spark, sf))
+
+
+@query("""SELECT 'k' || p_partkey % 9 AS commit, CAST(p_partkey % 9 AS BIGINT) AS ts, count(*) AS files, left('message ' || p_partkey % 9 || chr(10) || chr(10) || string_agg('p' || p_partkey || chr(10) || '-' || p_name || chr(10) || '+new ' || p_type, chr(10) || chr(10) ORDER BY 'p' || p_partkey), 16384) AS body FROM part GROUP BY p_partkey % 9""")
+def commit_documents(spark, sf):
+    commits = spark.range(9).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("commit"), F.col("id").alias("ts"), F.concat(F.lit("message "), F.col("id").cast("string")).alias("message"))
+    return history.commit_documents(commits, history.text_diffs(_edited(spark, sf)))
+
+
+@query("""SELECT source || '/' || doc_id AS path, doc_id % 3 <> 0 AND doc_id % 5 <> 0 AS reused FROM documents""")
+def parse_reuse(spark, sf):
+    d = load(spark, sf, "documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.sha2("text", 256).alias("digest"), F.col("lang").alias("language"), "doc_id")
+    done = d.where("doc_id % 3 <> 0").withColumn("version", F.when(F.col("doc_id") % 5 == 0, "1").otherwise("2"))
+    return history.reused_units(d, done, "2").select("path", "reused")
+
+
+@query("""WITH a AS (SELECT l_partkey AS k, l_returnflag AS f, l_tax, l_quantity, row_number() OVER (PARTITION BY l_partkey, l_returnflag ORDER BY l_orderkey * 10 + l_linenumber) AS n FROM lineitem WHERE l_orderkey % 3 <> 0),
+ b AS (SELECT l_partkey AS k, l_returnflag AS f, l_tax, CASE WHEN l_orderkey % 7 = 0 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity, row_number() OVER (PARTITION BY l_partkey, l_returnflag ORDER BY l_orderkey * 10 + l_linenumber) AS n FROM lineitem WHERE l_orderkey % 3 <> 1),
+ d AS (SELECT coalesce(a.k, b.k) AS k, coalesce(a.f, b.f) AS f, CASE WHEN a.n IS NULL THEN 'added' WHEN b.n IS NULL THEN 'removed' WHEN a.l_quantity <> b.l_quantity OR a.l_tax <> b.l_tax THEN 'changed' END AS change FROM a FULL JOIN b ON a.k = b.k AND a.f = b.f AND a.n = b.n)
+ SELECT k, f, change, total, total > 500 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY change ORDER BY k, f) AS p, count(*) OVER (PARTITION BY change) AS total FROM d WHERE change IS NOT NULL) WHERE p <= 500""")
+def architecture_diff(spark, sf):
+    l = load(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("k"), F.col("l_returnflag").alias("f"), "l_tax", "l_quantity", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
+    head = l.where("l_orderkey % 3 <> 1").withColumn("l_quantity", F.when(F.col("l_orderkey") % 7 == 0, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
+    return snapshots.architecture_diff(l.where("l_orderkey % 3 <> 0"), head, ["k", "f"], ["l_quantity", "l_tax"], "id")

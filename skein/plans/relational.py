@@ -17,12 +17,12 @@ from .registry import registry
 QUERIES, ORACLES, query = registry()
 
 
-@query("""SELECT reason, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN octet_length(encode(text)) > 16384 THEN 'large'
- WHEN source IN ('src3') THEN 'builtin' WHEN contains(text, 'AKIA') THEN 'sensitive' ELSE 'kept' END AS reason FROM documents) GROUP BY reason""")
+@query("""WITH d AS (SELECT octet_length(encode(text)) * 200 AS size, CASE doc_id % 5 WHEN 0 THEN 'a/yarn.lock' WHEN 1 THEN 'b/.env.local' WHEN 2 THEN 'c/app.min.js' WHEN 3 THEN 'd/id_rsa' ELSE 'e/main.rs' END AS path, doc_id % 7 = 0 AS bin FROM documents)
+ SELECT reason, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN size > 2097152 THEN 'large' WHEN path IN ('a/yarn.lock', 'c/app.min.js') THEN 'builtin' WHEN path IN ('b/.env.local', 'd/id_rsa') THEN 'sensitive' WHEN bin THEN 'binary' ELSE 'kept' END AS reason FROM d) GROUP BY reason""")
 def doc_reason_buckets(spark, sf):
-    d = load(spark, sf, "documents")
-    reason = F.when(F.octet_length("text") > 16384, "large").when(F.col("source") == "src3", "builtin").when(F.contains("text", F.lit("AKIA")), "sensitive").otherwise("kept")
-    return d.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    k, names = F.col("doc_id"), F.array(*map(F.lit, ("a/yarn.lock", "b/.env.local", "c/app.min.js", "d/id_rsa", "e/main.rs")))
+    reason = tables.skip_reason(F.get(names, (k % 5).cast("int")), F.octet_length("text") * 200, k % 7 == 0)
+    return load(spark, sf, "documents").groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query("""SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + 1 END AS lines FROM documents""")
@@ -113,13 +113,15 @@ def longest_prefix_owner(spark, sf):
     return owners(p, roots)
 
 
-@query("""WITH c AS (SELECT o_orderkey AS call_id, o_orderpriority AS name, o_custkey % 25 AS nation FROM orders), t AS (SELECT c_custkey AS target_id, c_nationkey AS nation FROM customer WHERE c_acctbal > 9000),
- j AS (SELECT call_id, target_id, row_number() OVER (PARTITION BY call_id ORDER BY target_id) AS rn, count(*) OVER (PARTITION BY call_id) AS n FROM c JOIN t ON c.nation = t.nation)
+@query("""WITH c AS (SELECT o_orderkey AS call_id, o_custkey % 25 AS name, o_custkey % 7 AS path FROM orders), t AS (SELECT c_custkey AS target_id, c_nationkey AS name, c_custkey % 7 AS path, c_custkey % 2 = 0 AS callable FROM customer WHERE c_acctbal > 9000),
+ j AS (SELECT call_id, target_id, row_number() OVER (PARTITION BY call_id ORDER BY CASE WHEN c.path = t.path THEN 0 ELSE 1 END, CASE WHEN callable THEN 0 ELSE 1 END, target_id) AS rn, count(*) OVER (PARTITION BY call_id) AS n FROM c JOIN t ON c.name = t.name)
  SELECT call_id, target_id, CAST(n AS BIGINT) AS candidates, CASE WHEN n > 1 THEN 0.45 ELSE 0.9 END::DOUBLE AS confidence FROM j WHERE rn = 1""")
 def ranked_name_resolution(spark, sf):
-    calls = load(spark, sf, "orders").select(F.col("o_orderkey").alias("call_id"), (F.col("o_custkey") % 25).alias("name"))
-    targets = load(spark, sf, "customer").where("c_acctbal > 9000").select(F.col("c_custkey").alias("target_id"), F.col("c_nationkey").cast("long").alias("name"))
-    return joins.resolve(calls, targets, [])
+    """The same file before others, what can be called before the rest."""
+    c, k = F.col("o_custkey"), F.col("c_custkey")
+    calls = load(spark, sf, "orders").select(F.col("o_orderkey").alias("call_id"), (c % 25).alias("name"), (c % 7).alias("path"))
+    targets = load(spark, sf, "customer").where("c_acctbal > 9000").select(k.alias("target_id"), F.col("c_nationkey").cast("long").alias("name"), (k % 7).alias("there"), (k % 2 == 0).alias("callable"))
+    return joins.resolve(calls, targets, [(F.col("path") != F.col("there")).alias("far"), (~F.col("callable")).alias("rest")])
 
 
 @query("""WITH a AS (SELECT c_custkey AS id FROM customer WHERE c_mktsegment = 'BUILDING'), b AS (SELECT c_custkey AS id FROM customer WHERE c_nationkey = 3)
@@ -202,10 +204,13 @@ def token_estimate(spark, sf):
     return load(spark, sf, "documents").select("doc_id", T.estimated_tokens(F.col("text")).cast("long").alias("tokens"))
 
 
-@query("""SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda x: x <> ''))), ' ') AS terms, lower(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g')) AS folded FROM part""")
+@query("""WITH n AS (SELECT p_partkey, split_part(p_name, ' ', 1) || upper(left(split_part(p_name, ' ', 2), 1)) || substr(split_part(p_name, ' ', 2), 2) || '_HTTPServer2' AS name, p_name FROM part)
+ SELECT p_partkey, array_to_string(list_sort(list_distinct(list_concat(string_split(p_name, ' '), ['httpserver2']))), ' ') AS terms, lower(replace(name, '_', '')) AS folded FROM n""")
 def identifier_terms(spark, sf):
-    p = load(spark, sf, "part")
-    return p.select("p_partkey", F.array_join(T.identifier_terms(F.lower("p_name")), " ").alias("terms"), T.folded(F.col("p_name")).alias("folded"))
+    """Names in camel case with an abbreviation and a digit, which don't cut."""
+    w = F.split("p_name", " ")
+    name = F.concat(w[0], F.initcap(w[1]), F.lit("_HTTPServer2"))
+    return load(spark, sf, "part").select("p_partkey", F.array_join(T.identifier_terms(name), " ").alias("terms"), T.folded(name).alias("folded"))
 
 
 @query("""SELECT page_id, h[1] AS target FROM (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href="(/[^"]*)"', 1))) AS t, [t] AS h FROM pages)""")
