@@ -23,18 +23,32 @@ def _ordered(key: str, order: list[str], columns: list[str]):
 def per_group_cap(ranked: DataFrame, key: str, group: str, item: str, limit: int, *carry: str) -> DataFrame:
     """Greedy choice in rank order: one per group among the first five chosen, two until ten, then three.
 
-    Skipped rows take no place. ``ranked`` holds a bounded number of rows per key.
+    Skipped rows take no place and don't come back. In each of the three phases a group gives its first rows
+    behind the phase before, so a phase is a ranking within groups and one within keys, both cut off
+    before their shuffle; no list is ever collected.
     """
-    lists = ranked.groupBy(key).agg(_ordered(key, ["rank", item], [group, *carry]).alias("_all"))
-    none = F.filter("_all", lambda x: F.lit(False))
-
-    def step(acc, x):
-        cap = F.when(F.size(acc) < 5, 1).when(F.size(acc) < 10, 2).otherwise(3)
-        full = (F.size(acc) >= limit) | (F.size(F.filter(acc, lambda y: y[group] == x[group])) >= cap)
-        return F.when(full, acc).otherwise(F.concat(acc, F.array(x)))
-
-    chosen = lists.select(key, F.posexplode(F.aggregate("_all", none, step)).alias("p", "x"))
-    return chosen.select(key, F.col(f"x.{item}").alias(item), F.col(f"x.{group}").alias(group), *[F.col(f"x.{c}").alias(c) for c in carry], (F.col("p") + 1).cast("long").alias("place"))
+    rows = ranked.select(key, "rank", item, group, *[c for c in carry if c != group])
+    order, out, behind, used = ["rank", item], None, None, None
+    for cap, upto in ((1, 5), (2, 10), (3, limit)):
+        need = min(upto, limit) - (0 if cap == 1 else min((5, 10)[cap - 2], limit))
+        if need <= 0:
+            break
+        left = rows
+        if behind is not None:
+            # only keys whose phase before was filled go on, behind its last row
+            left = left.join(behind, key).where(F.struct("rank", item) > F.col("_last")).drop("_last")
+            left = left.join(used, [key, group], "left").withColumn("_free", cap - F.coalesce("_used", F.lit(0)))
+        else:
+            left = left.withColumn("_free", F.lit(cap))
+        place = F.row_number().over(Window.partitionBy(key, group).orderBy(*order))
+        left = left.withColumn("_g", place).where((F.col("_g") <= cap) & (F.col("_g") <= F.col("_free")))
+        chosen = left.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_k") <= need)
+        chosen = chosen.drop("_g", "_free", *(["_used"] if used is not None else []))
+        out = chosen if out is None else out.unionByName(chosen)
+        behind = chosen.groupBy(key).agg(F.max(F.struct("rank", item)).alias("_last"), F.count("*").alias("_n")).where(F.col("_n") == need).drop("_n")
+        used = out.groupBy(key, group).agg(F.count("*").alias("_used"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return out.select(key, item, group, *[c for c in carry if c != group], place.cast("long").alias("place"))
 
 
 def pack_budget(ranked: DataFrame, key: str, item: str, cost: str, budget: int, *carry: str) -> DataFrame:

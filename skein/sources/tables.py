@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,10 +64,42 @@ def missing_blobs(manifest: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def commit_snapshot(table: DataFrame, path: str, pointer: str | None = None) -> None:
-    """Replaces the snapshots that ``table`` holds, partition by partition; the serving pointer is written last."""
+    """Replaces the snapshots that ``table`` holds, partition by partition; the serving pointer is moved last.
+
+    Without ``pointer`` the snapshots are written but not served.
+    """
     table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_id").parquet(path)
     if pointer:
-        table.select("snapshot_id").distinct().coalesce(1).write.mode("overwrite").parquet(pointer)
+        serve(table.select("snapshot_id").distinct(), pointer)
+
+
+def serve(snapshots: DataFrame, pointer: str) -> None:
+    """Moves a pointer: a new version is written beside it and then renamed into it, so readers see the old or the new one."""
+    spark = snapshots.sparkSession
+    jvm = spark.sparkContext._jvm
+    path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    system = path(pointer).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(path(pointer))
+    known = [int(f.getPath().getName()[2:]) for f in system.listStatus(path(pointer)) if f.getPath().getName().startswith("v-")]
+    version, draft = max(known, default=0) + 1, f"{pointer}-draft-{uuid.uuid4().hex}"
+    snapshots.coalesce(1).write.parquet(draft)
+    if not system.rename(path(draft), path(f"{pointer}/v-{version}")):
+        raise RuntimeError(f"{pointer} was moved by another writer")
+    for old in known:
+        if old < version - 1:  # readers of the version before may still be at work
+            system.delete(path(f"{pointer}/v-{old}"), True)
+
+
+def served(spark: SparkSession, pointer: str) -> DataFrame:
+    """The snapshots that a pointer names now."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pointer)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return spark.read.parquet(f"{pointer}/v-{max(int(f.getPath().getName()[2:]) for f in files)}")
+
+
+def update_scan_cache(cache: DataFrame, scanned: DataFrame) -> DataFrame:
+    """The cache after a scan: what was scanned, whatever was known before."""
+    return scanned.select("path", "byte_count", "mtime", *[c for c in cache.columns if c not in ("path", "byte_count", "mtime")])
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:

@@ -2,10 +2,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
-from skein.operators import evaluation, evidence, graphs, joins, lexical, ranking, snapshots
+from skein.operators import code, evaluation, evidence, graphs, joins, lexical, lookups, ranking, snapshots
 from skein.operators.index import TextIndex
 from skein.sources import tables
-from skein.streaming.monitors import Monitor
+from skein.streaming.monitors import Monitor, watch
 
 
 def test_degree_counts_a_loop_once(spark):
@@ -45,6 +45,25 @@ def test_cap_skips_without_deferring(spark):
     assert sum(r.path == "a" for r in got[:5]) == 1 and [r.place for r in got] == list(range(1, len(got) + 1))
 
 
+def test_cap_is_the_greedy_choice(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(q, r, f"g{rng.choice((0, 0, 0, 1, 2, 3, 4, 5, 6, 7))}", r) for q in range(6) for r in range(rng.choice((4, 30, 80)))]
+    for limit in (3, 7, 20):
+        want = []
+        for q in range(6):
+            chosen = []
+            for _, r, g, _ in sorted(x for x in rows if x[0] == q):
+                cap = 1 if len(chosen) < 5 else 2 if len(chosen) < 10 else 3
+                if len(chosen) < limit and sum(x == g for _, x in chosen) < cap:
+                    chosen.append((r, g))
+            want += [(q, r, g, n) for n, (r, g) in enumerate(chosen, 1)]
+        frame = spark.createDataFrame(rows, "q long, rank long, path string, item long")
+        got = ranking.per_group_cap(frame, "q", "path", "item", limit).select("q", "item", "path", "place").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_budget_passes_over(spark):
     rows = spark.createDataFrame([(0, 1, 1, 60), (0, 2, 2, 50), (0, 3, 3, 40)], "q long, rank long, item long, cost long")
     got = ranking.pack_budget(rows, "q", "item", "cost", 100).collect()
@@ -168,3 +187,70 @@ def test_monitor_reports_each_hit_once(spark, tmp_path):
     monitor(spark.createDataFrame([(2,), (3,)], "id long"), 1)
     got = spark.read.parquet(str(tmp_path / "m"))
     assert sorted(r.id for r in got.collect()) == [1, 2, 3]
+
+
+def test_snapshots_are_replaced_and_served(spark, tmp_path):
+    data, pointer = str(tmp_path / "data"), str(tmp_path / "pointer")
+    frame = lambda rows: spark.createDataFrame(rows, "snapshot_id string, v long")
+    tables.commit_snapshot(frame([("a", 1), ("b", 1)]), data, pointer)
+    tables.commit_snapshot(frame([("b", 2)]), data)  # detached: written, not served
+    assert {tuple(r) for r in spark.read.parquet(data).select("snapshot_id", "v").collect()} == {("a", 1), ("b", 2)}
+    assert {r[0] for r in tables.served(spark, pointer).collect()} == {"a", "b"}
+    for i in range(3):
+        tables.commit_snapshot(frame([("b", 3 + i)]), data, pointer)
+    assert {r[0] for r in tables.served(spark, pointer).collect()} == {"b"} and not list(tmp_path.glob("*draft*"))
+
+
+def test_upserts_scans_and_trees(spark):
+    old = spark.createDataFrame([(1, "x", 1), (2, "y", 1)], "id long, state string, version long")
+    new = spark.createDataFrame([(2, "z", 2), (3, "w", 1)], "id long, state string, version long")
+    assert {(r.id, r.state) for r in tables.upsert(old, new, ["id"], "version").collect()} == {(1, "x"), (2, "z"), (3, "w")}
+    scan = spark.createDataFrame([("a", 1, 5, "h"), ("b", 2, 5, "h")], "path string, byte_count long, mtime long, digest string")
+    cache = scan.where("path = 'a'")
+    assert [r.path for r in tables.changed_since(scan, cache).collect()] == ["b"] and tables.update_scan_cache(cache, scan).count() == 2
+    base = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", None)], "path string, blob string")
+    head = spark.createDataFrame([("b", "2"), ("c", None), ("d", "1")], "path string, blob string")
+    assert {(r.path, r.change) for r in snapshots.tree_diff(base, head).collect()} == {("a", "removed"), ("b", "modified"), ("d", "added")}
+    row = spark.range(1).select(T.content_id("doc", F.lit("a"), F.lit("b")).alias("x"), T.line_at(F.lit("a\nb\nc"), F.lit(3)).alias("n")).first()
+    assert row.x.startswith("doc:") and len(row.x) == 36 and row.n == 2
+
+
+def test_watch_hands_on_each_batch(spark, tmp_path):
+    source, seen = str(tmp_path / "in"), []
+    spark.createDataFrame([(1,)], "v long").write.parquet(source)
+    stream = spark.readStream.schema("v long").parquet(source)
+    run = watch(stream, lambda df, n: seen.append((n, sorted(r.v for r in df.collect()))), str(tmp_path / "cp"), "1 second")
+    run.processAllAvailable()
+    spark.createDataFrame([(2,)], "v long").write.mode("append").parquet(source)
+    run.processAllAvailable()
+    run.stop()
+    assert [v for _, v in seen] == [[1], [2]]
+
+
+def test_context_pack_keeps_roles_and_refuses(spark):
+    hits = [(1, "a", "target", "f", "1", "x", 40), (2, "b", "target", "f", "1", "y", 40), (3, "c", "test", "g", "1", "z", 40), (4, "d", "target", None, None, "x", 5), (5, "e", "target", "h", "1", "w", 90)]
+    frame = spark.createDataFrame([(0, *h) for h in hits], "query_id long, rank long, doc_id string, role string, path string, span string, entity_id string, tokens long")
+    got = {r.doc_id: (r.place, r.reason) for r in evidence.context_pack(frame, 100).collect()}
+    assert got == {"c": (1, None), "a": (2, None), "b": (None, "duplicate_range"), "d": (None, "duplicate_entity"), "e": (None, "budget")}
+
+
+def test_doc_comments_pass_over_attributes(spark):
+    text = "// one\n# two\n#[derive]\n@deco\nfn x()\ncode\n\nfn y()"
+    rows = spark.createDataFrame([(text,)], "t string").select(*[code.doc_comment(F.split("t", "\n"), F.lit(n)).alias(f"c{n}") for n in (5, 8, 1)]).first()
+    assert tuple(rows) == ("one two", None, None)
+
+
+def test_units_of_nested_code(spark):
+    text = "class A:\n    def f(self):\n        def g():\n            return h(1)\n        return g()\n"
+    files = spark.createDataFrame([("a.py", text), ("b.py", "def ("), ("c.py", None)], "path string, text string")
+    assert {(r.name, r.kind, r.parent) for r in code.units(files).collect()} == {("A", "class", None), ("f", "method", 0), ("g", "function", 1)}
+    assert {(r.name, r.caller) for r in code.calls(files).collect()} == {("h", 2), ("g", 1)}
+    assert {r.qualified for r in code.qualified_names(code.units(files)).collect()} == {"a.py::A", "a.py::A::f", "a.py::A::f::g"}
+
+
+def test_materialised_needs_a_known_generator(spark):
+    docs = spark.createDataFrame([(1, "p", "slice/1", 1, 3), (2, "p", "whole/1", 0, 0)], "id long, path string, generated_by string, start int, end int")
+    sources, artifacts = spark.createDataFrame([("p", "aé b")], "path string, text string"), spark.createDataFrame([(2, "whole")], "id long, text string")
+    assert {r.id: r.body for r in lookups.materialised(docs, sources, artifacts).collect()} == {1: "é", 2: "whole"}
+    with pytest.raises(Exception, match="unknown generator"):
+        lookups.materialised(docs.withColumn("generated_by", F.lit("x/1")), sources, artifacts).collect()
