@@ -211,9 +211,15 @@ def evidence_paths(edges: DataFrame, seeds: DataFrame, k: int = 24) -> DataFrame
     return rows.groupBy("node").agg(F.min(F.struct((-F.round("s", 9)).alias("s"), "path")).alias("b")).select("node", "b.path", (-F.col("b.s")).alias("strength"))
 
 
-def co_change(changes: DataFrame, partners: int = 8) -> DataFrame:
-    """(a, b, support, confidence) from (commit, path): pairs that either end ranks among its best partners."""
+def co_change(changes: DataFrame, partners: int = 8, most_paths: int = 512) -> DataFrame:
+    """(a, b, support, confidence) from (commit, path): pairs that either end ranks among its best partners.
+
+    A commit of more than ``most_paths`` paths, a rename or reformat of everything, says nothing about any two of
+    them and counts nowhere; so a commit gives a bounded number of pairs.
+    """
     once = changes.distinct()
+    small = once.groupBy("commit").agg(F.count("*").alias("n")).where(F.col("n") <= most_paths).select("commit")
+    once = once.join(small, "commit", "left_semi")
     apps = once.groupBy("path").agg(F.count("*").alias("n"))
     x, y = once.select("commit", F.col("path").alias("a")), once.select("commit", F.col("path").alias("b"))
     pairs = x.join(y, "commit").where("a < b").groupBy("a", "b").agg(F.count("*").alias("support"))

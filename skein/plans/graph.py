@@ -193,14 +193,14 @@ def _packages(spark, sf):
     return lines, c.unionByName(s), declared
 
 
-@query("""WITH c AS (SELECT DISTINCT l_orderkey AS "commit", l_partkey AS path FROM lineitem), a AS (SELECT path, count(*) AS n FROM c GROUP BY path),
+@query("""WITH z AS (SELECT DISTINCT l_orderkey AS "commit", l_partkey AS path FROM lineitem), c AS (SELECT * FROM z WHERE "commit" IN (SELECT "commit" FROM z GROUP BY 1 HAVING count(*) <= 5)), a AS (SELECT path, count(*) AS n FROM c GROUP BY path),
  p AS (SELECT x.path AS a, y.path AS b, count(*) AS support FROM c x JOIN c y ON x."commit" = y."commit" AND x.path < y.path GROUP BY 1, 2),
  q AS (SELECT p.a, p.b, support, round(least(0.7::DOUBLE, support::DOUBLE / greatest(u.n, v.n)), 9) AS confidence FROM p JOIN a u ON p.a = u.path JOIN a v ON p.b = v.path),
  r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY support DESC, confidence DESC, b) AS ra, row_number() OVER (PARTITION BY b ORDER BY support DESC, confidence DESC, a) AS rb FROM q)
  SELECT a, b, CAST(support AS BIGINT) AS support, confidence FROM r WHERE ra <= 8 OR rb <= 8""")
 def cochange(spark, sf):
     l = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("commit"), F.col("l_partkey").alias("path"))
-    return graphs.co_change(l)
+    return graphs.co_change(l, most_paths=5)
 
 
 @query("""WITH RECURSIVE p AS (SELECT c_custkey AS node, CASE WHEN c_custkey % 1000 = 0 OR c_custkey < 2 THEN NULL ELSE c_custkey - 1 END AS parent FROM customer),
