@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,24 +53,64 @@ def holm(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
     return rows.withColumn("rejected", F.col("adjusted") <= alpha)
 
 
+def _replicated(rows: DataFrame, key: str, replicates: int, seed: int, signs: bool) -> DataFrame:
+    """(key, r, total, weight) from (key, id, v): sums of each replicate, made in the tasks, so one row per key and replicate is shuffled.
+
+    A row's draws come from a hash of its id, so a lost task draws the same again: Poisson weights, or signs.
+    ``draws`` stands inside, so that workers get it with the task and need no package.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+
+    def draws(ids: np.ndarray, low: int, high: int, edges: np.ndarray) -> np.ndarray:
+        x = ids[:, None] + np.arange(low, high).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x ^= x >> np.uint64(31)
+        if signs:
+            return (x & np.uint64(1)).astype(np.float64) * 2 - 1
+        return np.searchsorted(edges, (x >> np.uint64(11)) / float(1 << 53), side="right").astype(np.float64)
+
+    def run(batches):
+        steps = np.arange(1, 24)
+        edges = np.cumsum(np.exp(-1) / np.concatenate([[1.0], np.cumprod(steps.astype(float))]))  # of the Poisson distribution, to the last digit
+        sums: dict = {}
+        for batch in batches:
+            keys, ids = batch.column(key).to_pylist(), batch.column("id").to_numpy().view(np.uint64)
+            values = batch.column("v").to_numpy(zero_copy_only=False)
+            names = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+            of = np.array([names[k] for k in keys])
+            for k, i in names.items():
+                mine = of == i
+                total, weight = sums.setdefault(k, (np.zeros(replicates), np.zeros(replicates)))
+                chosen, v = ids[mine], values[mine]
+                for low in range(0, replicates, 256):
+                    high = min(replicates, low + 256)
+                    for at in range(0, len(chosen), 4096):
+                        w = draws(chosen[at : at + 4096], low, high, edges)
+                        total[low:high] += v[at : at + 4096] @ w
+                        weight[low:high] += len(w) if signs else w.sum(0)
+        for k, (total, weight) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k] * replicates), pa.array(np.arange(replicates)), pa.array(total), pa.array(weight)], [key, "r", "total", "weight"])
+
+    base = rows.select(key, F.xxhash64("id", F.lit(seed)).alias("id"), F.col("v").cast("double").alias("v")).where("v IS NOT NULL")
+    parts = base.mapInArrow(run, f"`{key}` {kind}, r long, total double, weight double")
+    return parts.groupBy(key, "r").agg(F.sum("total").alias("total"), F.sum("weight").alias("weight"))
+
+
 def bootstrap(values: DataFrame, key: str, value: str, replicates: int = 2000, seed: int = 0) -> DataFrame:
-    """(key, low, high): percentile interval of the mean by Poisson resampling, so that replicates need no shuffle of rows.
+    """(key, low, high): percentile interval of the mean by Poisson resampling of rows (key, id, value).
 
-    Each row draws its weights from a hash of its id, so a lost task draws the same again.
+    For clusters of rows take their means first, one row each.
     """
-    draws = values.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    u = (F.pmod(F.xxhash64("id", "r", F.lit(seed)), F.lit(1 << 53)).cast("double") + 0.5) / float(1 << 53)
-    edges = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    weight = sum(((u > e).cast("int") for e in edges), F.lit(0))
-    means = draws.withColumn("w", weight).groupBy(key, "r").agg((F.sum(F.col(value) * F.col("w")) / F.sum("w")).alias("m"))
+    means = _replicated(values.select(key, "id", F.col(value).alias("v")), key, replicates, seed, False)
+    means = means.where("weight > 0").select(key, (F.col("total") / F.col("weight")).alias("m"))
     return means.groupBy(key).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
 
 
 def permutation(pairs: DataFrame, replicates: int = 2000, seed: int = 0) -> DataFrame:
     """(metric, delta, p) from (metric, id, delta): random sign flips, p = (extreme + 1) / (n + 1)."""
-    draws = pairs.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    sign = F.when(F.xxhash64("id", "r", F.lit(seed)) % 2 == 0, 1).otherwise(-1)
-    means = draws.groupBy("metric", "r").agg(F.avg(F.col("delta") * sign).alias("m"))
+    means = _replicated(pairs.select("metric", "id", F.col("delta").alias("v")), "metric", replicates, seed, True)
+    means = means.select("metric", (F.col("total") / F.col("weight")).alias("m"))
     real = pairs.groupBy("metric").agg(F.avg("delta").alias("delta"))
     extreme = F.count_if(F.abs("m") >= F.abs("delta") - 1e-12)
     return means.join(real, "metric").groupBy("metric").agg(F.first("delta").alias("delta"), ((extreme + 1) / (F.count("*") + 1)).alias("p"))

@@ -131,6 +131,23 @@ def test_tokens_fold_letters_and_accents(spark):
     assert spark.createDataFrame([(text,)], "t string").select(T.tokens(F.col("t"))).first()[0] == want == T.python_tokens(text)
 
 
+def test_resampling_agrees_with_theory(spark):
+    """Replicates of a mean spread as its standard error does; flips of a clear difference are hardly ever as extreme."""
+    import random
+
+    rng = random.Random(5)
+    values = [rng.gauss(10, 3) for _ in range(900)]
+    rows = spark.createDataFrame([(i, "m", v) for i, v in enumerate(values)] + [(1, "none", None)], "id long, k string, v double").repartition(3)
+    (row,) = evaluation.bootstrap(rows, "k", "v", 1000).collect()
+    mean = sum(values) / 900
+    assert abs((row.high - row.low) / (2 * 1.96 * 3 / 30) - 1) < 0.15 and abs((row.high + row.low) / 2 - mean) < 0.03
+    again = evaluation.bootstrap(rows.repartition(1), "k", "v", 1000).first()
+    assert abs(again.low - row.low) < 1e-9 and abs(again.high - row.high) < 1e-9
+    deltas = spark.createDataFrame([(i, "far", 1.0 + 0.1 * (i % 3)) for i in range(40)] + [(i, "even", 1.0 if i % 2 else -1.0) for i in range(40)], "id long, metric string, delta double")
+    got = {r.metric: r.p for r in evaluation.permutation(deltas, 500).collect()}
+    assert got["far"] == 1 / 501 and got["even"] == 1.0
+
+
 def test_cascade_is_strictest_first(indexed):
     index = indexed(body("alpha beta", "alphabet beta", "gamma", None))
     assert [(r.doc_id, r.stage) for r in lexical.cascade(index, ["alpha", "beta"], 10).orderBy("rank").collect()] == [(1, 0), (2, 1)]
