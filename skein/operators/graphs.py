@@ -54,8 +54,10 @@ def neighbours(edges: DataFrame, nodes: DataFrame, direction: str = "both", k: i
 def expand(edges: DataFrame, seeds: DataFrame, kinds: list[str], hops: int = 2, per_seed: int = 24, frontier: int = 4, direction: str = "both") -> DataFrame:
     """(node, hop, score): damped expansion from (node, score); kinds are filtered after the cap per node.
 
-    A step sends on the edges of its frontier only, at most ``FRONTIER`` nodes, and counts only their degrees.
+    A step sends on the edges of its frontier only, at most ``FRONTIER`` nodes, and counts only their degrees;
+    what it reaches is a written table, so that the next step doesn't walk again.
     """
+    space = Workspace(edges.sparkSession, "walk")
     front, found = seeds.select(F.col("node").alias("at"), "score").orderBy(F.desc("score"), "at").limit(FRONTIER), None
     for hop in range(hops):
         ends = _leaving(edges.select("src", "dst"), front.select("at"), "both").where("forward OR at <> to")
@@ -63,7 +65,7 @@ def expand(edges: DataFrame, seeds: DataFrame, kinds: list[str], hops: int = 2,
         reached = neighbours(edges, front.select("at"), direction, per_seed).where(F.col("kind").isin(*kinds))
         reached = reached.join(F.broadcast(front), "at").join(F.broadcast(degree), "at")  # one row per frontier node
         spread = F.col("score") * F.col("confidence") * 0.5**hop / (1 + F.log(F.greatest("degree", F.lit(1))))
-        best = reached.groupBy(F.col("to").alias("node")).agg(F.round(F.max(spread), 9).alias("score"))
+        best = space.table(reached.groupBy(F.col("to").alias("node")).agg(F.round(F.max(spread), 9).alias("score")), f"hop-{hop}")
         step = best.select("node", F.lit(hop + 1).cast("long").alias("hop"), "score")
         found = step if found is None else found.unionByName(step)
         front = best.where("score > 0.001").orderBy(F.desc("score"), "node").limit(frontier).select(F.col("node").alias("at"), "score")
@@ -110,11 +112,13 @@ def mass_flow(edges: DataFrame, seeds: DataFrame, per_node: int = 64, receivers:
         total = ways.groupBy("at", "way").agg(F.sum("confidence").alias("total"))
         return ways.join(total, ["at", "way"]).select("at", "to", "edge", (weight[F.col("way")] * F.col("confidence") / F.col("total")).alias("share")).where("share > 0")
 
-    start = seeds.orderBy(F.desc("mass"), "node").limit(most).select(F.col("node").alias("at"), "mass")
-    first = _universe(edges, start.select("at"), per_node)
-    one = start.join(shares(first), "at").select(F.col("at").alias("seed"), F.col("to").alias("at"), "edge", (F.col("mass") * F.col("share")).alias("mass"))
+    # small written tables, so that no step is computed twice
+    space = Workspace(edges.sparkSession, "flow")
+    start = space.table(seeds.orderBy(F.desc("mass"), "node").limit(most).select(F.col("node").alias("at"), "mass"), "start")
+    first = space.table(_universe(edges, start.select("at"), per_node), "first")
+    one = space.table(start.join(shares(first), "at").select(F.col("at").alias("seed"), F.col("to").alias("at"), "edge", (F.col("mass") * F.col("share")).alias("mass")), "one")
     got = one.groupBy("at").agg(F.sum("mass").alias("m")).join(start.select("at"), "at", "left_anti")
-    best = got.orderBy(F.desc(F.round("m", 9)), "at").limit(receivers).select("at")
+    best = space.table(got.orderBy(F.desc(F.round("m", 9)), "at").limit(receivers).select("at"), "receivers")
     both = first.unionByName(_universe(edges, best, per_node)).groupBy("src", "dst", "kind").agg(F.max("confidence").alias("confidence"))
     two = one.withColumnRenamed("edge", "last").join(shares(both), "at").where("last <> edge").select("seed", F.col("to").alias("at"), (F.col("mass") * F.col("share")).alias("mass"))
     out = one.select("seed", "at", (F.col("mass") * 0.5).alias("mass")).unionByName(two.withColumn("mass", F.col("mass") * 0.25))
