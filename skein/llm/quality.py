@@ -107,7 +107,7 @@ def latent(rows: np.ndarray, dims: int, rounds: int = 6, seed: int = 11) -> np.n
     width = min(rows.shape[1], min(rows.shape) if rows.size else 0, dims + 16)
     if not width:
         return np.zeros((rows.shape[1], 0))
-    basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(rows.shape[1], width)))[0]
+    basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(rows.shape[1], width)).astype(rows.dtype))[0]
     for _ in range(rounds):
         basis = np.linalg.qr(rows.T @ (rows @ basis))[0]
     turn = np.linalg.svd(rows @ basis, full_matrices=False)[2]
@@ -146,18 +146,18 @@ def labelled(documents: DataFrame, labels: DataFrame, sample: int, folds: int):
 def fit(documents: DataFrame, labels: DataFrame, sample=SAMPLE, dims=DIMS, neighbours=NEIGHBOURS, sharp=SHARP, folds=FOLDS) -> Model:
     table = labelled(documents, labels, sample, folds)
     y = table.column("_label").to_numpy()
-    lists = [np.array(x, np.int64) for x in table.column("codes").to_pylist()]
-    counts = [np.array(x, np.float64) for x in table.column("counts").to_pylist()]
+    lists, counts = ([x.values.to_numpy().astype(kind) for x in table.column(c).combine_chunks()] if len(y) else [] for c, kind in (("codes", np.int64), ("counts", np.float64)))
     seen, df = np.unique(np.concatenate([*lists, np.zeros(0, np.int64)]), return_counts=True)
     enough = np.where(seen > REPEAT, np.maximum(2, SHARE * len(y)), np.maximum(2, 0.0005 * len(y)))
     codes, held = seen[df >= enough], df[df >= enough]
     idf = (np.log(len(y) / np.maximum(1, held)) + 0.3) * np.where(codes > REPEAT, WEIGHT, 1.0) if len(y) else np.zeros(0)
-    dense = np.zeros((len(y), len(codes)))
+    # one matrix of at most ``sample`` rows, filled row by row in single precision
+    rows = np.zeros((len(y), len(codes)), np.float32)
     for i, (c, n) in enumerate(zip(lists, counts)):
-        good = np.isin(c, codes)
-        dense[i, np.searchsorted(codes, c[good])] = n[good]
-    forms, words = ([n[c <= REPEAT].sum() for c, n in zip(lists, counts)], [n[c > REPEAT].sum() for c, n in zip(lists, counts)])
-    rows = weights(dense, np.array(forms), np.array(words), codes > REPEAT, idf) if len(y) else dense
+        good, word = np.isin(c, codes), c > REPEAT
+        total = np.where(word, max(1.0, n[word].sum()), max(1.0, n[~word].sum()))
+        at = np.searchsorted(codes, c[good])
+        rows[i, at] = np.sqrt(n[good] / total[good]) * idf[at]
     space = latent(rows, dims)
     return Model(codes, idf, space, _project(rows, space), y, neighbours, sharp)
 
