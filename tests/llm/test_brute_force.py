@@ -165,3 +165,28 @@ def test_settings_are_fitted():
     assert share < 0.1
     flat = rng.normal(size=(500, 64))
     assert ann.choose(flat, flat[:20], [flat[20:30]] * 20, 1e4, 1e2) == ann.choose(flat, flat[:20], [flat[20:30]] * 20, 1e4, 1e2)
+
+
+def test_packs_are_tiered_and_balanced(spark):
+    """Windows are as long as their tier, long ones are filled from shorter tiers, and step groups hold equal numbers of tokens."""
+    from skein.llm import packing
+    from skein.llm.queries import vocabulary
+
+    docs = spark.createDataFrame([(i, " ".join(prose(i, 20 + (i * 37) % 400))) for i in range(300)], EMPTY).coalesce(1)
+    got = packing.pack(docs, vocabulary(), step_tokens=4096).toPandas()
+    windows = got.groupby("sequence_id").agg(n=("length", "sum"), tier=("tier", "first"), group=("step_group", "first"), cost=("length", lambda x: (x**2).sum()), pieces=("length", "size"))
+    assert (windows.tier == windows.n).all() and (windows[windows.tier == 1024].pieces > 1).any()
+    # only what is left at the end is cut into powers of two
+    full = windows[windows.tier.isin(packing.TIERS)]
+    assert len(windows) - len(full) <= 10 and len(set(full.tier)) > 2
+    groups = full.groupby("group").agg(n=("n", "sum"), tiers=("tier", "nunique"))
+    assert (groups.tiers == 1).all() and groups.n.max() <= 4096 and (groups.n >= 2048).sum() >= len(groups) - 2 * len(packing.TIERS)
+
+
+def test_a_very_long_conversation(spark):
+    from skein.llm import chat_format
+
+    rows = [(1, t, "assistant" if t % 2 else "user", "</s>" if t % 3 == 0 else f"turn {t} [INST]") for t in range(4000)] + [(2, 0, "user", "x" * 2_000_000)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat_format.digests(chat_format.format_conversations(table)).collect()}
+    assert got[1].n_turns == 4000 and got[1].loss_chars == sum(len(x) for _, t, r, x in rows[:4000] if r == "assistant") and got[2].formatted_chars > 2_000_000
