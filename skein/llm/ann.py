@@ -41,6 +41,7 @@ from .common import Workspace, join_hot
 
 BLOCK, K, EVERY = 512, 10, 100
 SAMPLE, ASKED, TARGET = 4096, 64, 0.95
+SHARED = 1024  # vectors of the sample by which the share that a setting visits is estimated
 SIDE = 8  # packs of either side that one cell of the grid of a bucket holds
 MARGIN = 5  # nodes kept beyond those asked for, as sums of squares may differ in their last digits
 SENT = 64  # what sending a vector to a bucket costs, in distances
@@ -115,7 +116,7 @@ def choose(sample: np.ndarray, queries: np.ndarray, near: list[np.ndarray], rows
             ranks, share = [], []
             for t in range(4):
                 family = Hashes(sample.shape[1], t + 1, hashes, width)
-                found, all_ = family.visited(t, queries, near, sample)
+                found, all_ = family.visited(t, queries, near, sample[:SHARED])
                 ranks.append(found)
                 share.append(all_)
                 first = np.sort(np.min(ranks, axis=0))
@@ -212,17 +213,18 @@ def _packed(rows: DataFrame, vectors: DataFrame, block: int, space: Workspace, n
     return packs
 
 
-def _met(visits: DataFrame, stored: DataFrame) -> DataFrame:
+def _met(visits: DataFrame, stored: DataFrame, space: Workspace, name: str) -> DataFrame:
     """Each pack of queries with each pack of vectors of its bucket, on a grid of ``SIDE`` by ``SIDE`` packs a cell."""
     cells = lambda n: F.ceil(F.col(n) / SIDE).cast("int")
     # how many cells the other side has, per bucket: one row each
     rows = visits.groupBy("table", "bucket").agg(F.first("parts").alias("rows"))
     columns = stored.groupBy("table", "bucket").agg(F.first("parts").alias("columns"))
-    both = rows.join(columns, ["table", "bucket"])
+    both = space.table(rows.join(columns, ["table", "bucket"]), name)
     across = lambda n: F.explode(F.sequence(F.lit(0), cells(n) - 1))
-    left = visits.join(both.select("table", "bucket", "columns"), ["table", "bucket"])
+    key = ["table", "bucket"]
+    left = join_hot(visits, both.select(*key, "columns", F.col("rows").alias("weight")), key, "weight", 1)
     left = left.select("table", "bucket", (F.col("part") % cells("parts")).alias("i"), across("columns").alias("j"), F.col("nodes").alias("queries"), F.col("vs").alias("qv"))
-    right = stored.join(both.select("table", "bucket", "rows"), ["table", "bucket"])
+    right = join_hot(stored, both.select(*key, "rows", F.col("columns").alias("weight")), key, "weight", 1)
     right = right.select("table", "bucket", across("rows").alias("i"), (F.col("part") % cells("parts")).alias("j"), "nodes", F.col("vs").alias("nv"))
     return left.join(right, ["table", "bucket", "i", "j"]).select("queries", "qv", "nodes", "nv")
 
@@ -294,12 +296,12 @@ def nearest(
     stored = _packed(vectors.mapInArrow(_hashed(family, setting.tables, 0), schema), vectors, block, space, "stored")
     # a query's own node is among its k + 1 nearest, and equal vectors make one node
     want = k + 1
-    found = space.table(_best(_met(visits, stored), want), "found")
+    found = space.table(_best(_met(visits, stored, space, "met"), want), "found")
     few = queries.join(found.groupBy(F.col("query").alias("node")).count().where(F.col("count") >= want).select("node"), "node", "left_anti")
     few = space.table(few, "few")
     if not few.isEmpty():
         whole = lambda frame: frame.select(F.lit(0).alias("table"), F.lit(0).cast("long").alias("bucket"), "node")
-        rest = _met(_packed(whole(few), few, block, space, "few-packs"), _packed(whole(vectors), vectors, block, space, "all-packs"))
+        rest = _met(_packed(whole(few), few, block, space, "few-packs"), _packed(whole(vectors), vectors, block, space, "all-packs"), space, "met-2")
         found = space.table(found.unionByName(_best(rest, want)).distinct(), "found-2")
     near = found.join(heads.select("node", "same"), "node").join(ids.select("same", "vec_id", "v"), "same").select("query", "vec_id", "v")
     pairs = asked.join(near, "query").where("query_id <> vec_id")

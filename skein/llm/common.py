@@ -52,16 +52,17 @@ def fresh(taken, *names: str) -> list[str]:
     return out
 
 
-def join_hot(rows: DataFrame, keys: DataFrame, on: list[str], weight: str) -> DataFrame:
+def join_hot(rows: DataFrame, keys: DataFrame, on: list[str], weight: str, floor: int = 256) -> DataFrame:
     """Inner join of ``rows`` with ``keys``, a written table of one row per key, on keys that may be hot.
 
     ``weight`` says how many rows a key has. Keys with more than a quarter of an even share of
     the rows of a partition are at most four per partition, so these are broadcast and
-    their rows stay where they are; the rest is joined by a shuffle.
+    their rows stay where they are; the rest is joined by a shuffle. Keys of up to ``floor`` rows
+    are never hot.
     """
     most = 4 * shuffle_partitions(rows.sparkSession)
     total = keys.agg(F.sum(weight)).first()[0] or 0
-    least = max(total // most, 256)
+    least = max(total // most, floor)
     hot = keys.where(F.col(weight) > least)
     if hot.isEmpty():
         return rows.join(keys.drop(weight), on)
