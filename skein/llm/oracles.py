@@ -33,4 +33,13 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, CAST(coalesce(gone,
 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
 """
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": SUBSTRING, "op3_chat_formatting": CHAT}
+ARCHIVES = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS x, strlen(coalesce(html, '')) AS n FROM pages),
+h AS (SELECT x, max(page_id) AS head FROM p WHERE n >= 1000 GROUP BY x)
+SELECT p.page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(p.x) AS payload_digest,
+  CASE WHEN head IS NULL OR head IS NOT DISTINCT FROM p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN head IS DISTINCT FROM p.page_id THEN head END AS refers_to
+FROM p LEFT JOIN h ON p.n >= 1000 AND p.x = h.x
+"""
+
+ORACLES: dict[str, str] = {"op1_substring_dedup": SUBSTRING, "op3_chat_formatting": CHAT, "op11_warc": ARCHIVES}

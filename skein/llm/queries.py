@@ -1,4 +1,4 @@
-"""The ten operators as queries over the whole tables, and their SQL where there is some."""
+"""The thirteen operators as queries over the whole tables, and their SQL where there is some."""
 
 from __future__ import annotations
 
@@ -7,16 +7,16 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat_format, decontamination, language_id, minhash, packing, quality, secrets, substring_dedup, token_counts
+from . import alignment, ann, chat_format, decontamination, language_id, minhash, packing, quality, secrets, spelling, substring_dedup, token_counts, warc
 from .common import load, ship
 
-VOCABULARY = "byte_bpe_50k.json"
+VOCABULARY, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path(VOCABULARY))
+    return str(public_tokenizers.path(name))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,13 +64,25 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(spark, evidence, language_id.fit_text(documents))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(spark, load(spark, sf_dir, "pages")).drop("verified")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_report(spark, load(spark, sf_dir, "documents"), vocabulary(), vocabulary(PIECES))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spark, load(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_chat_formatting, op4_quality, op5_packing, op6_nearest, op7_secrets, op8_minhash, op9_token_counts, op10_language_id, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_chat_formatting, op4_quality, op5_packing, op6_nearest, op7_secrets, op8_minhash, op9_token_counts, op10_language_id, op11_warc, op12_alignment, op13_spelling, pipeline)}
 
 
 def _sent(query):
