@@ -6,8 +6,8 @@ takes the spans up to each label of both; the labels inside a span say how many
 kind its group holds.
 
 Both vocabularies cut a text before every space that follows something else than white space, so such
-parts are aligned one by one, and what a short part gave is kept in a table of at most ``MEMO`` parts per
-worker. That B's pieces allow this is tested when they are loaded; where they don't, a text is one part.
+parts are aligned once, and what they gave is kept until more than ``MEMO`` parts or ``HELD`` characters
+are known to a worker. That B's pieces allow this is tested when they are loaded; where they don't, a text is one part.
 
 All A and B tokens of a group are linked. A pair of identifiers counts the documents that hold it linked. A document's
 pairs are distinct rows with the number of their links, so no link is listed one by one: of a large group only the distinct
@@ -23,17 +23,18 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, join_hot
 from .packing import tokenizer
 
-MEMO, LONG = 1 << 17, 32
+MEMO, HELD = 1 << 18, 1 << 24
+SLICE = 1 << 20
 MOST = 1 << 21
 PART_PAIRS = 1 << 18
 LARGE_GROUP = 1 << 12
@@ -43,9 +44,11 @@ SPAN = re.compile(rb"[^C]*C")
 PARTS = re.compile(r"\s*\S+(?:[^\S ]\s*\S+)*|\s+")
 
 
-def spans_of(labels: bytes) -> list[tuple[int, int]]:
-    """(A tokens, B tokens) of each span up to a label of both."""
-    return [(s.count(b"A") + 1, s.count(b"B") + 1) for s in SPAN.findall(labels)]
+def spans_of(labels: bytes) -> np.ndarray:
+    """A tokens, B tokens and bytes of each span up to a label of both."""
+    seen: dict[bytes, int] = {}
+    each = [seen.setdefault(s, len(seen)) for s in SPAN.findall(labels)]
+    return np.array([[s.count(b"A") + 1, s.count(b"B") + 1, len(s)] for s in seen], np.int64).reshape(-1, 3)[each]
 
 
 def pieces_of(path: str):
@@ -55,10 +58,12 @@ def pieces_of(path: str):
 
 
 class Aligner:
+    """Aligns texts part by part; a part is encoded when it is first met and kept as a row of arrays."""
+
     def __init__(self, path_a: str, path_b: str, memo: int = MEMO):
         self.encode_a = tokenizer(path_a).codec.encode_ordinary
         codec = tokenizer(path_a).codec
-        self.size_a = [0] * codec.n_vocab
+        self.size_a = np.zeros(codec.n_vocab, np.int64)
         for token in codec.token_byte_values():
             self.size_a[codec.encode_single_token(token)] = len(token)
         pieces = pieces_of(path_b)
@@ -68,8 +73,18 @@ class Aligner:
             piece = pieces.id_to_piece(i)
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if pieces.is_byte(i) else piece.replace("▁", " ").encode())
             apart = apart and "▁" not in piece.lstrip("▁")
-        self.apart, self.width = apart, len(self.bytes_b)
-        self.memo, self.most = {}, memo
+        self.size_b = np.array([len(x) for x in self.bytes_b])
+        self.apart, self.width, self.most = apart, len(self.bytes_b), memo
+        # how an id is written inside a group and at the end of its side
+        self.told_a = np.array([f"{i}{end}" for i in range(len(self.size_a)) for end in ",|"], object)
+        self.told_b = np.array([f"{i}{end}" for i in range(self.width) for end in ",;"], object)
+        self.forget()
+
+    def forget(self) -> None:
+        self.index, self.texts, self.held = {}, [], 0
+        self.counts, self.starts = np.zeros((0, 4), np.int64), np.zeros(1, np.int64)
+        self.codes = self.times = np.zeros(0, np.int64)
+        self.rows, self.links = 0, 0
 
     def parts(self, text: str) -> list[str]:
         """The parts of a text that begins with a space."""
@@ -81,74 +96,99 @@ class Aligner:
             parts[-1] += end
         return parts
 
-    def groups(self, part: str):
-        """A ids, B ids and the group sizes of a part; None if the tokens don't give it back."""
-        a, b, data = self.encode_a(part), self.encode_b(part[1:]), part.encode()
-        if b"".join(map(self.bytes_b.__getitem__, b)) != data or sum(map(self.size_a.__getitem__, a)) != len(data):
+    def groups(self, text: str):
+        """A ids, B ids and the sizes of the groups (A tokens, B tokens, bytes); None if the tokens don't give the text back."""
+        a, b, data = np.array(self.encode_a(text), np.int64), self.encode_b(text[1:]), text.encode()
+        if b"".join(map(self.bytes_b.__getitem__, b)) != data or self.size_a[a].sum() != len(data):
             return None
-        labels, at = bytearray(b"-") * len(data), 0
-        for i in a:
-            at += self.size_a[i]
-            labels[at - 1] = A_END
-        at = 0
-        for j in b:
-            at += len(self.bytes_b[j])
-            labels[at - 1] = BOTH if labels[at - 1] == A_END else B_END
-        return a, b, spans_of(bytes(labels))
-
-    def linked(self, part: str):
-        """(A tokens, B tokens, groups, links, text of the groups, pairs, links of each pair) of a part, or None."""
-        found = self.groups(part)
+        b = np.array(b, np.int64)
+        labels = np.full(len(data), NONE, np.uint8)
+        labels[np.cumsum(self.size_a[a]) - 1] = A_END
+        ends = np.cumsum(self.size_b[b]) - 1
+        labels[ends] = np.where(labels[ends] == A_END, BOTH, B_END)
+        return a, b, spans_of(labels.tobytes())
+
+    def learn(self, parts: list[str]) -> None:
+        """Rows for parts that aren't known. Parts that end in no white space are encoded as one text, which gives the same."""
+        alone = [p for p in parts if not self.apart or p[-1].isspace()]
+        together = [p for p in parts if self.apart and not p[-1].isspace()]
+        if together and not self._learn(together):
+            alone += together
+        for part in alone:
+            if not self._learn([part]):
+                self._add([part], np.full((1, 4), -1), [""], [0], np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def _learn(self, parts: list[str]) -> bool:
+        found = self.groups("".join(parts))
         if found is None:
-            return None
-        a, b, sizes = found
-        i = j = 0
-        texts, pairs, links = [], {}, 0
-        large = []
-        for m, n in sizes:
-            own, other = a[i : i + m], b[j : j + n]
-            i, j, links = i + m, j + n, links + m * n
-            texts.append(f"{','.join(map(str, own))}|{','.join(map(str, other))}")
-            if m * n <= LARGE_GROUP:
-                for x in own:
-                    x *= self.width
-                    for y in other:
-                        pairs[x + y] = pairs.get(x + y, 0) + 1
-            else:
-                (x, s), (y, t) = np.unique(np.array(own), return_counts=True), np.unique(np.array(other), return_counts=True)
-                large.append(((x[:, None] * self.width + y).ravel(), (s[:, None] * t).ravel()))
-        codes, times = np.fromiter(pairs.keys(), np.int64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs))
-        for more in large:
-            codes, times = summed(np.concatenate([codes, more[0]]), np.concatenate([times, more[1]]))
-        return len(a), len(b), len(sizes), links, ";".join(texts), codes, times
-
-    def kept(self, part: str):
-        if part in self.memo:
-            return self.memo[part]
-        found = self.linked(part)
-        if len(part) <= LONG:
-            if len(self.memo) >= self.most:
-                self.memo.clear()
-            self.memo[part] = found
-        return found
-
-    def document(self, text: str | None):
-        """(A tokens, B tokens, groups, links, digest of the groups, pairs, links of each pair)."""
+            return False
+        a, b, spans = found
+        in_a, in_b, size = spans.T
+        ends = np.cumsum([len(p.encode()) for p in parts])
+        first = np.concatenate([[0], np.searchsorted(np.cumsum(size), ends) + 1])  # the groups of each part
+        group_a, group_b = np.repeat(np.arange(len(spans)), in_a), np.repeat(np.arange(len(spans)), in_b)
+        through_a, through_b = np.concatenate([[0], np.cumsum(in_a)]), np.concatenate([[0], np.cumsum(in_b)])
+        last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        last_a[through_a[1:] - 1] = 1
+        last_b[through_b[1:] - 1] = 1
+        told = np.empty(len(a) + len(b), object)
+        told[np.arange(len(a)) + through_b[group_a]] = self.told_a[2 * a + last_a]
+        told[np.arange(len(b)) + through_a[group_b + 1]] = self.told_b[2 * b + last_b]
+        told, cuts = told.tolist(), (through_a + through_b)[first].tolist()
+        texts = ["".join(told[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
+        links = in_a * in_b
+        through = np.concatenate([[0], np.cumsum(links)])
+        counts = np.stack([np.diff(through_a[first]), np.diff(through_b[first]), np.diff(first), np.diff(through[first])], 1)
+        few = links <= LARGE_GROUP
+        each = np.where(few, in_b, 0)[group_a]  # links of each A token
+        of_a = np.repeat(np.arange(len(a)), each)
+        of_b = np.arange(len(of_a)) - np.repeat(np.cumsum(each) - each, each) + through_b[group_a[of_a]]
+        codes, times, group = a[of_a] * self.width + b[of_b], np.ones(len(of_a), np.int64), group_a[of_a]
+        for g in np.flatnonzero(~few):  # distinct identifiers of either side meet
+            (x, s), (y, t) = (np.unique(ids[through[g] : through[g + 1]], return_counts=True) for ids, through in ((a, through_a), (b, through_b)))
+            codes = np.concatenate([codes, (x[:, None] * self.width + y).ravel()])
+            times, group = np.concatenate([times, (s[:, None] * t).ravel()]), np.concatenate([group, np.full(len(x) * len(y), g)])
+        if not few.all():
+            order = np.argsort(group, kind="stable")
+            codes, times, group = codes[order], times[order], group[order]
+        self._add(parts, counts, texts, np.diff(np.searchsorted(group, first)), codes, times)
+        return True
+
+    def _add(self, parts, counts, texts, sizes, codes, times) -> None:
+        n, m = self.rows + len(parts), self.links + len(codes)
+        if n > len(self.counts):
+            self.counts, self.starts = np.resize(self.counts, (2 * n, 4)), np.resize(self.starts, 2 * n + 1)
+        if m > len(self.codes):
+            self.codes, self.times = np.resize(self.codes, 2 * m), np.resize(self.times, 2 * m)
+        self.counts[self.rows : n], self.codes[self.links : m], self.times[self.links : m] = counts, codes, times
+        self.starts[self.rows + 1 : n + 1] = self.links + np.cumsum(sizes)
+        self.index.update(zip(parts, range(self.rows, n), strict=True))
+        self.texts += texts
+        self.held += sum(map(len, parts))
+        self.rows, self.links = n, m
+
+    def documents(self, texts: list[str | None]):
+        """(A tokens, B tokens, groups, links, digest of the groups, pairs, links of each pair) of each text."""
+        if self.rows > self.most or self.held > HELD:
+            self.forget()
+        cut = [self.parts(" " + x) if x else [] for x in texts]
+        known = self.index
+        if new := list(dict.fromkeys(p for parts in cut for p in parts if p not in known)):
+            self.learn(new)
+        return [self._document(parts) for parts in cut]
+
+    def _document(self, parts: list[str]):
         none = np.zeros(0, np.int64)
-        if not text:
-            return 0, 0, 0, 0, "", none, none
-        parts = self.parts(" " + text)
-        often = Counter(parts)
-        found = {p: self.kept(p) for p in often}
-        if None in found.values():
+        rows = np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))
+        counts = self.counts[rows]
+        if not parts or counts[:, 0].min() < 0:
             return 0, 0, 0, 0, "", none, none
-        digest = hashlib.sha256(";".join([found[p][4] for p in parts]).encode()).hexdigest()
-        each = list(found.values())
-        counts = np.fromiter(often.values(), np.int64, len(each))
-        totals = counts @ np.array([x[:4] for x in each])
-        codes, times = np.concatenate([x[5] for x in each]), np.concatenate([x[6] for x in each])
-        times = times * np.repeat(counts, [len(x[5]) for x in each])
-        return *map(int, totals), digest, *summed(codes, times)
+        digest = hashlib.sha256("".join(map(self.texts.__getitem__, rows.tolist()))[:-1].encode()).hexdigest()
+        rows, often = np.unique(rows, return_counts=True)
+        starts = self.starts[rows]
+        sizes = self.starts[rows + 1] - starts
+        take = np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+        return *counts.sum(0).tolist(), digest, *summed(self.codes[take], self.times[take] * np.repeat(often, sizes))
 
 
 def summed(codes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,33 +212,34 @@ def aligner(path_a: str, path_b: str, memo: int = MEMO) -> Aligner:
     return _aligners[key]
 
 
+def measured(align: Aligner, column: pa.Array):
+    """What ``Aligner.documents`` gives for a column, slice by slice of about ``SLICE`` bytes."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    slices = np.cumsum(sizes) // SLICE
+    starts = [0, *(np.flatnonzero(np.diff(slices)) + 1).tolist(), len(column)]
+    for i, j in zip(starts, starts[1:], strict=False):
+        yield from align.documents(column.slice(i, j - i).to_pylist())
+
+
 def token_groups(documents: DataFrame, path_a: str, path_b: str, memo: int = MEMO) -> DataFrame:
     """doc_id and, for each group in order, number (from 0), start_byte and end_byte in space+text, a_ids and b_ids."""
     schema = "doc_id long, number long, start_byte long, end_byte long, a_ids array<int>, b_ids array<int>"
     names, most = ("doc_id", "number", "start_byte", "end_byte", "a_ids", "b_ids"), 1 << 16
-    kinds = pa.schema([*((n, pa.int64()) for n in names[:4]), *((n, pa.list_(pa.int32())) for n in names[4:])])
 
     def run(batches):
         align = aligner(path_a, path_b, memo)
         for batch in batches:
-            rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 text = text.as_py()
-                found = [align.groups(p) for p in align.parts(" " + text)] if text else [None]
-                if None in found:
+                if not text or (found := align.groups(" " + text)) is None:
                     continue
-                at = number = 0
-                for a, b, sizes in found:
-                    i = j = 0
-                    for m, n in sizes:
-                        end = at + sum(align.size_a[x] for x in a[i : i + m])
-                        rows.append((doc_id, number, at, end, a[i : i + m], b[j : j + n]))
-                        i, j, at, number = i + m, j + n, end, number + 1
-                        if len(rows) >= most:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
-                            rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+                a, b, spans = found
+                cuts = [np.concatenate([[0], np.cumsum(x)]) for x in spans.T]
+                for at in range(0, len(spans), most):
+                    (of_a, of_b, ends) = (x[at : at + most + 1] for x in cuts)
+                    n = len(ends) - 1
+                    lists = [pa.ListArray.from_arrays(pa.array(of - of[0], pa.int32()), pa.array(ids[of[0] : of[-1]], pa.int32())) for of, ids in ((of_a, a), (of_b, b))]
+                    yield pa.RecordBatch.from_arrays([pa.array([doc_id] * n, pa.int64()), pa.array(np.arange(at, at + n)), pa.array(ends[:-1]), pa.array(ends[1:]), *lists], names)
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
@@ -221,8 +262,7 @@ def aligned(documents: DataFrame, path_a: str, path_b: str, memo: int = MEMO, pa
     def run(batches):
         align, rows, held = aligner(path_a, path_b, memo), [], 0
         for batch in batches:
-            for row, doc_id, text in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                n_a, n_b, n_groups, n_links, digest, codes, times = align.document(text.as_py())
+            for row, doc_id, (n_a, n_b, n_groups, n_links, digest, codes, times) in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), measured(align, batch.column("text")), strict=True):
                 parts = max(1, -(-len(codes) // part_pairs))
                 for k in range(parts):
                     cut = slice(k * part_pairs, (k + 1) * part_pairs)
