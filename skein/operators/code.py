@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
+from skein.workspace import union
 
 from .ranking import top_per_key
 
@@ -185,7 +186,7 @@ def cargo_packages(manifests: DataFrame) -> DataFrame:
     names = rows.where((F.col("section") == "package") & (key == "name")).select("path", F.regexp_extract("line", r"""=\s*["']([^"']+)""", 1).alias("package"))
     flat = rows.where(F.col("section").rlike(r"(^|\.)(dev-|build-)?dependencies$") & (key != "")).select("path", key.alias("name"))
     long = rows.where(head.rlike(r"(^|\.)(dev-|build-)?dependencies\.[\w-]+$")).select("path", F.regexp_extract(head, r"([\w-]+)$", 1).alias("name"))
-    return names.join(flat.unionByName(long).distinct(), "path").select("path", "package", "name")
+    return names.join(union(flat, long).distinct(), "path").select("path", "package", "name")
 
 
 def test_pairs(tests: DataFrame, targets: DataFrame) -> DataFrame:
@@ -230,7 +231,7 @@ def candidates_of_files(ranked: DataFrame, placed: DataFrame, documents: DataFra
     regions = ranked.join(placed.select("path", "region_id"), "path").select("rank", "region_id")
     own = documents.where("region_id IS NOT NULL").select("doc_id", "region_id").join(regions, "region_id").select("doc_id", "rank")
     files = documents.where("representation = 'file_descriptor'").select("doc_id", "path").join(ranked, "path").select("doc_id", "rank")
-    return own.unionByName(files).groupBy("doc_id").agg(F.min("rank").alias("rank"))
+    return union(own, files).groupBy("doc_id").agg(F.min("rank").alias("rank"))
 
 
 def anchors(text: Column) -> Column:

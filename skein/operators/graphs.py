@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.workspace import Workspace
+from skein.workspace import Workspace, union
 
 from .ranking import top_per_key
 
@@ -27,49 +27,86 @@ POLICIES = {
     "opportunistic": (("calls", "references", "imports", "changed_with"), "both"),
     "dataflow": (("calls", "references", "imports"), "both"),
 }
-FRONTIER = 64  # nodes that a step of a walk starts from at most, so that they can be broadcast
+class Edges:
+    """Edges (src, dst, kind, confidence) to be asked for by either end; here without any order."""
 
+    def __init__(self, edges: DataFrame):
+        self.spark, self.by_src, self.by_dst = edges.sparkSession, edges, edges
 
-def _leaving(edges: DataFrame, nodes: DataFrame, direction: str) -> DataFrame:
-    """(at, to, kind, confidence, ...) of the edges at a few nodes; the nodes are broadcast and only their edges are sent on."""
-    few = F.broadcast(nodes)
-    parts = []
-    if direction != "incoming":
-        parts.append(edges.withColumnsRenamed({"src": "at", "dst": "to"}).withColumn("forward", F.lit(True)).join(few, "at"))
-    if direction != "outgoing":
-        parts.append(edges.withColumnsRenamed({"src": "to", "dst": "at"}).withColumn("forward", F.lit(False)).join(few, "at"))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    def leaving(self, nodes: list[str], direction: str, *columns: str) -> DataFrame:
+        """(at, to, kind, confidence, forward) of the edges at a few nodes, whose names reach the scan as a filter."""
+        names, parts = list(columns) or ["kind", "confidence"], []
+        if direction != "incoming":
+            parts.append(self.by_src.where(F.col("src").isin(nodes)).select(F.col("src").alias("at"), F.col("dst").alias("to"), *names, F.lit(True).alias("forward")))
+        if direction != "outgoing":
+            parts.append(self.by_dst.where(F.col("dst").isin(nodes)).select(F.col("dst").alias("at"), F.col("src").alias("to"), *names, F.lit(False).alias("forward")))
+        return union(*parts)
 
+    def degrees(self, nodes: list[str]) -> DataFrame:
+        """(at, degree) of a few nodes; a loop counts once."""
+        return self.leaving(nodes, "both", "kind").where("forward OR at <> to").groupBy("at").agg(F.count("*").alias("degree"))
 
-def neighbours(edges: DataFrame, nodes: DataFrame, direction: str = "both", k: int = 24) -> DataFrame:
-    """The ``k`` strongest edges of each of a few nodes (column ``at``), whichever way they go; equal ones count once.
+    def incoming(self, nodes: DataFrame, few: int = 10_000) -> DataFrame:
+        """The edges that end at nodes (column ``node``): by a broadcast if these are few, else by a shuffle of the edges."""
+        wanted = nodes.select(F.col("node").alias("dst")).distinct()
+        return self.by_dst.join(F.broadcast(wanted) if wanted.count() <= few else wanted, "dst", "left_semi")
 
-    At most ``k`` rows a node come out, in one partition, so that what follows needs no shuffle.
-    """
-    rows = _leaving(edges.select("src", "dst", "kind", "confidence"), nodes, direction).drop("forward")
+
+class SortedEdges(Edges):
+    """The same from tables that are sorted by source, by target and, for degrees, by node: a few nodes read a few pages."""
+
+    def __init__(self, by_src: DataFrame, by_dst: DataFrame, degree: DataFrame):
+        self.spark, self.by_src, self.by_dst, self.degree = by_src.sparkSession, by_src, by_dst, degree
+
+    def degrees(self, nodes: list[str]) -> DataFrame:
+        return self.degree.where(F.col("node").isin(nodes)).select(F.col("node").alias("at"), "degree")
+
+
+def _edges(edges: DataFrame | Edges) -> Edges:
+    return edges if isinstance(edges, Edges) else Edges(edges)
+
+
+def neighbours(edges: DataFrame | Edges, nodes: list[str], direction: str = "both", k: int = 24) -> DataFrame:
+    """The ``k`` strongest edges of each of a few nodes (``at``), whichever way they go; equal ones count once."""
+    rows = _edges(edges).leaving(nodes, direction).drop("forward")
     rows = rows.distinct() if direction == "both" else rows
-    return top_per_key(rows, "at", [F.desc("confidence"), F.col("to"), F.col("kind")], k).drop("place").coalesce(1)
+    return top_per_key(rows, "at", [F.desc("confidence"), F.col("to"), F.col("kind")], k).drop("place")
 
 
-def expand(edges: DataFrame, seeds: DataFrame, kinds: list[str], hops: int = 2, per_seed: int = 24, frontier: int = 4, direction: str = "both") -> DataFrame:
-    """(node, hop, score): damped expansion from (node, score); kinds are filtered after the cap per node.
+def expand(edges: DataFrame | Edges, seeds: DataFrame, kinds: list[str], hops: int = 2, per_seed: int = 24, frontier: int = 4, direction: str = "both", starts: int = 5) -> DataFrame:
+    """(node, hop, score): damped expansion from the ``starts`` best seeds (node, score).
 
-    A step sends on the edges of its frontier only, at most ``FRONTIER`` nodes, and counts only their degrees;
-    what it reaches is a written table, so that the next step doesn't walk again.
+    A step takes the ``per_seed`` strongest edges of each node it starts from, of these the given kinds, and divides what
+    it passes on by the degree of the node it reaches, so that hubs don't flood the next step. That starts from the
+    ``frontier`` best arrivals above 0.001; a node that arrives twice takes two places, and none is started from
+    twice. Only names of nodes to start from are on the driver, ``starts`` or ``frontier`` of them.
     """
-    space = Workspace(edges.sparkSession, "walk")
-    front, found = seeds.select(F.col("node").alias("at"), "score").orderBy(F.desc("score"), "at").limit(FRONTIER), None
+    graph = _edges(edges)
+    space = Workspace(graph.spark, "walk")
+    front = [(r.node, r.score) for r in seeds.orderBy(F.desc("score"), "node").limit(starts).collect()]
+    visited, found = set(), []
     for hop in range(hops):
-        ends = _leaving(edges.select("src", "dst"), front.select("at"), "both").where("forward OR at <> to")
-        degree = ends.groupBy("at").agg(F.count("*").alias("degree"))
-        reached = neighbours(edges, front.select("at"), direction, per_seed).where(F.col("kind").isin(*kinds))
-        reached = reached.join(F.broadcast(front), "at").join(F.broadcast(degree), "at")  # one row per frontier node
-        spread = F.col("score") * F.col("confidence") * 0.5**hop / (1 + F.log(F.greatest("degree", F.lit(1))))
-        best = space.table(reached.groupBy(F.col("to").alias("node")).agg(F.round(F.max(spread), 9).alias("score")), f"hop-{hop}")
-        step = best.select("node", F.lit(hop + 1).cast("long").alias("hop"), "score")
-        found = step if found is None else found.unionByName(step)
-        front = best.where("score > 0.001").orderBy(F.desc("score"), "node").limit(frontier).select(F.col("node").alias("at"), "score")
-    return found
+        places = {}
+        for node, score in front:
+            if node not in visited and node not in places:
+                places[node] = (len(places), score)
+        if not places:
+            break
+        visited |= set(places)
+        passed = F.create_map(*[F.lit(x) for node, (_, score) in places.items() for x in (node, float(score))])
+        place = F.create_map(*[F.lit(x) for node, (n, _) in places.items() for x in (node, n)])
+        reached = neighbours(graph, list(places), direction, per_seed).where(F.col("kind").isin(*kinds))
+        reached = space.table(reached.withColumn("passed", passed[F.col("at")]).withColumn("place", place[F.col("at")]), f"reached-{hop}")
+        # at most ``per_seed`` nodes for each node of the frontier
+        degree = graph.degrees([r.to for r in reached.select("to").distinct().collect()]).withColumnRenamed("at", "to")
+        spread = F.col("passed") * F.col("confidence") * 0.5**hop / (1 + F.log(F.greatest("degree", F.lit(1))))
+        arrived = space.table(reached.join(F.broadcast(degree), "to").select("to", "place", "confidence", "kind", F.round(spread, 9).alias("score")), f"arrived-{hop}")
+        found.append(arrived.groupBy(F.col("to").alias("node")).agg(F.max("score").alias("score")).select("node", F.lit(hop + 1).cast("long").alias("hop"), "score"))
+        best = arrived.orderBy(F.desc("score"), "place", F.desc("confidence"), "to", "kind").limit(frontier)
+        front = [(r.to, r.score) for r in best.collect() if r.score > 0.001]
+    if not found:
+        return graph.spark.createDataFrame([], "node string, hop long, score double")
+    return union(*found)
 
 
 def expand_by(policy: str, edges: DataFrame, seeds: DataFrame, **options) -> DataFrame:
@@ -84,17 +121,17 @@ CONDUCTANCE = {
 }
 
 
-def _universe(edges: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+def _universe(edges: Edges, nodes: list[str], k: int) -> DataFrame:
     """(src, dst, kind, confidence): the ``k`` strongest edges of each node in each direction, each once."""
     parts = []
     for direction in ("outgoing", "incoming"):
         rows = neighbours(edges, nodes, direction, k)
         at, to = ("src", "dst") if direction == "outgoing" else ("dst", "src")
         parts.append(rows.select(F.col("at").alias(at), F.col("to").alias(to), "kind", "confidence"))
-    return parts[0].unionByName(parts[1]).groupBy("src", "dst", "kind").agg(F.max("confidence").alias("confidence"))
+    return union(*parts).groupBy("src", "dst", "kind").agg(F.max("confidence").alias("confidence"))
 
 
-def mass_flow(edges: DataFrame, seeds: DataFrame, per_node: int = 64, receivers: int = 16, most: int = 32) -> DataFrame:
+def mass_flow(edges: DataFrame | Edges, seeds: DataFrame, per_node: int = 64, receivers: int = 16, most: int = 32) -> DataFrame:
     """(node, mass, senders): what seeds (node, mass) deliver in two hops, without turning back on an edge.
 
     The edges are those of at most ``most`` seeds and, for the second hop, of the ``receivers`` that got most
@@ -106,45 +143,53 @@ def mass_flow(edges: DataFrame, seeds: DataFrame, per_node: int = 64, receivers:
 
     def shares(universe):
         keyed = universe.withColumn("edge", F.concat_ws("\x1f", "src", "dst", "kind"))
-        ways = keyed.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.concat("kind", F.lit(">")).alias("way"), "confidence", "edge").unionByName(
-            keyed.select(F.col("dst").alias("at"), F.col("src").alias("to"), F.concat("kind", F.lit("<")).alias("way"), "confidence", "edge")
+        ways = union(
+            keyed.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.concat("kind", F.lit(">")).alias("way"), "confidence", "edge"),
+            keyed.select(F.col("dst").alias("at"), F.col("src").alias("to"), F.concat("kind", F.lit("<")).alias("way"), "confidence", "edge"),
         )
         total = ways.groupBy("at", "way").agg(F.sum("confidence").alias("total"))
         return ways.join(total, ["at", "way"]).select("at", "to", "edge", (weight[F.col("way")] * F.col("confidence") / F.col("total")).alias("share")).where("share > 0")
 
-    # small written tables, so that no step is computed twice
-    space = Workspace(edges.sparkSession, "flow")
-    start = space.table(seeds.orderBy(F.desc("mass"), "node").limit(most).select(F.col("node").alias("at"), "mass"), "start")
-    first = space.table(_universe(edges, start.select("at"), per_node), "first")
-    one = space.table(start.join(shares(first), "at").select(F.col("at").alias("seed"), F.col("to").alias("at"), "edge", (F.col("mass") * F.col("share")).alias("mass")), "one")
-    got = one.groupBy("at").agg(F.sum("mass").alias("m")).join(start.select("at"), "at", "left_anti")
-    best = space.table(got.orderBy(F.desc(F.round("m", 9)), "at").limit(receivers).select("at"), "receivers")
-    both = first.unionByName(_universe(edges, best, per_node)).groupBy("src", "dst", "kind").agg(F.max("confidence").alias("confidence"))
+    # small written tables, so that no step is computed twice; the few nodes that edges are asked for are on the driver
+    graph = _edges(edges)
+    space = Workspace(graph.spark, "flow")
+    start = [(r.node, float(r.mass)) for r in seeds.orderBy(F.desc("mass"), "node").limit(most).collect()]
+    if not start:
+        return graph.spark.createDataFrame([], "node string, mass double, senders long")
+    names = [n for n, _ in start]
+    mass = F.create_map(*[F.lit(x) for pair in start for x in pair])
+    first = space.table(_universe(graph, names, per_node), "first")
+    one = shares(first).where(F.col("at").isin(names)).select(F.col("at").alias("seed"), F.col("to").alias("at"), "edge", (mass[F.col("at")] * F.col("share")).alias("mass"))
+    one = space.table(one, "one")
+    got = one.where(~F.col("at").isin(names)).groupBy("at").agg(F.sum("mass").alias("m"))
+    best = [r.at for r in got.orderBy(F.desc(F.round("m", 9)), "at").limit(receivers).collect()]
+    both = union(first, _universe(graph, best, per_node)).groupBy("src", "dst", "kind").agg(F.max("confidence").alias("confidence")) if best else first
     two = one.withColumnRenamed("edge", "last").join(shares(both), "at").where("last <> edge").select("seed", F.col("to").alias("at"), (F.col("mass") * F.col("share")).alias("mass"))
-    out = one.select("seed", "at", (F.col("mass") * 0.5).alias("mass")).unionByName(two.withColumn("mass", F.col("mass") * 0.25))
+    out = union(one.select("seed", "at", (F.col("mass") * 0.5).alias("mass")), two.withColumn("mass", F.col("mass") * 0.25))
     return out.groupBy(F.col("at").alias("node")).agg(F.round(F.sum("mass"), 9).alias("mass"), F.countDistinct("seed").alias("senders"))
 
 
-def impact(edges: DataFrame, start: DataFrame, kinds: list[str], hops: int = 2, per_node: int = 256) -> DataFrame:
+def impact(edges: DataFrame | Edges, start: DataFrame, kinds: list[str], hops: int = 2, per_node: int = 256) -> DataFrame:
     """(node, hops, confidence): who depends on the start nodes, by least hops and then by the strongest edge.
 
-    Of each node the ``per_node`` strongest incoming edges count.
+    Of each node the ``per_node`` strongest incoming edges count. A step looks at the edges of its nodes only.
     """
-    incoming = edges.where(F.col("kind").isin(*kinds)).groupBy("src", "dst").agg(F.max("confidence").alias("confidence"))
-    front, found = start.select("node"), start.select("node", F.lit(0).cast("long").alias("hops"), F.lit(1.0).alias("confidence"))
+    graph = _edges(edges)
+    space = Workspace(graph.spark, "impact")
+    front, found = start.select("node"), [start.select("node", F.lit(0).cast("long").alias("hops"), F.lit(1.0).alias("confidence"))]
     for hop in range(1, hops + 1):
-        reached = front.withColumnRenamed("node", "dst").join(incoming, "dst")
+        reached = graph.incoming(front).where(F.col("kind").isin(*kinds)).groupBy("src", "dst").agg(F.max("confidence").alias("confidence"))
         reached = top_per_key(reached, "dst", [F.desc("confidence"), F.col("src")], per_node)
-        step = reached.groupBy(F.col("src").alias("node")).agg(F.max("confidence").alias("confidence"))
-        found = found.unionByName(step.select("node", F.lit(hop).cast("long").alias("hops"), "confidence"))
+        step = space.table(reached.groupBy(F.col("src").alias("node")).agg(F.max("confidence").alias("confidence")), f"hop-{hop}")
+        found.append(step.select("node", F.lit(hop).cast("long").alias("hops"), "confidence"))
         front = step.select("node")
-    best = found.groupBy("node").agg(F.min(F.struct("hops", (-F.col("confidence")).alias("c"))).alias("b"))
+    best = union(*found).groupBy("node").agg(F.min(F.struct("hops", (-F.col("confidence")).alias("c"))).alias("b"))
     return best.select("node", "b.hops", (-F.col("b.c")).alias("confidence")).where("hops > 0")
 
 
-def references(edges: DataFrame, node: str, kinds: list[str], cap: int = 256) -> DataFrame:
+def references(edges: DataFrame | Edges, node: str, kinds: list[str], cap: int = 256) -> DataFrame:
     """(src, kind, confidence, truncated): what refers to a node, the strongest first; ``truncated`` says that there is more."""
-    rows = edges.where((F.col("dst") == node) & F.col("kind").isin(*kinds))
+    rows = _edges(edges).by_dst.where((F.col("dst") == node) & F.col("kind").isin(*kinds))
     top = rows.orderBy(F.desc("confidence"), "src", "kind").limit(cap + 1)
     place = F.row_number().over(Window.partitionBy("dst").orderBy(F.desc("confidence"), "src", "kind"))  # at most ``cap`` rows and one
     placed = top.withColumn("place", place).withColumn("truncated", F.count("*").over(Window.partitionBy("dst")) > cap)
@@ -156,7 +201,7 @@ def components_explained(edges: DataFrame) -> DataFrame:
     out = edges.select(F.col("src").alias("component"), F.col("dst").alias("other"), F.when(F.col("kind") == "contains", "members").when(F.col("kind").isin("build_depends_on", "imports"), "dependencies").alias("role"))
     back = edges.select(F.col("dst").alias("component"), F.col("src").alias("other"), F.when(F.col("kind").isin("build_depends_on", "imports", "calls"), "dependents").when(F.col("kind") == "tests", "tests").alias("role"))
     # pairs are made distinct before they are collected
-    rows = out.unionByName(back).where("role IS NOT NULL").distinct()
+    rows = union(out, back).where("role IS NOT NULL").distinct()
     roles = ("members", "dependencies", "dependents", "tests")
     got = rows.groupBy("component").agg(*[F.array_sort(F.collect_list(F.when(F.col("role") == r, F.col("other")))).alias(r) for r in roles])
     return got.where(F.size("members") > 0)
@@ -202,16 +247,22 @@ def backlinks(hits: DataFrame, entities: DataFrame, edges: DataFrame, sources: i
     return placed.select("query_id", F.col("src").alias("source"), F.col("entity_id").alias("target"), "kind", "confidence", "place")
 
 
-def evidence_paths(edges: DataFrame, seeds: DataFrame, k: int = 24) -> DataFrame:
-    """(node, path): the strongest way of at most two edges from a seed to each node, as text; ties go by the text."""
-    one = neighbours(edges, seeds.select(F.col("node").alias("at")), "outgoing", k)
+def evidence_paths(edges: DataFrame | Edges, seeds: DataFrame, k: int = 24, starts: int = 64, middles: int = 64) -> DataFrame:
+    """(node, path): the strongest way of at most two edges from a seed to each node, as text; ties go by the text.
+
+    The first ``starts`` seeds by name and the ``middles`` nodes of the strongest first edges are walked from: both bounds are what a
+    caller shows at most, and their names are on the driver.
+    """
+    graph = _edges(edges)
+    names = [r.node for r in seeds.select("node").distinct().orderBy("node").limit(starts).collect()]
     hop = F.concat(F.col("at"), F.lit(" -"), F.col("kind"), F.lit("-> "), F.col("to"))
-    first = one.select(F.col("to").alias("node"), F.col("confidence").alias("s"), hop.alias("path"))
-    mid = first.groupBy("node").agg(F.min(F.struct((-F.col("s")).alias("s"), "path")).alias("b")).orderBy("b", "node").limit(FRONTIER)
-    mid = mid.select(F.col("node").alias("at"), "b.path", (-F.col("b.s")).alias("s"))
-    two = neighbours(edges, mid.select("at"), "outgoing", k).join(F.broadcast(mid), "at")  # at most FRONTIER rows
+    space = Workspace(graph.spark, "paths")
+    first = space.table(neighbours(graph, names, "outgoing", k).select(F.col("to").alias("node"), F.col("confidence").alias("s"), hop.alias("path")), "first")
+    mid = first.groupBy("node").agg(F.min(F.struct((-F.col("s")).alias("s"), "path")).alias("b")).orderBy("b", "node").limit(middles)
+    mid = space.table(mid.select(F.col("node").alias("at"), "b.path", (-F.col("b.s")).alias("s")), "mid")
+    two = neighbours(graph, [r.at for r in mid.select("at").collect()], "outgoing", k).join(F.broadcast(mid), "at")  # at most ``middles`` rows
     second = two.select(F.col("to").alias("node"), (F.col("s") * F.col("confidence")).alias("s"), F.concat("path", F.lit(" -"), "kind", F.lit("-> "), "to").alias("path"))
-    rows = first.unionByName(second).join(seeds.select("node"), "node", "left_anti")
+    rows = union(first, second).where(~F.col("node").isin(names))
     return rows.groupBy("node").agg(F.min(F.struct((-F.round("s", 9)).alias("s"), "path")).alias("b")).select("node", "b.path", (-F.col("b.s")).alias("strength"))
 
 

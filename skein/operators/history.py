@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.workspace import union
+
 
 def diff_lines(patches: DataFrame) -> DataFrame:
     """(commit, path, pos, sign, line, content): changed lines of unified patches.
@@ -42,7 +44,7 @@ def merge_relations(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
     One aggregation by id, combined before the shuffle.
     """
-    both = existing.select("id", "evidence", F.lit(False).alias("new")).unionByName(incoming.select("id", "evidence", F.lit(True).alias("new")))
+    both = union(existing.select("id", "evidence", F.lit(False).alias("new")), incoming.select("id", "evidence", F.lit(True).alias("new")))
     pool = lambda new: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("new") == new, F.col("evidence"))))))
     rows = both.groupBy("id").agg(F.max("new").alias("new"), pool(True).alias("_in"), pool(False).alias("_old"))
     return rows.select("id", F.when(F.col("new"), F.col("_in")).otherwise(F.col("_old")).alias("evidence"))

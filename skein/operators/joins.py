@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.workspace import union
+
 
 def smallest_enclosing(points: DataFrame, ranges: DataFrame, key: str, bucket: int) -> DataFrame:
     """Each point's smallest range [start, end) of the same key.
@@ -33,4 +35,4 @@ def prefer_first(first: DataFrame, second: DataFrame, key: str, limit: int) -> D
     """Rows of the first table, then those of the second whose key it lacks."""
     a = first.withColumn("preference", F.lit(0).cast("long"))
     b = second.join(first.select(key), key, "left_anti").withColumn("preference", F.lit(1).cast("long"))
-    return a.unionByName(b).orderBy("preference", key).limit(limit)
+    return union(a, b).orderBy("preference", key).limit(limit)

@@ -12,6 +12,8 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.workspace import union
+
 
 def first_items(results: DataFrame, k: int) -> DataFrame:
     """Cited ranges of the first ``k`` items of each case: an item takes one place, however many ranges it cites."""
@@ -35,13 +37,13 @@ def range_metrics(cases: DataFrame, gold: DataFrame, files: DataFrame, judged: D
 
     A case without context wants no results at all; one without gold ranges falls back to files.
     """
-    paths = files.select("case_id", "path").unionByName(gold.select("case_id", "path")).distinct()
+    paths = union(files.select("case_id", "path"), gold.select("case_id", "path")).distinct()
     seen = results.groupBy("case_id", "path").agg(F.count("*").alias("hits"))
     covered = gold.alias("g").join(results.alias("r"), ["case_id", "path"]).where("g.start <= r.end AND r.start <= g.end")
     ranges = gold.groupBy("case_id").agg(F.count("*").alias("units"))
     met = covered.groupBy("case_id").agg(F.countDistinct("unit").alias("met"))
     wanted = paths.join(seen, ["case_id", "path"], "left").groupBy("case_id").agg(F.count("*").alias("paths"), F.count("hits").alias("found"))
-    known = judged.select("case_id", "path").unionByName(paths).distinct()
+    known = union(judged.select("case_id", "path"), paths).distinct()
     verdict = seen.join(known.withColumn("known", F.lit(True)), ["case_id", "path"], "left").join(paths.withColumn("good", F.lit(True)), ["case_id", "path"], "left")
     verdict = verdict.groupBy("case_id").agg(
         F.sum("hits").alias("n"), F.sum(F.when(F.col("known").isNull(), F.col("hits")).otherwise(0)).alias("unknown"),
@@ -166,7 +168,7 @@ def agreement(results: DataFrame, k: int) -> DataFrame:
 
 def judged_with(judged: DataFrame, decisions: DataFrame) -> DataFrame:
     """(case_id, item, relevant): judgments with later decisions applied; a decision replaces what was there."""
-    both = judged.withColumn("_at", F.lit(0)).unionByName(decisions.withColumn("_at", F.lit(1)))
+    both = union(judged.withColumn("_at", F.lit(0)), decisions.withColumn("_at", F.lit(1)))
     return both.groupBy("case_id", "item").agg(F.max_by("relevant", "_at").alias("relevant"))
 
 
@@ -176,7 +178,7 @@ def dataset_lint(cases: DataFrame, gold: DataFrame, files: DataFrame) -> DataFra
     problem = F.when(F.col("lines").isNull(), "missing_path").when((F.col("start") < 1) | (F.col("end") < F.col("start")) | (F.col("end") > F.col("lines")), "bad_range")
     bad = known.select("case_id", problem.alias("problem")).where("problem IS NOT NULL")
     twice = cases.join(cases.groupBy("query").agg(F.count("*").alias("n"), F.min("case_id").alias("first")).where("n > 1"), "query").where("case_id <> first")
-    return bad.unionByName(twice.select("case_id", F.lit("duplicate_query").alias("problem"))).distinct()
+    return union(bad, twice.select("case_id", F.lit("duplicate_query").alias("problem"))).distinct()
 
 
 def replay_audit(recorded: DataFrame, again: DataFrame, every: int) -> DataFrame:

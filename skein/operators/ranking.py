@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.workspace import Workspace, union
+
 RRF_K = 60
 
 
@@ -20,35 +22,59 @@ def _ordered(key: str, order: list[str], columns: list[str]):
     return F.array_sort(F.collect_list(F.struct(*order, *[c for c in columns if c not in order])))
 
 
-def per_group_cap(ranked: DataFrame, key: str, group: str, item: str, limit: int, *carry: str) -> DataFrame:
+def per_group_cap(ranked: DataFrame, key: str, group: str, item: str, limit: int, *carry: str, region: str | None = None, exact: str | None = None, routes: str | None = None) -> DataFrame:
     """Greedy choice in rank order: one per group among the first five chosen, two until ten, then three.
 
-    Skipped rows take no place and don't come back. In each of the three phases a group gives its first rows
-    behind the phase before, so a phase is a ranking within groups and one within keys, both cut off
-    before their shuffle; no list is ever collected.
+    Skipped rows take no place and don't come back. Rows where ``exact`` holds are chosen whatever their group has, and
+    count in it; so are rows without a group, which count nowhere. Of the rows of one ``region`` (of a group) one is chosen; ``routes`` (an array) of
+    later rows of a chosen region, up to the last row that is chosen, are added to its own, in order.
+
+    In each of the three phases a group gives its first rows behind the phase before, so a phase is a ranking
+    within groups and one within keys; no list of rows is ever collected. Each phase is a written table, read
+    by the next ones.
     """
-    rows = ranked.select(key, "rank", item, group, *[c for c in carry if c != group])
-    order, out, behind, used = ["rank", item], None, None, None
-    for cap, upto in ((1, 5), (2, 10), (3, limit)):
-        need = min(upto, limit) - (0 if cap == 1 else min((5, 10)[cap - 2], limit))
+    space = Workspace(ranked.sparkSession, "cap")
+    names = list(dict.fromkeys([key, "rank", item, group, *carry, *[c for c in (region, exact, routes) if c]]))
+    order, phases, behind = ["rank", item], [], None
+    rows = ranked.select(*names)
+    free = F.coalesce(F.col(exact), F.lit(False)) if exact else F.lit(False)
+    rows = rows.withColumn("_exact", free | F.col(group).isNull())
+    rows = rows.withColumn("_region", F.coalesce(F.col(region).cast("string"), F.concat_ws("/", "rank", item)) if region else F.concat_ws("/", "rank", item))
+    for cap, done, upto in ((1, 0, 5), (2, 5, 10), (3, 10, limit)):
+        need = min(upto, limit) - done
         if need <= 0:
             break
-        left = rows
-        if behind is not None:
+        left, used = rows, None
+        if phases:
             # only keys whose phase before was filled go on, behind its last row
             left = left.join(behind, key).where(F.struct("rank", item) > F.col("_last")).drop("_last")
-            left = left.join(used, [key, group], "left").withColumn("_free", cap - F.coalesce("_used", F.lit(0)))
-        else:
-            left = left.withColumn("_free", F.lit(cap))
-        place = F.row_number().over(Window.partitionBy(key, group).orderBy(*order))
-        left = left.withColumn("_g", place).where((F.col("_g") <= cap) & (F.col("_g") <= F.col("_free")))
+            before = union(*phases)
+            used = before.groupBy(key, group).agg(F.count("*").alias("_used"))
+            left = left.join(before.select(F.col(key).alias("_key"), F.col(group).alias("_g"), F.col("_region").alias("_r")), (F.col(key) == F.col("_key")) & F.col(group).eqNullSafe(F.col("_g")) & (F.col("_region") == F.col("_r")), "left_anti")
+            left = left.join(used, [key, group], "left")
+        left = left.withColumn("_used", F.coalesce("_used", F.lit(0))) if used is not None else left.withColumn("_used", F.lit(0))
+        # the first row of a region, or, if the group is full there, its first exact row
+        in_region = Window.partitionBy(key, group, "_region").orderBy(*order)
+        left = left.withColumn("_n", F.row_number().over(in_region)).withColumn("_e", F.sum(F.col("_exact").cast("int")).over(in_region.rowsBetween(Window.unboundedPreceding, 0)))
+        left = left.where("_n = 1 OR (_exact AND _e = 1)")
+        place = F.sum(F.when(F.col("_n") == 1, 1).otherwise(0)).over(Window.partitionBy(key, group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+        fits = F.col("_exact") | (F.col("_used") + F.col("_p") <= cap)
+        left = left.withColumn("_p", place).where(fits).withColumn("_n", F.row_number().over(in_region)).where("_n = 1")
         chosen = left.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_k") <= need)
-        chosen = chosen.drop("_g", "_free", *(["_used"] if used is not None else []))
-        out = chosen if out is None else out.unionByName(chosen)
-        behind = chosen.groupBy(key).agg(F.max(F.struct("rank", item)).alias("_last"), F.count("*").alias("_n")).where(F.col("_n") == need).drop("_n")
-        used = out.groupBy(key, group).agg(F.count("*").alias("_used"))
-    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return out.select(key, item, group, *[c for c in carry if c != group], place.cast("long").alias("place"))
+        chosen = space.table(chosen.drop("_n", "_e", "_p", "_used").withColumn("_k", F.col("_k") + done), f"phase-{cap}")
+        phases.append(chosen)
+        behind = chosen.groupBy(key).agg(F.max(F.struct("rank", item)).alias("_last"), F.count("*").alias("_m")).where(F.col("_m") == need).drop("_m")
+    out = union(*phases)
+    if routes:
+        last = out.groupBy(key).agg(F.max(F.struct("rank", item)).alias("_last"), F.max("_k").alias("_m"))
+        end = F.when(F.col("_m") >= limit, F.struct("rank", item) <= F.col("_last")).otherwise(True)
+        again = rows.join(last, key).where(end).select(key, group, "_region", F.struct("rank", item).alias("_at"), F.posexplode(F.coalesce(routes, F.array().cast("array<string>"))).alias("_i", "_route"))
+        kept = out.select(F.col(key).alias("_key"), F.col(group).alias("_g"), F.col("_region").alias("_r"), F.struct("rank", item).alias("_from"))
+        again = again.join(kept, (F.col(key) == F.col("_key")) & F.col(group).eqNullSafe(F.col("_g")) & (F.col("_region") == F.col("_r")) & (F.col("_at") >= F.col("_from")))
+        once = again.groupBy("_key", "_g", "_r", "_route").agg(F.min(F.struct("_at", "_i")).alias("_first"))  # a row for each route of a chosen row
+        lists = once.groupBy("_key", "_g", "_r").agg(F.transform(F.array_sort(F.collect_list(F.struct("_first", "_route"))), lambda x: x["_route"]).alias("_routes"))
+        out = out.join(lists, (F.col(key) == F.col("_key")) & F.col(group).eqNullSafe(F.col("_g")) & (F.col("_region") == F.col("_r")), "left").withColumn(routes, F.coalesce("_routes", F.array().cast("array<string>")))
+    return out.select(key, item, group, *[c for c in names if c in carry and c != group], *([routes] if routes and routes not in carry else []), F.col("_k").cast("long").alias("place"))
 
 
 def pack_budget(ranked: DataFrame, key: str, item: str, cost: str, budget: int, *carry: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.workspace import union
+
 
 def multiset_diff(base: DataFrame, head: DataFrame, keys: list[str], compared: str, order: str) -> DataFrame:
     """(keys, change): rows added, removed or changed; equal keys are paired in order."""
@@ -50,7 +52,7 @@ def orphans(artifacts: DataFrame, *references: DataFrame) -> DataFrame:
     """Artifacts whose digest no reference table holds."""
     used = references[0].select("digest")
     for table in references[1:]:
-        used = used.unionByName(table.select("digest"))
+        used = union(used, table.select("digest"))
     return artifacts.join(used, "digest", "left_anti")
 
 

@@ -8,6 +8,7 @@ from skein.functions import text as T
 from skein.operators import code as C
 from skein.operators import joins
 from skein.sources.tables import load
+from skein.workspace import union
 
 from .lookups import pick
 from .registry import registry
@@ -145,7 +146,7 @@ def test_files(spark, sf):
     k, name = F.col("p_partkey"), F.concat(F.replace("p_name", F.lit(" "), F.lit("")), F.lit(".py"))
     p = load(spark, sf, "part")
     tests = p.where("p_size % 2 = 0").select(F.concat(F.lit("tests/"), (k % 9).cast("string"), F.lit("/test_"), name).alias("path"))
-    return C.test_files(tests.unionByName(p.where("p_size % 5 = 1").select(F.concat(F.lit("src/"), (k % 7).cast("string"), F.lit("/"), name).alias("path"))).distinct())
+    return C.test_files(union(tests, p.where("p_size % 5 = 1").select(F.concat(F.lit("src/"), (k % 7).cast("string"), F.lit("/"), name).alias("path"))).distinct())
 
 
 _REGIONS = "r AS (SELECT p_partkey AS region_id, p_partkey % 50 AS path, p_partkey * 3 % 400 AS s, p_partkey * 3 % 400 + p_size * 4 AS e FROM part), l AS (SELECT DISTINCT o_custkey % 60 AS path, o_orderkey % 450 AS line FROM orders WHERE o_orderkey % 10 = 0)"

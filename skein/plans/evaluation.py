@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skein.operators import evaluation as E
 from skein.sources.tables import load
+from skein.workspace import union
 
 from .registry import registry
 
@@ -23,7 +24,7 @@ def _run(spark, sf):
     results = o.select(F.col("o_custkey").alias("case_id"), (F.col("o_orderkey") % 40).alias("item"), place.cast("long").alias("rank"))
     a = o.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("case_id"), (F.col("o_orderkey") % 40).alias("item"))
     b = o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("case_id"), ((F.col("o_orderkey") + 7) % 40).alias("item"))
-    return results, a.unionByName(b).distinct()
+    return results, union(a, b).distinct()
 
 
 @query(f"""WITH {_RUN}, f AS (SELECT case_id, item, min(rank) AS rank FROM run GROUP BY 1, 2)
@@ -147,4 +148,4 @@ def marginal_utility(spark, sf):
     place = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), "o_orderkey"))
     late = load(spark, sf, "orders").select(F.col("o_custkey").alias("case_id"), (F.col("o_orderkey") % 40).alias("item"), place.alias("rank"))
     top = lambda rows, route: rows.where("rank <= 5").select("case_id", "item", F.lit(route).alias("route"))
-    return E.marginal_utility(top(run, "by_price").unionByName(top(late, "by_date")), gold)
+    return E.marginal_utility(union(top(run, "by_price"), top(late, "by_date")), gold)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skein.operators import graphs
 from skein.sources.tables import load
-from skein.workspace import stored
+from skein.workspace import stored, union
 
 from .lookups import _ENT, _REL, entities, relations
 from .registry import registry
@@ -26,7 +26,34 @@ def edges(spark, sf):
     refs = load(spark, sf, "orders").select(node("c", "o_custkey").alias("src"), node("o", "o_orderkey").alias("dst"), F.lit("references").alias("kind"), F.lit(0.8).alias("confidence"))
     holds = load(spark, sf, "customer").select(node("n", "c_nationkey").alias("src"), node("c", "c_custkey").alias("dst"), F.lit("contains").alias("kind"), F.lit(1.0).alias("confidence"))
     both = calls.unionByName(refs).unionByName(holds)
-    return stored(spark, "edges", 1, both, *[f"{sf.rstrip('/')}/{t}.parquet" for t in ("lineitem", "orders", "customer")])
+    return stored(spark, "edges", 1, both, *_sources(sf))
+
+
+def _sources(sf):
+    return [f"{sf.rstrip('/')}/{t}.parquet" for t in ("lineitem", "orders", "customer")]
+
+
+def graph_of(spark, sf):
+    """The same edges in tables sorted by source and by target, with degrees sorted by node."""
+    both = edges(spark, sf)
+    by = {end: stored(spark, f"edges-{end}", 1, both.repartitionByRange(end).sortWithinPartitions(end), *_sources(sf)) for end in ("src", "dst")}
+    degree = graphs.degrees(both)
+    return graphs.SortedEdges(by["src"], by["dst"], stored(spark, "edges-degree", 1, degree.repartitionByRange("node").sortWithinPartitions("node"), *_sources(sf)))
+
+
+def _walked(seeds: str, follow: str, kinds: str) -> str:
+    """SQL of two hops: the strongest 24 edges of each node, the degree of the node reached, the four best arrivals, no node started from twice."""
+    reach = lambda front, decay: f"""SELECT to_, f.n AS place, t.confidence, kind, round(f.score * t.confidence * {decay} / (1 + ln(greatest(degree, 1))), 9) AS score
+  FROM {front} f JOIN t ON t.pos = f.node JOIN g ON g.node = to_ WHERE kind IN ({kinds})"""
+    return f"""b AS ({follow}), g AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e WHERE src <> dst) GROUP BY node),
+ t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY confidence DESC, to_, kind) AS place FROM b) WHERE place <= 24),
+ f0 AS (SELECT node, 1.0::DOUBLE AS score, row_number() OVER (ORDER BY node) - 1 AS n FROM (SELECT unnest([{seeds}]) AS node)), r1 AS ({reach("f0", "1.0::DOUBLE")}),
+ a1 AS (SELECT *, row_number() OVER (ORDER BY score DESC, place, confidence DESC, to_, kind) AS z FROM r1 QUALIFY z <= 4),
+ f1 AS (SELECT to_ AS node, max(score) AS score, row_number() OVER (ORDER BY min(z)) - 1 AS n FROM a1 WHERE score > 0.001 AND to_ NOT IN (SELECT node FROM f0) GROUP BY to_), r2 AS ({reach("f1", "0.5::DOUBLE")})
+ SELECT to_ AS node, CAST(1 AS BIGINT) AS hop, max(score) AS score FROM r1 GROUP BY to_ UNION ALL SELECT to_, CAST(2 AS BIGINT), max(score) FROM r2 GROUP BY to_"""
+
+
+_BOTH = "SELECT src AS pos, dst AS to_, kind, confidence FROM e UNION SELECT dst, src, kind, confidence FROM e"
 
 
 @query(f"WITH {_EDGES} SELECT node, CAST(count(*) AS BIGINT) AS degree FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e WHERE src <> dst) GROUP BY node")
@@ -39,16 +66,10 @@ def topk_edges(spark, sf):
     return graphs.top_edges(edges(spark, sf), 3)
 
 
-@query(f"""WITH {_EDGES}, b AS (SELECT * FROM e UNION ALL SELECT dst, src, kind, confidence FROM e),
- g AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e WHERE src <> dst) GROUP BY node),
- t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY confidence DESC, dst, kind) AS place FROM b) WHERE place <= 24 AND kind IN ('calls', 'references')),
- h1 AS (SELECT dst AS node, round(max(1.0::DOUBLE * confidence / (1 + ln(greatest(degree, 1)))), 9) AS score FROM t JOIN g ON t.src = g.node WHERE src IN ('c1', 'c2', 'c4') GROUP BY dst),
- f AS (SELECT * FROM h1 WHERE score > 0.001 ORDER BY score DESC, node LIMIT 4),
- h2 AS (SELECT dst AS node, round(max(f.score * confidence * 0.5 / (1 + ln(greatest(degree, 1)))), 9) AS score FROM f JOIN t ON t.src = f.node JOIN g ON t.src = g.node GROUP BY dst)
- SELECT node, CAST(1 AS BIGINT) AS hop, score FROM h1 UNION ALL SELECT node, CAST(2 AS BIGINT), score FROM h2""")
+@query(f"""WITH {_EDGES}, {_walked("'c1', 'c2', 'c4'", _BOTH, "'calls', 'references'")}""")
 def expand_two_hop(spark, sf):
     seeds = spark.createDataFrame([("c1", 1.0), ("c2", 1.0), ("c4", 1.0)], "node string, score double")
-    return graphs.expand(edges(spark, sf), seeds, ["calls", "references"])
+    return graphs.expand(graph_of(spark, sf), seeds, ["calls", "references"])
 
 
 def _flow_universe(nodes: str, name: str) -> str:
@@ -70,7 +91,7 @@ def _flow_shares(universe: str, name: str) -> str:
  SELECT pos AS node, round(sum(m), 9) AS mass, CAST(count(DISTINCT seed) AS BIGINT) AS senders FROM (SELECT seed, pos, mass * 0.5 AS m FROM h1 UNION ALL SELECT seed, pos, mass * 0.25 FROM h2) GROUP BY pos""")
 def mass_flow(spark, sf):
     seeds = spark.createDataFrame([("c1", 1.0), ("c2", 1.0), ("c4", 1.0)], "node string, mass double")
-    return graphs.mass_flow(edges(spark, sf), seeds)
+    return graphs.mass_flow(graph_of(spark, sf), seeds)
 
 
 @query(f"""WITH {_EDGES}, i AS (SELECT src, dst, max(confidence) AS confidence FROM e WHERE kind IN ('calls', 'references') GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY confidence DESC, src) AS n FROM i),
@@ -78,12 +99,12 @@ def mass_flow(spark, sf):
  SELECT node, CAST(h AS BIGINT) AS hops, c AS confidence FROM (SELECT node, h, c, row_number() OVER (PARTITION BY node ORDER BY h, c DESC) AS n FROM (SELECT node, 1 AS h, c FROM h1 UNION ALL SELECT node, 2, c FROM h2)) WHERE n = 1 AND node NOT IN ('p1', 'p2', 'p3')""")
 def impact(spark, sf):
     start = spark.createDataFrame([("p1",), ("p2",), ("p3",)], "node string")
-    return graphs.impact(edges(spark, sf), start, ["calls", "references"])
+    return graphs.impact(graph_of(spark, sf), start, ["calls", "references"])
 
 
 @query(f"""WITH {_EDGES}, r AS (SELECT src, kind, confidence, row_number() OVER (ORDER BY confidence DESC, src, kind) AS n, count(*) OVER () > 20 AS truncated FROM e WHERE dst = 'p1' AND kind IN ('references', 'calls')) SELECT src, kind, confidence, truncated FROM r WHERE n <= 20""")
 def references(spark, sf):
-    return graphs.references(edges(spark, sf), "p1", ["references", "calls"], 20)
+    return graphs.references(graph_of(spark, sf), "p1", ["references", "calls"], 20)
 
 
 @query(f"""WITH {_ENT}, {_REL}, o AS (SELECT DISTINCT src AS c, dst AS x, CASE kind WHEN 'references' THEN 'members' WHEN 'imports' THEN 'dependencies' END AS role FROM rel UNION SELECT DISTINCT dst, src, CASE kind WHEN 'imports' THEN 'dependents' WHEN 'calls' THEN 'dependents' WHEN 'tests' THEN 'tests' END FROM rel)
@@ -95,27 +116,21 @@ def explain(spark, sf):
     return got.select("component", *[F.array_join(c, ",").alias(c) for c in ("members", "dependencies", "dependents", "tests")])
 
 
-@query("""WITH d AS (SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 49 AND l_linenumber = 1)
+@query("""WITH d AS (SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey )
  SELECT n_nationkey AS package, coalesce((SELECT string_agg(b, ',' ORDER BY b) FROM d WHERE a = n_nationkey), '') AS dependencies, coalesce((SELECT string_agg(a, ',' ORDER BY a) FROM d WHERE b = n_nationkey), '') AS dependents,
  (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS member_files FROM nation""")
 def codebase_map(spark, sf):
-    o, l = load(spark, sf, "orders").select("o_orderkey", "o_custkey"), load(spark, sf, "lineitem").where("l_quantity > 49 AND l_linenumber = 1").select("l_orderkey", "l_suppkey")
+    o, l = load(spark, sf, "orders").select("o_orderkey", "o_custkey"), load(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")
     c, s = load(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("package")), load(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("other"))
     depends = l.join(o, l.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == c.c_custkey).join(s, F.col("l_suppkey") == s.s_suppkey).select("package", "other")
     got = graphs.package_map(load(spark, sf, "nation").select(F.col("n_nationkey").alias("package")), depends, c)
     return got.select("package", F.array_join("dependencies", ",").alias("dependencies"), F.array_join("dependents", ",").alias("dependents"), "member_files")
 
 
-@query(f"""WITH {_EDGES}, b AS (SELECT src, dst, kind, confidence FROM e WHERE src <> dst UNION ALL SELECT dst, src, kind, confidence FROM e),
- g AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e WHERE src <> dst) GROUP BY node),
- t AS (SELECT * FROM (SELECT dst AS at_, src AS to_, kind, confidence, row_number() OVER (PARTITION BY dst ORDER BY confidence DESC, src, kind) AS place FROM e) WHERE place <= 24 AND kind IN ('calls', 'references', 'tests', 'implements')),
- h1 AS (SELECT to_ AS node, round(max(confidence / (1 + ln(greatest(degree, 1)))), 9) AS score FROM t JOIN g ON at_ = g.node WHERE at_ IN ('p1', 'p2') GROUP BY to_),
- f AS (SELECT * FROM h1 WHERE score > 0.001 ORDER BY score DESC, node LIMIT 4),
- h2 AS (SELECT to_ AS node, round(max(f.score * confidence * 0.5 / (1 + ln(greatest(degree, 1)))), 9) AS score FROM f JOIN t ON at_ = f.node JOIN g ON at_ = g.node GROUP BY to_)
- SELECT node, CAST(1 AS BIGINT) AS hop, score FROM h1 UNION ALL SELECT node, CAST(2 AS BIGINT), score FROM h2""")
+@query(f"""WITH {_EDGES}, {_walked("'p1', 'p2'", "SELECT dst AS pos, src AS to_, kind, confidence FROM e", "'calls', 'references', 'tests', 'implements'")}""")
 def expand_incoming(spark, sf):
     seeds = spark.createDataFrame([("p1", 1.0), ("p2", 1.0)], "node string, score double")
-    return graphs.expand_by("incoming", edges(spark, sf), seeds)
+    return graphs.expand_by("incoming", graph_of(spark, sf), seeds)
 
 
 @query(f"""WITH {_ENT}, {_REL}, h AS (SELECT o_custkey AS q, 'e' || o_orderkey % 200 AS entity, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank, o_orderkey % 4 > 0 AS placed FROM orders),
@@ -141,12 +156,12 @@ def backlinks(spark, sf):
  z AS (SELECT node, s, path FROM a UNION ALL SELECT dst, m.s * confidence, path || ' -' || kind || '-> ' || dst FROM m JOIN t ON t.src = m.node)
  SELECT node, path, round(s, 9) AS strength FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(s, 9) DESC, path) AS n FROM z WHERE node NOT IN ('n3', 'c5')) WHERE n = 1""")
 def evidence_paths(spark, sf):
-    return graphs.evidence_paths(edges(spark, sf), spark.createDataFrame([("n3",), ("c5",)], "node string"))
+    return graphs.evidence_paths(graph_of(spark, sf), spark.createDataFrame([("n3",), ("c5",)], "node string"))
 
 
 @query(f"WITH {_EDGES} SELECT * FROM (SELECT src AS at, dst AS to, kind, confidence FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY confidence DESC, dst, kind) AS n FROM e) WHERE src IN ('c1', 'o5', 'n2') AND n <= 5)")
 def neighbours(spark, sf):
-    return graphs.neighbours(edges(spark, sf), spark.createDataFrame([("c1",), ("o5",), ("n2",)], "at string"), "outgoing", 5)
+    return graphs.neighbours(graph_of(spark, sf), ["c1", "o5", "n2"], "outgoing", 5)
 
 
 @query(f"""WITH {_ENT}, p AS (SELECT id, string_split(path, '/') AS w FROM ent), x AS (SELECT DISTINCT '/' || array_to_string(w[1:i - 1], '/') AS src, '/' || array_to_string(w[1:i], '/') AS dst FROM (SELECT w, unnest(range(1, len(w) + 1)) AS i FROM p))
@@ -190,17 +205,17 @@ def _packages(spark, sf):
     s = load(spark, sf, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("path"), F.col("s_nationkey").cast("long").alias("package"))
     n = load(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("package"))
     declared = n.join(n.withColumnRenamed("package", "other"), (F.col("package") + F.col("other")) % 3 == 0)  # 25 nations
-    return lines, c.unionByName(s), declared
+    return lines, union(c, s), declared
 
 
-@query("""WITH z AS (SELECT DISTINCT l_orderkey AS "commit", l_partkey AS path FROM lineitem), c AS (SELECT * FROM z WHERE "commit" IN (SELECT "commit" FROM z GROUP BY 1 HAVING count(*) <= 5)), a AS (SELECT path, count(*) AS n FROM c GROUP BY path),
+@query("""WITH z AS (SELECT DISTINCT l_orderkey AS "commit", l_partkey AS path FROM lineitem), c AS (SELECT * FROM z WHERE "commit" IN (SELECT "commit" FROM z GROUP BY 1 HAVING count(*) <= 512)), a AS (SELECT path, count(*) AS n FROM c GROUP BY path),
  p AS (SELECT x.path AS a, y.path AS b, count(*) AS support FROM c x JOIN c y ON x."commit" = y."commit" AND x.path < y.path GROUP BY 1, 2),
  q AS (SELECT p.a, p.b, support, round(least(0.7::DOUBLE, support::DOUBLE / greatest(u.n, v.n)), 9) AS confidence FROM p JOIN a u ON p.a = u.path JOIN a v ON p.b = v.path),
  r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY support DESC, confidence DESC, b) AS ra, row_number() OVER (PARTITION BY b ORDER BY support DESC, confidence DESC, a) AS rb FROM q)
  SELECT a, b, CAST(support AS BIGINT) AS support, confidence FROM r WHERE ra <= 8 OR rb <= 8""")
 def cochange(spark, sf):
     l = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("commit"), F.col("l_partkey").alias("path"))
-    return graphs.co_change(l, most_paths=5)
+    return graphs.co_change(l)
 
 
 @query("""WITH RECURSIVE p AS (SELECT c_custkey AS node, CASE WHEN c_custkey % 1000 = 0 OR c_custkey < 2 THEN NULL ELSE c_custkey - 1 END AS parent FROM customer),

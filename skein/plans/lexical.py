@@ -10,6 +10,7 @@ from skein.functions import vectors
 from skein.operators import evidence, lexical, ranking
 from skein.operators.index import TextIndex
 from skein.sources.tables import load
+from skein.workspace import union
 
 from .registry import registry
 
@@ -188,7 +189,7 @@ def rrf_fusion(spark, sf):
     for name, weight, rows in (("dense", 1.0, dense), ("near", 2.0, near)):
         top = ranking.top_per_key(rows, "query_id", [F.desc("score"), F.col("vec_id")], 30)
         one = top.select("query_id", F.lit(name).alias("route"), F.lit(weight).alias("weight"), F.col("vec_id").alias("doc_id"), F.col("place").alias("rank"))
-        routes = one if routes is None else routes.unionByName(one)
+        routes = one if routes is None else union(routes, one)
     return ranking.reciprocal_rank_fusion(routes).drop("routes")
 
 

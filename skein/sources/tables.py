@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
+from skein.workspace import union
 
 #: Why a scanned file is left out, in the order in which reasons apply.
 LARGE_BYTES = 2 * 1024 * 1024
@@ -104,6 +105,6 @@ def update_scan_cache(cache: DataFrame, scanned: DataFrame) -> DataFrame:
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:
     """One row per key, that of the greatest version."""
-    both = old.unionByName(new)
+    both = union(old, new)
     columns = [c for c in both.columns if c not in keys]
     return both.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.col(version)).alias("_row")).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in columns])

@@ -51,16 +51,36 @@ def stored(spark: SparkSession, name: str, version: int, frame: DataFrame, *path
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def union(*frames: DataFrame) -> DataFrame:
+    """The rows of all frames, by column name, for what groups, ranks or compares them afterwards.
+
+    Spark 4.1 takes a union of frames that are dealt out alike for dealt out itself and leaves out the shuffle of the grouping
+    above; when adaptive execution then joins partitions of each frame on its own, rows of one key are grouped apart. So the
+    session is told not to.
+    """
+    frames[0].sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame)
+    return out
+
+
 class Workspace:
     """Written tables that cut lineage and outlive lost executors.
 
     ``table`` writes a frame as Parquet in the shared folder and reads it back;
-    ``drop`` deletes one that is no longer read; ``close`` deletes them all.
+    ``drop`` deletes one that is no longer read; ``close`` deletes them all. A folder of its own naming is
+    deleted when the application ends, so results that are still read from it stay until then.
     """
 
     def __init__(self, spark: SparkSession, label: str, root: str | None = None):
         self.spark = spark
         self.root = root or f"{shared_root(spark)}/skein-{label}-{uuid.uuid4().hex[:12]}"
+        if root is None:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+            system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            system.mkdirs(target)
+            system.deleteOnExit(target)
 
     def table(self, frame: DataFrame, name: str, *partition_by: str) -> DataFrame:
         path = f"{self.root}/{name}"
