@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from skein.workspace import Workspace, union
 
+from .joins import resolve
+
 SCRIPTS, CLASSES = ("typescript", "tsx", "javascript"), ("java", "csharp")
 LANGUAGES = ("rust", "go", *SCRIPTS, *CLASSES)
 _TEXT = r'"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"'
@@ -412,3 +414,22 @@ def pattern_matches(files: DataFrame, template: str, table: DataFrame | None = N
     same = F.size(squeezed) == F.size(F.array_distinct(F.transform(named, lambda x: x["name"])))
     names = F.map_from_entries(F.aggregate(named, F.array().cast("array<struct<name:string,text:string>>"), lambda acc, x: F.when(F.exists(acc, lambda y: y["name"] == x["name"]), acc).otherwise(F.concat(acc, F.array(x)))))
     return found.where(same).select("path", F.col("start").alias("start_byte"), F.col("end").alias("end_byte"), cut(F.col("start"), F.col("end")).alias("match"), names.alias("names"))
+
+
+# --- edges -------------------------------------------------------------------
+
+
+def code_edges(found: DataFrame, called: DataFrame, *others: DataFrame) -> DataFrame:
+    """(src, dst, kind, confidence) of units and their calls in one table, with edges of other kinds added as they are.
+
+    A file or unit contains its units; a unit calls the best callable unit of the called name, of its own file first, at half the
+    confidence where several have it. Units are named ``path#unit``.
+    """
+    name = lambda u: F.concat("path", F.lit("#"), F.col(u).cast("string"))
+    inside = found.select(F.when(F.col("parent").isNull(), F.col("path")).otherwise(name("parent")).alias("src"), name("unit").alias("dst"), F.lit("contains").alias("kind"), F.lit(1.0).alias("confidence"))
+    sites = called.where("caller IS NOT NULL").select(name("caller").alias("src"), F.col("path").alias("from"), "name").distinct()
+    sites = sites.withColumn("call_id", F.concat_ws("\x1f", "src", "name"))
+    targets = found.where(F.col("kind").isin("function", "method")).select("name", name("unit").alias("target_id"), F.col("path").alias("to"))
+    best = resolve(sites, targets, [F.when(F.col("from") == F.col("to"), 0).otherwise(1)])
+    calls_ = best.join(sites.select("call_id", "src"), "call_id").select("src", F.col("target_id").alias("dst"), F.lit("calls").alias("kind"), "confidence")
+    return union(inside, calls_, *(o.select("src", "dst", "kind", "confidence") for o in others)).groupBy("src", "dst", "kind").agg(F.max("confidence").alias("confidence"))
