@@ -1,78 +1,159 @@
-"""A full-text index in a folder: postings by token, documents with their lengths, totals.
+"""A full-text index in a folder: postings by token, blocks of postings with their bounds, terms, documents, totals.
 
-Postings are Parquet, partitioned by a bucket of a token's first two characters and sorted by
-token within it, so that a query reads only the pages of its own terms: the bucket prunes
-folders, and equality and prefix filters reach the page index. Each posting has the
-document's length, so that scoring joins nothing. A token that most documents hold is
-dealt over ``SPREAD`` files by document.
+A posting is a token in a document, with its places in each field. Within a document words are grouped in their row,
+before any shuffle. Postings are dealt to parts by a slot of a token's first two characters: how many parts a slot gets
+follows from its share in a bounded sample of the documents, and the number of parts from the bytes of text, so that no
+part grows with the corpus; within a slot documents are spread. Parts are folders, their rows sorted by token and
+cell; so a query reads the folders of its own slots and there the pages of its own terms.
+
+Documents fall into cells of about ``CELL`` by a hash. All postings of a token in a cell are a block, of which a row says
+how many they are, the greatest weighted frequency and the least length per frequency. From these few rows follows the greatest
+score a cell can give, so that the best hits are found without reading the rest, and counts up to a cap without reading postings.
+
+An index is built aside and moved to its place at the end; of two that are built at once one stays.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
-from skein.workspace import Workspace, exists, fingerprint, shared_root
+from skein.workspace import Workspace, delete, exists, fingerprint, shared_root, size_of
 
-VERSION, BUCKETS, SPREAD = 3, 16, 4
+VERSION, SLOTS, CELL, SAMPLE = 6, 4096, 1024, 4096
+PART_BYTES = 64 << 20
 #: The weights of the fields of a document.
 FIELDS = {"path": 3.0, "name": 5.0, "terms": 2.0, "body": 1.0}
-_POSTINGS = "token string, doc_id long, field string, tf int, dl long, positions array<int>, bucket int"
-_DOCS = "doc_id long, path string, dl long"
-_TOTALS = "n long, avgdl double"
+_POSTINGS = "token string, cell int, doc_id long, dl long, w double, fields array<tinyint>, positions array<int>, part int"
+_BLOCKS = "token string, cell int, n long, most double, thinnest double, part int"
+_TOTALS = "n long, avgdl double, cells int, parts int, layout string"
+
+
+def slot_of(token: str) -> int:
+    return zlib.crc32(token[:2].encode()) % SLOTS
+
+
+def _slot(token: Column) -> Column:
+    return (F.crc32(F.left(token, F.lit(2)).cast("binary")) % SLOTS).cast("int")
+
 
+def _literals(layout) -> tuple[Column, Column]:
+    """First parts and numbers of parts as arrays; each is one literal that Spark folds."""
+    return tuple(F.split(F.lit(",".join(str(x[k]) for x in layout)), ",").cast("array<int>") for k in (0, 1))
 
-def bucket_of(token: str) -> int:
-    return zlib.crc32(token[:2].encode()) % BUCKETS
 
+def layout_of(shares: dict[int, float], parts: int) -> list[tuple[int, int]]:
+    """(first part, number of parts) of each slot; slots of small shares stand together in one part."""
+    out, at, filled = [], 0, 0.0
+    for slot in range(SLOTS):
+        share = shares.get(slot, 0.0) * parts
+        if share > 1:
+            if filled:
+                at, filled = at + 1, 0.0
+            n = round(share)
+            out.append((at, n))
+            at += n
+            continue
+        if filled and filled + share > 1:
+            at, filled = at + 1, 0.0
+        out.append((at, 1))
+        filled += max(share, 1e-9)
+    return out
 
-def _bucket(token: Column) -> Column:
-    return (F.crc32(F.left(token, F.lit(2)).cast("binary")) % BUCKETS).cast("int")
+
+def _postings_of(words: list[Column]) -> Column:
+    """Distinct words of a document with the fields and places where they stand: one sort of all its words, then cuts where the word changes."""
+    def cut(s):
+        starts = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.element_at(s, i)["t"] != F.element_at(s, F.greatest(i - 1, F.lit(1)))["t"]))
+        ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(s) + 1))
+        return F.zip_with(starts, ends, lambda a, b: F.struct(F.element_at(s, a)["t"].alias("token"), F.transform(F.slice(s, a, b - a), lambda x: x["f"]).alias("fields"), F.transform(F.slice(s, a, b - a), lambda x: x["i"]).alias("positions")))
+
+    of_field = lambda k: lambda x, i: F.struct(x.alias("t"), F.lit(k).cast("byte").alias("f"), i.alias("i"))
+    ordered = F.array_sort(F.concat(*[F.transform(w, of_field(k)) for k, w in enumerate(words)]))
+    none = F.array().cast("array<struct<token:string,fields:array<tinyint>,positions:array<int>>>")
+    return F.transform(F.array(ordered), lambda s: F.when(F.size(s) > 0, cut(s)).otherwise(none))[0]
+
+
+def weighted(fields: Column, weights: dict[str, float] | None = None) -> Column:
+    """The weighted frequency of a posting, from the numbers of the fields where it stands."""
+    table = F.array(*[F.lit((weights or FIELDS).get(f, 0.0)) for f in FIELDS])
+    return F.aggregate(fields, F.lit(0.0), lambda acc, f: acc + F.get(table, f.cast("int")))
 
 
 class TextIndex:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
         self.postings = spark.read.schema(_POSTINGS).parquet(f"{root}/postings")
-        self.docs = spark.read.schema(_DOCS).parquet(f"{root}/docs")
+        self.blocks = spark.read.schema(_BLOCKS).parquet(f"{root}/blocks")
+        self.docs = spark.read.parquet(f"{root}/docs")
         total = spark.read.schema(_TOTALS).parquet(f"{root}/totals").first()
-        self.n, self.avgdl = total.n, total.avgdl
+        self.n, self.avgdl, self.cells, self.layout = total.n, total.avgdl, total.cells, json.loads(total.layout)
 
     @classmethod
-    def build(cls, spark: SparkSession, documents: DataFrame, root: str) -> TextIndex:
-        """From (doc_id, path, name, terms, body); null fields are empty. ``totals`` is written last: it says that the index is whole."""
-        space = Workspace(spark, "index", root)
+    def build(cls, spark: SparkSession, documents: DataFrame, root: str, text_bytes: int = 0, *keep: str) -> TextIndex:
+        """From (doc_id, path, name, terms, body); null fields are empty, columns ``keep`` stand in ``docs``. ``text_bytes`` is about
+        the size of the documents and gives the number of parts.
+        """
+        aside = f"{root}-{uuid.uuid4().hex[:8]}"
+        space = Workspace(spark, "index", aside)
         words = [T.tokens(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in FIELDS]
-        # the words of a text are cut once and carried through as arrays
-        rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "path", F.struct(*words).alias("w"))
+        parts = max(spark.sparkContext.defaultParallelism, -(-text_bytes // PART_BYTES))
+        if text_bytes < parts * PART_BYTES:  # so few that they may lie in one file, which one task would read
+            documents = documents.repartition(parts)
+        rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "path", *keep, F.struct(*words).alias("w"))
         rows = rows.withColumn("dl", sum((F.size(f"w.{f}") for f in FIELDS), F.lit(0)).cast("long"))
-        lists = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"w.{f}").alias("words")) for f in FIELDS])
-        each = rows.select("doc_id", "dl", F.explode(lists).alias("x")).select("doc_id", "dl", "x.field", F.posexplode("x.words").alias("pos", "token"))
-        each = each.withColumn("bucket", _bucket(F.col("token"))).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)))
-        # dealt by bucket and part, so that neither the grouping nor the folders need another shuffle
-        each = each.repartition("bucket", "part")
-        held = each.groupBy("bucket", "part", "token", "doc_id", "field").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"), F.array_sort(F.collect_list("pos")).alias("positions"))
-        held = held.select("token", "doc_id", "field", "tf", "dl", "positions", "bucket").sortWithinPartitions("bucket", "token", "doc_id")
-        held.write.mode("overwrite").option("compression", "zstd").option("parquet.page.size", 1 << 16).option("parquet.page.row.count.limit", 4096).partitionBy("bucket").parquet(f"{root}/postings")
-        docs = space.table(rows.select("doc_id", "path", "dl"), "docs")
-        space.table(docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), "totals")
+        docs = space.table(rows.select("doc_id", "path", "dl", *keep).sortWithinPartitions("doc_id"), "docs")
+        total = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+        cells = max(1, -(-total.n // CELL))
+        # the documents of least hash are the sample; its counts have ``SLOTS`` rows at most
+        least = min((1 << 63) - 1, -(1 << 63) + int(min(1.0, SAMPLE / max(total.n, 1)) * (1 << 64)))
+        some = rows.where(F.xxhash64("doc_id", F.lit("sample")) <= least).select(F.explode(F.concat(*[F.array_distinct(f"w.{f}") for f in FIELDS])).alias("token"))
+        counts = {r.slot: r["count"] for r in some.groupBy(_slot(F.col("token")).alias("slot")).count().collect()}
+        layout = layout_of({k: v / max(sum(counts.values()), 1) for k, v in counts.items()}, parts)
+        first, wide = _literals(layout)
+        each = rows.select("doc_id", "dl", F.explode(_postings_of([F.col(f"w.{f}") for f in FIELDS])).alias("x")).select("doc_id", "dl", "x.*")
+        slot = _slot(F.col("token"))
+        each = each.withColumn("part", (first[slot] + F.pmod(F.xxhash64("doc_id"), wide[slot])).cast("int")).withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(cells)).cast("int"))
+        # dealt by part once: the folders need no other shuffle
+        used = layout[-1][0] + layout[-1][1]
+        held = each.repartitionById(used, F.col("part")).select("token", "cell", "doc_id", "dl", weighted(F.col("fields")).alias("w"), "fields", "positions", "part")
+        held = held.sortWithinPartitions("part", "token", "cell", "doc_id")
+        paged = lambda writer: writer.option("compression", "zstd").option("parquet.page.size", 1 << 16).option("parquet.page.row.count.limit", 2048).partitionBy("part")
+        paged(held.write.mode("overwrite")).parquet(f"{aside}/postings")
+        postings = spark.read.schema(_POSTINGS).parquet(f"{aside}/postings").select("token", "cell", "dl", "w", "part")
+        blocks = postings.groupBy("part", "token", "cell").agg(F.count("*").alias("n"), F.max("w").alias("most"), F.min(F.col("dl") / F.col("w")).alias("thinnest"))
+        paged(blocks.repartitionById(used, F.col("part")).sortWithinPartitions("part", "token", "cell").write.mode("overwrite")).parquet(f"{aside}/blocks")
+        whole = (total.n, float(total.avgdl or 0), cells, used, json.dumps(layout))
+        space.table(spark.range(1).select(*[F.lit(x).cast(t).alias(n) for x, (n, t) in zip(whole, (c.split() for c in _TOTALS.split(", ")))]), "totals")
+        _moved(spark, aside, root)
         return cls(spark, root)
 
     @classmethod
-    def of(cls, spark: SparkSession, documents: DataFrame, *paths: str) -> TextIndex:
+    def of(cls, spark: SparkSession, documents: DataFrame, *paths: str, keep: tuple[str, ...] = ()) -> TextIndex:
         """The index of documents read from ``paths``: built once for these very files, then opened."""
         root = f"{shared_root(spark)}/skein-index-{fingerprint(spark, VERSION, *paths)}"
-        return cls(spark, root) if exists(spark, f"{root}/totals/_SUCCESS") else cls.build(spark, documents, root)
+        return cls(spark, root) if exists(spark, f"{root}/totals/_SUCCESS") else cls.build(spark, documents, root, size_of(spark, *paths), *keep)
+
+    def parts_of(self, terms: list[str], prefix: bool = False) -> Column:
+        """Whether a part may hold one of the terms."""
+        if prefix and any(len(t) < 2 for t in terms):  # one letter begins tokens of any slot
+            return F.lit(True)
+        found = {first + k for first, n in (self.layout[slot_of(t)] for t in terms) for k in range(n)}
+        return F.col("part").isin(*sorted(found))
 
     def holding(self, terms: list[str], prefix: bool = False) -> DataFrame:
-        """Postings of the tokens that equal a term or, as asked, begin with one."""
+        """(token, cell, doc_id, dl, w, fields, positions) of the tokens that equal a term or, as asked, begin with one; ``w`` is the weighted frequency."""
+        return self._of(self.postings, terms, prefix)
+
+    def _of(self, rows: DataFrame, terms: list[str], prefix: bool = False) -> DataFrame:
         if not terms:
-            return self.postings.where("false")
-        whole = prefix and any(len(t) < 2 for t in terms)  # one letter begins tokens of any bucket
-        rows = self.postings if whole else self.postings.where(F.col("bucket").isin(*sorted({bucket_of(t) for t in terms})))
+            return rows.where("false")
+        rows = rows.where(self.parts_of(terms, prefix))
         if not prefix:
             return rows.where(F.col("token").isin(*terms))
         test = F.col("token").startswith(terms[0])
@@ -80,11 +161,41 @@ class TextIndex:
             test = test | F.col("token").startswith(term)
         return rows.where(test)
 
-    def frequencies(self, rows: DataFrame | None = None) -> DataFrame:
-        """(token, df): how many documents hold a token in any field."""
-        rows = self.postings if rows is None else rows
-        return rows.groupBy("token", "doc_id").agg(F.lit(1)).groupBy("token").agg(F.count("*").alias("df"))
-
-    def tokens_of(self, wanted: DataFrame) -> DataFrame:
-        """The postings of the tokens in ``wanted``, a column ``token``; joined by bucket too, so that folders are pruned."""
-        return self.postings.join(wanted.select("token").distinct().withColumn("bucket", _bucket(F.col("token"))), ["bucket", "token"])
+    def in_fields(self, terms: list[str]) -> DataFrame:
+        """(token, doc_id, dl, field, tf, positions) of the tokens that equal a term."""
+        names = F.array(*map(F.lit, FIELDS))
+        place = F.filter(F.arrays_zip("fields", "positions"), lambda x: x["fields"] == F.col("f"))
+        rows = self.holding(terms).withColumn("f", F.explode(F.array_distinct("fields"))).withColumn("positions", F.transform(place, lambda x: x["positions"]))
+        return rows.select("token", "doc_id", "dl", F.get(names, F.col("f").cast("int")).alias("field"), F.size("positions").alias("tf"), "positions")
+
+    def blocks_of(self, terms: list[str]) -> DataFrame:
+        return self._of(self.blocks, terms)
+
+    def frequencies(self, wanted: DataFrame | None = None, cap: int | None = None) -> DataFrame:
+        """(token, df): how many documents hold a token (of those in ``wanted``) in any field, ``cap`` at most.
+
+        Summed over blocks, so that a common word reads one row for each cell, not for each document.
+        """
+        rows = self.blocks
+        if wanted is not None:
+            slot = _slot(F.col("token"))
+            first, wide = _literals(self.layout)
+            asked = wanted.select("token").distinct().withColumn("part", F.explode(F.sequence(first[slot], first[slot] + wide[slot] - 1)))
+            rows = rows.join(asked, ["part", "token"])
+        got = rows.groupBy("token").agg(F.sum("n").alias("df"))
+        return got if cap is None else got.select("token", F.least("df", F.lit(cap)).cast("long").alias("df"))
+
+
+def _moved(spark: SparkSession, source: str, target: str) -> bool:
+    """Renames a folder unless the target is there, then deletes it; the first of several stays."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    a, b = (jvm.org.apache.hadoop.fs.Path(x) for x in (source, target))
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(a.getFileSystem(conf).getUri(), conf).rename(a, b, options)
+        return True
+    except Exception:
+        if not exists(spark, f"{target}/totals/_SUCCESS"):
+            raise
+        delete(spark, source)
+        return False

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
+from skein.workspace import Workspace, union
 
-from .index import FIELDS, TextIndex
+from .index import TextIndex, weighted
 
 K1, B = 1.2, 0.75
 #: Words that no query asks for.
@@ -28,13 +29,6 @@ def query_terms(text: str, most: int = MAX_TERMS) -> list[str]:
     return list(dict.fromkeys(w for w in T.python_tokens(text) if w not in STOPWORDS))[:most]
 
 
-def weight_of(field: Column, weights=None) -> Column:
-    out = F.lit(0.0)
-    for name, weight in (weights or FIELDS).items():
-        out = F.when(field == name, weight).otherwise(out)
-    return out
-
-
 def _idf(df: int, n: int) -> float:
     return max(math.log((n - df + 0.5) / (df + 0.5)), 1e-6) if df else 0.0
 
@@ -45,11 +39,50 @@ def _part(tf: Column, dl: Column, avgdl: float) -> Column:
 
 def bm25(index: TextIndex, terms: list[str], weights=None) -> DataFrame:
     """(doc_id, score) of documents with any of the terms, by field weights; only the terms' postings are read."""
-    hits = index.holding(terms).groupBy("doc_id", "token").agg(F.sum(F.col("tf") * weight_of(F.col("field"), weights)).alias("tf"), F.first("dl").alias("dl"))
-    df = hits.groupBy("token").agg(F.count("*").alias("df"))
-    scored = hits.join(F.broadcast(df), "token")  # one row per term
-    idf = F.greatest(F.log((F.lit(index.n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    return scored.groupBy("doc_id").agg(F.sum(idf * _part(F.col("tf"), F.col("dl"), index.avgdl)).alias("score"))
+    hits = index.holding(terms)
+    if weights is not None:
+        hits = hits.withColumn("w", weighted(F.col("fields"), weights))
+    return _scored(index, hits, _idfs(index, terms))
+
+
+def _idfs(index: TextIndex, terms: list[str]) -> dict[str, float]:
+    """The weight of each of a few terms, by its documents."""
+    return {r.token: _idf(r.df, index.n) for r in index.blocks_of(terms).groupBy("token").agg(F.sum("n").alias("df")).collect()}
+
+
+def _by_token(idfs: dict[str, float]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in idfs.items() for x in pair])[F.col("token")] if idfs else F.lit(0.0)
+
+
+def _scored(index: TextIndex, hits: DataFrame, idfs: dict[str, float]) -> DataFrame:
+    return hits.groupBy("doc_id").agg(F.sum(_by_token(idfs) * _part(F.col("w"), F.col("dl"), index.avgdl)).alias("score"))
+
+
+def best_hits(index: TextIndex, terms: list[str], k: int, first: int = 8) -> tuple[DataFrame, int, int]:
+    """(doc_id, score) of the ``k`` best documents by BM25, how many postings were read and how many the terms have.
+
+    The blocks of the terms bound what each cell can give. The ``first`` most promising cells are scored; then those that can still
+    hold something as good as the ``k``-th score so far, and no others. Equal scores go by document.
+    """
+    idfs = _idfs(index, terms)
+    bound = _by_token(idfs) * (K1 + 1) / (1 + K1 * ((1 - B) / F.col("most") + B * F.col("thinnest") / F.lit(index.avgdl or 1.0)))
+    space = Workspace(index.spark, "best")
+    cells = space.table(index.blocks_of(terms).groupBy("cell").agg((F.sum(bound) * (1 + 1e-12)).alias("bound"), F.sum("n").alias("n")), "cells")
+    total = cells.agg(F.sum("n")).first()[0] or 0
+    top = [r.cell for r in cells.orderBy(F.desc("bound"), "cell").limit(max(first, k // 64)).collect()]
+    order = [F.desc("score"), F.col("doc_id")]
+    one = space.table(_scored(index, index.holding(terms).where(F.col("cell").isin(*top)), idfs).orderBy(*order).limit(k), "first")
+    least = [r.score for r in one.orderBy("score").limit(1).collect()] if one.count() >= k else []
+    rest = cells.where(~F.col("cell").isin(*top)).where(F.col("bound") >= least[0] if least else F.lit(True))
+    asked = rest.agg(F.sum("n"), F.count("*")).first()
+    read = (cells.where(F.col("cell").isin(*top)).agg(F.sum("n")).first()[0] or 0) + (asked[0] or 0)
+    hits = index.holding(terms)
+    if asked[1] <= 512:  # so few that they reach the scan as a filter
+        hits = hits.where(F.col("cell").isin(*[r.cell for r in rest.select("cell").collect()]))
+    else:
+        hits = hits.join(rest.select("cell"), "cell", "left_semi")
+    both = union(one, _scored(index, hits, idfs)).orderBy(*order).limit(k)
+    return both.select("doc_id", F.round("score", 9).alias("score")), read, total
 
 
 def floor_of(frequencies: dict[int, int], terms: list[str], n: int, most: int = 150) -> list[tuple[int, int]]:
@@ -69,14 +102,15 @@ def cascade(index: TextIndex, terms: list[str], limit: int) -> DataFrame:
     of prefixes, for mixed scripts last any Latin prefix.
 
     A stage adds its best ``limit`` by BM25 that no stricter one had; none begins once there are ``limit``.
-    One scan of the terms' postings counts them, a second one ranks; at most 32 counts reach the driver.
+    One scan of the terms' postings gives a written table that is counted, then ranked; at most 32 counts reach the driver.
     """
     terms = terms[:MAX_TERMS]
     places = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).alias("t")) for i, t in enumerate(terms)]) if terms else F.array().cast("array<struct<i:int,t:string>>")
-    rows = index.holding(terms, prefix=True).withColumn("w", F.col("tf") * weight_of(F.col("field")))
+    rows = index.holding(terms, prefix=True)
     rows = rows.select("doc_id", "token", "w", "dl", F.explode(F.filter(places, lambda x: F.col("token").startswith(x["t"]))).alias("x"))
     whole = F.col("token") == F.col("x.t")
     hits = rows.groupBy("doc_id", F.col("x.i").alias("i")).agg(F.sum("w").alias("begun"), F.sum(F.when(whole, F.col("w"))).alias("exact"), F.first("dl").alias("dl"))
+    hits = Workspace(index.spark, "cascade").table(hits, "hits")
     counts = {r.i: (r.n, r.m) for r in hits.groupBy("i").agg(F.count("*").alias("n"), F.count("exact").alias("m")).collect()}
     begun, exact = ({i: c[k] for i, c in counts.items()} for k in (0, 1))
     latin = [i for i, t in enumerate(terms) if not _CJK.search(t)]
@@ -120,7 +154,7 @@ def phrase(index: TextIndex, words: list[str]) -> DataFrame:
     """Documents in which the words stand side by side in one field, by their positions."""
     if not words:
         return index.docs.where("false").select("doc_id")
-    rows = index.holding(words)
+    rows = index.in_fields(words)
     at = F.explode(F.filter(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(w).alias("w")) for i, w in enumerate(words)]), lambda x: x["w"] == F.col("token")))
     starts = rows.select("doc_id", "field", "positions", at.alias("x")).select("doc_id", "field", "x.i", F.explode("positions").alias("p"))
     runs = starts.groupBy("doc_id", "field", (F.col("p") - F.col("i")).alias("start")).agg(F.countDistinct("i").alias("n"))
@@ -145,14 +179,14 @@ def snippet(text: Column, terms: list[str], size: int = 24) -> Column:
     return F.transform(F.array(shown), cut)[0]
 
 
-def document_frequency(index: TextIndex) -> DataFrame:
-    return index.frequencies()
+def document_frequency(index: TextIndex, cap: int | None = None) -> DataFrame:
+    return index.frequencies(cap=cap)
 
 
 def rare_terms(index: TextIndex, asked: DataFrame, most: int = 4) -> DataFrame:
     """(query_id, token, df, place): each query's rarest terms that occur, from (query_id, token)."""
     ceiling = max(index.n // 200, 32)
-    df = index.frequencies(index.tokens_of(asked)).where(F.col("df") <= ceiling)
+    df = index.frequencies(asked).where(F.col("df") <= ceiling)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("df", "token"))
     return asked.join(df, "token").withColumn("place", place.cast("long")).where(F.col("place") <= most)
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import braces, code, evaluation, evidence, graph, history, lexical, lookups, metrics, relational, reports
+from . import braces, code, evaluation, evidence, graph, history, lexical, lookups, metrics, relational, reports, sources
 
-MODULES = (relational, lexical, graph, evaluation, history, metrics, lookups, evidence, code, reports, braces)
+MODULES = (relational, lexical, graph, evaluation, history, metrics, lookups, evidence, code, reports, braces, sources)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
 

@@ -35,8 +35,8 @@ def index(spark, sf) -> TextIndex:
     """The index of ``documents``: built when it is first asked for, opened after that."""
     d = load(spark, sf, "documents")
     name = F.substring(F.split("text", "\n", 2)[0], 1, 80)
-    rows = d.select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), name.alias("name"), F.col("lang").alias("terms"), F.col("text").alias("body"))
-    return TextIndex.of(spark, rows, f"{sf.rstrip('/')}/documents.parquet")
+    rows = d.select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), name.alias("name"), F.col("lang").alias("terms"), F.col("text").alias("body"), "source", T.estimated_tokens(F.col("text")).cast("long").alias("cost"))
+    return TextIndex.of(spark, rows, f"{sf.rstrip('/')}/documents.parquet", keep=("source", "cost"))
 
 
 @query(f"WITH {_WORDS} SELECT token, df FROM d")
@@ -46,7 +46,7 @@ def doc_frequency(spark, sf):
 
 @query(f"WITH {_WORDS} SELECT token, least(df, 25) AS df FROM d")
 def capped_df(spark, sf):
-    return lexical.document_frequency(index(spark, sf)).select("token", F.least("df", F.lit(25)).cast("long").alias("df"))
+    return lexical.document_frequency(index(spark, sf), 25)
 
 
 @query(f"""WITH {_WORDS}, h AS (SELECT doc_id, token, sum(weight) AS x FROM t WHERE token IN (SELECT unnest({_LIST})) GROUP BY 1, 2)
@@ -76,6 +76,16 @@ def lexical_cascade(spark, sf):
     return lexical.cascade(index(spark, sf), TERMS, 60)
 
 
+def _best(terms: str, k: int) -> str:
+    return f"""WITH {_WORDS}, h AS (SELECT doc_id, token, sum(weight) AS x FROM t WHERE token IN (SELECT unnest({terms})) GROUP BY 1, 2)
+ SELECT doc_id, round(sum({_IDF} * {_TF}), 9) AS score FROM h JOIN d USING (token) JOIN sizes USING (doc_id), tot GROUP BY doc_id ORDER BY sum({_IDF} * {_TF}) DESC, doc_id LIMIT {k}"""
+
+
+@query(_best(_LIST, 20))
+def best_hits(spark, sf):
+    return lexical.best_hits(index(spark, sf), TERMS, 20)[0]
+
+
 @query(f"""WITH {_WORDS} SELECT DISTINCT doc_id FROM f WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' of the ')""")
 def phrase_match(spark, sf):
     return lexical.phrase(index(spark, sf), ["of", "the"])
@@ -129,7 +139,7 @@ def rare_terms(spark, sf):
  SELECT query_id, a, b, cost FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cost, a, b) AS n FROM p) WHERE n <= 150""")
 def floor_pairs(spark, sf):
     i, asked = index(spark, sf), _asked(spark, sf)
-    return lexical.floor_pairs(asked.join(i.frequencies(i.tokens_of(asked)), "token"))
+    return lexical.floor_pairs(asked.join(i.frequencies(asked), "token"))
 
 
 @query(f"""WITH {_WORDS} SELECT doc_id, source || '/' || doc_id AS path FROM documents WHERE doc_id IN (SELECT doc_id FROM u WHERE token IN ('the', 'of', 'ering') GROUP BY doc_id HAVING count(*) = 3)""")
@@ -237,7 +247,7 @@ def per_file_cap(spark, sf):
 def absence_veto(spark, sf):
     anchors = load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(F.filter(T.tokens(F.col("text")), lambda t: F.length(t) > 8))).alias("token"))
     i = index(spark, sf)
-    return evidence.absence_veto(anchors.join(i.frequencies(i.tokens_of(anchors)), "token", "left").withColumn("df", F.coalesce("df", F.lit(0))))
+    return evidence.absence_veto(anchors.join(i.frequencies(anchors), "token", "left").withColumn("df", F.coalesce("df", F.lit(0))))
 
 
 @query(f"""WITH {_WORDS} SELECT doc_id, CAST(count(*) AS BIGINT) AS terms, round(least(count(*), 3) * 0.2::DOUBLE / 60, 9) AS bonus FROM u WHERE token IN ('the', 'of', 'ering', 'thing') GROUP BY doc_id""")
@@ -274,10 +284,10 @@ def _search_sql() -> str:
 
 @query(_search_sql())
 def search(spark, sf):
-    """The cascade, a cap per source and a token budget for one benchmark passage; texts are read for its hits only."""
+    """The cascade, a cap per source and a token budget for one benchmark passage; costs stand in the index."""
     passage = load(spark, sf, "benchmark").orderBy("item_id").first()["text"]
-    hits = lexical.cascade(index(spark, sf), lexical.query_terms(passage), 60)
-    d = load(spark, sf, "documents").select("doc_id", "source", "text")
-    ranked = d.join(F.broadcast(hits), "doc_id").select("doc_id", "source", "rank", "score", T.estimated_tokens(F.col("text")).cast("long").alias("cost"))  # at most 360 hits
+    i = index(spark, sf)
+    hits = lexical.cascade(i, lexical.query_terms(passage), 60)
+    ranked = i.docs.join(F.broadcast(hits), "doc_id").select("doc_id", "source", "rank", "score", "cost")  # at most 360 hits
     capped = ranking.per_group_cap(ranked.withColumn("query_id", F.lit(0)), "query_id", "source", "doc_id", 20, "cost", "score").withColumnRenamed("place", "rank")
     return ranking.pack_budget(capped, "query_id", "doc_id", "cost", 8000, "source", "rank", "score")

@@ -31,8 +31,8 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
-def fingerprint(spark: SparkSession, version: int, *paths: str) -> str:
-    """A digest of a version and of the names, sizes and times of all files in the paths."""
+def _files(spark: SparkSession, *paths: str) -> list[tuple[str, int, int]]:
+    """Names, sizes and times of all files in the paths."""
     jvm, conf, seen = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
     for path in paths:
         target = jvm.org.apache.hadoop.fs.Path(path)
@@ -40,7 +40,17 @@ def fingerprint(spark: SparkSession, version: int, *paths: str) -> str:
         status = system.getFileStatus(target)
         files = [status] if not status.isDirectory() else list(system.listStatus(target))
         seen += sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files)
-    return hashlib.sha256(repr((version, seen)).encode()).hexdigest()[:24]
+    return seen
+
+
+def fingerprint(spark: SparkSession, version: int, *paths: str) -> str:
+    """A digest of a version and of the names, sizes and times of all files in the paths."""
+    return hashlib.sha256(repr((version, _files(spark, *paths))).encode()).hexdigest()[:24]
+
+
+def size_of(spark: SparkSession, *paths: str) -> int:
+    """The bytes of all files in the paths."""
+    return sum(size for _, size, _ in _files(spark, *paths))
 
 
 def stored(spark: SparkSession, name: str, version: int, frame: DataFrame, *paths: str) -> DataFrame:
