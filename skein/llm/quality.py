@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import U64, text_buffers, word_hashes
 
 SAMPLE, DIMS, NEIGHBOURS, SHARP, THRESHOLD, FOLDS = 4096, 32, 25, 8, 0.3, 5
+#: Texts whose cosines with all labelled vectors are held at once.
+BLOCK = 512
 
 
 def _classes() -> tuple[np.ndarray, int]:
@@ -88,9 +90,13 @@ class Model:
     def scores(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         if not len(self.labels) or not len(self.idf):
             return np.full(len(bounds) - 1, self.prior)
-        cosines = self.embed(data, bounds) @ self.vectors.T
-        k = self.neighbours
-        near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+        found = self.embed(data, bounds)
+        return np.concatenate([self._vote(found[i : i + BLOCK] @ self.vectors.T) for i in range(0, len(found), BLOCK)] or [np.zeros(0)])
+
+    def _vote(self, cosines: np.ndarray) -> np.ndarray:
+        """Scores of a block of texts from their cosines with all labelled vectors."""
+        last = cosines.shape[1] - self.neighbours
+        near = np.argpartition(cosines, last, axis=1)[:, last:]
         weight = np.maximum(0, np.take_along_axis(cosines, near, 1)) ** self.sharp
         vote = (weight * self.labels[near]).sum(1) + 1e-3 * self.prior
         return np.clip(vote / (weight.sum(1) + 1e-3), 0, 1)

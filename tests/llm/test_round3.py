@@ -282,3 +282,31 @@ def test_words_that_share_a_beginning_are_split(spark):
 
 def test_no_words(spark):
     assert spelling.spelling_variants(spark, spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")).collect() == []
+
+
+# --- quality -----------------------------------------------------------------
+
+
+def test_quality_holds_a_block_of_cosines_only():
+    import tracemalloc
+
+    import numpy as np
+
+    from skein.llm import quality
+
+    rng = np.random.default_rng(1)
+    texts = [" ".join(rng.choice(["good", "bad", "word", "!!", "42"], 6)).encode() for _ in range(10_000)]
+    bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    codes = np.unique(quality.terms(data, bounds)[0])
+    model = quality.Model(codes, np.ones(len(codes)), rng.normal(size=(len(codes), 32)), quality._project(rng.normal(size=(4096, 32)), np.eye(32)), rng.integers(0, 2, 4096).astype(float), 25, 8)
+    tracemalloc.start()
+    got = model.scores(data, bounds)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 10_000 and peak < 200 << 20
+    # a row of a block gets what it gets alone
+    some = [0, 511, 512, 9_999]
+    alone = [model.scores(np.frombuffer(texts[i], np.uint8), np.array([0, len(texts[i])]))[0] for i in some]
+    assert np.allclose(got[some], alone, atol=1e-9)
+    assert len(model.scores(np.zeros(0, np.uint8), np.zeros(1, np.int64))) == 0
