@@ -427,9 +427,9 @@ def code_edges(found: DataFrame, called: DataFrame, *others: DataFrame) -> DataF
     """
     name = lambda u: F.concat("path", F.lit("#"), F.col(u).cast("string"))
     inside = found.select(F.when(F.col("parent").isNull(), F.col("path")).otherwise(name("parent")).alias("src"), name("unit").alias("dst"), F.lit("contains").alias("kind"), F.lit(1.0).alias("confidence"))
-    sites = called.where("caller IS NOT NULL").select(name("caller").alias("src"), F.col("path").alias("from"), "name").distinct()
+    sites = called.where("caller IS NOT NULL").select(name("caller").alias("src"), "path", "name").distinct()
     sites = sites.withColumn("call_id", F.concat_ws("\x1f", "src", "name"))
-    targets = found.where(F.col("kind").isin("function", "method")).select("name", name("unit").alias("target_id"), F.col("path").alias("to"))
-    best = resolve(sites, targets, [F.when(F.col("from") == F.col("to"), 0).otherwise(1)])
+    targets = found.where(F.col("kind").isin("function", "method")).select("name", name("unit").alias("target_id"), F.col("path").alias("there"))
+    best = resolve(sites, targets, lambda here: F.when(here, 0).otherwise(1))
     calls_ = best.join(sites.select("call_id", "src"), "call_id").select("src", F.col("target_id").alias("dst"), F.lit("calls").alias("kind"), "confidence")
     return union(inside, calls_, *(o.select("src", "dst", "kind", "confidence") for o in others)).groupBy("src", "dst", "kind").agg(F.max("confidence").alias("confidence"))

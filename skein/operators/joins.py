@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,15 +22,18 @@ def smallest_enclosing(points: DataFrame, ranges: DataFrame, key: str, bucket: i
     return hits.groupBy(key, "at").agg(best.alias("r")).select(key, "at", "r.range_id", "r.start", "r.end")
 
 
-def resolve(calls: DataFrame, targets: DataFrame, priority: list[Column]) -> DataFrame:
-    """Each call's best target of the same name, how many there are, and a confidence halved where it is ambiguous.
+def resolve(calls: DataFrame, targets: DataFrame, priority: Callable[[Column], Column]) -> DataFrame:
+    """(call_id, target_id, candidates, confidence): each call's best target of the same name, and how many there are; ambiguous ones have half the confidence.
 
-    Per call the candidates are reduced by aggregation, so a common name doesn't sort in one task.
+    Calls are (call_id, name, path), targets (name, target_id, there, ...). ``priority`` says how a target ranks where it is in the
+    file of the call and where it isn't, in which case it must not rank better; equal ranks go by ``target_id``. So the best target of
+    a name and that of a name in a file are found once, and no call meets all targets of its name.
     """
-    cand = calls.join(targets, "name")
-    rank = F.struct(*priority, "target_id")
-    best = cand.groupBy("call_id").agg(F.min_by("target_id", rank).alias("target_id"), F.count("*").alias("candidates"))
-    return best.withColumn("confidence", F.when(F.col("candidates") > 1, 0.45).otherwise(0.9))
+    best = lambda here: F.min(F.struct(priority(F.lit(here)).alias("rank"), "target_id"))
+    named = targets.groupBy("name").agg(best(False).alias("any"), F.count("*").alias("candidates"))
+    filed = targets.groupBy("name", F.col("there").alias("path")).agg(best(True).alias("here"))
+    rows = calls.select("call_id", "name", "path").join(named, "name").join(filed, ["name", "path"], "left")
+    return rows.select("call_id", F.least("any", "here")["target_id"].alias("target_id"), "candidates", F.when(F.col("candidates") > 1, 0.45).otherwise(0.9).alias("confidence"))
 
 
 def prefer_first(first: DataFrame, second: DataFrame, key: str, limit: int) -> DataFrame:

@@ -114,7 +114,7 @@ def retain(blobs: DataFrame, keep: DataFrame) -> DataFrame:
 
 def source_slice(text: Column, start: Column, end: Column) -> Column:
     """The bytes [start, end) of a text; half a character at either end is replaced."""
-    return F.decode(F.substring(F.encode(text, "UTF-8"), (start + 1).cast("int"), (end - start).cast("int")), "UTF-8")
+    return F.make_valid_utf8(F.substring(text.cast("binary"), (start + 1).cast("int"), (end - start).cast("int")).cast("string"))
 
 
 def materialised(documents: DataFrame, sources: DataFrame, artifacts: DataFrame) -> DataFrame:

@@ -22,6 +22,35 @@ def _ordered(key: str, order: list[str], columns: list[str]):
     return F.array_sort(F.collect_list(F.struct(*order, *[c for c in columns if c not in order])))
 
 
+def merge_candidates(hits: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score, strict, routes, snippet, address) of hits (query_id, doc_id, n, contribution, strict, route, snippet, address).
+
+    ``n`` is the order in which hits came in. A document sums its contributions, is strict if any hit was, lists its routes as they came,
+    keeps the longest snippet, the earlier of equally long ones, and the address of its first hit. Null snippets are empty.
+    """
+    text = F.coalesce("snippet", F.lit(""))
+    by_route = hits.groupBy("query_id", "doc_id", "route").agg(
+        F.sum("contribution").alias("s"), F.max("strict").alias("strict"), F.min(F.struct("n", "address")).alias("first"), F.max(F.struct(F.octet_length(text).alias("size"), (-F.col("n")).alias("n"), text.alias("text"))).alias("longest")
+    )
+    # from here on a row for each route of a document
+    routes = F.transform(F.array_sort(F.collect_list(F.struct("first.n", "route"))), lambda x: x["route"])
+    out = by_route.groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 12).alias("score"), F.max("strict").alias("strict"), routes.alias("routes"), F.max("longest")["text"].alias("snippet"), F.min("first")["address"].alias("address"))
+    return out
+
+
+TIE = 1e-9
+
+
+def fused_order(candidates: DataFrame) -> DataFrame:
+    """Adds ``rank``: scores with their bonus in steps of ``TIE``, then the strength of the flow, then the seeds it came from, then the document.
+
+    Columns bonus, strength and origins count as zero where they are null.
+    """
+    value = lambda c: F.coalesce(F.col(c), F.lit(0))
+    order = [F.floor((F.col("score") + value("bonus")) / TIE).desc(), value("strength").desc(), value("origins").desc(), F.col("doc_id").asc()]
+    return candidates.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("long"))
+
+
 def per_group_cap(ranked: DataFrame, key: str, group: str, item: str, limit: int, *carry: str, region: str | None = None, exact: str | None = None, routes: str | None = None) -> DataFrame:
     """Greedy choice in rank order: one per group among the first five chosen, two until ten, then three.
 

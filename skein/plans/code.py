@@ -92,13 +92,13 @@ def http_routes(spark, sf):
     return C.routes(load(spark, sf, "part").select(F.concat(F.lit("f"), k).alias("path"), text.alias("text")))
 
 
-_CALLS = """c AS (SELECT o_orderkey AS call_id, o_custkey % 25 AS name, o_custkey % 7 AS path FROM orders), t AS (SELECT c_custkey AS target_id, CAST(c_nationkey AS BIGINT) AS name, c_custkey % 7 AS path, CASE c_custkey % 4 WHEN 0 THEN 'function' WHEN 1 THEN 'struct' WHEN 2 THEN 'method' ELSE 'enum' END AS kind FROM customer WHERE c_acctbal > 9000)"""
+_CALLS = """c AS (SELECT o_orderkey AS call_id, o_custkey % 25 AS name, o_custkey % 7 AS path FROM orders), t AS (SELECT c_custkey AS target_id, CAST(c_nationkey AS BIGINT) AS name, c_custkey % 7 AS path, CASE c_custkey % 4 WHEN 0 THEN 'function' WHEN 1 THEN 'struct' WHEN 2 THEN 'method' ELSE 'enum' END AS kind FROM customer)"""
 
 
 def _calls(spark, sf):
     call = load(spark, sf, "orders").select(F.col("o_orderkey").alias("call_id"), (F.col("o_custkey") % 25).alias("name"), (F.col("o_custkey") % 7).alias("path"))
     k = F.col("c_custkey")
-    target = load(spark, sf, "customer").where("c_acctbal > 9000").select(k.alias("target_id"), F.col("c_nationkey").cast("long").alias("name"), (k % 7).alias("there"), pick(k % 4, "function", "struct", "method", "enum").alias("kind"))
+    target = load(spark, sf, "customer").select(k.alias("target_id"), F.col("c_nationkey").cast("long").alias("name"), (k % 7).alias("there"), pick(k % 4, "function", "struct", "method", "enum").alias("kind"))
     return call, target
 
 
@@ -106,15 +106,15 @@ def _calls(spark, sf):
 def type_references(spark, sf):
     """Of types of the name the one in the same file, else the first."""
     call, target = _calls(spark, sf)
-    return joins.resolve(call, target.where(F.col("kind").isin(*C.TYPES)), [(F.col("path") != F.col("there")).alias("other")])
+    return joins.resolve(call, target.where(F.col("kind").isin(*C.TYPES)), lambda here: F.when(here, 0).otherwise(1))
 
 
 @query(f"WITH {_CALLS} SELECT call_id, arg_min(target_id, n) AS target_id, count(*) AS candidates, CASE WHEN count(*) > 1 THEN 0.45 ELSE 0.9 END::DOUBLE AS confidence FROM (SELECT c.call_id, target_id, row_number() OVER (PARTITION BY call_id ORDER BY CASE WHEN kind IN ('function', 'method') AND c.path = t.path THEN 0 WHEN kind IN ('function', 'method') THEN 1 WHEN c.path = t.path THEN 2 ELSE 3 END, target_id) AS n FROM c JOIN t ON c.name = t.name) GROUP BY call_id")
 def route_handlers(spark, sf):
     """A callable of the same file, any callable, anything of the same file, anything."""
     call, target = _calls(spark, sf)
-    can, here = F.col("kind").isin(*C.CALLABLE), F.col("path") == F.col("there")
-    return joins.resolve(call, target, [F.when(can & here, 0).when(can, 1).when(here, 2).otherwise(3).alias("choice")])
+    can = F.col("kind").isin(*C.CALLABLE)
+    return joins.resolve(call, target, lambda here: F.when(can & here, 0).when(can, 1).when(here, 2).otherwise(3))
 
 
 @query("SELECT 'm' || p_partkey AS path, 'p' || p_partkey AS package, unnest(list_distinct([split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), 'common'])) AS name FROM part")
@@ -149,12 +149,12 @@ def test_files(spark, sf):
     return C.test_files(union(tests, p.where("p_size % 5 = 1").select(F.concat(F.lit("src/"), (k % 7).cast("string"), F.lit("/"), name).alias("path"))).distinct())
 
 
-_REGIONS = "r AS (SELECT p_partkey AS region_id, p_partkey % 50 AS path, p_partkey * 3 % 400 AS s, p_partkey * 3 % 400 + p_size * 4 AS e FROM part), l AS (SELECT DISTINCT o_custkey % 60 AS path, o_orderkey % 450 AS line FROM orders WHERE o_orderkey % 10 = 0)"
+_REGIONS = "r AS (SELECT p_partkey AS region_id, p_partkey % 50 AS path, p_partkey * 3 % 400 AS s, p_partkey * 3 % 400 + p_size * 4 AS e FROM part), l AS (SELECT DISTINCT o_custkey % 60 AS path, o_orderkey % 450 AS line FROM orders)"
 _PLACED = "pl AS (SELECT * FROM (SELECT path, region_id, row_number() OVER (PARTITION BY path ORDER BY e - s, region_id) AS place FROM r WHERE EXISTS (SELECT 1 FROM l WHERE l.path = r.path AND s <= line AND line <= e)) WHERE place <= 4)"
 
 
 def _placed(spark, sf):
-    k, o = F.col("p_partkey"), load(spark, sf, "orders").where("o_orderkey % 10 = 0")
+    k, o = F.col("p_partkey"), load(spark, sf, "orders")
     regions = load(spark, sf, "part").select(k.alias("region_id"), (k % 50).alias("path"), (k * 3 % 400).alias("start_line"), (k * 3 % 400 + F.col("p_size") * 4).alias("end_line"))
     return C.regions_of_lines(o.select((F.col("o_custkey") % 60).alias("path"), (F.col("o_orderkey") % 450).alias("line")), regions).select("path", "region_id", "place")
 
@@ -170,7 +170,7 @@ def trigram_candidates_of_files(spark, sf):
     k = F.col("p_partkey")
     docs = load(spark, sf, "part").select(k.alias("doc_id"), F.when(k % 4 > 0, k).alias("region_id"), (k % 50).alias("path"), F.when(k % 4 == 0, "file_descriptor").otherwise("chunk").alias("representation"))
     placed = _placed(spark, sf)
-    o = load(spark, sf, "orders").where("o_orderkey % 10 = 0").select((F.col("o_custkey") % 60).alias("path")).distinct()
+    o = load(spark, sf, "orders").select((F.col("o_custkey") % 60).alias("path")).distinct()
     return C.candidates_of_files(o.select("path", (F.col("path") + 1).alias("rank")), placed, docs)
 
 
@@ -180,7 +180,7 @@ def literal_anchors(spark, sf):
     return load(spark, sf, "part").select("p_partkey", F.array_join(C.anchors(text), "|").alias("anchors"))
 
 
-@query("""SELECT p_partkey, array_to_string(list_sort(list_distinct(string_split(p_name, ' ')))[1:1], ' ') AS first FROM part""")
+@query("""SELECT p_partkey, array_to_string(list_sort(list_distinct(string_split(p_name, ' ')))[1:128], ' ') AS terms FROM part""")
 def lexical_terms(spark, sf):
     """Identifier terms, cut to a number."""
-    return load(spark, sf, "part").select("p_partkey", F.array_join(F.slice(T.identifier_terms(F.col("p_name")), 1, 1), " ").alias("first"))
+    return load(spark, sf, "part").select("p_partkey", F.array_join(F.slice(T.identifier_terms(F.col("p_name")), 1, 128), " ").alias("terms"))

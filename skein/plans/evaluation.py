@@ -149,3 +149,16 @@ def marginal_utility(spark, sf):
     late = load(spark, sf, "orders").select(F.col("o_custkey").alias("case_id"), (F.col("o_orderkey") % 40).alias("item"), place.alias("rank"))
     top = lambda rows, route: rows.where("rank <= 5").select("case_id", "item", F.lit(route).alias("route"))
     return E.marginal_utility(union(top(run, "by_price"), top(late, "by_date")), gold)
+
+
+@query(f"""WITH {_RUN}, r AS (SELECT DISTINCT case_id, item FROM run), g AS (SELECT DISTINCT case_id, item, 1 AS good FROM gold), w AS (SELECT case_id, count(*) AS wanted FROM g GROUP BY 1),
+ s AS (SELECT r.case_id, r.item, good, z FROM r LEFT JOIN g USING (case_id, item), unnest(range(5)) AS t(z)),
+ p AS (SELECT *, row_number() OVER (PARTITION BY case_id, z ORDER BY md5('7:' || z || ':' || case_id || ':' || item), item) AS place FROM s),
+ e AS (SELECT case_id, z, coalesce(1.0::DOUBLE / min(place) FILTER (good = 1), 0) AS mrr, sum(CASE WHEN good = 1 AND place <= 10 THEN 1 / log2(place + 1) ELSE 0 END) / (SELECT sum(1 / log2(i + 1)) FROM unnest(range(1, CAST(least(wanted, 10) + 1 AS BIGINT))) AS u(i)) AS ndcg FROM p JOIN w USING (case_id) GROUP BY case_id, z, wanted),
+ c AS (SELECT case_id, avg(mrr) AS a, stddev_pop(mrr) AS b, avg(ndcg) AS c, stddev_pop(ndcg) AS d FROM e GROUP BY 1)
+ SELECT 'mrr' AS metric, round(avg(a), 6) AS mean, round(avg(b), 6) AS spread, count(*) AS cases FROM c UNION ALL SELECT 'ndcg', round(avg(c), 6), round(avg(d), 6), count(*) FROM c""")
+def position_sensitivity(spark, sf):
+    from skein.operators import metrics
+
+    run, gold = _run(spark, sf)
+    return metrics.position_sensitivity(run, gold, 5, "7")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as T
 from skein.functions import vectors
-from skein.operators import evidence, lexical, ranking
+from skein.operators import evidence, glossary, lexical, ranking
 from skein.operators.index import TextIndex
 from skein.sources.tables import load
 from skein.workspace import union
@@ -203,6 +203,34 @@ def rrf_fusion(spark, sf):
     return ranking.reciprocal_rank_fusion(routes).drop("routes")
 
 
+_HITS = """h AS (SELECT o_custkey AS query_id, o_orderkey % 40 AS doc_id, o_orderkey AS n, 1.0::DOUBLE / (60 + o_orderkey % 30) AS contribution, o_orderkey % 9 = 0 AS strict,
+  CASE o_orderkey % 3 WHEN 0 THEN 'lexical' WHEN 1 THEN 'dense' ELSE 'exact' END AS route, repeat('x', CAST(o_orderkey % 7 AS INT)) || o_orderkey % 4 AS snippet, 'f' || o_orderkey AS address FROM orders)"""
+
+
+def _hits(spark, sf):
+    k = F.col("o_orderkey")
+    route = F.when(k % 3 == 0, "lexical").when(k % 3 == 1, "dense").otherwise("exact")
+    snippet = F.concat(F.expr("repeat('x', CAST(o_orderkey % 7 AS INT))"), (k % 4).cast("string"))
+    return load(spark, sf, "orders").select(F.col("o_custkey").alias("query_id"), (k % 40).alias("doc_id"), k.alias("n"), (1.0 / (60 + k % 30)).alias("contribution"), (k % 9 == 0).alias("strict"), route.alias("route"), snippet.alias("snippet"), F.concat(F.lit("f"), k.cast("string")).alias("address"))
+
+
+@query(f"""WITH {_HITS}, m AS (SELECT query_id, doc_id, round(sum(contribution), 12) AS score, bool_or(strict) AS strict, arg_min(address, n) AS address, arg_min(snippet, -length(snippet) * 100000000 + n) AS snippet FROM h GROUP BY 1, 2),
+ r AS (SELECT query_id, doc_id, string_agg(route, ',' ORDER BY n) AS routes FROM (SELECT query_id, doc_id, route, min(n) AS n FROM h GROUP BY 1, 2, 3) GROUP BY 1, 2)
+ SELECT m.query_id, m.doc_id, round(score, 9) AS score, strict, routes, snippet, address, CAST(row_number() OVER (PARTITION BY m.query_id ORDER BY CAST(floor((score + m.doc_id % 2 * 0.01) / 1e-9) AS BIGINT) DESC, m.doc_id % 3 * 0.5 DESC, m.doc_id % 4 DESC, m.doc_id) AS BIGINT) AS rank FROM m JOIN r USING (query_id, doc_id)""")
+def merged_candidates(spark, sf):
+    """Hits of three routes as one candidate per document, in fused order."""
+    d = F.col("doc_id")
+    merged = ranking.merge_candidates(_hits(spark, sf)).withColumns({"bonus": d % 2 * 0.01, "strength": d % 3 * 0.5, "origins": d % 4})
+    return ranking.fused_order(merged).select("query_id", "doc_id", F.round("score", 9).alias("score"), "strict", F.array_join("routes", ",").alias("routes"), "snippet", "address", "rank")
+
+
+@query("""WITH p AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS pattern FROM part UNION SELECT unnest(['the ', ' of', 'e t', 'zzzz'])) SELECT doc_id AS id, pattern, CAST(position(pattern IN text) - 1 AS BIGINT) AS first FROM documents, p WHERE pattern <> '' AND contains(text, pattern)""")
+def pattern_hits(spark, sf):
+    """Many words in all texts, in one pass."""
+    words = load(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("pattern")).unionByName(spark.range(1).select(F.explode(F.array(*map(F.lit, ("the ", " of", "e t", "zzzz")))).alias("pattern")))
+    return glossary.pattern_hits(load(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), words).drop("n")
+
+
 _HASHED = """f AS (SELECT doc_id, list_filter(string_split_regex(strip_accents(lower(text)), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '') AS w FROM documents),
  t AS (SELECT doc_id, md5(unnest(w)) AS h FROM f),
  s AS (SELECT doc_id, CAST('0x' || h[1:8] AS BIGINT) % 64 AS slot, sum(CASE WHEN CAST('0x' || h[9:10] AS BIGINT) % 2 = 1 THEN -1.0 ELSE 1.0 END::DOUBLE) AS w FROM t GROUP BY 1, 2),

@@ -114,11 +114,16 @@ def retained_blobs(spark, sf):
     return L.retain(blobs(d, "text"), d.where(F.col("source").isin("src1", "src2", "src3")).select(F.sha2("text", 256).alias("digest")))
 
 
-@query("""SELECT doc_id, decode(encode(text)[s:e]) AS slice FROM (SELECT doc_id, text, doc_id % 40 + 1 AS s, doc_id % 40 + 60 AS e FROM documents WHERE text IS NOT NULL AND regexp_full_match(text[1:120], '[\\x00-\\x7F]*'))""")
+def _bytes(first: str, last: str, most: int) -> str:
+    """SQL of characters and their bytes, and of what the bytes from ``first`` to ``last`` show: half characters as replacements."""
+    return f"""c AS (SELECT doc_id, unnest(string_split(text[1:{most}], '')) AS c, generate_subscripts(string_split(text[1:{most}], ''), 1) AS i FROM documents WHERE text IS NOT NULL),
+ o AS (SELECT *, sum(strlen(c)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM c), p AS (SELECT *, e - strlen(c) AS b, {first} AS s, {last} AS t FROM o),
+ x AS (SELECT doc_id, string_agg(CASE WHEN b >= s AND e <= t THEN c WHEN b < s AND e > s THEN repeat(chr(65533), CAST(least(e, t) - s AS BIGINT)) WHEN b >= s AND b < t AND e > t THEN chr(65533) ELSE '' END, '' ORDER BY i) AS shown FROM p GROUP BY doc_id)"""
+
+
+@query(f"""WITH {_bytes("doc_id % 40", "doc_id % 40 + 60", 110)} SELECT d.doc_id, coalesce(shown, '') AS slice FROM documents d LEFT JOIN x ON d.doc_id = x.doc_id WHERE text IS NOT NULL""")
 def source_slices(spark, sf):
-    """Bytes of texts that begin in ASCII, so that no cut halves a character."""
-    d = load(spark, sf, "documents").where(F.substring("text", 1, 120).rlike(r"\\A[\\x00-\\x7F]*\\z".replace("\\\\", "\\")))
-    start = F.col("doc_id") % 40
+    d, start = load(spark, sf, "documents").where("text IS NOT NULL"), F.col("doc_id") % 40
     return d.select("doc_id", L.source_slice(F.col("text"), start, start + 60).alias("slice"))
 
 
@@ -132,10 +137,9 @@ def materialised_documents(spark, sf):
     return L.materialised(docs, d.select(path.alias("path"), "text"), d.select(F.col("doc_id").alias("id"), F.upper("lang").alias("text")))
 
 
-@query("""SELECT doc_id AS path, CASE WHEN octet_length(encode(text)) > 900 AND regexp_full_match(text, '[\\x00-\\x7F]*') THEN text[1:900] ELSE text END AS content, octet_length(encode(text)) > 900 AS truncated, FALSE AS "binary" FROM documents
- WHERE text IS NOT NULL AND (regexp_full_match(text, '[\\x00-\\x7F]*') OR octet_length(encode(text)) <= 900)""")
+@query(f"""WITH {_bytes("0", "900", 900)} SELECT d.doc_id AS path, CASE WHEN strlen(text) > 900 THEN shown ELSE text END AS content, strlen(text) > 900 AS truncated, FALSE AS "binary" FROM documents d LEFT JOIN x ON d.doc_id = x.doc_id WHERE text IS NOT NULL""")
 def file_contents(spark, sf):
-    d = load(spark, sf, "documents").where(F.col("text").rlike("\\A[\\x00-\\x7F]*\\z") | (F.octet_length("text") <= 900))
+    d = load(spark, sf, "documents").where("text IS NOT NULL")
     return L.file_content(d.select(F.col("doc_id").alias("path"), "text"), 900)
 
 

@@ -113,15 +113,15 @@ def longest_prefix_owner(spark, sf):
     return owners(p, roots)
 
 
-@query("""WITH c AS (SELECT o_orderkey AS call_id, o_custkey % 25 AS name, o_custkey % 7 AS path FROM orders), t AS (SELECT c_custkey AS target_id, c_nationkey AS name, c_custkey % 7 AS path, c_custkey % 2 = 0 AS callable FROM customer WHERE c_acctbal > 9000),
+@query("""WITH c AS (SELECT o_orderkey AS call_id, o_custkey % 25 AS name, o_custkey % 7 AS path FROM orders), t AS (SELECT c_custkey AS target_id, c_nationkey AS name, c_custkey % 7 AS path, c_custkey % 2 = 0 AS callable FROM customer),
  j AS (SELECT call_id, target_id, row_number() OVER (PARTITION BY call_id ORDER BY CASE WHEN c.path = t.path THEN 0 ELSE 1 END, CASE WHEN callable THEN 0 ELSE 1 END, target_id) AS rn, count(*) OVER (PARTITION BY call_id) AS n FROM c JOIN t ON c.name = t.name)
  SELECT call_id, target_id, CAST(n AS BIGINT) AS candidates, CASE WHEN n > 1 THEN 0.45 ELSE 0.9 END::DOUBLE AS confidence FROM j WHERE rn = 1""")
 def ranked_name_resolution(spark, sf):
     """The same file before others, what can be called before the rest."""
     c, k = F.col("o_custkey"), F.col("c_custkey")
     calls = load(spark, sf, "orders").select(F.col("o_orderkey").alias("call_id"), (c % 25).alias("name"), (c % 7).alias("path"))
-    targets = load(spark, sf, "customer").where("c_acctbal > 9000").select(k.alias("target_id"), F.col("c_nationkey").cast("long").alias("name"), (k % 7).alias("there"), (k % 2 == 0).alias("callable"))
-    return joins.resolve(calls, targets, [(F.col("path") != F.col("there")).alias("far"), (~F.col("callable")).alias("rest")])
+    targets = load(spark, sf, "customer").select(k.alias("target_id"), F.col("c_nationkey").cast("long").alias("name"), (k % 7).alias("there"), (k % 2 == 0).alias("callable"))
+    return joins.resolve(calls, targets, lambda here: F.when(here, 0).otherwise(2) + F.when(F.col("callable"), 0).otherwise(1))
 
 
 @query("""WITH a AS (SELECT c_custkey AS id FROM customer WHERE c_mktsegment = 'BUILDING'), b AS (SELECT c_custkey AS id FROM customer WHERE c_nationkey = 3)

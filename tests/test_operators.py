@@ -81,10 +81,35 @@ def test_smallest_enclosing_crosses_buckets(spark):
     assert {(r.at, r.range_id) for r in joins.smallest_enclosing(points, ranges, "path", 64).collect()} == {(100, 2), (129, 2), (130, 1)}
 
 
-def test_resolution_halves_ambiguous(spark):
-    calls = spark.createDataFrame([(1, "f"), (2, "g")], "call_id long, name string")
-    targets = spark.createDataFrame([(10, "f"), (11, "f"), (12, "g")], "target_id long, name string")
-    assert {(r.call_id, r.target_id, r.confidence) for r in joins.resolve(calls, targets, []).collect()} == {(1, 10, 0.45), (2, 12, 0.9)}
+def test_resolution_prefers_the_own_file_and_halves_ambiguous(spark):
+    import random
+
+    rng = random.Random(4)
+    calls = [(i, rng.choice("fgh"), rng.choice("abc")) for i in range(60)] + [(99, "none", "a")]
+    targets = [(i, rng.choice("fg"), rng.choice("abd"), rng.random() < 0.5) for i in range(20)] + [(50, "h", "z", False)]
+    want = set()
+    for call, name, path in calls:
+        known = [t for t in targets if t[1] == name]
+        if known:
+            best = min(known, key=lambda t: ({(True, True): 0, (False, True): 1, (True, False): 2, (False, False): 3}[t[2] == path, t[3]], t[0]))
+            want.add((call, best[0], len(known), 0.45 if len(known) > 1 else 0.9))
+    frame = spark.createDataFrame(targets, "target_id long, name string, there string, can boolean")
+    got = joins.resolve(spark.createDataFrame(calls, "call_id long, name string, path string"), frame, lambda here: F.when(here & F.col("can"), 0).when(F.col("can"), 1).when(here, 2).otherwise(3))
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_patterns_in_blocks(spark):
+    from skein.operators.glossary import glossary_terms, pattern_hits
+
+    texts = [(1, "abcabc b"), (2, ""), (3, None), (4, "漢字漢字"), (4, "b")]
+    words = ["abc", "b", "bca", "漢", "字漢", "", None, "b"]
+    frame, table = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([(w,) for w in words], "pattern string")
+    want = sorted((i, w, sum(t.startswith(w, k) for k in range(len(t))), t.find(w)) for i, t in texts if t for w in set(words) if w and w in t)
+    for block in (100, 2):
+        assert sorted(map(tuple, pattern_hits(frame, table, block).collect())) == want
+    known = spark.createDataFrame([("漢", ["one", "two"]), ("漢字", ["three"]), ("b", ["two"])], "pattern string, terms array<string>")
+    assert {r.id: r.terms for r in glossary_terms(frame.where("id <> 4 OR text <> 'b'"), known, 2).collect()} == {1: ["two"], 4: ["three", "one"]}
+    assert pattern_hits(frame, table.where("false")).collect() == []
 
 
 def test_diff_pairs_equal_keys(spark):
