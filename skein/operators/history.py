@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.workspace import union
+from skein.workspace import Workspace, union
 
 
 def diff_lines(patches: DataFrame) -> DataFrame:
@@ -127,3 +127,41 @@ def reused_units(files: DataFrame, parsed: DataFrame, version: str) -> DataFrame
     """The files (path, digest, language) with ``reused``: whether the parse of just this text by this version is there."""
     known = parsed.where(F.col("version") == version).select("path", "digest", "language").distinct().withColumn("reused", F.lit(True))
     return files.join(known, ["path", "digest", "language"], "left").withColumn("reused", F.coalesce("reused", F.lit(False)))
+
+
+def first_parents(commits: DataFrame, head: str, limit: int = 512) -> DataFrame:
+    """(commit, n, parent): the first ``limit`` commits on the way from ``head`` along first parents, from (commit, parents array).
+
+    The known way is doubled at each pass by a table of jumps of that length, which is then doubled itself; so a way of 512
+    takes nine passes, however many commits and merges there are. ``parent`` is null for a commit without parents.
+    """
+    spark = commits.sparkSession
+    space = Workspace(spark, "parents")
+    parent = commits.select("commit", F.get("parents", F.lit(0)).alias("parent"))
+    jump = space.table(parent.where("parent IS NOT NULL").select("commit", F.col("parent").alias("to")), "jump-0")
+    way, step, k = space.table(commits.where(F.col("commit") == head).select("commit", F.lit(0).cast("long").alias("n")).limit(1), "way-0"), 1, 0
+    while step < limit:
+        more = way.join(jump, "commit").select(F.col("to").alias("commit"), (F.col("n") + step).alias("n"))
+        k += 1
+        longer = space.table(union(way, more.where(F.col("n") < limit)), f"way-{k}")
+        if longer.count() == min(limit, step):  # the way has ended
+            break
+        way, step = longer, 2 * step
+        if step < limit:
+            on = jump.select(F.col("commit").alias("to"), F.col("to").alias("further"))
+            jump = space.table(jump.join(on, "to").select("commit", F.col("further").alias("to")), f"jump-{k}")
+    # at most ``limit`` commits
+    return parent.join(F.broadcast(way), "commit").select("commit", "n", "parent")
+
+
+def changed_along(trees: DataFrame, way: DataFrame) -> DataFrame:
+    """(commit, n, path, change): what each commit of a way changed against its first parent, from (commit, path, digest).
+
+    Commits without a parent are left out. Only the trees of the way are joined, each pair of them by path.
+    """
+    pairs = way.where("parent IS NOT NULL")
+    new = trees.join(F.broadcast(pairs.select("commit", "n")), "commit").select("commit", "n", "path", F.col("digest").alias("new"))
+    old = trees.withColumnRenamed("commit", "parent").join(F.broadcast(pairs), "parent").select("commit", "n", "path", F.col("digest").alias("old"))
+    both = new.join(old, ["commit", "n", "path"], "full_outer")
+    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "changed")
+    return both.select("commit", "n", "path", change.alias("change")).where("change IS NOT NULL")

@@ -166,3 +166,29 @@ def architecture_diff(spark, sf):
     l = load(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("k"), F.col("l_returnflag").alias("f"), "l_tax", "l_quantity", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
     head = l.where("l_orderkey % 3 <> 1").withColumn("l_quantity", F.when(F.col("l_orderkey") % 7 == 0, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
     return snapshots.architecture_diff(l.where("l_orderkey % 3 <> 0"), head, ["k", "f"], ["l_quantity", "l_tax"], "id")
+
+
+@query("""WITH RECURSIVE c AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey - 3 ELSE o_orderkey - 1 END AS p FROM orders), w AS (SELECT max(k) AS k, CAST(0 AS BIGINT) AS n FROM c
+ UNION ALL SELECT p, n + 1 FROM w JOIN c USING (k) WHERE n < 511 AND p >= 0) SELECT CAST(k AS VARCHAR) AS "commit", n FROM w""")
+def first_parent_way(spark, sf):
+    """Every fifth commit is a merge, whose first parent lies three back."""
+    return history.first_parents(*_graph(spark, sf)).select("commit", "n")
+
+
+def _graph(spark, sf):
+    k = F.col("o_orderkey")
+    back = lambda n: (k - n).cast("string")
+    parents = F.when(k % 5 == 0, F.filter(F.array(F.when(k > 2, back(3)), back(1)), lambda x: x.isNotNull())).otherwise(F.array(back(1)))
+    o = load(spark, sf, "orders")
+    rows = o.select(k.cast("string").alias("commit"), F.when(k > 0, parents).otherwise(F.array().cast("array<string>")).alias("parents"))
+    return rows, str(o.agg(F.max("o_orderkey")).first()[0])
+
+
+@query("""WITH RECURSIVE c AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey - 3 ELSE o_orderkey - 1 END AS p FROM orders), w AS (SELECT max(k) AS k, CAST(0 AS BIGINT) AS n FROM c
+ UNION ALL SELECT p, n + 1 FROM w JOIN c USING (k) WHERE n < 511 AND p >= 0), x AS (SELECT w.k, n, p FROM w JOIN c USING (k) WHERE p >= 0), t AS (SELECT DISTINCT l_orderkey AS k, l_partkey % 50 AS f, CASE WHEN l_partkey % 50 < 25 THEN 0 ELSE l_orderkey % 3 END AS d FROM lineitem),
+ a AS (SELECT x.k, n, f, d FROM x JOIN t USING (k)), b AS (SELECT x.k, n, f, d FROM x JOIN t ON t.k = p)
+ SELECT CAST(coalesce(a.k, b.k) AS VARCHAR) AS "commit", coalesce(a.n, b.n) AS n, 'f' || coalesce(a.f, b.f) AS path, CASE WHEN b.k IS NULL THEN 'added' WHEN a.k IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.k = b.k AND a.f = b.f WHERE a.d IS DISTINCT FROM b.d""")
+def changed_along(spark, sf):
+    f = F.col("l_partkey") % 50
+    trees = load(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("commit"), F.concat(F.lit("f"), f.cast("string")).alias("path"), F.when(f < 25, 0).otherwise(F.col("l_orderkey") % 3).alias("digest")).distinct()
+    return history.changed_along(trees, history.first_parents(*_graph(spark, sf)))
