@@ -40,14 +40,20 @@ def diff_grep(patches: DataFrame, pattern: str, per_file: int = 32) -> DataFrame
 
 
 def merge_relations(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """(id, evidence): incoming relations replace those of the same id, and repeated ones pool their evidence.
+    """(id, evidence): what is there, with incoming relations (id, n, evidence) put in, ``n`` being the order in which they came.
 
-    One aggregation by id, combined before the shuffle.
+    The last incoming relation of a known id replaces it; those of a new id pool their evidence in order, repeats and all. One aggregation
+    by id; of known ids it keeps one relation each.
     """
-    both = union(existing.select("id", "evidence", F.lit(False).alias("new")), incoming.select("id", "evidence", F.lit(True).alias("new")))
-    pool = lambda new: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("new") == new, F.col("evidence"))))))
-    rows = both.groupBy("id").agg(F.max("new").alias("new"), pool(True).alias("_in"), pool(False).alias("_old"))
-    return rows.select("id", F.when(F.col("new"), F.col("_in")).otherwise(F.col("_old")).alias("evidence"))
+    none = F.lit(None).cast("long")
+    both = union(existing.select("id", none.alias("n"), "evidence"), incoming.select("id", F.col("n").cast("long").alias("n"), "evidence"))
+    known = existing.select("id").distinct().withColumn("known", F.lit(True))
+    rows = both.join(known, "id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    kept = rows.groupBy("id", "known").agg(
+        F.max_by("evidence", F.coalesce("n", F.lit(-(1 << 62)))).alias("last"),
+        F.array_sort(F.collect_list(F.when(~F.col("known"), F.struct("n", "evidence")))).alias("all"),
+    )
+    return kept.select("id", F.when(F.col("known"), F.col("last")).otherwise(F.flatten(F.transform("all", lambda x: x["evidence"]))).alias("evidence"))
 
 
 def rerank_in_place(ranked: DataFrame, key: str, item: str, topical: str, score: str, most: int = 50) -> DataFrame:

@@ -107,16 +107,32 @@ def per_group_cap(ranked: DataFrame, key: str, group: str, item: str, limit: int
 
 
 def pack_budget(ranked: DataFrame, key: str, item: str, cost: str, budget: int, *carry: str) -> DataFrame:
-    """Greedy packing in rank order; what doesn't fit is passed over and spends nothing."""
-    lists = ranked.groupBy(key).agg(_ordered(key, ["rank", item], [cost, *carry]).alias("_all"))
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.filter("_all", lambda x: F.lit(False)).alias("out"))
+    """Greedy packing in rank order; what doesn't fit is passed over and spends nothing. ``used`` is what a key spent in all.
 
-    def step(acc, x):
-        fits = acc["used"] + x[cost] <= budget
-        return F.when(fits, F.struct((acc["used"] + x[cost]).cast("long").alias("used"), F.concat(acc["out"], F.array(x)).alias("out"))).otherwise(acc)
-
-    packed = lists.select(key, F.aggregate("_all", zero, step).alias("r"))
-    return packed.select(key, F.explode("r.out").alias("x"), F.col("r.used").alias("used")).select(key, F.col(f"x.{item}").alias(item), F.col(f"x.{cost}").alias(cost), *[F.col(f"x.{c}").alias(c) for c in carry], "used")
+    The rows of a key stream past in order with one sum, so that a list of any length takes no memory. A null cost never fits.
+    """
+    columns = list(dict.fromkeys([key, item, cost, *carry]))
+    rows = ranked.select(*columns, F.col("rank").alias("_rank")).repartition(key).sortWithinPartitions(key, "_rank", item)
+
+    def run(batches):
+        import pyarrow as pa
+
+        now, used = object(), 0
+        for batch in batches:
+            good, spent = [], []
+            for k, c in zip(batch.column(key).to_pylist(), batch.column(cost).to_pylist(), strict=True):
+                if k != now:
+                    now, used = k, 0
+                fits = c is not None and used + c <= budget
+                used += c if fits else 0
+                good.append(fits)
+                spent.append(used)
+            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(spent, pa.int64())], [*columns, "used"])
+            yield out.filter(pa.array(good, pa.bool_()))
+
+    fields = ranked.select(*columns).schema.add("used", "long")
+    packed = rows.mapInArrow(run, fields)
+    return packed.withColumn("used", F.max("used").over(Window.partitionBy(key)))
 
 
 def top_per_key(rows: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:

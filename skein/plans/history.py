@@ -75,12 +75,12 @@ def diff_grep(spark, sf):
     return history.diff_grep(d.select((F.col("doc_id") % 7).cast("string").alias("commit"), F.col("doc_id").cast("string").alias("path"), body.alias("patch")), "th[ae]")
 
 
-@query("""WITH o AS (SELECT o_custkey % 200 AS id, o_orderpriority AS e FROM orders WHERE o_custkey % 3 = 0), i AS (SELECT o_custkey % 200 AS id, o_orderstatus AS e FROM orders WHERE o_custkey % 3 <> 0)
- SELECT id, array_to_string(list_sort(list(DISTINCT e)), '|') AS evidence FROM (SELECT * FROM i UNION ALL SELECT * FROM o WHERE id NOT IN (SELECT id FROM i)) GROUP BY id""")
+@query("""WITH o AS (SELECT o_custkey AS id, min(o_orderpriority) AS e FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1), i AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE -o_custkey END AS id, o_orderkey AS n, o_orderstatus || o_orderkey AS e FROM orders)
+ SELECT id, arg_max(e, n) AS evidence FROM (SELECT id, -1 AS n, e FROM o UNION ALL SELECT id, n, e FROM i) WHERE id IN (SELECT id FROM o) GROUP BY id UNION ALL SELECT id, string_agg(e, '|' ORDER BY n) FROM i WHERE id NOT IN (SELECT id FROM o) GROUP BY id""")
 def merged_relations(spark, sf):
-    o = load(spark, sf, "orders").withColumn("id", F.col("o_custkey") % 200)
-    old = o.where("o_custkey % 3 = 0").select("id", F.array("o_orderpriority").alias("evidence"))
-    new = o.where("o_custkey % 3 <> 0").select("id", F.array("o_orderstatus").alias("evidence"))
+    o, c, k = load(spark, sf, "orders"), F.col("o_custkey"), F.col("o_orderkey")
+    old = o.where(c % 3 == 0).groupBy(c.alias("id")).agg(F.array(F.min("o_orderpriority")).alias("evidence"))
+    new = o.select(F.when(k % 2 == 0, c).otherwise(-c).alias("id"), k.alias("n"), F.array(F.concat("o_orderstatus", k.cast("string"))).alias("evidence"))
     return history.merge_relations(old, new).select("id", F.array_join("evidence", "|").alias("evidence"))
 
 

@@ -46,8 +46,8 @@ def test_diff_lines_number_both_images(spark):
 
 def test_incoming_relations_replace(spark):
     old = spark.createDataFrame([(1, ["a"]), (2, ["b"])], "id long, evidence array<string>")
-    new = spark.createDataFrame([(2, ["c"]), (2, ["d"])], "id long, evidence array<string>")
-    assert {r.id: r.evidence for r in history.merge_relations(old, new).collect()} == {1: ["a"], 2: ["c", "d"]}
+    new = spark.createDataFrame([(2, 1, ["d"]), (2, 0, ["c"]), (3, 3, ["e", "f"]), (3, 2, ["e"])], "id long, n long, evidence array<string>")
+    assert {r.id: r.evidence for r in history.merge_relations(old, new).collect()} == {1: ["a"], 2: ["d"], 3: ["e", "e", "f"]}
 
 
 def test_rerank_keeps_places(spark):
