@@ -7,7 +7,7 @@ part grows with the corpus; within a slot documents are spread. Parts are folder
 cell; so a query reads the folders of its own slots and there the pages of its own terms.
 
 Documents fall into cells of about ``CELL`` by a hash. All postings of a token in a cell are a block, of which a row says
-how many they are, the greatest weighted frequency and the least length per frequency. From these few rows follows the greatest
+how many they are and what the token gives a document there at most. From these few rows follows the greatest
 score a cell can give, so that the best hits are found without reading the rest, and counts up to a cap without reading postings.
 
 An index is built aside and moved to its place at the end; of two that are built at once one stays.
@@ -25,12 +25,14 @@ from pyspark.sql import functions as F
 from skein.functions import text as T
 from skein.workspace import Workspace, delete, exists, fingerprint, shared_root, size_of
 
-VERSION, SLOTS, CELL, SAMPLE = 6, 4096, 1024, 4096
+VERSION, SLOTS, CELL, SAMPLE = 7, 4096, 1024, 4096
 PART_BYTES = 64 << 20
+#: Fixed values of BM25.
+K1, B = 1.2, 0.75
 #: The weights of the fields of a document.
 FIELDS = {"path": 3.0, "name": 5.0, "terms": 2.0, "body": 1.0}
 _POSTINGS = "token string, cell int, doc_id long, dl long, w double, fields array<tinyint>, positions array<int>, part int"
-_BLOCKS = "token string, cell int, n long, most double, thinnest double, part int"
+_BLOCKS = "token string, cell int, n long, top double, part int"
 _TOTALS = "n long, avgdl double, cells int, parts int, layout string"
 
 
@@ -85,6 +87,11 @@ def weighted(fields: Column, weights: dict[str, float] | None = None) -> Column:
     return F.aggregate(fields, F.lit(0.0), lambda acc, f: acc + F.get(table, f.cast("int")))
 
 
+def saturated(tf: Column, dl: Column, avgdl: float) -> Column:
+    """What a weighted frequency gives in a document of a length, before the weight of the term."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(avgdl or 1.0)))
+
+
 class TextIndex:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
@@ -126,7 +133,7 @@ class TextIndex:
         paged = lambda writer: writer.option("compression", "zstd").option("parquet.page.size", 1 << 16).option("parquet.page.row.count.limit", 2048).partitionBy("part")
         paged(held.write.mode("overwrite")).parquet(f"{aside}/postings")
         postings = spark.read.schema(_POSTINGS).parquet(f"{aside}/postings").select("token", "cell", "dl", "w", "part")
-        blocks = postings.groupBy("part", "token", "cell").agg(F.count("*").alias("n"), F.max("w").alias("most"), F.min(F.col("dl") / F.col("w")).alias("thinnest"))
+        blocks = postings.groupBy("part", "token", "cell").agg(F.count("*").alias("n"), F.max(saturated(F.col("w"), F.col("dl"), float(total.avgdl or 0))).alias("top"))
         paged(blocks.repartitionById(used, F.col("part")).sortWithinPartitions("part", "token", "cell").write.mode("overwrite")).parquet(f"{aside}/blocks")
         whole = (total.n, float(total.avgdl or 0), cells, used, json.dumps(layout))
         space.table(spark.range(1).select(*[F.lit(x).cast(t).alias(n) for x, (n, t) in zip(whole, (c.split() for c in _TOTALS.split(", ")))]), "totals")

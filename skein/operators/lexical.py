@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from skein.functions import text as T
 from skein.workspace import Workspace, union
 
-from .index import TextIndex, weighted
+from .index import TextIndex, saturated, weighted
 
-K1, B = 1.2, 0.75
 #: Words that no query asks for.
 STOPWORDS = (
     "the", "a", "an", "of", "to", "in", "and", "or", "is", "are", "for", "on", "with", "by", "how", "what", "where", "does",
@@ -33,10 +32,6 @@ def _idf(df: int, n: int) -> float:
     return max(math.log((n - df + 0.5) / (df + 0.5)), 1e-6) if df else 0.0
 
 
-def _part(tf: Column, dl: Column, avgdl: float) -> Column:
-    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(avgdl)))
-
-
 def bm25(index: TextIndex, terms: list[str], weights=None) -> DataFrame:
     """(doc_id, score) of documents with any of the terms, by field weights; only the terms' postings are read."""
     hits = index.holding(terms)
@@ -55,21 +50,22 @@ def _by_token(idfs: dict[str, float]) -> Column:
 
 
 def _scored(index: TextIndex, hits: DataFrame, idfs: dict[str, float]) -> DataFrame:
-    return hits.groupBy("doc_id").agg(F.sum(_by_token(idfs) * _part(F.col("w"), F.col("dl"), index.avgdl)).alias("score"))
+    return hits.groupBy("doc_id").agg(F.sum(_by_token(idfs) * saturated(F.col("w"), F.col("dl"), index.avgdl)).alias("score"))
 
 
 def best_hits(index: TextIndex, terms: list[str], k: int, first: int = 8) -> tuple[DataFrame, int, int]:
     """(doc_id, score) of the ``k`` best documents by BM25, how many postings were read and how many the terms have.
 
-    The blocks of the terms bound what each cell can give. The ``first`` most promising cells are scored; then those that can still
+    The blocks of the terms bound what each cell can give. The ``k`` most promising cells are scored (``first`` at least), which for one
+    term gives the ``k``-th score or ties with it; then those that can still
     hold something as good as the ``k``-th score so far, and no others. Equal scores go by document.
     """
     idfs = _idfs(index, terms)
-    bound = _by_token(idfs) * (K1 + 1) / (1 + K1 * ((1 - B) / F.col("most") + B * F.col("thinnest") / F.lit(index.avgdl or 1.0)))
+    bound = _by_token(idfs) * F.col("top")
     space = Workspace(index.spark, "best")
     cells = space.table(index.blocks_of(terms).groupBy("cell").agg((F.sum(bound) * (1 + 1e-12)).alias("bound"), F.sum("n").alias("n")), "cells")
     total = cells.agg(F.sum("n")).first()[0] or 0
-    top = [r.cell for r in cells.orderBy(F.desc("bound"), "cell").limit(max(first, k // 64)).collect()]
+    top = [r.cell for r in cells.orderBy(F.desc("bound"), "cell").limit(max(first, min(k, 512))).collect()]
     order = [F.desc("score"), F.col("doc_id")]
     one = space.table(_scored(index, index.holding(terms).where(F.col("cell").isin(*top)), idfs).orderBy(*order).limit(k), "first")
     least = [r.score for r in one.orderBy("score").limit(1).collect()] if one.count() >= k else []
@@ -122,7 +118,7 @@ def cascade(index: TextIndex, terms: list[str], limit: int) -> DataFrame:
         return F.create_map(*values)[F.col("i")] if values else F.lit(0.0)
 
     bit = F.expr("shiftleft(1L, i)")
-    score = lambda tf, df, test: F.round(F.sum(F.when(test, idf(df) * _part(F.col(tf), F.col("dl"), index.avgdl))), 9)
+    score = lambda tf, df, test: F.round(F.sum(F.when(test, idf(df) * saturated(F.col(tf), F.col("dl"), index.avgdl))), 9)
     is_latin, some, one = F.col("i").isin(*latin) if latin else F.lit(False), F.lit(True), F.lit(False)
     docs = hits.groupBy("doc_id").agg(
         F.bit_or(F.when(F.col("exact").isNotNull(), bit).otherwise(0)).alias("whole"), F.bit_or(bit).alias("begins"),
