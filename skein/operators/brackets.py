@@ -33,6 +33,9 @@ _QUOTED = {
 }
 _SCRIPT = _TEXT + r"|'[^'\\]*+(?:\\[\s\S][^'\\]*+)*+'|`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`"
 _REST = r"\s++|[\p{L}_$][\p{L}\p{N}_$]*+|\p{N}[\p{L}\p{N}_]*+|=>|->|::|\?\.|\.\.\.|[\s\S]"
+_UNSEEN = r"^(?:\s|//|/\*)"
+#: How many tokens are cut from a text at once.
+RUN = 256
 OPEN, CLOSE = ("(", "[", "{"), (")", "]", "}")
 #: The nodes that are units, and what their kind is called.
 HEADS = {
@@ -57,25 +60,61 @@ def _pattern(language: Column) -> Column:
     return out
 
 
-def _following(condition: Column, value: Column, window, first: int = 1) -> Column:
-    return F.first(F.when(condition, value), ignorenulls=True).over(window.rowsBetween(first, Window.unboundedFollowing))
+def _following(condition: Column, value: Column, first: int = 1) -> Column:
+    """The value at the nearest sibling from ``first`` places on that meets the condition.
 
-
-def bracket_table(files: DataFrame) -> DataFrame:
+    Asked backwards: a frame that grows is kept up row by row, one that shrinks is read anew for every row.
+    """
+    back = Window.partitionBy("path", "parent").orderBy(F.desc("n"))
+    return F.last(F.when(condition, value), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -first))
+
+
+def byte_blocks(files: DataFrame, size: int = 2048) -> DataFrame:
+    """(path, block, data): the bytes of texts in blocks of ``size``, so that a place is looked up without its whole text."""
+    cut = files.select("path", F.posexplode(F.regexp_extract_all("text", F.lit(r"[\s\S]{1,%d}" % size), F.lit(0))).alias("k", "t")).select("path", "k", F.col("t").cast("binary").alias("t"))
+    before = Window.partitionBy("path").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    cut = cut.withColumn("s", F.coalesce(F.sum(F.length("t")).over(before), F.lit(0)))
+    cut = cut.select("path", "s", "t", F.explode(F.sequence(F.floor(F.col("s") / size), F.floor((F.col("s") + F.length("t") - 1) / size))).alias("block"))
+    low, high = F.greatest(F.col("s"), F.col("block") * size), F.least(F.col("s") + F.length("t"), (F.col("block") + 1) * size)
+    cut = cut.select("path", "block", "s", F.substring("t", (low - F.col("s") + 1).cast("int"), (high - low).cast("int")).alias("t"))
+    return cut.groupBy("path", "block").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("s", "t"))), F.lit(b""), lambda acc, x: F.concat(acc, x["t"])).alias("data"))
+
+
+def texts_at(spans: DataFrame, files: DataFrame, start: Column, end: Column, size: int = 2048) -> DataFrame:
+    """Adds ``cut``, the text between two bytes of the file ``path``; the other columns tell the spans apart."""
+    names = spans.columns
+    low, high = F.col("_from"), F.greatest(F.col("_from"), F.col("_to"))
+    rows = spans.withColumns({"_from": start.cast("long"), "_to": end.cast("long")})
+    rows = rows.withColumn("block", F.explode(F.sequence(F.floor(low / size), F.floor(F.greatest(low, high - 1) / size))))
+    rows = rows.join(byte_blocks(files, size), ["path", "block"], "left")
+    first, last = F.greatest(low, F.col("block") * size), F.least(high, (F.col("block") + 1) * size)
+    part = F.substring("data", (first - F.col("block") * size + 1).cast("int"), (last - first).cast("int"))
+    whole = F.aggregate(F.array_sort(F.collect_list(F.struct("block", F.coalesce(part, F.lit(b"")).alias("t")))), F.lit(b""), lambda acc, x: F.concat(acc, x["t"]))
+    return rows.groupBy(*names).agg(whole.cast("string").alias("cut"))
+
+
+def bracket_table(files: DataFrame, only_brackets: bool = False) -> DataFrame:
     """(path, language, n, token, kind, start, end, line, last_line, depth, parent, close, i, size) from (path, language, text).
 
     ``n`` numbers the tokens of a file without white space and comments; ``start`` and ``end`` are bytes; ``parent`` is the ``n`` of the
     opening bracket around a token (-1 at the top), ``close`` that of the bracket that closes an opening one, ``i`` the place
-    among the ``size`` siblings. A null text has no tokens.
+    among the ``size`` siblings. A null text has no tokens. With ``only_brackets`` other tokens are left out before anything is sorted,
+    but for one of each run of ``RUN`` tokens, so that no file is lost; ``n``, ``i``, ``size``, ``start`` and lines then say nothing.
     """
-    token, per_file = F.col("token"), Window.partitionBy("path").orderBy("pos")
+    token, per_file = F.col("token"), Window.partitionBy("path").orderBy("run", "pos")
     before = per_file.rowsBetween(Window.unboundedPreceding, -1)
-    rows = files.where(F.col("language").isin(*LANGUAGES)).select("path", "language", F.posexplode(F.regexp_extract_all("text", _pattern(F.col("language")), F.lit(0))).alias("pos", "token"))
-    rows = rows.repartition("path")
+    # a text is cut into runs of tokens first: a run cut alone gives the same tokens, and no array holds those of a whole text
+    runs = F.regexp_extract_all("text", F.concat(F.lit("(?:"), _pattern(F.col("language")), F.lit(f"){{1,{RUN}}}+")), F.lit(0))
+    rows = files.where(F.col("language").isin(*LANGUAGES)).select("path", "language", F.posexplode(runs).alias("run", "text"))
+    tokens = F.regexp_extract_all("text", _pattern(F.col("language")), F.lit(0))
+    if only_brackets:
+        seen = F.filter(tokens, lambda x: ~x.rlike(_UNSEEN))
+        tokens = F.concat(F.slice(seen, 1, 1), F.filter(F.slice(seen, 2, RUN), lambda x: x.isin(*OPEN, *CLOSE)))
+    rows = rows.select("path", "language", "run", F.posexplode(tokens).alias("pos", "token")).repartition("path")
     newlines = F.length(token) - F.length(F.replace(token, F.lit("\n"), F.lit("")))
     start, line = F.coalesce(F.sum(F.octet_length(token)).over(before), F.lit(0)), 1 + F.coalesce(F.sum(newlines).over(before), F.lit(0))
-    rows = rows.select("path", "language", "pos", "token", start.alias("start"), line.alias("line"), newlines.alias("more"))
-    rows = rows.where(~token.rlike(r"^(?:\s|//|/\*)"))
+    rows = rows.select("path", "language", "run", "pos", "token", start.alias("start"), line.alias("line"), newlines.alias("more"))
+    rows = rows.where(~token.rlike(_UNSEEN))
     kind = F.when(token.isin(*OPEN), "open").when(token.isin(*CLOSE), "close").when(token.rlike(r"^(?:[\p{L}_$][\p{L}\p{N}_$]*)$"), "name").when(token.rlike(r"^(?:[\"'`]|[br$@]{1,2}[#\"'])"), "text").otherwise("other")
     rows = rows.select("path", "language", (F.row_number().over(per_file) - 1).alias("n"), "token", kind.alias("kind"), "start", (F.col("start") + F.octet_length(token)).alias("end"), "line", (F.col("line") + F.col("more")).alias("last_line"))
     by_place = Window.partitionBy("path").orderBy("n")
@@ -117,9 +156,9 @@ def _with_neighbours(table: DataFrame) -> DataFrame:
     typed = F.col("prev1").isin("interface", "struct", ":", "|", "&", "=>", "<", ",") & ~(language == "rust")
     body = (token == "{") & ~F.coalesce(typed, F.lit(False))
     rows = rows.withColumns({
-        "stop": _following(body | (token == ";"), F.struct("n", "token", "close", "start", "end"), s),
-        "semicolon": _following(token == ";", F.struct("n", "end"), s),
-        "next_line": _following(F.col("begins"), F.col("i"), s),
+        "stop": _following(body | (token == ";"), F.struct("n", "token", "close", "start", "end")),
+        "semicolon": _following(token == ";", F.struct("n", "end")),
+        "next_line": _following(F.col("begins"), F.col("i")),
         "next2_start": F.lead("start", 2).over(s),
     })
     # words before a unit that belong to it run up to it without a break
@@ -181,11 +220,9 @@ def units(files: DataFrame, table: DataFrame | None = None) -> DataFrame:
     found = space.table(found.withColumn("unit", F.row_number().over(Window.partitionBy("path").orderBy(*order, "name")) - 1), "units")
     around = enclosing(found.select("path", F.col("unit").alias("id"), F.col("start_byte").alias("from"), F.col("end_byte").alias("to")))
     found = found.join(around.select("path", F.col("id").alias("unit"), F.col("around").alias("parent")), ["path", "unit"])
-    data = files.select("path", F.col("text").cast("binary").alias("_data"))
-    upto = F.least(F.coalesce("body_start", F.col("start_byte") + 512), "end_byte", F.col("start_byte") + 2048) - F.col("start_byte")
-    signature = F.trim(F.regexp_replace(F.substring(F.col("_data"), F.col("start_byte").cast("int") + 1, upto.cast("int")).cast("string"), r"\s+$", ""))
-    out = found.join(data, "path").withColumn("signature", signature)
-    return out.select("path", "unit", F.col("what").alias("kind"), "name", "start_byte", "end_byte", "start_line", "end_line", "parent", "signature", "head", "body")
+    upto = F.least(F.coalesce("body_start", F.col("start_byte") + 512), "end_byte", F.col("start_byte") + 2048)
+    out = texts_at(found, files, F.col("start_byte"), upto).withColumn("signature", F.trim(F.regexp_replace("cut", r"\s+$", "")))
+    return space.table(out, "out").select("path", "unit", F.col("what").alias("kind"), "name", "start_byte", "end_byte", "start_line", "end_line", "parent", "signature", "head", "body")
 
 
 def _members(rows: DataFrame, table: DataFrame, heads: DataFrame) -> DataFrame:
@@ -307,7 +344,7 @@ def _sequence(rows: DataFrame, items: list, whole: bool, space: Workspace, label
     if not all(runs[1:-1]):
         raise ValueError("two holes stand side by side")
     ends = Window.partitionBy("path", "parent")
-    separator = _following(F.col("token").isin(",", ";"), F.struct("i", F.col("before").alias("end")), s, 0)
+    separator = _following(F.col("token").isin(",", ";"), F.struct("i", F.col("before").alias("end")), 0)
     all_of_them = F.struct(F.col("size").alias("i"), F.max("end").over(ends).alias("end"))
     rows = rows.withColumn("before", F.lag("end").over(s)).withColumn("all", all_of_them).withColumn("separator", F.coalesce(separator, "all")).drop("before")
     number = 0
@@ -356,7 +393,7 @@ def _sequence(rows: DataFrame, items: list, whole: bool, space: Workspace, label
             to = F.when(end_i < F.col("size"), stop["end"]).otherwise(end_byte)
             found = rest(to, F.concat(spans, hole(to)))
         else:
-            more = F.first("rest", ignorenulls=True).over(s.rowsBetween(length + (1 if single else 0), Window.unboundedFollowing))
+            more = _following(F.lit(True), F.col("rest"), length + (1 if single else 0))
             rows = rows.withColumn("more", more)
             ok = fits & F.col("more").isNotNull() & ((after["i"] >= F.col("more.i")) if single else F.lit(True))
             found = rest(F.col("more.end"), F.concat(spans, hole(F.col("more.start")), F.col("more.spans")))
@@ -376,7 +413,7 @@ def _led(rows: DataFrame, hole, tail, whole: bool, s) -> DataFrame:
         both = both if many else both.where("separator >= size")
         return both.select("path", "parent", F.lit(0).alias("i"), F.col("from").cast("long").alias("start"), F.col("to").cast("long").alias("end"), F.array(F.struct(F.lit(hole[1]).alias("name"), F.col("from").cast("long").alias("from"), F.col("to").cast("long").alias("to"))).cast(_SPAN).alias("spans"))
     if whole:
-        rows = rows.withColumn("more", F.first("rest", ignorenulls=True).over(s.rowsBetween(0 if many else 1, Window.unboundedFollowing))).where("i = 0 AND more IS NOT NULL")
+        rows = rows.withColumn("more", _following(F.lit(True), F.col("rest"), 0 if many else 1)).where("i = 0 AND more IS NOT NULL")
         rows = rows if many else rows.where("separator.i >= more.i")
         origin = F.col("start")
     else:
@@ -406,14 +443,18 @@ def pattern_matches(files: DataFrame, template: str, table: DataFrame | None = N
     space = Workspace(files.sparkSession, "pattern")
     tokens = space.table(bracket_table(rows) if table is None else table.join(rows.select("path"), "path", "left_semi"), "tokens")
     found = _sequence(tokens, items, False, space, "level")
-    data = rows.select("path", F.col("text").cast("binary").alias("data"))
-    cut = lambda a, b: F.regexp_replace(F.substring(F.col("data"), a.cast("int") + 1, (b - a).cast("int")).cast("string"), r"^\s+|\s+$", "")
-    found = found.join(data, "path").withColumn("bound", F.transform("spans", lambda x: F.struct(x["name"].alias("name"), cut(x["from"], x["to"]).alias("text"))))
+    # the match is the first of its spans
+    found = space.table(found.select("path", "parent", "i", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "spans"), "found")
+    match = F.array(F.struct(F.lit("").alias("name"), F.col("start").alias("from"), F.col("end").alias("to"))).cast(_SPAN)
+    each = found.select("path", "parent", "i", "start", "end", F.posexplode(F.concat(match, "spans")).alias("k", "x")).select("path", "parent", "i", "start", "end", "k", "x.name", "x.from", "x.to")
+    each = texts_at(each, rows, F.col("from"), F.col("to")).withColumn("text", F.regexp_replace("cut", r"^\s+|\s+$", ""))
+    found = each.groupBy("path", "parent", "i", "start", "end").agg(F.array_sort(F.collect_list(F.struct("k", "name", "text"))).alias("all"))
+    found = found.withColumn("bound", F.transform(F.slice("all", 2, F.size("all")), lambda x: F.struct(x["name"].alias("name"), x["text"].alias("text"))))
     named = F.filter("bound", lambda x: ~x["name"].isin("", "_"))
     squeezed = F.array_distinct(F.transform(named, lambda x: F.struct(x["name"], F.regexp_replace(x["text"], r"\s+", " "))))
     same = F.size(squeezed) == F.size(F.array_distinct(F.transform(named, lambda x: x["name"])))
     names = F.map_from_entries(F.aggregate(named, F.array().cast("array<struct<name:string,text:string>>"), lambda acc, x: F.when(F.exists(acc, lambda y: y["name"] == x["name"]), acc).otherwise(F.concat(acc, F.array(x)))))
-    return found.where(same).select("path", F.col("start").alias("start_byte"), F.col("end").alias("end_byte"), cut(F.col("start"), F.col("end")).alias("match"), names.alias("names"))
+    return found.where(same).select("path", F.col("start").alias("start_byte"), F.col("end").alias("end_byte"), F.col("all")[0]["text"].alias("match"), names.alias("names"))
 
 
 # --- edges -------------------------------------------------------------------
