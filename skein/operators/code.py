@@ -83,6 +83,21 @@ def qualified_names(parsed: DataFrame, depth: int = 16) -> DataFrame:
     return chain.select("path", "unit", F.concat_ws("::", "path", F.slice("c.name", 1, depth)).alias("qualified"))
 
 
+def doc_comments(parsed: DataFrame, files: DataFrame, reach: int = 64) -> DataFrame:
+    """(path, unit, doc): the comment lines right above each unit (path, unit, start_line).
+
+    Lines stand in blocks of twice ``reach``, half of them those before, so that no unit meets all lines of its file.
+    """
+    lines = files.select("path", F.split("text", "\n", -1).alias("lines"))
+    low = F.greatest((F.col("b") - 1) * reach, F.lit(0))
+    blocks = lines.select("path", "lines", F.explode(F.sequence(F.lit(0), F.floor(F.size("lines") / reach).cast("int"))).alias("b"))
+    blocks = blocks.select("path", "b", F.slice("lines", low + 1, (F.col("b") + 1) * reach - low).alias("near"))
+    rows = parsed.select("path", "unit", "start_line").join(lines.select("path", F.size("lines").alias("n")), "path")
+    rows = rows.withColumn("start_line", F.least("start_line", F.col("n") + 1))  # the parser may count more lines
+    rows = rows.withColumn("b", F.floor((F.col("start_line") - 1) / reach).cast("int")).join(blocks, ["path", "b"])
+    return rows.select("path", "unit", doc_comment(F.col("near"), F.col("start_line") - low).alias("doc"))
+
+
 def doc_comment(lines: Column, start_line: Column, most: int = 4) -> Column:
     """Up to ``most`` comment lines right above a unit, at most 400 characters; attributes and decorators are passed over."""
     above = F.reverse(F.slice(lines, F.lit(1), F.greatest(start_line - 1, F.lit(0))))

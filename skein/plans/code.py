@@ -44,8 +44,7 @@ def qualified_names(spark, sf):
 @query(f"WITH {_U} SELECT path, CAST(2 * i AS INT) AS unit, 'part ' || k AS doc FROM u UNION ALL SELECT path, CAST(2 * i + 1 AS INT), NULL FROM u")
 def doc_comments(spark, sf):
     files = _files(spark, sf)
-    rows = C.units(files).join(files.select("path", F.split("text", "\n", -1).alias("lines")), "path")
-    return rows.select("path", "unit", C.doc_comment(F.col("lines"), F.col("start_line")).alias("doc"))
+    return C.doc_comments(C.units(files), files)
 
 
 @query(f"""WITH {_U} SELECT path, left(path || ' (python)' || chr(10) || chr(10) || string_agg('# part ' || k, chr(10) ORDER BY i) FILTER (i < 6) || chr(10) || chr(10) || string_agg('class C' || k || ':', chr(10) ORDER BY i) FILTER (i < 24), 2048) AS descriptor FROM u GROUP BY path""")

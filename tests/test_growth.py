@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from skein.operators import brackets as B
+from skein.operators import code as C
 
 
 def plan_of(frame) -> str:
@@ -39,3 +40,13 @@ def test_runs_of_tokens_are_those_of_the_whole_text(spark):
     whole = sorted(map(tuple, B.balance(B.bracket_table(files)).collect()))
     assert whole == sorted(map(tuple, B.balance(B.bracket_table(files, only_brackets=True)).collect()))
     assert dict(whole) == {"a": False, "b": True, "d": False, "e": True}
+
+
+def test_doc_comments_meet_the_lines_near_them(spark):
+    rows = ["# far", *["x = 1"] * 70, "", "# one", "# two", "@d", "class A:", "    # in", "    def f(self):", *["        pass"] * 60, *["#"] * 70, "def g(): pass"]
+    files = spark.createDataFrame([("a", "\n".join(rows)), ("b", "# top\ndef h(): pass"), ("c", "# x\ry = 1\r# z\rdef k(): pass")], "path string, text string")
+    parsed = C.units(files)
+    whole = parsed.join(files.select("path", F.split("text", "\n", -1).alias("lines")), "path").select("path", "unit", C.doc_comment(F.col("lines"), F.col("start_line")).alias("doc"))
+    got = C.doc_comments(parsed, files)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
+    assert {r.doc for r in got.where("path = 'a' AND unit < 2").collect()} == {"one two", "in"}
