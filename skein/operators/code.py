@@ -173,7 +173,8 @@ def import_candidates(specifiers: DataFrame) -> DataFrame:
 def resolved_imports(candidates: DataFrame, files: DataFrame) -> DataFrame:
     """(path, specifier, target): the first candidate that is a file; reduced by an aggregate, so that popular modules don't sort."""
     known = files.select(F.col("path").alias("candidate"))
-    return candidates.join(known, "candidate").groupBy("path", "specifier").agg(F.min_by("candidate", "ordinal").alias("target")).where("path <> target")
+    # of a semi-join only the files may be broadcast, never the candidates, whose number a plan can't tell
+    return candidates.join(known, "candidate", "left_semi").groupBy("path", "specifier").agg(F.min_by("candidate", "ordinal").alias("target")).where("path <> target")
 
 
 def routes(files: DataFrame) -> DataFrame:

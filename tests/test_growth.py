@@ -50,3 +50,11 @@ def test_doc_comments_meet_the_lines_near_them(spark):
     got = C.doc_comments(parsed, files)
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
     assert {r.doc for r in got.where("path = 'a' AND unit < 2").collect()} == {"one two", "in"}
+
+
+def test_candidates_of_imports_are_not_broadcast(spark):
+    files = spark.createDataFrame([("src/a", "python", "import os\nfrom x import y")], "path string, language string, text string")
+    known = spark.createDataFrame([("x.py",), ("x.py",)], "path string")
+    found = C.resolved_imports(C.import_candidates(C.imports(files)), known)
+    assert "LeftSemi" in plan_of(found)
+    assert [tuple(r) for r in found.collect()] == [("src/a", "x", "x.py")]
