@@ -58,3 +58,13 @@ def test_candidates_of_imports_are_not_broadcast(spark):
     found = C.resolved_imports(C.import_candidates(C.imports(files)), known)
     assert "LeftSemi" in plan_of(found)
     assert [tuple(r) for r in found.collect()] == [("src/a", "x", "x.py")]
+
+
+def test_replay_audit_covers_all_cases(spark):
+    import __spark_entry__
+
+    got = __spark_entry__.queries()["replay_audit"](spark, "/root/testdata/sf0.001")
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    k, changed = F.col("o_orderkey"), (F.col("o_orderkey") % 10 == 3) & (F.col("o_orderstatus") != "X")
+    a, b = k % 7 != 0, k % 11 != 0
+    assert got.count() == orders.where((a != b) | (a & b & changed)).count()
