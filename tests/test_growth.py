@@ -68,3 +68,14 @@ def test_replay_audit_covers_all_cases(spark):
     k, changed = F.col("o_orderkey"), (F.col("o_orderkey") % 10 == 3) & (F.col("o_orderstatus") != "X")
     a, b = k % 7 != 0, k % 11 != 0
     assert got.count() == orders.where((a != b) | (a & b & changed)).count()
+
+
+def test_a_test_meets_two_targets_of_a_name(spark):
+    tests = spark.createDataFrame([(1, "test_a_b"), (2, "a"), (7, "test_b"), (9, "test_c")], "id long, name string")
+    targets = spark.createDataFrame([(2, "a"), (2, "a"), (5, "a"), (7, "b"), (3, "a_b"), (1, "a_b")], "id long, name string")
+    found = C.test_pairs(tests, targets)
+    assert sorted(map(tuple, found.collect())) == [(1, 3, 0.65), (2, 5, 0.65)]
+    many = spark.range(2000).select("id", F.lit("test_a").alias("name"))
+    sized = C.test_pairs(many, many.select((F.col("id") + 1000).alias("id"), F.lit("a").alias("name")))
+    assert sized.where("target_id = 1000").count() == 1999 and sized.where("test_id = 1000 AND target_id = 1001").count() == 1
+    assert plan_of(found).count("min(id") == 2  # names meet tests once their targets are reduced
