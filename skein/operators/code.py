@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
-from skein.workspace import union
+from skein.workspace import Workspace, union
 
 from .ranking import top_per_key
 
@@ -75,12 +75,15 @@ def calls(files: DataFrame) -> DataFrame:
 def qualified_names(parsed: DataFrame, depth: int = 16) -> DataFrame:
     """(path, unit, qualified): ``path::Outer::inner``, by parents, nested up to ``depth`` deep.
 
-    A unit stands with all units around it, found by their lines, so one join gives the whole chain.
+    Chains of parents are joined end to end, each round twice as long, so a unit meets no other units of its file.
     """
-    inner, outer = parsed.alias("i"), parsed.alias("o")
-    around = inner.join(outer, (F.col("i.path") == F.col("o.path")) & (F.col("o.unit") <= F.col("i.unit")) & (F.col("o.start_line") <= F.col("i.start_line")) & (F.col("o.end_line") >= F.col("i.end_line")))
-    chain = around.groupBy(F.col("i.path").alias("path"), F.col("i.unit").alias("unit")).agg(F.array_sort(F.collect_list(F.struct(F.col("o.unit").alias("u"), F.col("o.name").alias("name")))).alias("c"))
-    return chain.select("path", "unit", F.concat_ws("::", "path", F.slice("c.name", 1, depth)).alias("qualified"))
+    space, k = Workspace(parsed.sparkSession, "names"), 0
+    rows = space.table(parsed.select("path", "unit", F.col("parent").alias("up"), F.array("name").alias("chain")), "0")
+    while not rows.where("up IS NOT NULL").isEmpty():
+        over, k = rows.select("path", F.col("unit").alias("up"), F.col("up").alias("next"), F.col("chain").alias("over")), k + 1
+        long = rows.join(over, ["path", "up"], "left")
+        rows = space.table(long.select("path", "unit", F.col("next").alias("up"), F.concat(F.coalesce("over", F.array().cast("array<string>")), "chain").alias("chain")), str(k))
+    return rows.select("path", "unit", F.concat_ws("::", "path", F.slice("chain", 1, depth)).alias("qualified"))
 
 
 def doc_comments(parsed: DataFrame, files: DataFrame, reach: int = 64) -> DataFrame:

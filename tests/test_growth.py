@@ -79,3 +79,12 @@ def test_a_test_meets_two_targets_of_a_name(spark):
     sized = C.test_pairs(many, many.select((F.col("id") + 1000).alias("id"), F.lit("a").alias("name")))
     assert sized.where("target_id = 1000").count() == 1999 and sized.where("test_id = 1000 AND target_id = 1001").count() == 1
     assert plan_of(found).count("min(id") == 2  # names meet tests once their targets are reduced
+
+
+def test_units_meet_no_other_units_of_their_file(spark):
+    rows = [("a", k, f"n{k}", None if k == 0 else k - 1 if k < 20 else 0) for k in range(40)]
+    parsed = spark.createDataFrame(rows, "path string, unit int, name string, parent int").withColumns({"start_line": F.col("unit"), "end_line": F.lit(100) - F.col("unit")})
+    names = C.qualified_names(parsed)
+    assert not re.search(r"start_line#\d+ <= start_line", plan_of(names))
+    got = {r.unit: r.qualified for r in names.collect()}
+    assert got[19] == "::".join(["a", *(f"n{k}" for k in range(16))]) and got[3] == "a::n0::n1::n2::n3" and got[30] == "a::n0::n30" and len(got) == 40
