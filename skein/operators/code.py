@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ast
+import itertools
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -25,39 +27,68 @@ ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.
 def _parsed(files: DataFrame, what: int, schema: str) -> DataFrame:
     """The functions stand inside, so that workers get them with the task and need no package."""
     names = [c.split()[0] for c in schema.split(", ")]
+    PIECE, HEAD = 1 << 16, re.compile(r"(?<=\n)(?:class|def|async|@)(?=[ \t\w])")
     kinds = [{"string": pa.string(), "int": pa.int32()}[c.split()[1]] for c in schema.split(", ")]
 
+    def pieces(text: str):
+        """(line, tree) of pieces of a text: cut before a class or function of the first column, a piece that doesn't stand alone goes on to a later cut. No tree: not Python."""
+        at, line, step = 0, 0, PIECE
+        while True:
+            cut = HEAD.search(text, at + step)
+            end = cut.start() if cut else len(text)
+            try:
+                tree = ast.parse(text[at:end])
+            except (SyntaxError, ValueError, RecursionError):
+                if cut is None:
+                    yield line, None
+                    return
+                step = 2 * (end - at)
+                continue
+            yield line, tree
+            if cut is None:
+                return
+            breaks = text.count("\n", at, end) + text.count("\r", at, end) - text.count("\r\n", at, end)
+            at, line, step = end, line + breaks, PIECE
+
     def found(path: str, text: str):
-        """Classes, functions and methods of a Python text, outer ones first, and the names that each calls."""
-        try:
-            tree = ast.parse(text)
-        except (SyntaxError, ValueError, RecursionError):
-            return [], []
-        units, calls, lines = [], [], text.splitlines()
-
-        def walk(node, parent, in_class):
+        """Classes, functions and methods of a Python text, outer ones first, or the names that each calls; a piece's tree is let go before the next."""
+        units, calls, lines, numbers = [], [], text.splitlines(), itertools.count()
+
+        def walk(node, parent, in_class, before):
             for child in ast.iter_child_nodes(node):
                 if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                     is_class = isinstance(child, ast.ClassDef)
-                    number = len(units)
-                    signature = lines[child.lineno - 1].strip()[:2048]
-                    units.append((path, number, child.name, "class" if is_class else "method" if in_class else "function", child.lineno, child.end_lineno, parent, signature))
-                    walk(child, number, is_class)
+                    number = next(numbers)
+                    if what == 0:
+                        signature = lines[before + child.lineno - 1].strip()[:2048]
+                        units.append((path, number, child.name, "class" if is_class else "method" if in_class else "function", before + child.lineno, before + child.end_lineno, parent, signature))
+                    walk(child, number, is_class, before)
                 else:
-                    if isinstance(child, ast.Call):
+                    if what == 1 and isinstance(child, ast.Call):
                         name = child.func.attr if isinstance(child.func, ast.Attribute) else getattr(child.func, "id", None)
                         if name:
-                            calls.append((path, parent, name, child.lineno))
-                    walk(child, parent, in_class)
+                            calls.append((path, parent, name, before + child.lineno))
+                    walk(child, parent, in_class, before)
 
-        walk(tree, None, False)
-        return units, calls
+        def held(rows):
+            columns = list(zip(*rows)) if rows else [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+        # rows wait as Arrow batches for the whole text: one error anywhere in it gives none
+        out, rows = [], (units, calls)[what]
+        for before, tree in pieces(text):
+            if tree is None:
+                return []
+            walk(tree, None, False, before)
+            if len(rows) >= 8192:
+                out.append(held(rows))
+                rows.clear()
+        return [*out, held(rows)]
 
     def run(batches):
         for batch in batches:
-            rows = [r for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()) for r in found(path, text or "")[what]]
-            columns = list(zip(*rows)) if rows else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+            for path, text in zip(batch.column("path"), batch.column("text")):
+                yield from found(path.as_py(), text.as_py() or "")
 
     return files.select("path", "text").mapInArrow(run, schema)
 

@@ -78,7 +78,7 @@ def test_a_test_meets_two_targets_of_a_name(spark):
     many = spark.range(2000).select("id", F.lit("test_a").alias("name"))
     sized = C.test_pairs(many, many.select((F.col("id") + 1000).alias("id"), F.lit("a").alias("name")))
     assert sized.where("target_id = 1000").count() == 1999 and sized.where("test_id = 1000 AND target_id = 1001").count() == 1
-    assert plan_of(found).count("min(id") == 2  # names meet tests once their targets are reduced
+    assert plan_of(found).count("min(id") == 3  # names meet tests once their targets are reduced
 
 
 def test_units_meet_no_other_units_of_their_file(spark):
@@ -88,3 +88,32 @@ def test_units_meet_no_other_units_of_their_file(spark):
     assert not re.search(r"start_line#\d+ <= start_line", plan_of(names))
     got = {r.unit: r.qualified for r in names.collect()}
     assert got[19] == "::".join(["a", *(f"n{k}" for k in range(16))]) and got[3] == "a::n0::n1::n2::n3" and got[30] == "a::n0::n30" and len(got) == 40
+
+
+def test_texts_are_parsed_in_pieces(monkeypatch):
+    import ast
+
+    import pyarrow as pa
+
+    class Files:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    def rows(run, texts):
+        batch = pa.RecordBatch.from_arrays([pa.array([str(k) for k in range(len(texts))]), pa.array(texts)], ["path", "text"])
+        return [tuple(r.values()) for b in run(iter([batch])) for r in b.to_pylist()]
+
+    block = 'class A:\n    s = """\nclass B:\n"""\n    def f(self):\n        return g(self.h())\n@d(1)\nasync def k(): pass\nx = (1\n@ 2)\r\n'
+    text = block * 4000
+    sizes, parse, whole = [], ast.parse, ast.parse(text)
+    monkeypatch.setattr(C.ast, "parse", lambda t: sizes.append(len(t)) or parse(t))
+    units = rows(C.units(Files()), [text, text + "def (", None, "class Z: pass"])
+    calls = rows(C.calls(Files()), [text])
+    kinds = (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)
+    assert [(r[2], r[4], r[5]) for r in units if r[0] == "0"] == sorted(((n.name, n.lineno, n.end_lineno) for n in ast.walk(whole) if isinstance(n, kinds)), key=lambda x: x[1])
+    assert {r[0] for r in units} == {"0", "3"} and units[4][6] == 3 and [r[1] for r in units[:-1]] == list(range(12000))
+    assert sorted(r[3] for r in calls) == sorted(n.lineno for n in ast.walk(whole) if isinstance(n, ast.Call))
+    assert sorted(sizes)[len(sizes) // 2] < 1 << 17
