@@ -273,11 +273,22 @@ def test_files(files: DataFrame) -> DataFrame:
 def regions_of_lines(lines: DataFrame, regions: DataFrame, k: int = 4, bucket: int = 64) -> DataFrame:
     """(path, region_id, place): the ``k`` smallest regions of each path that hold one of the lines (path, line).
 
-    Ranges are cut into buckets of lines, so the join is an equality.
+    A region holds one if the next line from its start on isn't beyond its end, so it meets one line, not all that it holds. Places stand in
+    buckets of ``bucket`` lines, so that no path is one group; the first line of the later buckets follows from one row for each.
     """
-    cut = regions.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start_line") / bucket), F.floor(F.col("end_line") / bucket))))
-    hits = lines.distinct().withColumn("_b", F.floor(F.col("line") / bucket)).join(cut, ["path", "_b"]).where("start_line <= line AND line <= end_line")
-    once = hits.select("path", "region_id", (F.col("end_line") - F.col("start_line")).alias("span")).distinct()
+    b = lambda c: F.floor(F.col(c) / bucket)
+    once = lines.where("line IS NOT NULL").select("path", "line", b("line").alias("_b")).distinct()
+    starts = regions.where("start_line <= end_line").select("path", "region_id", "start_line", "end_line", b("start_line").alias("_b"))
+    none = lambda *names: [F.lit(None).cast(dict(regions.dtypes)[n]).alias(n) for n in names]
+    marks = union(starts.withColumn("line", F.lit(None).cast("long")), once.select("path", F.col("line").cast("long").alias("line"), "_b", *none("region_id", "start_line", "end_line")))
+    at = F.coalesce("line", F.col("start_line"))
+    # from the last place to the first, of one place lines come first
+    near = Window.partitionBy("path", "_b").orderBy(at.desc(), F.col("line").isNull())
+    marks = marks.withColumn("next", F.last("line", ignorenulls=True).over(near)).where("start_line IS NOT NULL")
+    firsts = union(once.groupBy("path", "_b").agg(F.min("line").cast("long").alias("first")), starts.select("path", "_b").distinct().withColumn("first", F.lit(None).cast("long"))).groupBy("path", "_b").agg(F.min("first").alias("first"))
+    later = F.last("first", ignorenulls=True).over(Window.partitionBy("path").orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1))
+    placed = marks.join(firsts.select("path", "_b", later.alias("later")), ["path", "_b"])
+    once = placed.where(F.coalesce("next", "later") <= F.col("end_line")).select("path", "region_id", (F.col("end_line") - F.col("start_line")).alias("span")).distinct()
     return top_per_key(once, "path", [F.col("span"), F.col("region_id")], k)
 
 

@@ -117,3 +117,18 @@ def test_texts_are_parsed_in_pieces(monkeypatch):
     assert {r[0] for r in units} == {"0", "3"} and units[4][6] == 3 and [r[1] for r in units[:-1]] == list(range(12000))
     assert sorted(r[3] for r in calls) == sorted(n.lineno for n in ast.walk(whole) if isinstance(n, ast.Call))
     assert sorted(sizes)[len(sizes) // 2] < 1 << 17
+
+
+def test_a_region_meets_one_line(spark):
+    import random
+
+    r = random.Random(3)
+    lines = [(r.choice("abc"), r.randrange(900)) for _ in range(60)] + [("a", None), ("z", 3)]
+    regions = [(r.choice("abd"), k, s, s + r.choice([-1, 0, 1, 63, 64, 200])) for k in range(300) for s in [r.randrange(900)]]
+    found = C.regions_of_lines(spark.createDataFrame(lines, "path string, line long"), spark.createDataFrame(regions, "path string, region_id int, start_line long, end_line long"))
+    expected = set()
+    for path in "abcdz":
+        here = sorted((e - s, k) for p, k, s, e in regions if p == path and any(q == p and n is not None and s <= n <= e for q, n in lines))
+        expected |= {(path, k, place + 1) for place, (_, k) in enumerate(here[:4])}
+    assert {(x.path, x.region_id, x.place) for x in found.collect()} == expected
+    assert not re.search(r"start_line#\d+L? <= line", plan_of(found))
