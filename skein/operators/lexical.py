@@ -232,8 +232,8 @@ def grep(documents: DataFrame, pattern: str, per_file: int = 100, limit: int = 2
     return found.select("doc_id", (F.col("n") + 1).cast("long").alias("line"), (F.length(before) + 1).cast("long").alias("col"), shown.alias("text")).orderBy("doc_id", "line").limit(limit)
 
 
-def feedback_terms(index: TextIndex, documents: DataFrame, query: list[str], most: int = 8) -> DataFrame:
-    """(token, df): identifier parts of at most five seed documents (doc_id, text) that aren't in the query, by how many seeds hold them."""
+def feedback_terms(index: TextIndex | None, documents: DataFrame, query: list[str], most: int = 8) -> DataFrame:
+    """(token, df): identifier parts of at most five seed documents (doc_id, text) that aren't in the query, by how many seeds hold them. The index isn't read."""
     parts = documents.limit(5).select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token"))
     rows = parts.where((F.length("token") >= 3) & F.col("token").rlike(r"\p{L}") & ~F.col("token").isin(*STOPWORDS, *query))
     return rows.groupBy("token").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "token").limit(most)

@@ -165,7 +165,7 @@ def grep_lines(spark, sf):
  GROUP BY token ORDER BY df DESC, token LIMIT 8""")
 def feedback_terms(spark, sf):
     seeds = load(spark, sf, "documents").where(F.col("doc_id").isin(1, 2, 3, 4, 6))
-    return lexical.feedback_terms(index(spark, sf), seeds.select("doc_id", "text"), TERMS)
+    return lexical.feedback_terms(None, seeds.select("doc_id", "text"), TERMS)
 
 
 _DOT = "round(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)), 6)"

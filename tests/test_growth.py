@@ -132,3 +132,11 @@ def test_a_region_meets_one_line(spark):
         expected |= {(path, k, place + 1) for place, (_, k) in enumerate(here[:4])}
     assert {(x.path, x.region_id, x.place) for x in found.collect()} == expected
     assert not re.search(r"start_line#\d+L? <= line", plan_of(found))
+
+
+def test_feedback_terms_build_no_index(spark, monkeypatch):
+    import __spark_entry__
+    from skein.operators.index import TextIndex
+
+    monkeypatch.setattr(TextIndex, "of", lambda *a, **k: 1 / 0)
+    assert __spark_entry__.queries()["feedback_terms"](spark, "/root/testdata/sf0.001").count() == 8
