@@ -44,7 +44,7 @@ def plain(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Words in order: runs of letters, digits and underscores, in lower case and without accents."""
-    return F.filter(F.split(plain(text), NOT_WORD), lambda t: t != "")
+    return F.array_remove(F.split(plain(text), NOT_WORD), "")
 
 
 def python_tokens(text: str) -> list[str]:

@@ -68,15 +68,19 @@ def layout_of(shares: dict[int, float], parts: int) -> list[tuple[int, int]]:
     return out
 
 
-def _postings_of(words: list[Column]) -> Column:
-    """Distinct words of a document with the fields and places where they stand: one sort of all its words, then cuts where the word changes."""
+def _ordered(words: list[Column]) -> Column:
+    """All words of a document with the fields and places where they stand, sorted; nothing in them is null."""
+    of_field = lambda k: lambda x, i: F.struct(x.alias("t"), F.lit(k).cast("byte").alias("f"), i.alias("i"))
+    return F.sort_array(F.concat(*[F.transform(w, of_field(k)) for k, w in enumerate(words)]))
+
+
+def _postings_of(ordered: Column) -> Column:
+    """Distinct words of a document with the fields and places where they stand: cuts of its sorted words where the word changes."""
     def cut(s):
         starts = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.element_at(s, i)["t"] != F.element_at(s, F.greatest(i - 1, F.lit(1)))["t"]))
         ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(s) + 1))
         return F.zip_with(starts, ends, lambda a, b: F.struct(F.element_at(s, a)["t"].alias("token"), F.transform(F.slice(s, a, b - a), lambda x: x["f"]).alias("fields"), F.transform(F.slice(s, a, b - a), lambda x: x["i"]).alias("positions")))
 
-    of_field = lambda k: lambda x, i: F.struct(x.alias("t"), F.lit(k).cast("byte").alias("f"), i.alias("i"))
-    ordered = F.array_sort(F.concat(*[F.transform(w, of_field(k)) for k, w in enumerate(words)]))
     none = F.array().cast("array<struct<token:string,fields:array<tinyint>,positions:array<int>>>")
     return F.transform(F.array(ordered), lambda s: F.when(F.size(s) > 0, cut(s)).otherwise(none))[0]
 
@@ -123,7 +127,8 @@ class TextIndex:
         counts = {r.slot: r["count"] for r in some.groupBy(_slot(F.col("token")).alias("slot")).count().collect()}
         layout = layout_of({k: v / max(sum(counts.values()), 1) for k, v in counts.items()}, parts)
         first, wide = _literals(layout)
-        each = rows.select("doc_id", "dl", F.explode(_postings_of([F.col(f"w.{f}") for f in FIELDS])).alias("x")).select("doc_id", "dl", "x.*")
+        # the length comes from the sorted words: asked of the fields, it would cut every text again
+        each = rows.select("doc_id", _ordered([F.col(f"w.{f}") for f in FIELDS]).alias("s")).select("doc_id", F.size("s").cast("long").alias("dl"), F.explode(_postings_of(F.col("s"))).alias("x")).select("doc_id", "dl", "x.*")
         slot = _slot(F.col("token"))
         each = each.withColumn("part", (first[slot] + F.pmod(F.xxhash64("doc_id"), wide[slot])).cast("int")).withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(cells)).cast("int"))
         # dealt by part once: the folders need no other shuffle
