@@ -14,8 +14,10 @@ def smallest_enclosing(points: DataFrame, ranges: DataFrame, key: str, bucket: i
     """Each point's smallest range [start, end) of the same key.
 
     Ranges are cut into buckets of positions, so the join is an equality on (key,
-    bucket) and no position is compared with all ranges of its key.
+    bucket) and no position is compared with all ranges of its key. Of ranges with the
+    same ends a position meets the first only.
     """
+    ranges = ranges.groupBy(key, "start", "end").agg(F.min(F.struct("range_id"))["range_id"].alias("range_id"))
     cut = ranges.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor((F.col("end") - 1) / bucket))))
     hits = points.withColumn("_b", F.floor(F.col("at") / bucket)).join(cut, [key, "_b"]).where("start <= at AND at < end")
     best = F.min_by(F.struct("range_id", "start", "end"), F.struct(F.col("end") - F.col("start"), "range_id"))

@@ -140,3 +140,15 @@ def test_feedback_terms_build_no_index(spark, monkeypatch):
 
     monkeypatch.setattr(TextIndex, "of", lambda *a, **k: 1 / 0)
     assert __spark_entry__.queries()["feedback_terms"](spark, "/root/testdata/sf0.001").count() == 8
+
+
+def test_ranges_with_the_same_ends_are_met_once(spark):
+    from skein.operators.joins import smallest_enclosing
+
+    points = spark.range(50).select(F.lit("a").alias("path"), F.col("id").alias("at"))
+    ranges = spark.range(4000).select(F.lit("a").alias("path"), (F.lit(9000) - F.col("id")).alias("range_id"), (F.col("id") % 4 * 10).alias("start"), (F.col("id") % 4 * 10 + 15).alias("end"))
+    found = smallest_enclosing(points, ranges, "path", 16)
+    got = {r.at: (r.range_id, r.start, r.end) for r in found.collect()}
+    first = {s: 9000 - max(i for i in range(4000) if i % 4 * 10 == s) for s in (0, 10, 20, 30)}
+    assert got == {at: min((first[s], s, s + 15) for s in first if s <= at < s + 15) for at in range(45)}
+    assert plan_of(found).count("Aggregate") == 2
