@@ -20,13 +20,13 @@ def rule_regex(pattern: Column) -> Column:
     anchored = pattern.contains("/")
     # single characters are marked first, so that what is put in for one isn't read again
     text = F.regexp_replace(bare, r"\\(.)", "\x01$1\x02")
-    text = F.regexp_replace(text, r"([.+^$(){}|])", r"\\$1")
+    text = F.regexp_replace(text, r"(?<!\x01)([.+^$(){}|])", r"\\$1")
     text = F.regexp_replace(text, r"\[!", "[^")
     text = F.regexp_replace(text, r"^\*\*/", "\x03")
     text = F.regexp_replace(text, r"/\*\*/", "/\x03")
     text = F.regexp_replace(text, r"/\*\*$", "/\x04")
-    text = F.regexp_replace(text, r"\*+", "[^/]*")
-    text = F.regexp_replace(text, r"\?", "[^/]")
+    text = F.regexp_replace(text, r"(?<!\x01)\*+", "[^/]*")
+    text = F.regexp_replace(text, r"(?<!\x01)\?", "[^/]")
     text = F.replace(F.replace(text, F.lit("\x03"), F.lit("(?:.*/)?")), F.lit("\x04"), F.lit(".+"))
     text = F.regexp_replace(text, "\x01(.)\x02", r"\\Q$1\\E")
     return F.concat(F.when(anchored, "^").otherwise("^(?:.*/)?"), text, F.lit("$"))
