@@ -58,17 +58,21 @@ def join_hot(rows: DataFrame, keys: DataFrame, on: list[str], weight: str, floor
     ``weight`` says how many rows a key has. Keys with more than a quarter of an even share of
     the rows of a partition are at most four per partition, so these are broadcast and
     their rows stay where they are; the rest is joined by a shuffle. Keys of up to ``floor`` rows
-    are never hot.
+    are never hot. Hashes of the hot keys reach the scan as a filter, so that the other rows pass no join
+    to be told from them; a key that shares a hash with a hot one is broadcast too.
     """
     most = 4 * shuffle_partitions(rows.sparkSession)
     total = keys.agg(F.sum(weight)).first()[0] or 0
     least = max(total // most, floor)
-    hot = keys.where(F.col(weight) > least)
-    if hot.isEmpty():
-        return rows.join(keys.drop(weight), on)
-    names = [c for c in rows.columns if c not in on] + [c for c in keys.columns if c not in on and c != weight]
-    spread = rows.join(F.broadcast(hot.drop(weight)), on)
-    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(keys.where(F.col(weight) <= least).drop(weight), on)
+    mark = F.xxhash64(*[F.col(c).cast(keys.schema[c].dataType) for c in on])
+    hot = [r[0] for r in keys.where(F.col(weight) > least).select(mark).collect()]
+    keys = keys.drop(weight)
+    if not hot:
+        return rows.join(keys, on)
+    names = [c for c in rows.columns if c not in on] + [c for c in keys.columns if c not in on]
+    among = mark.isin(*hot)
+    spread = rows.where(among).join(F.broadcast(keys.where(among)), on)
+    rest = rows.where(~among).join(keys.where(~among), on)
     return spread.select(*on, *names).unionByName(rest.select(*on, *names))
 
 
