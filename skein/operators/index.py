@@ -1,7 +1,7 @@
 """A full-text index in a folder: postings by token, blocks of postings with their bounds, terms, documents, totals.
 
-A posting is a token in a document, with its places in each field. Within a document words are grouped in their row,
-before any shuffle. Postings are dealt to parts by a slot of a token's first two characters: how many parts a slot gets
+A posting is a token in a document, with its places in each field. Within a document words are grouped
+before any shuffle, in Arrow batches. Postings are dealt to parts by a slot of a token's first two characters: how many parts a slot gets
 follows from its share in a bounded sample of the documents, and the number of parts from the bytes of text, so that no
 part grows with the corpus; within a slot documents are spread. Parts are folders, their rows sorted by token and
 cell; so a query reads the folders of its own slots and there the pages of its own terms.
@@ -23,10 +23,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
-from skein.workspace import Workspace, delete, exists, fingerprint, shared_root, size_of
+from skein.workspace import Workspace, delete, exists, fingerprint, shared_root, ship, size_of
 
-VERSION, SLOTS, CELL, SAMPLE = 7, 4096, 1024, 4096
-PART_BYTES = 64 << 20
+VERSION, SLOTS, CELL, SAMPLE = 8, 4096, 1024, 4096
+#: Bytes of files a part stands for: its task sorts some forty times as much.
+PART_BYTES = 16 << 20
 #: Fixed values of BM25.
 K1, B = 1.2, 0.75
 #: The weights of the fields of a document.
@@ -68,21 +69,43 @@ def layout_of(shares: dict[int, float], parts: int) -> list[tuple[int, int]]:
     return out
 
 
-def _ordered(words: list[Column]) -> Column:
-    """All words of a document with the fields and places where they stand, sorted; nothing in them is null."""
-    of_field = lambda k: lambda x, i: F.struct(x.alias("t"), F.lit(k).cast("byte").alias("f"), i.alias("i"))
-    return F.sort_array(F.concat(*[F.transform(w, of_field(k)) for k, w in enumerate(words)]))
-
-
-def _postings_of(ordered: Column) -> Column:
-    """Distinct words of a document with the fields and places where they stand: cuts of its sorted words where the word changes."""
-    def cut(s):
-        starts = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.element_at(s, i)["t"] != F.element_at(s, F.greatest(i - 1, F.lit(1)))["t"]))
-        ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(s) + 1))
-        return F.zip_with(starts, ends, lambda a, b: F.struct(F.element_at(s, a)["t"].alias("token"), F.transform(F.slice(s, a, b - a), lambda x: x["f"]).alias("fields"), F.transform(F.slice(s, a, b - a), lambda x: x["i"]).alias("positions")))
-
-    none = F.array().cast("array<struct<token:string,fields:array<tinyint>,positions:array<int>>>")
-    return F.transform(F.array(ordered), lambda s: F.when(F.size(s) > 0, cut(s)).otherwise(none))[0]
+#: How many words a task groups at once, unless one document has more.
+WORDS = 1 << 20
+_GROUPED = "doc_id long, dl long, token string, fields array<tinyint>, positions array<int>"
+
+
+def _grouped(batches):
+    """Distinct words of each document with the fields and places where they stand, by field and place.
+
+    From Arrow batches (doc_id, words of all fields in their order, number of words of each field); nothing in them is null.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        ids, texts = batch.column("doc_id"), batch.column("words")
+        bounds = np.asarray(texts.offsets).astype(np.int64)
+        sizes = batch.column("sizes").flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(batch), -1)
+        row = 0
+        while row < len(batch):
+            end = max(row + 1, int(np.searchsorted(bounds, bounds[row] + WORDS, "right")) - 1)
+            coded = texts.values.slice(bounds[row], bounds[end] - bounds[row]).dictionary_encode()
+            code, n = coded.indices.to_numpy().astype(np.int64), bounds[end] - bounds[row]
+            length = np.diff(bounds[row : end + 1])
+            doc = np.repeat(np.arange(end - row), length)
+            each = sizes[row:end].ravel()
+            field = np.repeat(np.tile(np.arange(sizes.shape[1], dtype=np.int8), end - row), each)
+            place = (np.arange(n) - np.repeat(np.cumsum(each) - each, each)).astype(np.int32)
+            key = doc * max(len(coded.dictionary), 1) + code
+            order = np.argsort(key, kind="stable")
+            starts = np.flatnonzero(np.diff(key[order], prepend=-1))
+            at, cuts = order[starts], pa.array(np.append(starts, n).astype(np.int32))
+            columns = [
+                ids.take(pa.array(row + doc[at])), pa.array(length[doc[at]]), coded.dictionary.take(pa.array(code[at])),
+                pa.ListArray.from_arrays(cuts, pa.array(field[order])), pa.ListArray.from_arrays(cuts, pa.array(place[order])),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "dl", "token", "fields", "positions"])
+            row = end
 
 
 def weighted(fields: Column, weights: dict[str, float] | None = None) -> Column:
@@ -110,6 +133,7 @@ class TextIndex:
         """From (doc_id, path, name, terms, body); null fields are empty, columns ``keep`` stand in ``docs``. ``text_bytes`` is about
         the size of the documents and gives the number of parts.
         """
+        ship(spark)
         aside = f"{root}-{uuid.uuid4().hex[:8]}"
         space = Workspace(spark, "index", aside)
         words = [T.tokens(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in FIELDS]
@@ -127,13 +151,14 @@ class TextIndex:
         counts = {r.slot: r["count"] for r in some.groupBy(_slot(F.col("token")).alias("slot")).count().collect()}
         layout = layout_of({k: v / max(sum(counts.values()), 1) for k, v in counts.items()}, parts)
         first, wide = _literals(layout)
-        # the length comes from the sorted words: asked of the fields, it would cut every text again
-        each = rows.select("doc_id", _ordered([F.col(f"w.{f}") for f in FIELDS]).alias("s")).select("doc_id", F.size("s").cast("long").alias("dl"), F.explode(_postings_of(F.col("s"))).alias("x")).select("doc_id", "dl", "x.*")
+        words = rows.select("doc_id", F.concat(*[f"w.{f}" for f in FIELDS]).alias("words"), F.array(*[F.size(f"w.{f}") for f in FIELDS]).alias("sizes"))
+        each = words.mapInArrow(_grouped, _GROUPED)
         slot = _slot(F.col("token"))
-        each = each.withColumn("part", (first[slot] + F.pmod(F.xxhash64("doc_id"), wide[slot])).cast("int")).withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(cells)).cast("int"))
+        each = each.withColumn("part", (first[slot] + F.pmod(F.xxhash64("doc_id"), wide[slot])).cast("int"))
         # dealt by part once: the folders need no other shuffle
         used = layout[-1][0] + layout[-1][1]
-        held = each.repartitionById(used, F.col("part")).select("token", "cell", "doc_id", "dl", weighted(F.col("fields")).alias("w"), "fields", "positions", "part")
+        cell = F.pmod(F.xxhash64("doc_id"), F.lit(cells)).cast("int").alias("cell")
+        held = each.repartitionById(used, F.col("part")).select("token", cell, "doc_id", "dl", weighted(F.col("fields")).alias("w"), "fields", "positions", "part")
         held = held.sortWithinPartitions("part", "token", "cell", "doc_id")
         paged = lambda writer: writer.option("compression", "zstd").option("parquet.page.size", 1 << 16).option("parquet.page.row.count.limit", 2048).partitionBy("part")
         paged(held.write.mode("overwrite")).parquet(f"{aside}/postings")
