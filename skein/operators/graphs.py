@@ -53,10 +53,20 @@ class Edges:
 
 
 class SortedEdges(Edges):
-    """The same from tables that are sorted by source, by target and, for degrees, by node: a few nodes read a few pages."""
+    """The same from tables that are sorted by source, by target and, for degrees, by node: a few nodes read a few pages.
 
-    def __init__(self, by_src: DataFrame, by_dst: DataFrame, degree: DataFrame):
-        self.spark, self.by_src, self.by_dst, self.degree = by_src.sparkSession, by_src, by_dst, degree
+    A table may be given as a function, which is called when the table is first read.
+    """
+
+    def __init__(self, by_src, by_dst, degree, spark=None):
+        self.spark, self._tables = spark or by_src.sparkSession, {"src": by_src, "dst": by_dst, "degree": degree}
+
+    def _table(self, name: str) -> DataFrame:
+        if callable(self._tables[name]):
+            self._tables[name] = self._tables[name]()
+        return self._tables[name]
+
+    by_src, by_dst, degree = (property(lambda self, name=name: self._table(name)) for name in ("src", "dst", "degree"))
 
     def degrees(self, nodes: list[str]) -> DataFrame:
         return self.degree.where(F.col("node").isin(nodes)).select(F.col("node").alias("at"), "degree")

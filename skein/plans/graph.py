@@ -34,11 +34,11 @@ def _sources(sf):
 
 
 def graph_of(spark, sf):
-    """The same edges in tables sorted by source and by target, with degrees sorted by node."""
+    """The same edges in tables sorted by source and by target, with degrees sorted by node; each is built when it is first read."""
     both = edges(spark, sf)
-    by = {end: stored(spark, f"edges-{end}", 1, both.repartitionByRange(end).sortWithinPartitions(end), *_sources(sf)) for end in ("src", "dst")}
-    degree = graphs.degrees(both)
-    return graphs.SortedEdges(by["src"], by["dst"], stored(spark, "edges-degree", 1, degree.repartitionByRange("node").sortWithinPartitions("node"), *_sources(sf)))
+    by = lambda end: lambda: stored(spark, f"edges-{end}", 1, both.repartitionByRange(end).sortWithinPartitions(end), *_sources(sf))
+    degree = lambda: stored(spark, "edges-degree", 1, graphs.degrees(both).repartitionByRange("node").sortWithinPartitions("node"), *_sources(sf))
+    return graphs.SortedEdges(by("src"), by("dst"), degree, spark)
 
 
 def _walked(seeds: str, follow: str, kinds: str) -> str:
