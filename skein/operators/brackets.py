@@ -4,7 +4,8 @@ Nothing here walks a text. A text is cut into tokens by one regular expression;
 give each token its depth; the last opening of a depth is what encloses the tokens of that depth that follow, and
 the next bracket of the same depth closes it. Tokens that have one enclosing bracket are siblings: ``fn f(a) { b }``
 has the siblings ``fn``, ``f``, ``(``, ``)``, ``{`` and ``}``, so what a grammar says about them is said by a few
-neighbours in that order. All windows run within a file, whose tokens are dealt out once, by path.
+neighbours in that order. Units and calls take them from one pass over the tokens of a file (``siblings``), as a window
+holds all rows of its group; ``bracket_table`` has every token.
 
 Not told apart, for want of a grammar: regular expressions of scripts (their brackets count), nested block comments,
 call-like patterns of Rust (counted as calls), attributes of C# before a unit (not part of it).
@@ -17,11 +18,12 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.workspace import Workspace, union
+from skein.workspace import Workspace, ship, union
 
+from . import siblings as S
 from .joins import resolve
+from .siblings import CLASSES, CLOSE, CONTINUED, CONTINUES, HEADS, MODIFIERS, OPEN, SCRIPTS, TYPED
 
-SCRIPTS, CLASSES = ("typescript", "tsx", "javascript"), ("java", "csharp")
 LANGUAGES = ("rust", "go", *SCRIPTS, *CLASSES)
 _TEXT = r'"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"'
 _COMMENT = r"//[^\n]*+|/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/"
@@ -36,17 +38,6 @@ _REST = r"\s++|[\p{L}_$][\p{L}\p{N}_$]*+|\p{N}[\p{L}\p{N}_]*+|=>|->|::|\?\.|\.\.
 _UNSEEN = r"^(?:\s|//|/\*)"
 #: How many tokens are cut from a text at once.
 RUN = 256
-OPEN, CLOSE = ("(", "[", "{"), (")", "]", "}")
-#: The nodes that are units, and what their kind is called.
-HEADS = {
-    "rust": {"fn": "function", "struct": "struct", "enum": "enum", "trait": "trait", "mod": "module", "const": "constant", "static": "constant"},
-    "go": {"func": "function", "type": "schema"},
-    **{x: {"function": "function", "class": "class"} for x in ("javascript",)},
-    **{x: {"function": "function", "class": "class", "interface": "interface", "type": "schema"} for x in ("typescript", "tsx")},
-    "java": {"class": "class", "interface": "interface", "enum": "enum"},
-    "csharp": {"class": "class", "interface": "interface", "enum": "enum", "struct": "struct"},
-}
-_MODIFIERS = {"rust": ("pub", "async", "unsafe", "const", "extern", "default"), "script": ("async", "static", "get", "set", "public", "private", "protected", "readonly", "override", "accessor", "*")}
 _NOT_CALLED = (
     "if", "while", "for", "switch", "match", "catch", "return", "fn", "func", "function", "super", "this", "synchronized", "lock", "using", "fixed", "foreach", "typeof", "sizeof", "nameof",
     "in", "await", "async", "throw", "else", "do", "try", "let", "const", "var", "new", "case", "yield", "interface", "struct", "chan", "where", "loop", "move", "impl", "pub", "Fn", "FnMut", "FnOnce",
@@ -93,6 +84,19 @@ def texts_at(spans: DataFrame, files: DataFrame, start: Column, end: Column, siz
     return rows.groupBy(*names).agg(whole.cast("string").alias("cut"))
 
 
+def _runs(files: DataFrame) -> DataFrame:
+    """(path, language, run, text): a run of tokens cut alone gives the same tokens, and no array holds those of a whole text."""
+    runs = F.regexp_extract_all("text", F.concat(F.lit("(?:"), _pattern(F.col("language")), F.lit(f"){{1,{RUN}}}+")), F.lit(0))
+    return files.where(F.col("language").isin(*LANGUAGES)).select("path", "language", F.posexplode(runs).alias("run", "text"))
+
+
+def siblings(files: DataFrame) -> DataFrame:
+    """Names of files (path, language, text) that may be heads, members or calls, with what their siblings say (``siblings.SIBLINGS``)."""
+    ship(files.sparkSession)
+    tokens = F.regexp_extract_all("text", _pattern(F.col("language")), F.lit(0))
+    return S.in_order(_runs(files), "run").select("path", "language", tokens.alias("tokens")).mapInArrow(S.siblings, S.SIBLINGS)
+
+
 def bracket_table(files: DataFrame, only_brackets: bool = False) -> DataFrame:
     """(path, language, n, token, kind, start, end, line, last_line, depth, parent, close, i, size) from (path, language, text).
 
@@ -103,14 +107,11 @@ def bracket_table(files: DataFrame, only_brackets: bool = False) -> DataFrame:
     """
     token, per_file = F.col("token"), Window.partitionBy("path").orderBy("run", "pos")
     before = per_file.rowsBetween(Window.unboundedPreceding, -1)
-    # a text is cut into runs of tokens first: a run cut alone gives the same tokens, and no array holds those of a whole text
-    runs = F.regexp_extract_all("text", F.concat(F.lit("(?:"), _pattern(F.col("language")), F.lit(f"){{1,{RUN}}}+")), F.lit(0))
-    rows = files.where(F.col("language").isin(*LANGUAGES)).select("path", "language", F.posexplode(runs).alias("run", "text"))
     tokens = F.regexp_extract_all("text", _pattern(F.col("language")), F.lit(0))
     if only_brackets:
         seen = F.filter(tokens, lambda x: ~x.rlike(_UNSEEN))
         tokens = F.concat(F.slice(seen, 1, 1), F.filter(F.slice(seen, 2, RUN), lambda x: x.isin(*OPEN, *CLOSE)))
-    rows = rows.select("path", "language", "run", F.posexplode(tokens).alias("pos", "token")).repartition("path")
+    rows = _runs(files).select("path", "language", "run", F.posexplode(tokens).alias("pos", "token")).repartition("path")
     newlines = F.length(token) - F.length(F.replace(token, F.lit("\n"), F.lit("")))
     start, line = F.coalesce(F.sum(F.octet_length(token)).over(before), F.lit(0)), 1 + F.coalesce(F.sum(newlines).over(before), F.lit(0))
     rows = rows.select("path", "language", "run", "pos", "token", start.alias("start"), line.alias("line"), newlines.alias("more"))
@@ -151,9 +152,9 @@ def _with_neighbours(table: DataFrame) -> DataFrame:
     for k in (1, 2, 3, 4):
         rows = rows.withColumns({f"prev{k}": F.lag("token", k).over(s), f"next{k}": F.lead("token", k).over(s)})
     rows = rows.withColumns({"next_kind": F.lead("kind").over(s), "next_n": F.lead("n").over(s)})
-    rows = rows.withColumn("begins", F.lag("last_line").over(s).isNull() | ((F.col("kind") != "close") & (F.col("line") > F.lag("last_line").over(s)) & ~token.isin("|", "&", "=", ".", "?", ":", "=>") & ~F.col("prev1").isin("|", "&", "=", "=>", ",", ":")))
+    rows = rows.withColumn("begins", F.lag("last_line").over(s).isNull() | ((F.col("kind") != "close") & (F.col("line") > F.lag("last_line").over(s)) & ~token.isin(*CONTINUES) & ~F.col("prev1").isin(*CONTINUED)))
     # a brace after these belongs to a type
-    typed = F.col("prev1").isin("interface", "struct", ":", "|", "&", "=>", "<", ",") & ~(language == "rust")
+    typed = F.col("prev1").isin(*TYPED) & ~(language == "rust")
     body = (token == "{") & ~F.coalesce(typed, F.lit(False))
     rows = rows.withColumns({
         "stop": _following(body | (token == ";"), F.struct("n", "token", "close", "start", "end")),
@@ -163,99 +164,75 @@ def _with_neighbours(table: DataFrame) -> DataFrame:
     })
     # words before a unit that belong to it run up to it without a break
     pub = (F.col("prev1") == "pub") & (token == "(") | (F.col("prev2") == "pub") & (token == ")")
-    belongs = F.when(language == "rust", token.isin(*_MODIFIERS["rust"]) | F.coalesce(pub, F.lit(False)) | ((F.col("prev1") == "extern") & (F.col("kind") == "text"))).when(language.isin(*CLASSES), ~token.isin(";", "}", "{")).otherwise(token.isin(*_MODIFIERS["script"]))
+    belongs = F.when(language == "rust", token.isin(*MODIFIERS["rust"]) | F.coalesce(pub, F.lit(False)) | ((F.col("prev1") == "extern") & (F.col("kind") == "text"))).when(language.isin(*CLASSES), ~token.isin(";", "}", "{")).otherwise(token.isin(*MODIFIERS["script"]))
     run = F.coalesce(F.sum(F.when(F.coalesce(belongs, F.lit(False)), 0).otherwise(1)).over(s.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("run", run)
     first = Window.partitionBy("path", "parent", "run").orderBy("n")
     return rows.withColumns({"run_start": F.first("start").over(first), "run_line": F.first("line").over(first)})
 
 
-def _closed(rows: DataFrame, table: DataFrame, at: Column) -> DataFrame:
-    """Adds what stands at the token number ``at`` of the same file: last_end and last_row."""
-    ends = table.select(F.col("path").alias("_p"), F.col("n").alias("_n"), F.col("end").alias("last_end"), F.col("last_line").alias("last_row"))
-    return rows.withColumn("_at", at).join(ends, (F.col("path") == F.col("_p")) & (F.col("_at") == F.col("_n")), "left").drop("_p", "_n", "_at")
+def _siblings_of(files: DataFrame, table: DataFrame | None, space: Workspace) -> DataFrame:
+    """The table if it is one of ``siblings``, else such a table of the files."""
+    return table if table is not None and "opened_end" in table.columns else space.table(siblings(files), "siblings")
 
 
-def units(files: DataFrame, table: DataFrame | None = None) -> DataFrame:
+def units(files: DataFrame, table: DataFrame | None = None, signatures: bool = True) -> DataFrame:
     """(path, unit, kind, name, start_byte, end_byte, start_line, end_line, parent, signature, head, body), numbered in the order of their starts.
 
     ``parent`` is the innermost unit around a unit, ``head`` and ``body`` are numbers of tokens. The signature is what stands before the body, of at most 2048 bytes;
-    of units without a body the first 512.
+    of units without a body the first 512. Without ``signatures`` that column is left out and no text is read for it.
     """
     space = Workspace(files.sparkSession, "units")
-    table = space.table(bracket_table(files) if table is None else table, "tokens")
-    rows = space.table(_with_neighbours(table), "siblings")
+    rows = _siblings_of(files, table, space)
     token, language, name = F.col("token"), F.col("language"), F.col("next1")
     kind = F.lit(None).cast("string")
     for lang, heads in HEADS.items():
         for word, what in heads.items():
             kind = F.when((language == lang) & (token == word), what).otherwise(kind)
-    named = F.col("next_kind") == "name"
+    named = F.col("named")
     receiver = (language == "go") & (token == "func") & (F.col("parent") == -1) & (F.col("next1") == "(") & (F.col("next4") == "(")
     star = language.isin(*SCRIPTS) & (token == "function") & (F.col("next1") == "*")
-    heads = rows.where(F.col("kind") == "name").withColumn("what", F.when(receiver, "method").otherwise(kind)).where("what IS NOT NULL").where(named | receiver | star)
+    heads = rows.withColumn("what", F.when(receiver, "method").otherwise(kind)).where("what IS NOT NULL").where(named | receiver | star)
     # words that only look like heads: ``const fn``, ``*const T``, ``A.class``, abstract classes and expressions of scripts
     prev = F.coalesce(F.col("prev1"), F.lit(";"))
     heads = heads.where(~((token == "const") & (name.isin("fn", "unsafe", "async", "extern") | prev.isin("<", ",", "*", "("))) & ~prev.isin(".", "?.", "::", "@"))
     heads = heads.where(~language.isin(*SCRIPTS) | ((F.col("begins") | prev.isin(";", "{", "}", ")", "export", "default", "async", "declare")) & (prev != "abstract")))
     heads = heads.where(~(language.isin(*SCRIPTS) & (token == "type") & ~F.col("next2").isin("=", "<")))
     called = F.when(receiver, F.col("next3")).when(star, F.col("next2")).otherwise(name)
-    line_end = F.when(F.col("next_line").isNull(), F.col("size") - 1).otherwise(F.col("next_line") - 1)
-    has_body = (F.col("stop.token") == "{") & ~F.col("what").isin("constant", "schema")
+    has_body = (F.col("stop_token") == "{") & ~F.col("what").isin("constant", "schema")
     go_type = (language == "go") & (token == "type")
     fields = (token == "struct") & ~has_body & (F.col("next2") == "(")
-    start = F.when(go_type, F.lit(None)).when(language.isin("rust", *CLASSES) | ((language.isin(*SCRIPTS)) & (token == "function")), F.struct(F.col("run_start").alias("s"), F.col("run_line").alias("l"))).otherwise(F.struct(F.col("start").alias("s"), F.col("line").alias("l")))
+    place = lambda start, line: F.struct(F.col(start).alias("s"), F.col(line).alias("l"))
+    start = F.when(go_type, place("next_start", "next_line")).when(language.isin("rust", *CLASSES) | ((language.isin(*SCRIPTS)) & (token == "function")), place("run_start", "run_line")).otherwise(place("start", "line"))
     heads = heads.where(F.when(F.col("what").isin("function", "method"), has_body).otherwise(True))
-    heads = heads.select("path", "language", "parent", "what", called.alias("name"), start.alias("from"), "next_n", has_body.alias("has_body"), F.when(has_body, F.col("stop.n")).alias("body"), F.when(has_body, F.col("stop.close")).alias("end_n"), F.when(has_body, F.col("stop.start")).when(fields, F.col("next2_start")).alias("body_start"), F.col("semicolon.n").alias("semicolon"), line_end.alias("line_end"), "n")
     # where a unit without a body ends: at its semicolon, or with its line
-    by_place = table.select(F.col("path").alias("_p"), F.col("parent").alias("_q"), F.col("i").alias("_i"), F.col("n").alias("line_n"))
-    heads = heads.join(by_place, (F.col("path") == F.col("_p")) & (F.col("parent") == F.col("_q")) & (F.col("line_end") == F.col("_i")), "left").drop("_p", "_q", "_i")
-    until = F.when(F.col("has_body"), F.col("end_n")).when(language == "go", F.col("line_n")).when(language.isin(*SCRIPTS), F.least("semicolon", "line_n")).otherwise(F.col("semicolon"))
-    heads = _closed(heads, table, until)
-    at_name = table.select(F.col("path").alias("_p"), F.col("n").alias("_n"), F.struct(F.col("start").alias("s"), F.col("line").alias("l")).alias("own"))
-    heads = heads.join(at_name, (F.col("path") == F.col("_p")) & (F.col("next_n") == F.col("_n")), "left").withColumn("from", F.coalesce("from", "own")).drop("_p", "_n", "own")
-    found = space.table(heads.select("path", "language", "what", "name", F.col("from.s").alias("start_byte"), F.col("last_end").alias("end_byte"), F.col("from.l").alias("start_line"), F.col("last_row").alias("end_line"), "body", "body_start", F.col("n").alias("head")).where("end_byte IS NOT NULL"), "heads")
-    found = union(found, _members(rows, table, found))
-    order = ["start_byte", F.desc("end_byte")]
-    found = space.table(found.withColumn("unit", F.row_number().over(Window.partitionBy("path").orderBy(*order, "name")) - 1), "units")
-    around = enclosing(found.select("path", F.col("unit").alias("id"), F.col("start_byte").alias("from"), F.col("end_byte").alias("to")))
-    found = found.join(around.select("path", F.col("id").alias("unit"), F.col("around").alias("parent")), ["path", "unit"])
+    semicolon, line = place("semicolon_end", "semicolon_row"), place("line_end", "line_row")
+    until = F.when(has_body, place("stop_end", "stop_row")).when(language == "go", line).when(language.isin(*SCRIPTS), F.when(F.col("semicolon_n") < F.col("line_n"), semicolon).otherwise(line)).otherwise(semicolon)
+    heads = heads.select("path", "language", "what", called.alias("name"), start.alias("from"), until.alias("to"), F.when(has_body, F.col("stop_n")).alias("body"), F.when(has_body, F.col("stop_start")).when(fields, F.col("next2_start")).alias("body_start"), F.col("n").alias("head"))
+    found = space.table(heads.select("path", "language", "what", "name", F.col("from.s").alias("start_byte"), F.col("to.s").alias("end_byte"), F.col("from.l").alias("start_line"), F.col("to.l").alias("end_line"), "body", "body_start", "head").where("end_byte IS NOT NULL"), "heads")
+    found = space.table(S.by_nesting(union(found, _members(rows, found)), "numbered"), "units")
+    out = ["path", "unit", F.col("what").alias("kind"), "name", "start_byte", "end_byte", "start_line", "end_line", "parent", "head", "body"]
+    if not signatures:
+        return found.select(out)
     upto = F.least(F.coalesce("body_start", F.col("start_byte") + 512), "end_byte", F.col("start_byte") + 2048)
-    out = texts_at(found, files, F.col("start_byte"), upto).withColumn("signature", F.trim(F.regexp_replace("cut", r"\s+$", "")))
-    return space.table(out, "out").select("path", "unit", F.col("what").alias("kind"), "name", "start_byte", "end_byte", "start_line", "end_line", "parent", "signature", "head", "body")
+    signed = texts_at(found, files, F.col("start_byte"), upto).withColumn("signature", F.trim(F.regexp_replace("cut", r"\s+$", "")))
+    return space.table(signed, "out").select(*out[:-2], "signature", *out[-2:])
 
 
-def _members(rows: DataFrame, table: DataFrame, heads: DataFrame) -> DataFrame:
+def _members(rows: DataFrame, heads: DataFrame) -> DataFrame:
     """Methods: names before parentheses right inside the body of a class or interface."""
     bodies = heads.where(F.col("what").isin("class", "interface", "enum", "struct") & F.col("language").isin(*SCRIPTS, *CLASSES)).select(F.col("path").alias("_p"), F.col("body").alias("_b"), F.col("what").alias("owner"), F.col("name").alias("owner_name"))
-    m = rows.where((F.col("kind") == "name") & F.col("next1").isin("(", "<")).join(bodies, (F.col("path") == F.col("_p")) & (F.col("parent") == F.col("_b"))).drop("_p", "_b")
+    m = rows.where(F.col("next1").isin("(", "<") & F.col("stop_n").isNotNull()).join(bodies, (F.col("path") == F.col("_p")) & (F.col("parent") == F.col("_b"))).drop("_p", "_b")
     script, own = F.col("language").isin(*SCRIPTS), F.col("token") == F.col("owner_name")
     before = F.coalesce(F.col("prev1"), F.lit("{"))
     typed = F.col("prev1").rlike(r"^[\p{L}_$][\p{L}\p{N}_$]*$|^[>\]?]$") & ~F.col("prev1").isin("new", "return", "throw", "extends", "implements")
     made = own & before.isin("{", "}", ";", "public", "private", "protected", "internal", ")")
-    has_body = F.col("stop.token") == "{"
-    in_script = script & F.col("owner").isin("class", "interface") & (F.col("begins") | before.isin("{", "}", ";", *_MODIFIERS["script"])) & ~before.isin("=", ".", "?.", ",", "@", "abstract", "new", "(")
+    has_body = F.col("stop_token") == "{"
+    in_script = script & F.col("owner").isin("class", "interface") & (F.col("begins") | before.isin("{", "}", ";", *MODIFIERS["script"])) & ~before.isin("=", ".", "?.", ",", "@", "abstract", "new", "(")
     in_class = ~script & (F.col("next1") == "(") & F.coalesce(F.when(own, made & has_body).otherwise(typed), F.lit(False))
-    m = m.where(in_script | in_class).where("stop IS NOT NULL")
-    m = _closed(m, table, F.when(has_body, F.col("stop.close")).otherwise(F.col("stop.n")))
-    end = F.when(script & ~has_body, F.col("last_end") - 1).otherwise(F.col("last_end"))  # a signature leaves out its semicolon
-    return m.select("path", "language", F.lit("method").alias("what"), F.col("token").alias("name"), F.col("run_start").alias("start_byte"), end.alias("end_byte"), F.col("run_line").alias("start_line"), F.col("last_row").alias("end_line"), F.when(has_body, F.col("stop.n")).alias("body"), F.when(has_body, F.col("stop.start")).alias("body_start"), F.col("n").alias("head")).where("end_byte IS NOT NULL")
-
-
-def enclosing(intervals: DataFrame, *points: str) -> DataFrame:
-    """(path, id, around) of intervals (path, id, from, to) that are nested or apart: the innermost other one around each.
-
-    Starts less ends give the depth; the last start one level up is what encloses. Ids follow the order of starts, outer ones first.
-    """
-    ends = F.explode(F.array(F.struct(F.col("from").alias("at"), F.lit(1).alias("step")), F.struct(F.col("to").alias("at"), F.lit(-1).alias("step"))))
-    rows = intervals.select("path", "id", ends.alias("e")).select("path", "id", "e.at", "e.step")
-    # at one place ends come before starts; of several starts the outer one is first
-    rows = rows.withColumn("depth", F.sum("step").over(Window.partitionBy("path").orderBy("at", "step", "id")))
-    starts = rows.where("step = 1")
-    roles = F.explode(F.array(F.struct((F.col("depth") - 1).alias("level"), F.lit(True).alias("own")), F.struct(F.col("depth").alias("level"), F.lit(False).alias("own"))))
-    both = starts.select("path", "id", "at", roles.alias("r")).select("path", "id", "at", "r.level", "r.own")
-    last = F.last(F.when(~F.col("own"), F.col("id")), ignorenulls=True).over(Window.partitionBy("path", "level").orderBy("at", "id", "own"))
-    return both.withColumn("around", last).where("own").select("path", "id", "around")
+    m = m.where(in_script | in_class)
+    end = F.when(script & ~has_body, F.col("stop_end") - 1).otherwise(F.col("stop_end"))  # a signature leaves out its semicolon
+    return m.select("path", "language", F.lit("method").alias("what"), F.col("token").alias("name"), F.col("run_start").alias("start_byte"), end.alias("end_byte"), F.col("run_line").alias("start_line"), F.col("stop_row").alias("end_line"), F.when(has_body, F.col("stop_n")).alias("body"), F.when(has_body, F.col("stop_start")).alias("body_start"), F.col("n").alias("head")).where("end_byte IS NOT NULL")
 
 
 def calls(files: DataFrame, table: DataFrame, found: DataFrame) -> DataFrame:
@@ -263,30 +240,19 @@ def calls(files: DataFrame, table: DataFrame, found: DataFrame) -> DataFrame:
 
     Made objects count by their class in Java and C#, not in scripts. A call starts at its name.
     """
-    s = Window.partitionBy("path", "parent").orderBy("n")
-    rows = table
-    for k in (1, 2, 3):
-        rows = rows.withColumn(f"prev{k}", F.lag("token", k).over(s))
-    rows = rows.withColumns({"next": F.lead(F.struct("token", "close")).over(s), "next2": F.lead("token", 2).over(s), "next3": F.lead(F.struct("token", "close"), 3).over(s), "next4": F.lead(F.struct("token", "close"), 4).over(s), "next5": F.lead(F.struct("token", "close"), 5).over(s)})
     language, none = F.col("language"), F.lit(False)
-    opened = F.when(F.col("next.token") == "(", F.col("next")).when((F.col("next.token") == "<") & (F.col("next2") == ">"), F.col("next3")).when((F.col("next.token") == "<") & (F.col("next3.token") == ">"), F.col("next4")).when((F.col("next.token") == "::") & (F.col("next2") == "<"), F.col("next5"))
-    rows = rows.where(F.col("kind") == "name").withColumn("opened", opened).where("opened.token = '('")
+    rows = _siblings_of(files, table, Workspace(files.sparkSession, "calls")).where("opened_end IS NOT NULL AND NOT attribute")
     reserved = F.col("token").isin(*_NOT_CALLED) & ~F.coalesce(F.col("prev1").isin(".", "?.", "::"), none)
     rows = rows.where(~reserved & ~F.coalesce((F.col("prev1") == "*") & (F.col("prev2") == "function"), none) & ~F.coalesce(F.col("prev1").isin("fn", "func", "function", "struct", "abstract", "@"), none))
     rows = rows.where(~F.coalesce((language == "go") & (F.col("prev1") == ")") & (F.col("prev3") == "func"), none) & ~F.coalesce(language.isin(*SCRIPTS) & (F.col("prev1") == "new"), none))
-    attribute = table.where((F.col("token") == "[")).select("path", F.col("n").alias("parent"), F.col("i").alias("_i"), F.col("parent").alias("_q")).join(table.where("token = '#'").select("path", F.col("parent").alias("_q"), (F.col("i") + 1).alias("_i")), ["path", "_q", "_i"], "left_semi").select("path", "parent")
     values = found.where("kind = 'enum'").select("path", F.col("body").alias("parent"))  # values of an enumeration only look like calls
-    rows = rows.join(union(attribute, values), ["path", "parent"], "left_anti").join(found.select("path", F.col("head").alias("n")), ["path", "n"], "left_anti")
-    rows = _closed(rows, table, F.col("opened.close")).where("last_end IS NOT NULL").select("path", "token", "start", "last_end")
+    rows = rows.join(values, ["path", "parent"], "left_anti").join(found.select("path", F.col("head").alias("n")), ["path", "n"], "left_anti")
     # calls are nested or apart, and so are calls and units: a call is placed by its start
     marks = union(
-        found.select("path", F.col("unit"), F.explode(F.array(F.struct(F.col("start_byte").alias("at"), F.lit(1).alias("step")), F.struct(F.col("end_byte").alias("at"), F.lit(-1).alias("step")))).alias("e"), F.lit(None).cast("string").alias("token"), F.lit(None).cast("long").alias("last_end")).select("path", "unit", "e.at", "e.step", "token", "last_end"),
-        rows.select("path", F.lit(None).cast("int").alias("unit"), F.col("start").alias("at"), F.lit(2).alias("step"), "token", F.col("last_end").cast("long").alias("last_end")),
+        found.select("path", F.col("start_byte").alias("at"), F.col("end_byte").alias("end"), "unit", F.lit(None).cast("string").alias("name")),
+        rows.select("path", F.col("start").alias("at"), F.col("opened_end").alias("end"), F.lit(None).cast("int").alias("unit"), F.col("token").alias("name")),
     )
-    order = Window.partitionBy("path").orderBy("at", "step", "unit")
-    marks = marks.withColumn("depth", F.sum(F.when(F.col("step") == 2, 0).otherwise(F.col("step"))).over(order)).where("step > 0")
-    caller = F.last("unit", ignorenulls=True).over(Window.partitionBy("path", "depth").orderBy("at", "step", "unit"))
-    return marks.withColumn("caller", F.when(F.col("depth") > 0, caller)).where("step = 2").select("path", "caller", F.col("token").alias("name"), F.col("at").alias("start_byte"), F.col("last_end").alias("end_byte"))
+    return S.by_nesting(marks, "placed")
 
 
 # --- structural patterns -----------------------------------------------------
