@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from skein.workspace import Workspace, ship, union
 
+from . import matching as M
 from . import siblings as S
 from .joins import resolve
 from .siblings import CLASSES, CLOSE, CONTINUED, CONTINUES, HEADS, MODIFIERS, OPEN, SCRIPTS, TYPED
@@ -284,118 +285,6 @@ def template_items(template: str) -> list:
     return stack[0][1]
 
 
-_SPAN = "array<struct<name:string,from:bigint,to:bigint>>"
-
-
-def _sequence(rows: DataFrame, items: list, whole: bool, space: Workspace, label: str) -> DataFrame:
-    """Matches of items among siblings: (path, parent, i, start, end, spans), of all siblings of a bracket if ``whole``.
-
-    Between two holes stands a run of tokens and groups, found by the neighbours of its first token. A hole
-    reaches to the nearest place where the next run follows; one item is never empty and holds no ``,`` or ``;``.
-    """
-    groups = [x for x in items if x[0] == "group" and x[2] and not (len(x[2]) == 1 and x[2][0][0] == "many")]
-    for k, (_, _, inside) in enumerate(groups):
-        sub = _sequence(rows, inside, True, space, f"{label}-{k}")
-        sub = sub.select(F.col("path").alias("_p"), F.col("parent").alias("_q"), F.col("spans").alias(f"sub{k}"))
-        rows = rows.join(sub, (F.col("path") == F.col("_p")) & (F.col("n") == F.col("_q")), "left").drop("_p", "_q")
-    s = Window.partitionBy("path", "parent").orderBy("n")
-    none = F.array().cast(_SPAN)
-    runs, holes, run = [], [], []
-    for item in items:
-        if item[0] in ("one", "many"):
-            runs, holes, run = [*runs, run], [*holes, item], []
-        else:
-            run.append(item)
-    runs.append(run)
-    if not all(runs[1:-1]):
-        raise ValueError("two holes stand side by side")
-    ends = Window.partitionBy("path", "parent")
-    separator = _following(F.col("token").isin(",", ";"), F.struct("i", F.col("before").alias("end")), 0)
-    all_of_them = F.struct(F.col("size").alias("i"), F.max("end").over(ends).alias("end"))
-    rows = rows.withColumn("before", F.lag("end").over(s)).withColumn("all", all_of_them).withColumn("separator", F.coalesce(separator, "all")).drop("before")
-    number = 0
-
-    def literal(run, first_group: int):
-        """Whether a run begins at a token, its length, and the spans of holes that are groups of their own."""
-        fits, at, spans, k = F.lit(True), 0, [], first_group
-        for item in run:
-            here = (lambda c, at=at: F.lead(c, at).over(s)) if at else (lambda c: F.col(c))
-            if item[0] == "token":
-                fits, at = fits & (here("token") == item[1]), at + 1
-                continue
-            _, opened, inside = item
-            fits = fits & (here("token") == opened) & (F.lead("token", at + 1).over(s) == CLOSE[OPEN.index(opened)])
-            if not inside:
-                fits = fits & (here("close") == here("n") + 1)
-            elif len(inside) == 1 and inside[0][0] == "many":
-                spans.append(F.array(F.struct(F.lit(inside[0][1]).alias("name"), here("end").cast("long").alias("from"), F.lead("start", at + 1).over(s).cast("long").alias("to"))))
-            else:
-                fits = fits & here(f"sub{k}").isNotNull()
-                spans.append(here(f"sub{k}"))
-                k += 1
-            at += 2
-        return F.coalesce(fits, F.lit(False)), at, F.concat(*spans).cast(_SPAN) if spans else none, k
-
-    parts = []
-    for run in runs:
-        fits, length, spans, number = literal(run, number)
-        parts.append((fits, length, spans))
-    # from the last run to the first, each row knows the rest of a match that begins at it
-    rest = lambda end, spans: F.struct(F.col("i").alias("i"), F.col("start").cast("long").alias("start"), end.cast("long").alias("end"), spans.cast(_SPAN).alias("spans"))
-    tail = False
-    for k in range(len(runs) - 1, -1, -1):
-        fits, length, spans = parts[k]
-        if not length:  # a hole at either end
-            continue
-        end_i, end_byte = F.col("i") + length, F.lead("end", length - 1).over(s) if length > 1 else F.col("end")
-        hole = lambda to, k=k, end=end_byte: F.array(F.struct(F.lit(holes[k][1]).alias("name"), end.cast("long").alias("from"), to.cast("long").alias("to")))
-        single = k < len(holes) and holes[k][0] == "one"
-        after = F.coalesce(F.lead("separator", length).over(s), "all")
-        if k == len(runs) - 1:
-            ok, found = fits & ((end_i == F.col("size")) if whole else F.lit(True)), rest(end_byte, spans)
-        elif not tail:  # the last item is a hole: it ends at a separator or with the siblings
-            stop = after if single else F.col("all")
-            ok = fits & ((stop["i"] > end_i) if single else F.lit(True)) & ((stop["i"] == F.col("size")) if whole else F.lit(True))
-            to = F.when(end_i < F.col("size"), stop["end"]).otherwise(end_byte)
-            found = rest(to, F.concat(spans, hole(to)))
-        else:
-            more = _following(F.lit(True), F.col("rest"), length + (1 if single else 0))
-            rows = rows.withColumn("more", more)
-            ok = fits & F.col("more").isNotNull() & ((after["i"] >= F.col("more.i")) if single else F.lit(True))
-            found = rest(F.col("more.end"), F.concat(spans, hole(F.col("more.start")), F.col("more.spans")))
-        rows, tail = space.table(rows.withColumn("rest", F.when(ok, found)), f"{label}-run{k}"), True
-    if runs[0]:
-        out = rows.where("rest IS NOT NULL").select("path", "parent", "rest.i", "rest.start", "rest.end", "rest.spans")
-    else:
-        out = _led(rows, holes[0], tail, whole, s)
-    return out.where("i = 0") if whole else out
-
-
-def _led(rows: DataFrame, hole, tail, whole: bool, s) -> DataFrame:
-    """Matches that begin with a hole."""
-    many = hole[0] == "many"
-    if not tail:  # nothing but one hole: all siblings
-        both = rows.groupBy("path", "parent").agg(F.min("start").alias("from"), F.max("end").alias("to"), F.min("separator.i").alias("separator"), F.max("size").alias("size"))
-        both = both if many else both.where("separator >= size")
-        return both.select("path", "parent", F.lit(0).alias("i"), F.col("from").cast("long").alias("start"), F.col("to").cast("long").alias("end"), F.array(F.struct(F.lit(hole[1]).alias("name"), F.col("from").cast("long").alias("from"), F.col("to").cast("long").alias("to"))).cast(_SPAN).alias("spans"))
-    if whole:
-        rows = rows.withColumn("more", _following(F.lit(True), F.col("rest"), 0 if many else 1)).where("i = 0 AND more IS NOT NULL")
-        rows = rows if many else rows.where("separator.i >= more.i")
-        origin = F.col("start")
-    else:
-        # a chain of names, accesses, calls and indexes before the run
-        chained = F.col("kind").isin("name", "text") & ~F.col("token").isin("return", "let", "mut", "await", "new", "if", "while", "match", "in", "else", "const", "var", "go", "defer", "throw") | F.col("token").isin(".", "::", "?.", "?", "(", ")", "[", "]")
-        joined = F.coalesce(F.lag(F.col("kind").isin("name", "text")).over(s) & F.col("kind").isin("name", "text"), F.lit(False))
-        run = F.sum(F.when(chained & ~joined, 0).otherwise(1)).over(s)
-        rows = rows.withColumn("_run", F.when(chained, run))
-        first = F.first("start").over(Window.partitionBy("path", "parent", "_run").orderBy("n"))
-        rows = rows.withColumn("_first", first).withColumn("_before", F.lag(F.struct(F.col("_run").alias("run"), F.col("_first").alias("first"))).over(s))
-        rows = rows.where("rest IS NOT NULL AND _before.run IS NOT NULL").withColumn("more", F.col("rest"))
-        origin = F.col("_before.first")
-    span = F.array(F.struct(F.lit(hole[1]).alias("name"), origin.cast("long").alias("from"), F.col("more.start").alias("to")))
-    return rows.select("path", "parent", F.when(F.lit(whole), F.lit(0)).otherwise(F.col("i")).alias("i"), origin.cast("long").alias("start"), F.col("more.end").alias("end"), F.concat(span, "more.spans").cast(_SPAN).alias("spans"))
-
-
 def pattern_matches(files: DataFrame, template: str, table: DataFrame | None = None) -> DataFrame:
     """(path, start_byte, end_byte, match, names) of a template in files (path, language, text); ``names`` maps holes to their texts.
 
@@ -407,14 +296,16 @@ def pattern_matches(files: DataFrame, template: str, table: DataFrame | None = N
     for word in sorted({w for w in re.findall(r"\w+", plain)}):
         rows = rows.where(F.contains("text", F.lit(word)))
     space = Workspace(files.sparkSession, "pattern")
-    tokens = space.table(bracket_table(rows) if table is None else table.join(rows.select("path"), "path", "left_semi"), "tokens")
-    found = _sequence(tokens, items, False, space, "level")
+    ship(files.sparkSession)
+    if table is not None:
+        rows = rows.join(table.select("path").distinct(), "path", "left_semi")
+    tokens = F.regexp_extract_all("text", _pattern(F.col("language")), F.lit(0))
+    found = space.table(M.matches(_runs(rows), tokens, items), "found")
     # the match is the first of its spans
-    found = space.table(found.select("path", "parent", "i", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "spans"), "found")
-    match = F.array(F.struct(F.lit("").alias("name"), F.col("start").alias("from"), F.col("end").alias("to"))).cast(_SPAN)
-    each = found.select("path", "parent", "i", "start", "end", F.posexplode(F.concat(match, "spans")).alias("k", "x")).select("path", "parent", "i", "start", "end", "k", "x.name", "x.from", "x.to")
+    match = F.array(F.struct(F.lit("").alias("name"), F.col("start").alias("from"), F.col("end").alias("to"))).cast(M.SPANS)
+    each = found.select("path", "at", "start", "end", F.posexplode(F.concat(match, "spans")).alias("k", "x")).select("path", "at", "start", "end", "k", "x.name", "x.from", "x.to")
     each = texts_at(each, rows, F.col("from"), F.col("to")).withColumn("text", F.regexp_replace("cut", r"^\s+|\s+$", ""))
-    found = each.groupBy("path", "parent", "i", "start", "end").agg(F.array_sort(F.collect_list(F.struct("k", "name", "text"))).alias("all"))
+    found = each.groupBy("path", "at", "start", "end").agg(F.array_sort(F.collect_list(F.struct("k", "name", "text"))).alias("all"))
     found = found.withColumn("bound", F.transform(F.slice("all", 2, F.size("all")), lambda x: F.struct(x["name"].alias("name"), x["text"].alias("text"))))
     named = F.filter("bound", lambda x: ~x["name"].isin("", "_"))
     squeezed = F.array_distinct(F.transform(named, lambda x: F.struct(x["name"], F.regexp_replace(x["text"], r"\s+", " "))))
