@@ -49,6 +49,7 @@ class Sequence:
         self.only_hole = not any(self.runs)
         # how many siblings on the next run may begin, at the nearest
         self.gaps = [len(r) + h[0] for r, h in zip(self.runs, self.holes)]
+        self.firsts, self.longest = frozenset(r[0][0] for r in self.runs if r), max(self.gaps, default=0) + 2
         self.number = len(known)
         known.append(self)
 
@@ -56,10 +57,10 @@ class Sequence:
 class _State:
     """What a sequence knows inside a bracket: for each run, the matches that begin at the last siblings and the nearest before them."""
 
-    __slots__ = ("before", "near", "rests", "waiting")
+    __slots__ = ("before", "moving", "near", "rests", "waiting")
 
     def __init__(self, sequence: Sequence):
-        n, self.before = len(sequence.holes), None
+        n, self.before, self.moving = len(sequence.holes), None, 0
         self.rests, self.near, self.waiting = [None] * (n + 1), [None] * n, [[] for _ in range(n)]
 
 
@@ -132,10 +133,15 @@ class _File:
         if row[_TOKEN] in (",", ";"):
             g.separator = [place, None]
         row[_SEPARATOR] = g.separator
-        self.lead(g, row)
+        if g.chain or g.fresh:
+            self.lead(g, row)
         for s, state in zip(self.known, g.states):
+            begins = row[_TOKEN] in s.firsts
+            if not begins and not state.moving:
+                continue  # nothing begins here and nothing waits: all stays as it is
             for k in range(len(s.runs) - 1, -1, -1):
                 state.rests[k] = self.rest(s, state, k, g, row, place) if s.runs[k] and row[_TOKEN] == s.runs[k][0][0] else None
+            state.moving = s.longest if begins else state.moving - 1
             state.before = state.near[0] if s.holes else None
             for k, gap in enumerate(s.gaps):
                 if gap == 0:
@@ -159,8 +165,6 @@ class _File:
 
     def lead(self, g: _Group, row: list) -> None:
         """Matches behind a hole: a chain of names, accesses, calls and indexes runs up to them."""
-        if not (g.chain or g.fresh):
-            return
         if row[_TOKEN] in _LINKS or row[_WORD] and row[_TOKEN] not in _BREAKS:
             if g.chain and row[_WORD] and g.row[_WORD]:
                 self.led(g)
